@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from .decontam import OP5_SQL, op5_decontamination
+from .mixing import OP2_SQL, op2_mixing
 from .near_dedup import op1_near_dedup
+from .quality import op6_quality
+from .sharding import op8_sharding
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_mixing": op2_mixing,
+    "op5_decontamination": op5_decontamination,
+    "op6_quality": op6_quality,
+    "op8_sharding": op8_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_mixing": OP2_SQL,
+    "op5_decontamination": OP5_SQL,
+}
