@@ -7,10 +7,12 @@ from .mixing import OP2_SQL, op2_mixing
 from .near_dedup import op1_near_dedup
 from .quality import op6_quality
 from .sharding import op8_sharding
+from .suffix_dedup import op3_suffix_dedup
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_mixing": op2_mixing,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op8_sharding": op8_sharding,

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch may hold; texts of a batch are further sliced by bytes.
-BATCH_ROWS = 1000
+#: Rows and bytes that one Arrow batch may hold; texts of a batch are further sliced by bytes.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Used only where the session names no checkpoint folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/corpus"
 
@@ -30,6 +30,7 @@ def materialize(df: DataFrame) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
