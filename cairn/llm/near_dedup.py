@@ -213,7 +213,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     placed = sized.join(blocks, "component").select(
         F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")
     )
-    fetched = docs.join(placed, "doc_id").select(
+    # placed has no bound on its size: a merge join at every size
+    fetched = docs.hint("merge").join(placed, "doc_id").select(
         "cluster", "doc_id", "block", "text",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda other: F.struct(F.least("block", other).alias("a"), F.greatest("block", other).alias("b")))).alias("p"),
     ).select("cluster", F.col("p.a").alias("block_a"), F.col("p.b").alias("block_b"), "block", "doc_id", "text")
