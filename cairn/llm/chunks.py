@@ -165,12 +165,13 @@ def _answer(packets: list[tuple]) -> Iterator[pa.RecordBatch]:
     same = groups[1:] == groups[:-1]
     several[1:] |= same
     several[:-1] |= same
-    # prints are hashes of more than their group, so they alone find their entry but for a chance in 2**64 of a clash
     by_print = np.argsort(prints, kind="stable")
     ordered = prints[by_print]
     for part, chunk, group, own, doc in packets:
         at = by_print[np.searchsorted(ordered, own)]
-        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([part], pa.int32()), pa.array([np.packbits(doc > docs[at]).tobytes()], pa.binary()), pa.array([np.packbits(several[at]).tobytes()], pa.binary())], names=["chunk", "part", "later", "shared"])
+        sure = groups[at] == group  # the label is a second, independent hash: a clash of prints is no match
+        cells = ([chunk], pa.int64()), ([part], pa.int32()), ([np.packbits(sure & (doc > docs[at])).tobytes()], pa.binary()), ([np.packbits(sure & several[at]).tobytes()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(*c) for c in cells], names=["chunk", "part", "later", "shared"])
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

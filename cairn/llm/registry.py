@@ -7,6 +7,7 @@ from .mixing import OP2_SQL, op2_mixing
 from .near_dedup import op1_near_dedup
 from .quality import op6_quality
 from .sharding import op8_sharding
+from .substring_dedup import op10_substring_dedup
 from .suffix_dedup import op3_suffix_dedup
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op8_sharding": op8_sharding,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL = {
