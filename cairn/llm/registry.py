@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import OP5_SQL, op5_decontamination
+from .langid import op4_language_id
 from .mixing import OP2_SQL, op2_mixing
 from .near_dedup import op1_near_dedup
 from .quality import op6_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_mixing": op2_mixing,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op8_sharding": op8_sharding,
