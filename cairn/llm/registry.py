@@ -10,6 +10,7 @@ from .quality import op6_quality
 from .sharding import op8_sharding
 from .substring_dedup import op10_substring_dedup
 from .suffix_dedup import op3_suffix_dedup
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op8_sharding": op8_sharding,
+    "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
