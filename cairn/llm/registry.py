@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import OP5_SQL, op5_decontamination
+from .html_main import op7_html_main
 from .langid import op4_language_id
 from .mixing import OP2_SQL, op2_mixing
 from .near_dedup import op1_near_dedup
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
+    "op7_html_main": op7_html_main,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
