@@ -26,7 +26,7 @@ from .shared import bounded_batches, materialize
 from .textkit import text_slices
 
 #: Text bytes in a chunk (one longer text is a chunk alone) and fingerprints in a partition, about.
-CHUNK_BYTES, PARTITION_PRINTS = 4 << 20, 400_000
+CHUNK_BYTES, PARTITION_PRINTS = 2 << 20, 400_000
 CHUNK_SCHEMA = "chunk long, n_bytes long, ids binary, known binary, lengths binary, texts binary"
 PACKET_SCHEMA = "part int, chunk long, prints binary, groups binary, docs binary"
 ANSWER_SCHEMA = "chunk long, part int, later binary, shared binary"

@@ -27,8 +27,8 @@ from .shared import table
 from .textkit import BYTE_VALUES, anchored_windows, cover
 
 LENGTH, ANCHOR = 100, 40
-#: Bytes of edge runs that one BWT covers, at least one anchor's.
-INDEX_BYTES = 1 << 20
+#: Bytes of edge runs that one BWT covers, at least one anchor: sorting is quickest within the cache.
+INDEX_BYTES = 1 << 17
 EDGE_SCHEMA = "anchor long, doc_id long, chunk long, start long, bytes binary, row long"
 MARK_SCHEMA = "chunk long, starts binary"
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -38,13 +38,14 @@ RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_s
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by prefix doubling from 4 symbols (values below 2**16)."""
-    n = len(text)
-    pad = np.concatenate((text.astype(np.uint64), np.zeros(4, np.uint64)))
-    key = (pad[:n] << np.uint64(48)) | (pad[1 : n + 1] << np.uint64(32)) | (pad[2 : n + 2] << np.uint64(16)) | pad[3 : n + 3]
-    span = 4
+    """Suffixes in order, by prefix doubling from 7 symbols (values below 2**9)."""
+    n, span = len(text), 7
+    pad = np.concatenate((text.astype(np.uint64), np.zeros(span, np.uint64)))
+    key = np.zeros(n, np.uint64)
+    for j in range(span):
+        key = (key << np.uint64(9)) | pad[j : n + j]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
         if new.all():
@@ -99,10 +100,10 @@ class RunLengthIndex:
         return out
 
 
-def earlier_windows(runs: list[bytes], docs: np.ndarray, rows: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+def earlier_windows(runs: list[bytes], docs: np.ndarray, rows: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each run, which of its windows also start in a smaller doc_id, or earlier in the same row.
 
-    rows tells rows apart that repeat a doc_id; starts are positions within the row.
+    Runs come by doc_id, row and start; rows tells rows apart that repeat a doc_id.
     """
     sizes = np.fromiter(map(len, runs), np.int64, len(runs))
     begin = np.concatenate(([0], np.cumsum(sizes + 1)))
@@ -115,20 +116,13 @@ def earlier_windows(runs: list[bytes], docs: np.ndarray, rows: np.ndarray, start
     owner = np.repeat(np.arange(len(runs)), counts)
     offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     group = group[begin[:-1][owner] + offset]
-    doc, row, start = docs[owner], rows[owner], starts[owner] + offset
-
-    def firsts(*keys: np.ndarray) -> np.ndarray:
-        """For each window the first of those with equal keys (all but the last), by the last key."""
-        where = np.lexsort(keys[::-1])
-        head = np.zeros(len(where), bool)
-        head[:1] = True
-        for k in keys[:-1]:
-            head[1:] |= k[where][1:] != k[where][:-1]
-        out = np.empty(len(where), np.int64)
-        out[where] = where[np.flatnonzero(head)[np.cumsum(head) - 1]]
-        return out
-
-    later = (doc > doc[firsts(group, doc)]) | (start > start[firsts(group, row, start)])
+    doc, row, at = docs[owner], rows[owner], np.arange(len(owner))
+    first = np.empty(int(group.max()) + 1, np.int64)
+    first[group[::-1]] = at[::-1]  # the last to be written is the first of its class
+    first = first[group]
+    later = (doc > doc[first]) | ((row == row[first]) & (at > first))
+    for i in np.flatnonzero((doc == doc[first]) & (row != row[first])).tolist():  # another row of the same doc_id
+        later[i] = bool(((group[:i] == group[i]) & (row[:i] == row[i])).any())
     return np.split(later, np.cumsum(counts)[:-1])
 
 
@@ -186,7 +180,7 @@ def _compare(length: int):
 
         def flush():
             later = earlier_windows(
-                [h[4] for h in held], *(np.array(x, np.int64) for x in ([h[1] for h in held], [h[2] << 20 | h[5] for h in held], [h[3] for h in held])), length)
+                [h[4] for h in held], *(np.array(x, np.int64) for x in ([h[1] for h in held], [h[2] << 20 | h[5] for h in held])), length)
             found: dict[int, list] = {}
             for h, marks in zip(held, later, strict=True):
                 at = np.flatnonzero(marks)
@@ -246,7 +240,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     answers = exchange(chunks.mapInArrow(_send(parts, length), PACKET_SCHEMA), parts)
     answered = chunks.join(answers, "chunk", "left")
     spread = max(8, total // (16 << 20))
-    edges = answered.mapInArrow(_edges(parts, length), EDGE_SCHEMA).repartition(spread, "anchor").sortWithinPartitions("anchor")
+    edges = answered.mapInArrow(_edges(parts, length), EDGE_SCHEMA).repartition(spread, "anchor").sortWithinPartitions("anchor", "doc_id", "chunk", "start")
     marks = edges.mapInArrow(_compare(length), MARK_SCHEMA).groupBy("chunk").agg(F.collect_list("starts").alias("marks"))
     return answered.join(marks, "chunk", "left").mapInArrow(_result(parts, length), RESULT_SCHEMA)
 
