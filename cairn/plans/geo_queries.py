@@ -8,17 +8,14 @@ from cairn.functions import geodesy as g
 
 from .views import r6, wgs, with_views
 
-LAT, LON = F.col("lat"), F.col("lon")
-
-
 def _query(convert, names, digits=6):
     """Metres are rounded more than degrees: their last digits differ between mathematical libraries."""
-    return lambda spark, d: wgs(spark, d).select("id", *[(F.round(c, digits) + 0.0).alias(n) for c, n in zip(convert(LAT, LON), names, strict=True)])
+    return lambda spark, d: wgs(spark, d).select("id", *[(F.round(c, digits) + 0.0).alias(n) for c, n in zip(convert(F.col("lat"), F.col("lon")), names, strict=True)])
 
 
 def _there_and_back(spark, d):
-    there = wgs(spark, d).select("id", *[c.alias(n) for c, n in zip(g.mars_to_bd(LAT, LON), ("lat", "lon"), strict=True)])
-    return there.select("id", *[r6(c).alias(n) for c, n in zip(g.bd_to_mars(LAT, LON), ("lat", "lon"), strict=True)])
+    there = wgs(spark, d).select("id", *[c.alias(n) for c, n in zip(g.mars_to_bd(F.col("lat"), F.col("lon")), ("lat", "lon"), strict=True)])
+    return there.select("id", *[r6(c).alias(n) for c, n in zip(g.bd_to_mars(F.col("lat"), F.col("lon")), ("lat", "lon"), strict=True)])
 
 
 QUERIES = {
