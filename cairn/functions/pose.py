@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 SMALL_ANGLE = 1e-5
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once: without it, nested matrix expressions grow with every use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def identity() -> Column:
     return F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16)])
 
@@ -27,14 +34,16 @@ def rotate(pose: Column, x, y, z) -> tuple[Column, Column, Column]:
 
 def inverse(pose: Column) -> Column:
     """Inverse of a rigid transform: R', -R' t."""
-    cells: list[Column] = []
-    for r in range(3):
-        cells += [pose[r], pose[4 + r], pose[8 + r], -(pose[r] * pose[3] + pose[4 + r] * pose[7] + pose[8 + r] * pose[11])]
-    return F.array(*cells, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+
+    def cells(m: Column) -> Column:
+        rows = [[m[r], m[4 + r], m[8 + r], -(m[r] * m[3] + m[4 + r] * m[7] + m[8 + r] * m[11])] for r in range(3)]
+        return F.array(*[c for row in rows for c in row], F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+
+    return let(pose, cells)
 
 
 def product(a: Column, b: Column) -> Column:
-    return F.array(*[a[4 * r] * b[c] + a[4 * r + 1] * b[4 + c] + a[4 * r + 2] * b[8 + c] + a[4 * r + 3] * b[12 + c] for r in range(4) for c in range(4)])
+    return let(a, lambda m: let(b, lambda n: F.array(*[m[4 * r] * n[c] + m[4 * r + 1] * n[4 + c] + m[4 * r + 2] * n[8 + c] + m[4 * r + 3] * n[12 + c] for r in range(4) for c in range(4)])))
 
 
 def relative(a: Column, b: Column) -> Column:
@@ -79,6 +88,10 @@ def from_quaternion(w, x, y, z, tx=None, ty=None, tz=None) -> Column:
 
 def to_quaternion(pose: Column) -> Column:
     """struct(w, x, y, z) of unit length with w >= 0; the largest component is taken first, for accuracy."""
+    return let(pose, _quaternion)
+
+
+def _quaternion(pose: Column) -> Column:
     m = [[pose[4 * r + c] for c in range(3)] for r in range(3)]
     squares = [1 + m[0][0] + m[1][1] + m[2][2], 1 + m[0][0] - m[1][1] - m[2][2], 1 - m[0][0] + m[1][1] - m[2][2], 1 - m[0][0] - m[1][1] + m[2][2]]
     pair = {(0, 1): m[2][1] - m[1][2], (0, 2): m[0][2] - m[2][0], (0, 3): m[1][0] - m[0][1], (1, 2): m[0][1] + m[1][0], (1, 3): m[0][2] + m[2][0], (2, 3): m[1][2] + m[2][1]}
@@ -95,13 +108,12 @@ def to_quaternion(pose: Column) -> Column:
 
 def pack(pose: Column) -> Column:
     """Text form "tx ty tz qw qx qy qz"."""
-    q = to_quaternion(pose)
-    return F.concat_ws(" ", *[c.cast("string") for c in (pose[3], pose[7], pose[11], q["w"], q["x"], q["y"], q["z"])])
+    return let(to_quaternion(pose), lambda q: F.concat_ws(" ", *[c.cast("string") for c in (pose[3], pose[7], pose[11], q["w"], q["x"], q["y"], q["z"])]))
 
 
 def unpack(text: Column) -> Column:
-    c = F.transform(F.split(F.trim(text), r"\s+"), lambda v: v.cast("double"))
-    return from_quaternion(c[3], c[4], c[5], c[6], c[0], c[1], c[2])
+    cells = F.transform(F.split(F.trim(text), r"\s+"), lambda v: v.cast("double"))
+    return let(cells, lambda c: from_quaternion(c[3], c[4], c[5], c[6], c[0], c[1], c[2]))
 
 
 def so3_exp(x: Column, y: Column, z: Column) -> Column:
@@ -110,15 +122,19 @@ def so3_exp(x: Column, y: Column, z: Column) -> Column:
     small = angle < SMALL_ANGLE
     safe = F.when(small, 1.0).otherwise(angle)
     half = F.when(small, 0.5).otherwise(F.sin(angle / 2) / safe)
-    return from_quaternion(F.cos(angle / 2), half * x, half * y, half * z)
+    return let(F.array(F.cos(angle / 2), half * x, half * y, half * z), lambda q: from_quaternion(q[0], q[1], q[2], q[3]))
+
+
+def so3_log(pose: Column) -> Column:
+    """Rotation vector of the pose's rotation, as an array."""
 
+    def vector(q: Column) -> Column:
+        n = F.sqrt(q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"])
+        small = n < SMALL_ANGLE
+        scale = F.when(small, 2.0).otherwise(2 * F.atan2(n, q["w"]) / F.when(small, 1.0).otherwise(n))
+        return F.array(q["x"] * scale, q["y"] * scale, q["z"] * scale)
 
-def so3_log(pose: Column) -> tuple[Column, Column, Column]:
-    """Rotation vector of the pose's rotation."""
-    q = to_quaternion(pose)
-    n = F.sqrt(q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"])
-    scale = F.when(n < SMALL_ANGLE, 2.0).otherwise(2 * F.atan2(n, q["w"]) / F.when(n < SMALL_ANGLE, 1.0).otherwise(n))
-    return q["x"] * scale, q["y"] * scale, q["z"] * scale
+    return let(to_quaternion(pose), vector)
 
 
 def wrap_angle(angle: Column, half_turn: float = 3.1416) -> Column:
