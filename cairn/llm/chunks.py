@@ -4,11 +4,16 @@
 doc_id and compressed. A chunk's windows can be recomputed from it at will, in the same order,
 so tasks exchange only bare fingerprints and get back bitmaps in the same order:
 
-* `exchange` cuts each chunk's distinct fingerprints by hash into partitions, one packed row per
-  chunk and partition. A fingerprint goes out once per chunk however often the chunk has it,
-  with the smallest doc_id that has it there, so hot passages are thinned before the shuffle.
-* The task of a partition keeps them as sorted immutable runs that are merged by size tiers, and
-  answers each packed row with bits.
+* `Prints`: a chunk's distinct fingerprints with the smallest doc_id that has each there, dealt by
+  the fingerprint. However often a chunk has one, it goes out once. The answer: does a smaller
+  doc_id have it in some chunk?
+* `Groups`: a chunk's distinct groups (anchors) of fingerprints, dealt by the group, with one
+  fingerprint and the number of them. A group that very many fingerprints share still sends one
+  entry per chunk. The answers: does the group have several fingerprints anywhere, and is it
+  hot, so that its members must not be brought together?
+
+The task of a partition keeps fingerprints as sorted immutable runs that are merged by size tiers,
+and answers each packed row with bits.
 """
 
 from __future__ import annotations
@@ -28,8 +33,10 @@ from .textkit import text_slices
 #: Text bytes in a chunk (one longer text is a chunk alone) and fingerprints in a partition, about.
 CHUNK_BYTES, PARTITION_PRINTS = 2 << 20, 400_000
 CHUNK_SCHEMA = "chunk long, n_bytes long, ids binary, known binary, lengths binary, texts binary"
-PACKET_SCHEMA = "part int, chunk long, prints binary, groups binary, docs binary"
-ANSWER_SCHEMA = "chunk long, part int, later binary, shared binary"
+PACKET_SCHEMA = "part int, chunk long, prints binary, labels binary, docs binary, counts binary"
+ANSWER_SCHEMA = "chunk long, part int, one binary, two binary"
+#: Members from which a group counts as hot.
+HOT_MEMBERS = 2000
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,42 +83,76 @@ class Chunk:
         self.data = np.frombuffer(raw, np.uint8)
 
 
-class Prints:
-    """Distinct fingerprints of a chunk in sorted order, from occurrences in chunk order.
+def names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
-    prints: fingerprint of each occurrence; groups: a 32-bit label, the same for equal prints; row: the
-    occurrence's row in the chunk. Occurrences of rows without a doc_id must be left out.
+
+def packet(part: list, chunk: int, prints: list, labels: list, docs: list, counts: list) -> pa.RecordBatch:
+    cells = [pa.array(part, pa.int32()), pa.array([chunk] * len(part), pa.int64()), *(pa.array(c, pa.binary()) for c in (prints, labels, docs, counts))]
+    return pa.RecordBatch.from_arrays(cells, names=names(PACKET_SCHEMA))
+
+
+class Dealt:
+    """Entries dealt to partitions by the high bits of a 32-bit hash; bits come back in the same order."""
+
+    def __init__(self, high: np.ndarray, parts: int, base: int):
+        part = ((high.astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+        self.base, self.size = base, len(high)
+        self.order = np.argsort(part, kind="stable")
+        self.cuts = np.searchsorted(part[self.order], np.arange(parts + 1))
+
+    def slices(self) -> Iterator[tuple[int, np.ndarray]]:
+        for p in np.flatnonzero(np.diff(self.cuts)).tolist():
+            yield self.base + p, self.order[self.cuts[p] : self.cuts[p + 1]]
+
+    def spread(self, answers: list[dict], which: str = "one") -> np.ndarray:
+        out = np.zeros(self.size, bool)
+        for a in answers:
+            p = a["part"] - self.base
+            if 0 <= p < len(self.cuts) - 1 and a[which] is not None:
+                own = self.order[self.cuts[p] : self.cuts[p + 1]]
+                out[own] = np.unpackbits(np.frombuffer(a[which], np.uint8), count=len(own)).astype(bool)
+        return out
+
+
+class Prints(Dealt):
+    """Distinct fingerprints of a chunk, from occurrences in chunk order.
+
+    prints: fingerprint of each occurrence; row: its row in the chunk; labels: a second 32-bit hash of the
+    same, for verification, if given. Occurrences of rows without a doc_id must be left out.
     """
 
-    def __init__(self, prints: np.ndarray, groups: np.ndarray, row: np.ndarray, ids: np.ndarray, parts: int):
+    def __init__(self, prints: np.ndarray, row: np.ndarray, ids: np.ndarray, parts: int, labels: np.ndarray | None = None):
         order = np.argsort(prints, kind="stable")
         ordered = prints[order]
         head = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(order) else np.zeros(0, bool)
         self.first = order[head]  # rows are sorted by doc_id: the first occurrence has the smallest
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(head) - 1
-        self.prints, self.groups, self.docs = prints[self.first], groups[self.first], ids[row[self.first]]
-        self.part = ((self.groups.astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-        self.by_part = np.argsort(self.part, kind="stable")
-        self.cuts = np.searchsorted(self.part[self.by_part], np.arange(parts + 1))
+        self.prints, self.docs = prints[self.first], ids[row[self.first]]
+        self.labels = None if labels is None else labels[self.first]
+        super().__init__(self.prints >> np.uint64(32), parts, 0)
 
     def packets(self, chunk: int) -> Iterator[pa.RecordBatch]:
-        cells: list[list] = [[], [], [], [], []]
-        for p in np.flatnonzero(np.diff(self.cuts)).tolist():
-            own = self.by_part[self.cuts[p] : self.cuts[p + 1]]
-            # doc_ids are sorted within few values: deltas against the first pack well in the shuffle's compression
-            for cell, x in zip(cells, (p, chunk, self.prints[own].tobytes(), self.groups[own].tobytes(), pack_ids(self.docs[own])), strict=True):
-                cell.append(x)
-        if cells[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cells[2:])], names=["part", "chunk", "prints", "groups", "docs"])
-
-    def spread(self, answers: list[tuple[int, bytes]]) -> np.ndarray:
-        """Per distinct fingerprint the answer bit, from (part, bits)."""
-        out = np.zeros(len(self.prints), bool)
-        for p, bits in answers:
-            own = self.by_part[self.cuts[p] : self.cuts[p + 1]]
-            out[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
-        return out
+        cells = [(p, self.prints[own].tobytes(), None if self.labels is None else self.labels[own].tobytes(), pack_ids(self.docs[own])) for p, own in self.slices()]
+        if cells:
+            part, prints, labels, docs = map(list, zip(*cells, strict=True))
+            yield packet(part, chunk, prints, labels, docs, [None] * len(part))
+
+
+class Groups(Dealt):
+    """Distinct groups of a chunk's distinct fingerprints: labels has the group of each fingerprint."""
+
+    def __init__(self, prints: Prints, labels: np.ndarray, parts: int):
+        self.labels, at, self.of, n = np.unique(labels, return_index=True, return_inverse=True, return_counts=True)
+        self.sample, self.counts = prints.prints[at], np.minimum(n, 255).astype(np.uint8)
+        super().__init__(self.labels, parts, parts)
+
+    def packets(self, chunk: int) -> Iterator[pa.RecordBatch]:
+        cells = [(p, self.sample[own].tobytes(), self.labels[own].tobytes(), self.counts[own].tobytes()) for p, own in self.slices()]
+        if cells:
+            part, prints, labels, counts = map(list, zip(*cells, strict=True))
+            yield packet(part, chunk, prints, labels, [None] * len(part), counts)
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
@@ -128,20 +169,20 @@ def unpack_ids(raw: bytes) -> np.ndarray:
 
 
 class SortedRuns:
-    """Log-structured index: sorted immutable runs of (group, print) -> smallest doc_id, merged by size tiers."""
+    """Log-structured index: sorted immutable runs of (fingerprint, label) -> smallest doc_id, merged by size tiers."""
 
     def __init__(self):
         self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     @staticmethod
-    def _run(groups, prints, docs):
-        order = np.lexsort((docs, prints, groups))
-        groups, prints, docs = groups[order], prints[order], docs[order]
-        head = np.concatenate(([True], (prints[1:] != prints[:-1]) | (groups[1:] != groups[:-1]))) if len(order) else np.zeros(0, bool)
-        return groups[head], prints[head], docs[head]
-
-    def add(self, groups: np.ndarray, prints: np.ndarray, docs: np.ndarray) -> None:
-        self.runs.append(self._run(groups, prints, docs))
+    def _run(prints, labels, docs):
+        order = np.lexsort((docs, labels, prints))
+        prints, labels, docs = prints[order], labels[order], docs[order]
+        head = np.concatenate(([True], (prints[1:] != prints[:-1]) | (labels[1:] != labels[:-1]))) if len(order) else np.zeros(0, bool)
+        return prints[head], labels[head], docs[head]
+
+    def add(self, prints: np.ndarray, labels: np.ndarray, docs: np.ndarray) -> None:
+        self.runs.append(self._run(prints, labels, docs))
         while len(self.runs) > 1 and 2 * len(self.runs[-1][0]) > len(self.runs[-2][0]):
             self.runs.append(self._run(*map(np.concatenate, zip(self.runs.pop(), self.runs.pop(), strict=True))))
 
@@ -151,40 +192,64 @@ class SortedRuns:
         return self.runs[0]
 
 
-def _answer(packets: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """later: a smaller doc_id has the fingerprint in some chunk; shared: its group has other fingerprints as well."""
-    index = SortedRuns()
-    pending: list[tuple] = []
-    for n, p in enumerate(packets):
-        pending.append(p[2:])
-        if sum(len(x[0]) for x in pending) > 100_000 or n == len(packets) - 1:
+def _bits(row: dict, one: np.ndarray, two: np.ndarray | None = None) -> pa.RecordBatch:
+    cells = ([row["chunk"]], pa.int64()), ([row["part"]], pa.int32()), ([np.packbits(one).tobytes()], pa.binary()), ([None if two is None else np.packbits(two).tobytes()], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(*c) for c in cells], names=names(ANSWER_SCHEMA))
+
+
+def answer_prints(packets: list[dict]) -> Iterator[pa.RecordBatch]:
+    """one: a smaller doc_id has the fingerprint (and its label) in some chunk."""
+    index, pending, size = SortedRuns(), [], 0
+    for n, row in enumerate(packets):
+        prints = np.frombuffer(row["prints"], np.uint64)
+        labels = np.zeros(len(prints), np.uint32) if row["labels"] is None else np.frombuffer(row["labels"], np.uint32)
+        pending.append((prints, labels, unpack_ids(row["docs"])))
+        size += len(prints)
+        if size > 100_000 or n == len(packets) - 1:
             index.add(*map(np.concatenate, zip(*pending, strict=True)))
-            pending = []
-    groups, prints, docs = index.compact()
-    several = np.zeros(len(groups), bool)
-    same = groups[1:] == groups[:-1]
-    several[1:] |= same
-    several[:-1] |= same
-    by_print = np.argsort(prints, kind="stable")
-    ordered = prints[by_print]
-    for part, chunk, group, own, doc in packets:
-        at = by_print[np.searchsorted(ordered, own)]
-        sure = groups[at] == group  # the label is a second, independent hash: a clash of prints is no match
-        cells = ([chunk], pa.int64()), ([part], pa.int32()), ([np.packbits(sure & (doc > docs[at])).tobytes()], pa.binary()), ([np.packbits(sure & several[at]).tobytes()], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(*c) for c in cells], names=["chunk", "part", "later", "shared"])
-
-
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, held = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["part"] != part and held:
-                yield from _answer(held)
+            pending, size = [], 0
+    prints, labels, docs = index.compact()
+    for row in packets:
+        own, doc = np.frombuffer(row["prints"], np.uint64), unpack_ids(row["docs"])
+        at = np.searchsorted(prints, own)
+        if row["labels"] is not None:  # a second hash verifies: step over entries that clash in the first alone
+            label = np.frombuffer(row["labels"], np.uint32)
+            while (wrong := labels[at] != label).any():
+                at = at + wrong
+        yield _bits(row, doc > docs[at])
+
+
+def answer_groups(packets: list[dict], hot_members: int) -> Iterator[pa.RecordBatch]:
+    """one: the group has several fingerprints over all chunks; two: it is hot."""
+    raw = [(np.frombuffer(r["labels"], np.uint32), np.frombuffer(r["prints"], np.uint64), np.frombuffer(r["counts"], np.uint8)) for r in packets]
+    labels, prints, counts = map(np.concatenate, zip(*raw, strict=True))
+    order = np.lexsort((prints, labels))
+    labels, prints, counts = labels[order], prints[order], counts[order].astype(np.int64)
+    head = np.flatnonzero(np.concatenate(([True], labels[1:] != labels[:-1])))
+    tail = np.concatenate((head[1:], [len(labels)])) - 1
+    several = (prints[head] != prints[tail]) | (np.maximum.reduceat(counts, head) > 1)
+    hot = several & (np.add.reduceat(counts, head) > hot_members)
+    for row, (own, _, _) in zip(packets, raw, strict=True):
+        at = np.searchsorted(labels[head], own)
+        yield _bits(row, several[at], hot[at])
+
+
+def _answers(hot_members: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from answer_prints(held) if held[0]["counts"] is None else answer_groups(held, hot_members)
+
+        for row in rows_of(batches):
+            if held and row["part"] != held[0]["part"]:
+                yield from flush()
                 held = []
-            part = row["part"]
-            held.append((part, row["chunk"], np.frombuffer(row["groups"], np.uint32), np.frombuffer(row["prints"], np.uint64), unpack_ids(row["docs"])))
-    if held:
-        yield from _answer(held)
+            held.append(row)
+        yield from flush()
+
+    return run
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -197,10 +262,10 @@ def partitions_for(prints: int) -> int:
     return max(8, -(-prints // PARTITION_PRINTS))
 
 
-def exchange(sent: DataFrame, parts: int) -> DataFrame:
-    """Answers to the packets of `sent`: one row per chunk with all its (part, later, shared)."""
-    answered = sent.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(_answers, ANSWER_SCHEMA)
-    return answered.groupBy("chunk").agg(F.collect_list(F.struct("part", "later", "shared")).alias("answers"))
+def exchange(sent: DataFrame, parts: int, hot_members: int = HOT_MEMBERS) -> DataFrame:
+    """Answers to the packets of `sent`: one row per chunk with all its (part, one, two)."""
+    answered = sent.repartition(2 * parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(_answers(hot_members), ANSWER_SCHEMA)
+    return answered.groupBy("chunk").agg(F.collect_list(F.struct("part", "one", "two")).alias("answers"))
 
 
 def per_chunk(work: Callable[[dict], Iterator[pa.RecordBatch]]):

@@ -1,32 +1,16 @@
-"""Cutting lineage through the shared folder, and small Spark helpers for this subpackage."""
+"""Small Spark helpers for this subpackage, and the shared-folder tables that cut lineage."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes that one Arrow batch may hold; texts of a batch are further sliced by bytes.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
-#: Used only where the session names no checkpoint folder, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/corpus"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, else a local default."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or LOCAL_CHECKPOINTS).rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: later jobs survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from cairn.sources.shared import materialize, shared_dir
 
+__all__ = ["bounded_batches", "lower_ascii", "materialize", "shared_dir", "table"]
 
+#: Rows and bytes that one Arrow batch may hold; texts of a batch are further sliced by bytes.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

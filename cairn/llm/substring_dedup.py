@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import PACKET_SCHEMA, Chunk, Prints, chunk_table, exchange, partitions_for, per_chunk
+from .chunks import PACKET_SCHEMA, Chunk, Groups, Prints, chunk_table, exchange, partitions_for, per_chunk
 from .shared import table
 from .textkit import Ranges, Words, anchored_windows, cover, mix64
 
@@ -39,17 +39,17 @@ class Runs:
         at, start, count, anchor, whole = anchored_windows(self.words.hash, self.words.ptr, length, ANCHOR)
         ok = self.chunk.known[at]
         self.row, self.start, self.count = at[ok], start[ok], count[ok]
-        self.prints = Prints(whole[ok], (anchor[ok] >> np.uint64(32)).astype(np.uint32), self.row, self.chunk.ids, parts)
+        self.prints = Prints(whole[ok], self.row, self.chunk.ids, parts)
+        self.groups = Groups(self.prints, (anchor[ok][self.prints.first] >> np.uint64(32)).astype(np.uint32), parts)
         self.length = length
 
     def repeats(self, prints: Prints, row: np.ndarray, answers: list[dict]) -> np.ndarray:
         """Which occurrences a smaller doc_id has as well."""
-        later = prints.spread([(a["part"], a["later"]) for a in answers])[prints.of]
-        return later | (self.chunk.ids[row] > self.chunk.ids[row[prints.first[prints.of]]])
+        return prints.spread(answers)[prints.of] | (self.chunk.ids[row] > self.chunk.ids[row[prints.first[prints.of]]])
 
     def settle(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         removed = self.repeats(self.prints, self.row, answers)
-        return removed, ~removed & self.prints.spread([(a["part"], a["shared"]) for a in answers])[self.prints.of]
+        return removed, ~removed & self.groups.spread(answers)[self.groups.of][self.prints.of]
 
     def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, row) of the windows of the marked runs."""
@@ -62,7 +62,7 @@ class Runs:
         # the label is a second hash of the words, by sums of differently mixed values
         two = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(self.words.hash ^ np.uint64(0xA0761D6478BD642F)) * (self._place()))))
         check = mix64((two[start + self.length] - two[start]) * self._unplace()[start])
-        return Prints(one, (check >> np.uint64(32)).astype(np.uint32), row, self.chunk.ids, parts), start, row
+        return Prints(one, row, self.chunk.ids, parts, (check >> np.uint64(32)).astype(np.uint32)), start, row
 
     def _place(self) -> np.ndarray:
         return np.cumprod(np.full(max(1, len(self.words.hash)), 0x2545F4914F6CDD1D, np.uint64))[: len(self.words.hash)]
@@ -73,7 +73,9 @@ class Runs:
 
 def _send_runs(parts: int, length: int):
     def work(row: dict) -> Iterator[pa.RecordBatch]:
-        yield from Runs(row, parts, length).prints.packets(row["chunk"])
+        runs = Runs(row, parts, length)
+        yield from runs.prints.packets(row["chunk"])
+        yield from runs.groups.packets(row["chunk"])
 
     return per_chunk(work)
 

@@ -9,6 +9,8 @@
    Burrows-Wheeler transform of the distinct runs is built. Match lengths are computed only at
    the sampled heads of BWT runs, streamed through the text from there (inside a BWT run a
    suffix's match is one shorter than that of the position before), and long matches are marked.
+   An anchor that very many different runs share is hot and isn't brought together: the single
+   windows of its runs are exchanged by their own hashes instead, once per chunk.
 3. Marks and texts meet once more per chunk.
 """
 
@@ -22,15 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import PACKET_SCHEMA, Chunk, Prints, chunk_table, exchange, partitions_for, per_chunk
+from .chunks import HOT_MEMBERS, PACKET_SCHEMA, Chunk, Groups, Prints, answer_prints, chunk_table, exchange, names, partitions_for, per_chunk
 from .shared import table
-from .textkit import BYTE_VALUES, anchored_windows, cover
+from .textkit import BYTE_VALUES, Ranges, anchored_windows, cover, mix64
 
 LENGTH, ANCHOR = 100, 40
 #: Bytes of edge runs that one BWT covers, at least one anchor: sorting is quickest within the cache.
 INDEX_BYTES = 1 << 17
-EDGE_SCHEMA = "anchor long, doc_id long, chunk long, start long, bytes binary, row long"
-MARK_SCHEMA = "chunk long, starts binary"
+#: Rows to compare: edge runs by anchor, and packets of windows of hot anchors, whose key is -1 - part.
+EDGE_SCHEMA = "key long, doc_id long, chunk long, start long, bytes binary, row long, prints binary, labels binary, docs binary"
+MARK_SCHEMA = "chunk long, starts binary, part int, one binary"
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -129,88 +132,120 @@ def earlier_windows(runs: list[bytes], docs: np.ndarray, rows: np.ndarray, lengt
 # --- Spark steps ------------------------------------------------------------------------------
 
 
-def chunk_prints(chunk: Chunk, parts: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, Prints, np.ndarray]:
-    """(row, start, number of windows) of each run of the chunk, its distinct prints, anchors."""
-    row, start, count, anchor, whole = anchored_windows(BYTE_VALUES[chunk.data], chunk.offsets, length, ANCHOR)
-    ok = chunk.known[row]
-    row, start, count, anchor, whole = row[ok], start[ok], count[ok], anchor[ok], whole[ok]
-    return row, start, count, Prints(whole, (anchor >> np.uint64(32)).astype(np.uint32), row, chunk.ids, parts), anchor
+class Cut:
+    """A chunk's runs of windows: row, start, count, anchor; and what the exchange says of them."""
+
+    def __init__(self, row: dict, parts: int, length: int):
+        self.chunk, self.length = Chunk(row), length
+        at, start, count, anchor, whole = anchored_windows(BYTE_VALUES[self.chunk.data], self.chunk.offsets, length, ANCHOR)
+        ok = self.chunk.known[at]
+        self.row, self.start, self.count, self.anchor = at[ok], start[ok], count[ok], anchor[ok]
+        self.prints = Prints(whole[ok], self.row, self.chunk.ids, parts)
+        self.groups = Groups(self.prints, (self.anchor[self.prints.first] >> np.uint64(32)).astype(np.uint32), parts)
+
+    def again(self, prints: Prints, row: np.ndarray) -> np.ndarray:
+        """Which occurrences come later than another one in this chunk."""
+        first = prints.first[prints.of]
+        return (self.chunk.ids[row] > self.chunk.ids[row[first]]) | ((row == row[first]) & (np.arange(len(row)) != first))
+
+    def decide(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(removed whole, edges to compare, edges of hot anchors)."""
+        removed = self.prints.spread(answers)[self.prints.of] | self.again(self.prints, self.row)
+        of = self.groups.of[self.prints.of]
+        shared, hot = self.groups.spread(answers)[of], self.groups.spread(answers, "two")[of]
+        open_ = ~removed & shared & (self.prints.first[self.prints.of] == np.arange(len(removed)))
+        return removed, open_ & ~hot, open_ & hot
+
+    def windows(self, runs: np.ndarray) -> np.ndarray:
+        n = self.count[runs]
+        return np.repeat(self.start[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+    def hot_prints(self, hot: np.ndarray, parts: int) -> tuple[Prints, np.ndarray, np.ndarray]:
+        """Windows of hot runs: (prints with a label that also depends on the anchor, start, row)."""
+        start, row = self.windows(hot), np.repeat(self.row[hot], self.count[hot])
+        one = Ranges(BYTE_VALUES[self.chunk.data]).hash(start, start + self.length) if len(start) else np.zeros(0, np.uint64)
+        label = mix64(one * np.uint64(0xA0761D6478BD642F) ^ np.repeat(self.anchor[hot], self.count[hot]))
+        return Prints(one, row, self.chunk.ids, parts, (label >> np.uint64(32)).astype(np.uint32)), start, row
 
 
 def _send(parts: int, length: int):
     def work(row: dict) -> Iterator[pa.RecordBatch]:
-        yield from chunk_prints(Chunk(row), parts, length)[3].packets(row["chunk"])
+        cut = Cut(row, parts, length)
+        yield from cut.prints.packets(row["chunk"])
+        yield from cut.groups.packets(row["chunk"])
 
     return per_chunk(work)
 
 
-def _decide(chunk: Chunk, answers: list[dict], parts: int, length: int):
-    """Runs of the chunk with: wholly removed, edge (its own windows are to be compared)."""
-    row, start, count, prints, anchor = chunk_prints(chunk, parts, length)
-    later = prints.spread([(a["part"], a["later"]) for a in answers])[prints.of]
-    shared = prints.spread([(a["part"], a["shared"]) for a in answers])[prints.of]
-    first = prints.first[prints.of]  # the run's first occurrence in the chunk
-    here = np.arange(len(row))
-    again = (chunk.ids[row] > chunk.ids[row[first]]) | ((row == row[first]) & (here != first))
-    removed = later | again
-    return row, start, count, anchor, removed, shared & ~removed & (here == first)
-
-
-def _edges(parts: int, length: int):
+def _edges(parts: int, hot_parts: int, length: int):
     def work(row: dict) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk(row)
-        rows, start, count, anchor, _, edge = _decide(chunk, row["answers"] or [], parts, length)
+        cut = Cut(row, parts, length)
+        chunk = cut.chunk
+        _, edge, hot = cut.decide(row["answers"] or [])
         at = np.flatnonzero(edge)
         for a in range(0, len(at), 4000):
             own = at[a : a + 4000]
-            raw = [chunk.data[s : s + n + length - 1].tobytes() for s, n in zip(start[own].tolist(), count[own].tolist(), strict=True)]
+            raw = [chunk.data[s : s + n + length - 1].tobytes() for s, n in zip(cut.start[own].tolist(), cut.count[own].tolist(), strict=True)]
+            none = pa.nulls(len(own), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[own].view(np.int64)), pa.array(chunk.ids[rows[own]]), pa.array(np.full(len(own), row["chunk"])), pa.array(start[own].astype(np.int64)), pa.array(raw, pa.binary()), pa.array(rows[own].astype(np.int64))],
-                names=[f.split()[0] for f in EDGE_SCHEMA.split(", ")])
+                [pa.array((cut.anchor[own] >> np.uint64(1)).view(np.int64)), pa.array(chunk.ids[cut.row[own]]), pa.array(np.full(len(own), row["chunk"])), pa.array(cut.start[own].astype(np.int64)),
+                 pa.array(raw, pa.binary()), pa.array(cut.row[own].astype(np.int64)), none, none, none], names=names(EDGE_SCHEMA))
+        for p in cut.hot_prints(hot, hot_parts)[0].packets(row["chunk"]):
+            n = pa.nulls(p.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(-1 - p.column("part").to_numpy().astype(np.int64)), n, p.column("chunk"), n, pa.nulls(p.num_rows, pa.binary()), n, p.column("prints"), p.column("labels"), p.column("docs")], names=names(EDGE_SCHEMA))
 
     return per_chunk(work)
 
 
 def _compare(length: int):
-    """Rows come sorted by anchor; whole anchors are gathered up to INDEX_BYTES for one index."""
+    """Rows come sorted by key: packets part by part, then edge runs, of which whole anchors are gathered up to INDEX_BYTES for one index."""
+
+    def answer(packets: list[dict]) -> Iterator[pa.RecordBatch]:
+        for batch in answer_prints(packets):
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.nulls(1, pa.binary()), batch.column("part"), batch.column("one")], names=names(MARK_SCHEMA))
+
+    def compare(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        later = earlier_windows([h["bytes"] for h in held], *(np.array(x, np.int64) for x in ([h["doc_id"] for h in held], [h["chunk"] << 20 | h["row"] for h in held])), length)
+        found: dict[int, list] = {}
+        for h, marks in zip(held, later, strict=True):
+            at = np.flatnonzero(marks)
+            if len(at):
+                found.setdefault(h["chunk"], []).append(h["start"] + at)
+        if found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(found)), pa.array([np.concatenate(v).astype(np.int64).tobytes() for v in found.values()], pa.binary()), pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())], names=names(MARK_SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last = 0, None
-
-        def flush():
-            later = earlier_windows(
-                [h[4] for h in held], *(np.array(x, np.int64) for x in ([h[1] for h in held], [h[2] << 20 | h[5] for h in held])), length)
-            found: dict[int, list] = {}
-            for h, marks in zip(held, later, strict=True):
-                at = np.flatnonzero(marks)
-                if len(at):
-                    found.setdefault(h[2], []).append(h[3] + at)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([np.concatenate(v).astype(np.int64).tobytes() for v in found.values()], pa.binary())], names=["chunk", "starts"])
-
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > INDEX_BYTES and r[0] != last:
-                    yield from flush()
-                    held, size = [], 0
-                held.append(r)
-                size, last = size + len(r[4]), r[0]
+        held: list[dict] = []
+        size = 0
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            packets = row["key"] < 0
+            if held and row["key"] != held[-1]["key"] and (held[-1]["key"] < 0 or size > INDEX_BYTES):
+                yield from (answer if held[-1]["key"] < 0 else compare)(held)
+                held, size = [], 0
+            if packets:
+                row |= {"part": -1 - row["key"]}
+            held.append(row)
+            size += 0 if packets else len(row["bytes"])
         if held:
-            yield from flush()
+            yield from (answer if held[-1]["key"] < 0 else compare)(held)
 
     return run
 
 
-def _result(parts: int, length: int):
+def _result(parts: int, hot_parts: int, length: int):
     def work(row: dict) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk(row)
-        _, start, count, _, removed, _ = _decide(chunk, row["answers"] or [], parts, length)
+        cut = Cut(row, parts, length)
+        chunk, found = cut.chunk, row["marks"] or []
+        removed, _, hot = cut.decide(row["answers"] or [])
         marks = np.zeros(len(chunk.data), bool)
-        s, n = start[removed], count[removed]
-        marks[np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())] = True
-        for x in row["marks"] or []:
-            marks[np.frombuffer(x, np.int64)] = True
+        marks[cut.windows(removed)] = True
+        for x in found:
+            if x["starts"] is not None:
+                marks[np.frombuffer(x["starts"], np.int64)] = True
+        prints, start, at = cut.hot_prints(hot, hot_parts)
+        marks[start[prints.spread([x for x in found if x["part"] is not None])[prints.of] | cut.again(prints, at)]] = True
         gone = cover(marks, length)
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
@@ -220,12 +255,12 @@ def _result(parts: int, length: int):
             cells = (int(chunk.ids[i]) if chunk.known[i] else None, b - a, int(gone[a:b].sum()), int(opens[a:b].sum()), hashlib.sha256(chunk.data[a:b][~gone[a:b]].tobytes()).hexdigest())
             for o, c in zip(out, cells, strict=True):
                 o.append(c)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(o, pa.int64()) for o in out[1:4]), pa.array(out[4], pa.string())], names=[f.split()[0] for f in RESULT_SCHEMA.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(o, pa.int64()) for o in out[1:4]), pa.array(out[4], pa.string())], names=names(RESULT_SCHEMA))
 
     return per_chunk(work)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_members: int = HOT_MEMBERS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs(doc_id, text, ...).
 
     Each byte covered by a `length`-byte string that also starts earlier (smaller doc_id, or same
@@ -236,13 +271,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     chunks = chunk_table(docs)
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    parts = partitions_for(total // 28)  # windows of one anchor are about 30
-    answers = exchange(chunks.mapInArrow(_send(parts, length), PACKET_SCHEMA), parts)
+    parts, hot_parts = partitions_for(total // 28), partitions_for(total // 10)  # windows of one anchor are about 30
+    answers = exchange(chunks.mapInArrow(_send(parts, length), PACKET_SCHEMA), parts, hot_members)
     answered = chunks.join(answers, "chunk", "left")
     spread = max(8, total // (16 << 20))
-    edges = answered.mapInArrow(_edges(parts, length), EDGE_SCHEMA).repartition(spread, "anchor").sortWithinPartitions("anchor", "doc_id", "chunk", "start")
-    marks = edges.mapInArrow(_compare(length), MARK_SCHEMA).groupBy("chunk").agg(F.collect_list("starts").alias("marks"))
-    return answered.join(marks, "chunk", "left").mapInArrow(_result(parts, length), RESULT_SCHEMA)
+    edges = answered.mapInArrow(_edges(parts, hot_parts, length), EDGE_SCHEMA).repartition(spread, "key").sortWithinPartitions("key", "doc_id", "chunk", "start")
+    marks = edges.mapInArrow(_compare(length), MARK_SCHEMA).groupBy("chunk").agg(F.collect_list(F.struct("starts", "part", "one")).alias("marks"))
+    return answered.join(marks, "chunk", "left").mapInArrow(_result(parts, hot_parts, length), RESULT_SCHEMA)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,14 @@ def test_remove_repeats_matches_brute_force(spark):
     assert got == brute.remove_repeats(data, 100)
 
 
+def test_hot_anchors_give_the_same_result(spark):
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(130))
+    data = noisy_rows() + [(3000 + i, "".join(rng.choice("xyz") for _ in range(150)) + line + "".join(rng.choice("uvw") for _ in range(150))) for i in range(40)]
+    got = {r.doc_id: tuple(r)[1:] for r in remove_repeats(frame(spark, data), hot_members=2).collect()}
+    assert got == brute.remove_repeats(data, 100)
+
+
 def test_remove_repeats_of_odd_rows(spark):
     text = "".join(chr(97 + i * i % 26) for i in range(300))
     got = sorted((str(r.doc_id), r.n_removed) for r in remove_repeats(frame(spark, [(None, text), (3, text), (3, text), (4, text)])).collect())
