@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cloud_queries, estimation_queries, geo_queries, graph_queries, motion_queries, neighbour_queries, stream_queries, time_queries
+from . import cloud_queries, estimation_queries, geo_queries, graph_queries, motion_queries, neighbour_queries, rule_queries, stream_queries, time_queries
 
-MODULES = (cloud_queries, time_queries, neighbour_queries, motion_queries, graph_queries, geo_queries, estimation_queries, stream_queries)
+MODULES = (cloud_queries, time_queries, neighbour_queries, motion_queries, graph_queries, geo_queries, estimation_queries, rule_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
