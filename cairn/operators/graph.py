@@ -1,11 +1,13 @@
 """Pose-graph operators on edge tables (robot_id, src, dst, tx, ty, reachable); pose(dst) = pose(src) + t.
 
-Traversals are frontier loops: one join per hop for all graphs at once, each hop's result written to
-the shared folder. A node is reached once, at its least hop, from the smallest parent.
+A node is reached once, at its least hop, from the smallest parent. Graphs whose edges fit in a task,
+which is checked, are traversed side by side, one graph per group, in one job. Larger ones take a
+frontier loop: one join per hop for all graphs at once, each hop's result written to the shared folder.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +15,42 @@ from cairn.sources.shared import materialize
 
 #: Hops after which a traversal counts as endless; a graph of that diameter needs a coarser one first.
 MOST_HOPS = 10_000
+#: Edges of the largest graph up to which each graph is traversed in a task of its own.
+TASK_EDGES = 500_000
 
 
-def traverse(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
+def traverse(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
     """(robot_id, node, hop, parent, x, y): breadth-first from seeds(robot_id, node, x, y), with composed translations."""
+    largest = edges.groupBy("robot_id").count().agg(F.max("count")).first()[0] or 0
+    return _by_graph(edges, seeds, max_hops) if largest <= task_edges else _by_frontier(edges, seeds, max_hops)
+
+
+def _by_graph(edges: DataFrame, seeds: DataFrame, max_hops: int | None) -> DataFrame:
+    def run(e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        links: dict[int, list] = {}
+        for src, dst, tx, ty in zip(*(e[c].tolist() for c in ("src", "dst", "tx", "ty")), strict=True):
+            links.setdefault(src, []).append((dst, tx, ty))
+        front = {n: (None, x, y) for n, x, y in zip(*(s[c].tolist() for c in ("node", "x", "y")), strict=True)}
+        seen, rows, hop = set(), [], 0
+        while front:
+            rows += [(n, hop, *front[n]) for n in front]
+            seen.update(front)
+            new: dict[int, tuple] = {}
+            for n in front if max_hops is None or hop < max_hops else ():
+                for dst, tx, ty in links.get(n, ()):
+                    if dst not in seen:
+                        step = (n, front[n][1] + tx, front[n][2] + ty)
+                        new[dst] = min(new.get(dst, step), step)
+            front, hop = new, hop + 1
+        out = pd.DataFrame(rows, columns=["node", "hop", "parent", "x", "y"]).astype({"parent": "Int64"})
+        out.insert(0, "robot_id", s["robot_id"].iloc[0] if len(s) else 0)
+        return out
+
+    a = edges.select("robot_id", "src", "dst", "tx", "ty").toDF("robot_id", "src", "dst", "tx", "ty")  # renamed, as both sides may come from one table
+    return a.groupBy("robot_id").cogroup(seeds.select("robot_id", "node", "x", "y").groupBy("robot_id")).applyInPandas(run, "robot_id long, node long, hop int, parent long, x double, y double")
+
+
+def _by_frontier(edges: DataFrame, seeds: DataFrame, max_hops: int | None) -> DataFrame:
     seen = materialize(seeds.select("robot_id", "node", F.lit(0).alias("hop"), F.lit(None).cast("long").alias("parent"), "x", "y"))
     e = materialize(edges.select("robot_id", F.col("src").alias("node"), F.col("dst"), "tx", "ty"))
     for hop in range(1, (MOST_HOPS if max_hops is None else max_hops) + 1):

@@ -141,6 +141,17 @@ def test_asof_ties_and_tolerance(spark):
     assert got(temporal.asof_nearest, 60.0)[11] == 3
 
 
+def test_both_traversals_agree(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, int(a), int(b), float(a - b), float(a * b % 5), True) for g in (1, 2) for a, b in rng.integers(0, 30, (60, 2)) if a != b]
+    edges = spark.createDataFrame(rows, "robot_id long, src long, dst long, tx double, ty double, reachable boolean")
+    seeds = spark.createDataFrame([(1, 0, 0.0, 0.0), (2, 3, 1.0, 0.0), (3, 9, 0.0, 0.0)], "robot_id long, node long, x double, y double")
+    for hops in (None, 2):
+        whole, loop = (sorted(map(str, graph.traverse(edges, seeds, hops, task_edges=n).collect())) for n in (1000, 0))
+        assert whole == loop
+        assert len(whole) >= 5
+
+
 def test_missing_fixed_node_raises(spark):
     nodes = spark.createDataFrame([(1, 5)], "robot_id long, node long")
     edges = spark.createDataFrame([], "robot_id long, src long, dst long, tx double, ty double, reachable boolean")
