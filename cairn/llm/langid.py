@@ -21,6 +21,8 @@ from .textkit import BYTE_VALUES, LOWER, text_slices
 
 #: n-gram lengths, hash buckets, embedding width, passes, learning rate, and rows to learn from for each language.
 GRAMS, BUCKETS, WIDTH, EPOCHS, RATE, SAMPLE_PER_LANG = (2, 3, 4), 1 << 15, 16, 6, 2.0, 500
+#: Bytes of a text to learn from, at most: it bounds what the driver gathers. Scoring knows no such limit.
+SAMPLE_BYTES = 1 << 15
 #: Part of the sample that sets temperature and rejection; share of its right answers that rejection may cost.
 VALIDATION, REJECT_RIGHT = 0.25, 0.01
 SLICE = 1 << 18
@@ -122,7 +124,7 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> LanguageModel
 
 def learn(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel | None:
     """Train on about `per_lang` rows for each language, chosen by hash among those not held out."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES) & ~held_out(F.col("doc_id")))
     counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row for each language
     if not counts:
         return None

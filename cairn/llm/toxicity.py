@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .langid import held_out
+from .langid import SAMPLE_BYTES, held_out
 from .shared import bounded_batches, table
 from .textkit import BYTE_VALUES, LOWER, Ranges, Words, text_slices
 
@@ -234,7 +234,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     share = F.when(F.col("toxic") > 0, F.lit(per_class / max(1, counts[1]))).otherwise(F.lit(per_class / max(1, counts[0])))
     # the choice is bounded, so it may be broadcast
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20) < share).limit(4 * per_class)
-    rows = docs.where(~held_out(F.col("doc_id"))).join(F.broadcast(chosen), "doc_id").select("text", "toxic").limit(8 * per_class).toPandas()
+    rows = docs.where(~held_out(F.col("doc_id")) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)).join(F.broadcast(chosen), "doc_id").select("text", "toxic").limit(8 * per_class).toPandas()
     pairs = sorted(((t or "").encode(), int(x > 0)) for t, x in zip(rows["text"], rows["toxic"], strict=True))
     return train([t for t, _ in pairs], [x for _, x in pairs], tuple(max(1.0, counts[k] / per_class) for k in (0, 1))) if pairs else None
 
