@@ -71,7 +71,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     links = materialize(links.where("u <> v").mapInArrow(_local, EDGE).distinct())
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        # written, so that the join has a shuffle of its own, which Spark can split at a hub
+        least = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         # large star: neighbours above u move to the least neighbour of u
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: the neighbours below u, and u, move to the least of them

@@ -206,7 +206,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     sets = materialize(sets)
     reps = nodes.join(sets.select("set_hi", "set_lo", F.col("node").alias("doc_id")), ["set_hi", "set_lo", "doc_id"], "left_semi")
     banded = reps.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "bucket"))
-    stars = banded.groupBy("band", "bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written, so that the join has a shuffle of its own, which Spark can split at a hot bucket
+    stars = materialize(banded.groupBy("band", "bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
     coarse = connected_components(banded.join(stars, ["band", "bucket"]).select(F.col("node").alias("u"), F.col("least").alias("v")))
     sized = materialize(coarse.join(reps.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles")), "node"))
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / block_shingles).alias("blocks"))
