@@ -43,7 +43,8 @@ BOILER_NAMES = frozenset("""ad ads advert adverts advertisement advertising spon
  share sharing social pagination pager toolbar skip""".split())
 CONTENT_NAMES = frozenset("article content post entry story main body text hentry maincontent".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S)
+# quotes count right behind an equals sign only, and what is matched isn't given back, so no page takes more than a few passes
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 NAME = re.compile(r"[a-z0-9]+")
 

@@ -163,6 +163,12 @@ def test_main_text(spark):
     assert extract_main_text(rows.limit(0)).count() == 0
 
 
+def test_odd_markup():
+    assert main_text("<article><p title=it's>It's one.</p><p data-x='<b>'>Two</p><p>a < b &lt; c</p></article>") == "It's one.\nTwo\na < b < c"
+    assert main_text("<article><p>" + '<a x="' * 2000 + "</article>") is not None
+    assert main_text("<article><p>One</p><script>if (a < b) { '</p>' }</script><p>Two") == "One\nTwo"
+
+
 def test_minimum_cut_is_cheapest():
     rng = np.random.default_rng(3)
     for _ in range(30):
