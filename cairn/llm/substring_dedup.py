@@ -36,7 +36,7 @@ class Runs:
     def __init__(self, row: dict, parts: int, length: int):
         self.chunk = Chunk(row)
         self.words = Words(self.chunk.data, self.chunk.offsets)
-        at, start, count, anchor, whole = anchored_windows(self.words.hash, self.words.ptr, length, ANCHOR)
+        at, start, count, anchor, whole, _ = anchored_windows(self.words.hash, self.words.ptr, length, ANCHOR)
         ok = self.chunk.known[at]
         self.row, self.start, self.count = at[ok], start[ok], count[ok]
         self.prints = Prints(whole[ok], self.row, self.chunk.ids, parts)

@@ -24,16 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import HOT_MEMBERS, PACKET_SCHEMA, Chunk, Groups, Prints, answer_prints, chunk_table, exchange, names, partitions_for, per_chunk
+from .chunks import HOT_MEMBERS, PACKET_SCHEMA, Chunk, Groups, Prints, answer_prints, chunk_table, exchange, names, pack_ids, partitions_for, per_chunk
 from .shared import table
 from .textkit import BYTE_VALUES, Ranges, anchored_windows, cover, mix64
 
 LENGTH, ANCHOR = 100, 40
 #: Bytes of edge runs that one BWT covers, at least one anchor: sorting is quickest within the cache.
 INDEX_BYTES = 1 << 17
-#: Rows to compare: edge runs by anchor, and packets of windows of hot anchors, whose key is -1 - part.
-EDGE_SCHEMA = "key long, doc_id long, chunk long, start long, bytes binary, row long, prints binary, labels binary, docs binary"
-MARK_SCHEMA = "chunk long, starts binary, part int, one binary"
+#: Rows to compare: edge runs by anchor (place: where the anchor is in the bytes); packets of windows of hot anchors,
+#: whose key is -1 - part; and marks that are settled already, whose key is below -2**40.
+EDGE_SCHEMA = "key long, doc_id long, chunk long, start long, bytes binary, row long, place long, prints binary, labels binary, docs binary, starts binary"
+MARK_SCHEMA, SETTLED = "chunk long, starts binary", -(1 << 40)
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -129,6 +130,25 @@ def earlier_windows(runs: list[bytes], docs: np.ndarray, rows: np.ndarray, lengt
     return np.split(later, np.cumsum(counts)[:-1])
 
 
+def related_runs(runs: list[bytes], places: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> np.ndarray:
+    """Which runs may share a window with another one.
+
+    A shared window has length - anchor bytes beside the anchor, so at least half of them on one side:
+    both runs then agree on the anchor with that half to its left, or with that half to its right.
+    """
+    sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+    end = np.cumsum(sizes)
+    begin, half = end - sizes, (length - anchor + 1) // 2
+    at = begin + places
+    ranges = Ranges(BYTE_VALUES[np.frombuffer(b"".join(runs), np.uint8)])
+    keep = np.zeros(len(runs), bool)
+    for a, b in ((at - half, at + anchor), (at, at + anchor + half)):
+        own = np.flatnonzero((a >= begin) & (b <= end))
+        _, same, n = np.unique(ranges.hash(a[own], b[own]), return_inverse=True, return_counts=True)
+        keep[own[n[same] > 1]] = True
+    return keep
+
+
 # --- Spark steps ------------------------------------------------------------------------------
 
 
@@ -137,9 +157,9 @@ class Cut:
 
     def __init__(self, row: dict, parts: int, length: int):
         self.chunk, self.length = Chunk(row), length
-        at, start, count, anchor, whole = anchored_windows(BYTE_VALUES[self.chunk.data], self.chunk.offsets, length, ANCHOR)
+        at, start, count, anchor, whole, place = anchored_windows(BYTE_VALUES[self.chunk.data], self.chunk.offsets, length, ANCHOR)
         ok = self.chunk.known[at]
-        self.row, self.start, self.count, self.anchor = at[ok], start[ok], count[ok], anchor[ok]
+        self.row, self.start, self.count, self.anchor, self.place = at[ok], start[ok], count[ok], anchor[ok], (place - start)[ok]
         self.prints = Prints(whole[ok], self.row, self.chunk.ids, parts)
         self.groups = Groups(self.prints, (self.anchor[self.prints.first] >> np.uint64(32)).astype(np.uint32), parts)
 
@@ -160,12 +180,13 @@ class Cut:
         n = self.count[runs]
         return np.repeat(self.start[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
-    def hot_prints(self, hot: np.ndarray, parts: int) -> tuple[Prints, np.ndarray, np.ndarray]:
-        """Windows of hot runs: (prints with a label that also depends on the anchor, start, row)."""
+    def hot_windows(self, hot: np.ndarray, parts: int) -> tuple[Prints, np.ndarray, np.ndarray]:
+        """Windows of hot runs: (their prints, with a label that also depends on the anchor; their starts; which of them come later than another one here)."""
         start, row = self.windows(hot), np.repeat(self.row[hot], self.count[hot])
         one = Ranges(BYTE_VALUES[self.chunk.data]).hash(start, start + self.length) if len(start) else np.zeros(0, np.uint64)
         label = mix64(one * np.uint64(0xA0761D6478BD642F) ^ np.repeat(self.anchor[hot], self.count[hot]))
-        return Prints(one, row, self.chunk.ids, parts, (label >> np.uint64(32)).astype(np.uint32)), start, row
+        prints = Prints(one, row, self.chunk.ids, parts, (label >> np.uint64(32)).astype(np.uint32))
+        return prints, start, self.again(prints, row)
 
 
 def _send(parts: int, length: int):
@@ -177,75 +198,111 @@ def _send(parts: int, length: int):
     return per_chunk(work)
 
 
+def _edge_rows(n: int, **columns) -> pa.RecordBatch:
+    kinds = [pa.binary() if f.endswith("binary") else pa.int64() for f in EDGE_SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, k) for c, k in zip(names(EDGE_SCHEMA), kinds, strict=True)], names=names(EDGE_SCHEMA))
+
+
 def _edges(parts: int, hot_parts: int, length: int):
     def work(row: dict) -> Iterator[pa.RecordBatch]:
         cut = Cut(row, parts, length)
-        chunk = cut.chunk
-        _, edge, hot = cut.decide(row["answers"] or [])
+        chunk, number = cut.chunk, row["chunk"]
+        removed, edge, hot = cut.decide(row["answers"] or [])
         at = np.flatnonzero(edge)
         for a in range(0, len(at), 4000):
             own = at[a : a + 4000]
             raw = [chunk.data[s : s + n + length - 1].tobytes() for s, n in zip(cut.start[own].tolist(), cut.count[own].tolist(), strict=True)]
-            none = pa.nulls(len(own), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((cut.anchor[own] >> np.uint64(1)).view(np.int64)), pa.array(chunk.ids[cut.row[own]]), pa.array(np.full(len(own), row["chunk"])), pa.array(cut.start[own].astype(np.int64)),
-                 pa.array(raw, pa.binary()), pa.array(cut.row[own].astype(np.int64)), none, none, none], names=names(EDGE_SCHEMA))
-        for p in cut.hot_prints(hot, hot_parts)[0].packets(row["chunk"]):
-            n = pa.nulls(p.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(-1 - p.column("part").to_numpy().astype(np.int64)), n, p.column("chunk"), n, pa.nulls(p.num_rows, pa.binary()), n, p.column("prints"), p.column("labels"), p.column("docs")], names=names(EDGE_SCHEMA))
+            yield _edge_rows(
+                len(own), key=pa.array((cut.anchor[own] >> np.uint64(1)).view(np.int64)), doc_id=pa.array(chunk.ids[cut.row[own]]), chunk=pa.array(np.full(len(own), number)),
+                start=pa.array(cut.start[own].astype(np.int64)), bytes=pa.array(raw, pa.binary()), row=pa.array(cut.row[own].astype(np.int64)), place=pa.array(cut.place[own].astype(np.int64)))
+        prints, start, again = cut.hot_windows(hot, hot_parts)
+        for part, own in prints.slices():
+            # an entry stands for its first occurrence; rows that repeat that one's doc_id share its answer
+            mine = np.flatnonzero(~again & np.isin(prints.of, own))
+            entry = prints.of[mine]
+            yield _edge_rows(
+                1, key=pa.array([-1 - part]), chunk=pa.array([number]), prints=pa.array([prints.prints[entry].tobytes()], pa.binary()), labels=pa.array([prints.labels[entry].tobytes()], pa.binary()),
+                docs=pa.array([pack_ids(prints.docs[entry])], pa.binary()), starts=pa.array([start[mine].astype(np.int64).tobytes()], pa.binary()))
+        marks = np.concatenate((cut.windows(removed), start[again]))
+        if len(marks):
+            yield _edge_rows(1, key=pa.array([SETTLED - number]), chunk=pa.array([number]), starts=pa.array([pack_marks(marks)], pa.binary()))
 
     return per_chunk(work)
 
 
+def pack_marks(starts: np.ndarray) -> bytes:
+    """Sorted window starts as runs: (start, length) pairs of 32 bits."""
+    starts = np.unique(starts)
+    head = np.flatnonzero(np.concatenate(([True], starts[1:] != starts[:-1] + 1)))
+    return np.column_stack((starts[head], np.diff(np.concatenate((head, [len(starts)]))))).astype(np.uint32).tobytes()
+
+
+def unpack_marks(raw: bytes) -> np.ndarray:
+    pairs = np.frombuffer(raw, np.uint32).reshape(-1, 2).astype(np.int64)
+    n = pairs[:, 1]
+    return np.repeat(pairs[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def _compare(length: int):
-    """Rows come sorted by key: packets part by part, then edge runs, of which whole anchors are gathered up to INDEX_BYTES for one index."""
+    """Rows come sorted by key: settled marks, then packets part by part, then edge runs, of which whole anchors are gathered up to INDEX_BYTES for one index."""
+
+    def marks(found: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([pack_marks(np.concatenate(v)) for v in found.values()], pa.binary())], names=names(MARK_SCHEMA))
 
     def answer(packets: list[dict]) -> Iterator[pa.RecordBatch]:
-        for batch in answer_prints(packets):
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.nulls(1, pa.binary()), batch.column("part"), batch.column("one")], names=names(MARK_SCHEMA))
+        found: dict[int, list] = {}
+        for row, batch in zip(packets, answer_prints(packets), strict=True):
+            starts = np.frombuffer(row["starts"], np.int64)
+            bits = np.unpackbits(np.frombuffer(batch.column("one")[0].as_py(), np.uint8), count=len(starts)).astype(bool)
+            if bits.any():
+                found.setdefault(row["chunk"], []).append(starts[bits])
+        yield from marks(found)
 
     def compare(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        related = related_runs([h["bytes"] for h in held], np.array([h["place"] for h in held], np.int64), length)
+        held = [h for h, k in zip(held, related.tolist(), strict=True) if k]
+        if not held:
+            return
         later = earlier_windows([h["bytes"] for h in held], *(np.array(x, np.int64) for x in ([h["doc_id"] for h in held], [h["chunk"] << 20 | h["row"] for h in held])), length)
         found: dict[int, list] = {}
-        for h, marks in zip(held, later, strict=True):
-            at = np.flatnonzero(marks)
+        for h, own in zip(held, later, strict=True):
+            at = np.flatnonzero(own)
             if len(at):
                 found.setdefault(h["chunk"], []).append(h["start"] + at)
-        if found:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found)), pa.array([np.concatenate(v).astype(np.int64).tobytes() for v in found.values()], pa.binary()), pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())], names=names(MARK_SCHEMA))
+        yield from marks(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from (answer if held[-1]["key"] < 0 else compare)(held)
+
         for row in (r for batch in batches for r in batch.to_pylist()):
-            packets = row["key"] < 0
+            if row["key"] <= SETTLED:
+                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]]), pa.array([row["starts"]], pa.binary())], names=names(MARK_SCHEMA))
+                continue
             if held and row["key"] != held[-1]["key"] and (held[-1]["key"] < 0 or size > INDEX_BYTES):
-                yield from (answer if held[-1]["key"] < 0 else compare)(held)
+                yield from flush()
                 held, size = [], 0
-            if packets:
+            if row["key"] < 0:
                 row |= {"part": -1 - row["key"]}
+            else:
+                size += len(row["bytes"])
             held.append(row)
-            size += 0 if packets else len(row["bytes"])
-        if held:
-            yield from (answer if held[-1]["key"] < 0 else compare)(held)
+        yield from flush()
 
     return run
 
 
-def _result(parts: int, hot_parts: int, length: int):
+def _result(length: int):
     def work(row: dict) -> Iterator[pa.RecordBatch]:
-        cut = Cut(row, parts, length)
-        chunk, found = cut.chunk, row["marks"] or []
-        removed, _, hot = cut.decide(row["answers"] or [])
+        chunk = Chunk(row)
         marks = np.zeros(len(chunk.data), bool)
-        marks[cut.windows(removed)] = True
-        for x in found:
-            if x["starts"] is not None:
-                marks[np.frombuffer(x["starts"], np.int64)] = True
-        prints, start, at = cut.hot_prints(hot, hot_parts)
-        marks[start[prints.spread([x for x in found if x["part"] is not None])[prints.of] | cut.again(prints, at)]] = True
+        for x in row["marks"] or []:
+            marks[unpack_marks(x)] = True
         gone = cover(marks, length)
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
@@ -276,8 +333,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_members: int = HOT
     answered = chunks.join(answers, "chunk", "left")
     spread = max(8, total // (16 << 20))
     edges = answered.mapInArrow(_edges(parts, hot_parts, length), EDGE_SCHEMA).repartition(spread, "key").sortWithinPartitions("key", "doc_id", "chunk", "start")
-    marks = edges.mapInArrow(_compare(length), MARK_SCHEMA).groupBy("chunk").agg(F.collect_list(F.struct("starts", "part", "one")).alias("marks"))
-    return answered.join(marks, "chunk", "left").mapInArrow(_result(parts, hot_parts, length), RESULT_SCHEMA)
+    marks = edges.mapInArrow(_compare(length), MARK_SCHEMA).groupBy("chunk").agg(F.collect_list("starts").alias("marks"))
+    return chunks.join(marks, "chunk", "left").mapInArrow(_result(length), RESULT_SCHEMA)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,12 +112,14 @@ def anchored_windows(values: np.ndarray, ptr: np.ndarray, length: int, k: int) -
 
     The anchor of a window is its k-gram of smallest hash (leftmost of equals), so equal windows
     have equal anchors at equal places. Returns for each run: row, first window's start (token
-    position in the slice), number of windows, anchor hash, hash of all tokens that it covers.
+    position in the slice), number of windows, anchor hash, hash of all tokens that it covers,
+    anchor's position in the slice.
     """
     n = len(values)
     none = np.zeros(0, np.int64)
+    nothing = none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
     if n < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     ranges = Ranges(values)
     at = np.arange(n - k + 1)
     grams = ranges.hash(at, at + k)
@@ -136,12 +138,12 @@ def anchored_windows(values: np.ndarray, ptr: np.ndarray, length: int, k: int) -
     first = np.concatenate(([0], np.cumsum(windows)))
     start = ptr[:-1][row] + np.arange(first[-1]) - first[:-1][row]
     if not len(start):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     mine = anchor[start]
     cut = np.flatnonzero(np.concatenate(([True], (mine[1:] != mine[:-1]) | (row[1:] != row[:-1]))))
     count = np.diff(np.concatenate((cut, [len(start)])))
     begin = start[cut]
-    return row[cut], begin, count, grams[mine[cut]], ranges.hash(begin, begin + count - 1 + length)
+    return row[cut], begin, count, grams[mine[cut]], ranges.hash(begin, begin + count - 1 + length), mine[cut]
 
 
 def cover(marks: np.ndarray, length: int) -> np.ndarray:
