@@ -1,8 +1,11 @@
 """Pose-graph operators on edge tables (robot_id, src, dst, tx, ty, reachable); pose(dst) = pose(src) + t.
 
 A node is reached once, at its least hop, from the smallest parent. Graphs whose edges fit in a task,
-which is checked, are traversed side by side, one graph per group, in one job. Larger ones take a
-frontier loop: one join per hop for all graphs at once, each hop's result written to the shared folder.
+which is checked, are traversed side by side, one graph per group, in one job. Larger ones take joins for
+all graphs at once, each round's result written to the shared folder: a frontier loop, one round a hop, if
+few hops are asked for. Otherwise nodes with at most two neighbours are taken out, a share of them at a time, so that
+a chain of n nodes needs about log n rounds; what is left is relaxed until nothing changes, the nodes taken out are put
+back, and translations are composed over 1, 2, 4, ... hops. No path is too long for it.
 """
 
 from __future__ import annotations
@@ -13,8 +16,8 @@ from pyspark.sql import functions as F
 
 from cairn.sources.shared import materialize
 
-#: Hops after which a traversal counts as endless; a graph of that diameter needs a coarser one first.
-MOST_HOPS = 10_000
+#: Hops up to which a bounded traversal goes hop by hop.
+FEW_HOPS = 32
 #: Edges of the largest graph up to which each graph is traversed in a task of its own.
 TASK_EDGES = 500_000
 
@@ -22,7 +25,12 @@ TASK_EDGES = 500_000
 def traverse(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
     """(robot_id, node, hop, parent, x, y): breadth-first from seeds(robot_id, node, x, y), with composed translations."""
     largest = edges.groupBy("robot_id").count().agg(F.max("count")).first()[0] or 0
-    return _by_graph(edges, seeds, max_hops) if largest <= task_edges else _by_frontier(edges, seeds, max_hops)
+    if largest <= task_edges:
+        return _by_graph(edges, seeds, max_hops)
+    if max_hops is not None and max_hops <= FEW_HOPS:
+        return _by_frontier(edges, seeds, max_hops)
+    every = _by_contraction(edges, seeds)
+    return every if max_hops is None else every.where(F.col("hop") <= max_hops)
 
 
 def _by_graph(edges: DataFrame, seeds: DataFrame, max_hops: int | None) -> DataFrame:
@@ -50,10 +58,10 @@ def _by_graph(edges: DataFrame, seeds: DataFrame, max_hops: int | None) -> DataF
     return a.groupBy("robot_id").cogroup(seeds.select("robot_id", "node", "x", "y").groupBy("robot_id")).applyInPandas(run, "robot_id long, node long, hop int, parent long, x double, y double")
 
 
-def _by_frontier(edges: DataFrame, seeds: DataFrame, max_hops: int | None) -> DataFrame:
+def _by_frontier(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
     seen = materialize(seeds.select("robot_id", "node", F.lit(0).alias("hop"), F.lit(None).cast("long").alias("parent"), "x", "y"))
     e = materialize(edges.select("robot_id", F.col("src").alias("node"), F.col("dst"), "tx", "ty"))
-    for hop in range(1, (MOST_HOPS if max_hops is None else max_hops) + 1):
+    for hop in range(1, max_hops + 1):
         step = seen.where(F.col("hop") == hop - 1).join(e, ["robot_id", "node"]).select(
             "robot_id", F.col("dst").alias("node"), F.struct(F.col("node").alias("parent"), (F.col("x") + F.col("tx")).alias("x"), (F.col("y") + F.col("ty")).alias("y")).alias("s"))
         new = step.join(seen.select("robot_id", "node"), ["robot_id", "node"], "left_anti").groupBy("robot_id", "node").agg(F.min("s").alias("s"))
@@ -64,6 +72,63 @@ def _by_frontier(edges: DataFrame, seeds: DataFrame, max_hops: int | None) -> Da
     return seen
 
 
+def _contract(e: DataFrame, seeds: DataFrame, turn: int) -> tuple[DataFrame, DataFrame] | None:
+    """(edges, ways): edges (robot_id, src, dst, w) without some nodes of at most two neighbours, none beside another, with
+    edges around them in their place; ways (robot_id, src, node, w) into these nodes. None if there is no such node."""
+    links = e.select("robot_id", F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(e.select("robot_id", F.col("dst").alias("node"), F.col("src").alias("other"))).distinct()
+    few = links.groupBy("robot_id", "node").agg(F.count("*").alias("n"), F.min("other").alias("a"), F.max("other").alias("b")).where("n <= 2").join(seeds, ["robot_id", "node"], "left_anti")
+    few = materialize(few.withColumn("rank", F.struct(F.xxhash64("robot_id", "node", F.lit(turn)).alias("h"), F.col("node").alias("v"))))
+    rank = few.select("robot_id", F.col("node").alias("other"), F.col("rank").alias("other_rank"))
+    beside = few.select("robot_id", "node", "rank", F.explode(F.array_distinct(F.array("a", "b"))).alias("other")).join(rank, ["robot_id", "other"]).where("other_rank < rank")
+    out = materialize(few.select("robot_id", "node").join(beside.select("robot_id", "node"), ["robot_id", "node"], "left_anti"))
+    if not out.take(1):
+        return None
+    ways = materialize(e.withColumnRenamed("dst", "node").join(out, ["robot_id", "node"]).select("robot_id", "src", "node", "w"))
+    on = e.withColumnRenamed("src", "node").join(out, ["robot_id", "node"]).select("robot_id", "node", "dst", F.col("w").alias("w2"))
+    around = ways.join(on, ["robot_id", "node"]).where("src <> dst").select("robot_id", "src", "dst", (F.col("w") + F.col("w2")).alias("w"))
+    rest = e
+    for end in ("src", "dst"):
+        rest = rest.join(out.select("robot_id", F.col("node").alias(end)), ["robot_id", end], "left_anti")
+    return materialize(rest.unionByName(around).groupBy("robot_id", "src", "dst").agg(F.min("w").alias("w"))), ways
+
+
+def hop_counts(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(robot_id, node, d): the least number of edges from a seed, for the nodes that have a way from one."""
+    start = materialize(seeds.select("robot_id", "node").distinct())
+    e = materialize(edges.where("src <> dst").select("robot_id", "src", "dst", F.lit(1).cast("long").alias("w")).distinct())
+    taken: list[DataFrame] = []
+    while (step := _contract(e, start, len(taken))) is not None:
+        e, ways = step
+        taken.append(ways)
+    found = moved = start.withColumn("d", F.lit(0).cast("long"))
+    while True:
+        reached = moved.withColumnRenamed("node", "src").join(e, ["robot_id", "src"]).groupBy("robot_id", F.col("dst").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("new"))
+        moved = materialize(reached.join(found, ["robot_id", "node"], "left").where("d is null or new < d").select("robot_id", "node", F.col("new").alias("d")))
+        if not moved.take(1):
+            break
+        found = materialize(found.unionByName(moved).groupBy("robot_id", "node").agg(F.min("d").alias("d")))
+    for ways in reversed(taken):
+        back = ways.join(found.withColumnRenamed("node", "src"), ["robot_id", "src"]).groupBy("robot_id", "node").agg(F.min(F.col("d") + F.col("w")).alias("d"))
+        found = materialize(found.unionByName(back))
+    return found
+
+
+def _by_contraction(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The traversal of any length: hops first, then parents, then translations over 1, 2, 4, ... hops."""
+    d = hop_counts(edges, seeds)
+    near, far = d.toDF("robot_id", "src", "from"), d.toDF("robot_id", "dst", "hop")
+    ways = edges.select("robot_id", "src", "dst", "tx", "ty").join(near, ["robot_id", "src"]).join(far, ["robot_id", "dst"]).where(F.col("hop") == F.col("from") + 1)
+    best = ways.groupBy("robot_id", F.col("dst").alias("node"), "hop").agg(F.min(F.struct("src", "tx", "ty")).alias("s"))
+    none = F.lit(None).cast("long")
+    first = seeds.select("robot_id", "node", F.lit(0).cast("long").alias("hop"), none.alias("parent"), none.alias("up"), "x", "y")
+    at = materialize(first.unionByName(best.select("robot_id", "node", "hop", F.col("s.src").alias("parent"), F.col("s.src").alias("up"), F.col("s.tx").alias("x"), F.col("s.ty").alias("y"))))
+    while at.where("up is not null").take(1):
+        over = at.select("robot_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+        longer = at.where("up is not null").join(over, ["robot_id", "up"]).select("robot_id", "node", "hop", "parent", F.col("up2").alias("up"), (F.col("x") + F.col("x2")).alias("x"), (F.col("y") + F.col("y2")).alias("y"))
+        at = materialize(at.where("up is null").unionByName(longer))
+    return at.select("robot_id", "node", F.col("hop").cast("int").alias("hop"), "parent", "x", "y")
+
+
 def link_nodes(edges: DataFrame, nodes: DataFrame, fixed: int = 0) -> DataFrame:
     """Poses of all nodes that the fixed node reaches, which itself is at the origin. Raises if a graph lacks it."""
     origin = nodes.where(F.col("node") == fixed).select("robot_id", "node", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
@@ -72,21 +137,24 @@ def link_nodes(edges: DataFrame, nodes: DataFrame, fixed: int = 0) -> DataFrame:
     return traverse(edges, origin)
 
 
-def neighbour_search(edges: DataFrame, centres: DataFrame, depth: int) -> DataFrame:
-    """Nodes within `depth` hops of centres(robot_id, node), the centre included at hop 0, with translations relative to it."""
+def neighbour_search(edges: DataFrame, centres: DataFrame, depth: int | None) -> DataFrame:
+    """Nodes within `depth` hops (None: any number) of centres(robot_id, node), the centre included at hop 0, with translations relative to it."""
     return traverse(edges, centres.select("robot_id", "node", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), depth)
 
 
-def shortest_path(edges: DataFrame, ends: DataFrame, max_hops: int = 100) -> DataFrame:
+def shortest_path(edges: DataFrame, ends: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Fewest-hop path for ends(robot_id, source, target): (robot_id, step, node, x, y), relative to the source; nothing if there is none."""
-    tree = neighbour_search(edges, ends.select("robot_id", F.col("source").alias("node")), max_hops)
-    at = tree.join(ends.select("robot_id", F.col("target").alias("node")), ["robot_id", "node"])
-    out = at
-    while True:
-        at = materialize(at.select("robot_id", F.col("parent").alias("node")).where("node is not null").join(tree, ["robot_id", "node"]))
-        if not at.take(1):
-            return out.select("robot_id", F.col("hop").alias("step"), "node", "x", "y")
-        out = out.unionByName(at)
+    tree = materialize(neighbour_search(edges, ends.select("robot_id", F.col("source").alias("node")), max_hops))
+    path = materialize(tree.join(ends.select("robot_id", F.col("target").alias("node")), ["robot_id", "node"]).select("robot_id", "node", "hop"))
+    longest = path.agg(F.max("hop")).first()[0] or 0
+    # ancestors 1, 2, 4, ... hops up; their sums give every ancestor of the target once
+    jumps = [tree.where("parent is not null").select("robot_id", "node", "parent")]
+    while 2 ** len(jumps) <= longest:
+        jumps.append(materialize(jumps[-1].join(jumps[-1].toDF("robot_id", "parent", "over"), ["robot_id", "parent"]).select("robot_id", "node", F.col("over").alias("parent"))))
+    path = path.select("robot_id", "node")
+    for jump in reversed(jumps):
+        path = materialize(path.unionByName(path.join(jump, ["robot_id", "node"]).select("robot_id", F.col("parent").alias("node"))))
+    return path.join(tree, ["robot_id", "node"]).select("robot_id", F.col("hop").alias("step"), "node", "x", "y")
 
 
 def insert_absent(edges: DataFrame, new: DataFrame) -> DataFrame:
