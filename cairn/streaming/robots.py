@@ -1,7 +1,9 @@
 """Streaming twins of the batch operators, on Structured Streaming.
 
-Messages (robot_id, event_id, stamp, topic, value, k) come from a folder of Parquet files. Each
-run processes what is there and stops; results go to Parquet in the shared folder.
+Messages (robot_id, event_id, stamp, topic, value, k) come from the events table, a Parquet file or a
+folder of part files. Each run processes what is there, in one trigger, and stops; results go to Parquet in the
+shared folder. Operators with state take each robot's rows in time order; a later trigger that brings rows from
+before what a robot has had is an error, as its results can't be taken back.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +22,13 @@ from cairn.sources.shared import shared_dir
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def message_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
-    """The stream of messages; bounded by files per trigger, nothing is dropped."""
-    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "events*.parquet").option("recursiveFileLookup", True).parquet(path)
+def message_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The stream of messages in path/events.parquet; all files that are there in one trigger, unless files_per_trigger is given."""
+    reader = spark.readStream.schema(EVENTS).option("recursiveFileLookup", True)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    # as a pattern, the path may be a file or a folder
+    raw = reader.parquet(f"{path}/events.parque[t]")
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("stamp"), F.col("user_id").alias("robot_id"), F.col("event_type").alias("topic"), "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
@@ -38,25 +45,30 @@ def windowed_counts(messages: DataFrame, late: str = "10 days", width: str = "1
     return messages.withWatermark("stamp", late).groupBy(F.window("stamp", width).alias("w"), "topic").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "topic", "n", "value")
 
 
-def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """One robot's rows of a trigger in time order: late rows of earlier triggers can't be put back in order."""
-    return pd.concat(list(batches)).sort_values(["stamp", "event_id"])
+def stateful(messages: DataFrame, step: Callable, output: str, state: str) -> DataFrame:
+    """step(robot, rows in time order, state or None) gives (output rows, new state) for each robot and trigger."""
 
+    def run(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["stamp", "event_id"])
+        times = [(t.value // 1000, int(e)) for t, e in zip(rows["stamp"].iloc[[0, -1]], rows["event_id"].iloc[[0, -1]], strict=True)]
+        *own, at, last = group.get if group.exists else (None, None)
+        if group.exists and times[0] < (at, last):
+            raise ValueError(f"robot {key[0]}: event {times[0][1]} is from before event {last}, which an earlier trigger had")
+        out, new = step(key[0], rows, own if group.exists else None)
+        group.update((*new, *times[1]))
+        yield out
 
-def stateful(messages: DataFrame, step: Callable, output: str, state: str) -> DataFrame:
-    return messages.groupBy("robot_id").applyInPandasWithState(step, output, state, "append", GroupStateTimeout.NoTimeout)
+    return messages.groupBy("robot_id").applyInPandasWithState(run, output, f"{state}, last_stamp long, last_event long", "append", GroupStateTimeout.NoTimeout)
 
 
 def state_machine(messages: DataFrame, warm_up: int = 3) -> DataFrame:
     """Mapping state after each scan: NOT_INITIALIZED until the first, INITIALIZING for `warm_up` scans, then WORKING."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        rows = _in_order(batches)
+    def step(robot: int, rows: pd.DataFrame, state: list | None) -> tuple[pd.DataFrame, tuple]:
+        n = state[0] if state else 0
         before = [n + i for i in range(len(rows))]
-        state.update((n + len(rows),))
         names = ["NOT_INITIALIZED" if b == 0 else "INITIALIZING" if b <= warm_up else "WORKING" for b in before]
-        yield pd.DataFrame({"robot_id": key[0], "event_id": rows["event_id"], "state": names})
+        return pd.DataFrame({"robot_id": robot, "event_id": rows["event_id"], "state": names}), (n + len(rows),)
 
     return stateful(messages, step, "robot_id long, event_id long, state string", "n long")
 
@@ -67,17 +79,15 @@ def sliding_map(messages: DataFrame, radius: float = 10.0, most: int = 50) -> Da
     State keeps the places only, not points: (value / 10, k / 10) pairs, the newest `most`.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        xs, ys = (list(v) for v in state.get) if state.exists else ([], [])
-        rows = _in_order(batches)
+    def step(robot: int, rows: pd.DataFrame, state: list | None) -> tuple[pd.DataFrame, tuple]:
+        xs, ys = (list(v) for v in state) if state else ([], [])
         sizes = []
         for x, y in zip(rows["value"] / 10, rows["k"] / 10, strict=True):
             near = [(a, b) for a, b in zip(xs, ys, strict=True) if (a - x) ** 2 + (b - y) ** 2 <= radius**2]
             near = [*near, (x, y)][-most:]
             xs, ys = [p[0] for p in near], [p[1] for p in near]
             sizes.append(len(near))
-        state.update((xs, ys))
-        yield pd.DataFrame({"robot_id": key[0], "event_id": rows["event_id"], "n": sizes})
+        return pd.DataFrame({"robot_id": robot, "event_id": rows["event_id"], "n": sizes}), (xs, ys)
 
     return stateful(messages, step, "robot_id long, event_id long, n long", "xs array<double>, ys array<double>")
 
@@ -85,19 +95,17 @@ def sliding_map(messages: DataFrame, radius: float = 10.0, most: int = 50) -> Da
 def imu_state(messages: DataFrame, least: int = 3) -> DataFrame:
     """Inertial bootstrap and propagation: after `least` samples, one (speed, turn) per sample, from the samples before it."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, at, ax, gz, speed, turn = state.get if state.exists else (0, 0, 0.0, 0.0, 0.0, 0.0)
-        rows = _in_order(batches)
+    def step(robot: int, rows: pd.DataFrame, state: list | None) -> tuple[pd.DataFrame, tuple]:
+        n, at, ax, gz, speed, turn = state or (0, 0, 0.0, 0.0, 0.0, 0.0)
         out = []
         for r in rows.itertuples():
             t = r.stamp.value // 1000
             if n >= least:
                 dt = (t - at) / 3.6e9
                 speed, turn = speed + ax * dt, turn + gz * dt
-                out.append((key[0], r.event_id, speed, turn))
+                out.append((robot, r.event_id, speed, turn))
             n, at, ax, gz = n + 1, t, r.value / 100, (r.k - 50) / 1000
-        state.update((n, at, ax, gz, speed, turn))
-        yield pd.DataFrame(out, columns=["robot_id", "event_id", "speed", "turn"])
+        return pd.DataFrame(out, columns=["robot_id", "event_id", "speed", "turn"]), (n, at, ax, gz, speed, turn)
 
     return stateful(messages, step, "robot_id long, event_id long, speed double, turn double", "n long, at long, ax double, gz double, speed double, turn double")
 
