@@ -73,23 +73,27 @@ def state_machine(messages: DataFrame, warm_up: int = 3) -> DataFrame:
     return stateful(messages, step, "robot_id long, event_id long, state string", "n long")
 
 
-def sliding_map(messages: DataFrame, radius: float = 10.0, most: int = 50) -> DataFrame:
+def sliding_map(messages: DataFrame, radius: float = 10.0) -> DataFrame:
     """Size of each robot's local map after each scan: the new place joins, then what is farther than `radius` goes.
 
-    State keeps the places only, not points: (value / 10, k / 10) pairs, the newest `most`.
+    State keeps the distinct places in reach, (value / 10, k / 10) pairs, with the number of scans at each.
     """
 
     def step(robot: int, rows: pd.DataFrame, state: list | None) -> tuple[pd.DataFrame, tuple]:
-        xs, ys = (list(v) for v in state) if state else ([], [])
+        xs, ys, ns = (np.array(v, t) for v, t in zip(state or ([], [], []), (float, float, np.int64), strict=True))
         sizes = []
         for x, y in zip(rows["value"] / 10, rows["k"] / 10, strict=True):
-            near = [(a, b) for a, b in zip(xs, ys, strict=True) if (a - x) ** 2 + (b - y) ** 2 <= radius**2]
-            near = [*near, (x, y)][-most:]
-            xs, ys = [p[0] for p in near], [p[1] for p in near]
-            sizes.append(len(near))
-        return pd.DataFrame({"robot_id": robot, "event_id": rows["event_id"], "n": sizes}), (xs, ys)
-
-    return stateful(messages, step, "robot_id long, event_id long, n long", "xs array<double>, ys array<double>")
+            near = (xs - x) ** 2 + (ys - y) ** 2 <= radius**2
+            xs, ys, ns = xs[near], ys[near], ns[near]
+            here = (xs == x) & (ys == y)
+            if here.any():
+                ns = ns + here
+            else:
+                xs, ys, ns = np.append(xs, x), np.append(ys, y), np.append(ns, 1)
+            sizes.append(int(ns.sum()))
+        return pd.DataFrame({"robot_id": robot, "event_id": rows["event_id"], "n": sizes}), (xs.tolist(), ys.tolist(), ns.tolist())
+
+    return stateful(messages, step, "robot_id long, event_id long, n long", "xs array<double>, ys array<double>, ns array<long>")
 
 
 def imu_state(messages: DataFrame, least: int = 3) -> DataFrame:
