@@ -73,9 +73,27 @@ def topic_scan(messages: DataFrame, topics: list[str], begin_s: float = 0.0, dur
     return messages.where(F.col("topic").isin(topics)).join(F.broadcast(start), F.lit(True)).where(inside).drop("t0")
 
 
-def gps_to_frames(frames: DataFrame, fixes: DataFrame, by: str, unit: str = "second", horizon_s: float = 30 * 86400) -> DataFrame:
-    """Last fix received for each frame, with status 1 if it is of the same whole unit of time."""
-    out = asof_backward(frames, fixes, by, horizon_s, {"easting": "easting", "northing": "northing", "fix_stamp": "stamp"})
+def asof_last(left: DataFrame, right: DataFrame, by: str, columns: dict[str, str], tie: str = "event_id", bucket_s: float = 86400) -> DataFrame:
+    """Adds for each left row the columns of the latest right row at or before it, however old. Equal stamps: the largest tie.
+
+    Rows are dealt by (key, bucket) of time, each to one; what earlier buckets carry over comes from one row per bucket.
+    """
+    width = int(bucket_s * 1e6)
+    l = left.select(F.struct(*left.columns).alias("l"), F.col(by).alias("key"), micros("stamp").alias("t"), F.lit(None).cast("long").alias("tie"), F.lit(1).alias("side"))
+    r = right.where(F.col(by).isNotNull() & F.col("stamp").isNotNull()).select(
+        F.struct(micros("stamp").alias("at"), *[F.col(c).alias(n) for n, c in columns.items()]).alias("r"), F.col(by).alias("key"), micros("stamp").alias("t"), F.col(tie).cast("long").alias("tie"), F.lit(0).alias("side"))
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("bucket", F.floor(F.col("t") / width))
+    earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    newest = both.groupBy("key", "bucket").agg(F.max_by("r", F.when(F.col("side") == 0, F.struct("t", "tie"))).alias("r"))
+    carried = newest.select("key", "bucket", F.last("r", ignorenulls=True).over(earlier).alias("carried")).where("carried is not null")
+    upto = Window.partitionBy("key", "bucket").orderBy("t", "side", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("m", F.last("r", ignorenulls=True).over(upto)).where("side = 1").join(carried, ["key", "bucket"], "left").withColumn("m", F.coalesce("m", "carried"))
+    return found.select("l.*", *[F.col(f"m.{n}").alias(n) for n in columns], F.col("m.at").alias("matched_at"))
+
+
+def gps_to_frames(frames: DataFrame, fixes: DataFrame, by: str, unit: str = "second") -> DataFrame:
+    """Last fix received for each frame, however old, with status 1 if it is of the same whole unit of time."""
+    out = asof_last(frames, fixes, by, {"easting": "easting", "northing": "northing", "fix_stamp": "stamp"})
     same = F.date_trunc(unit, "stamp") == F.date_trunc(unit, "fix_stamp")
     return out.withColumn("status", F.coalesce(same.cast("int"), F.lit(0)))
 
