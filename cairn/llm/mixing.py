@@ -50,6 +50,13 @@ def source_targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     )
 
 
+def _position(offset: Column, weight: Column, budget: Column) -> Column:
+    """Training progress at which a source's cumulative demand reaches the token offset of its repeated stream."""
+    tilt = (weight - 2) / 2.0
+    share = offset.cast("double") / budget.cast("double")
+    return 2 * share / ((1 - tilt) + F.sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * share))
+
+
 def mix_sources(docs: DataFrame, most: int = MOST, digits: int = BUCKET_DIGITS) -> DataFrame:
     """docs with size, source_size, weight, target, taken, position.
 
@@ -63,6 +70,11 @@ def mix_sources(docs: DataFrame, most: int = MOST, digits: int = BUCKET_DIGITS)
     Sources without words get target 0. An empty table gives an empty result. Columns of docs
     with the names above are replaced.
     """
+    return _mixed(docs, most, digits).drop("_first")
+
+
+def _mixed(docs: DataFrame, most: int, digits: int = BUCKET_DIGITS) -> DataFrame:
+    """mix_sources with _first, the token offset at which the row begins in its source's stream."""
     made = ["size", "source_size", "weight", "target", "taken", "position"]
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.select(
@@ -82,12 +94,9 @@ def mix_sources(docs: DataFrame, most: int = MOST, digits: int = BUCKET_DIGITS)
     first = F.col("offset") + F.col("upto")
     rest = budget - whole * F.col("source_size")
     taken = whole * F.col("size") + F.least(F.greatest(rest - first, F.lit(0)), F.col("size"))
-    tilt = (F.col("weight") - 2) / 2.0
-    share = first.cast("double") / budget.cast("double")
-    position = 2 * share / ((1 - tilt) + F.sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * share))
     return joined.select(
         "row.*", "size", "source_size", "weight", "target", taken.cast("long").alias("taken"),
-        F.when(taken > 0, position).alias("position"),
+        F.when(taken > 0, _position(first, F.col("weight"), budget)).alias("position"), first.alias("_first"),
     )
 
 
@@ -97,12 +106,14 @@ def training_order(docs: DataFrame, most: int = MOST) -> DataFrame:
     A document that is taken n times (the last perhaps in part) comes n times, whole; one of which
     nothing is taken goes. Same columns as docs.
     """
-    mixed = mix_sources(docs, most)
+    return _copies(docs, most).orderBy("_place", "doc_id").select(*docs.columns)
+
+
+def _copies(docs: DataFrame, most: int) -> DataFrame:
+    """Each copy's row with _place in [0, 1), where it starts in training: its own offset through the inverse demand."""
     copies = F.ceil(F.col("taken") / F.col("size"))
-    laps = mixed.where("taken > 0").withColumn("_lap", F.explode(F.sequence(F.lit(0), copies.cast("int") - 1)))
-    # every lap of the source's stream covers an equal share of its demand
-    place = F.col("position") + F.col("_lap") * F.col("source_size") / F.col("target")
-    return laps.orderBy(place, "doc_id").select(*docs.columns)
+    laps = _mixed(docs, most).where("taken > 0").withColumn("_lap", F.explode(F.sequence(F.lit(0), copies.cast("int") - 1)))
+    return laps.withColumn("_place", _position(F.col("_first") + F.col("_lap") * F.col("source_size"), F.col("weight"), F.floor(F.col("target") + 0.5)))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
