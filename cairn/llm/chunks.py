@@ -4,13 +4,14 @@
 doc_id and compressed. A chunk's windows can be recomputed from it at will, in the same order,
 so tasks exchange only bare fingerprints and get back bitmaps in the same order:
 
-* `Prints`: a chunk's distinct fingerprints with the smallest doc_id that has each there, dealt by
-  the fingerprint. However often a chunk has one, it goes out once. The answer: does a smaller
-  doc_id have it in some chunk?
+* `Prints`: a chunk's distinct fingerprints of 64 bits, each with a second hash of 32 bits and the
+  smallest doc_id that has it there, dealt by the fingerprint. However often a chunk has one, it
+  goes out once. The answer: does a smaller doc_id have it, by both hashes, in some chunk?
 * `Groups`: a chunk's distinct groups (anchors) of fingerprints, dealt by the group, with one
   fingerprint and the number of them. A group that very many fingerprints share still sends one
   entry per chunk. The answers: does the group have several fingerprints anywhere, and is it
-  hot, so that its members must not be brought together?
+  hot, so that its members must not be brought together? An anchor is the least hash of a window, so
+  its values crowd near 0: a group's label is the anchor's hash mixed anew, and keeps all 64 bits.
 
 The task of a partition keeps fingerprints as sorted immutable runs that are merged by size tiers,
 and answers each packed row with bits.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches, materialize
-from .textkit import text_slices
+from .textkit import mix64, text_slices
 
 #: Text bytes in a chunk (one longer text is a chunk alone) and fingerprints in a partition, about.
 CHUNK_BYTES, PARTITION_PRINTS = 2 << 20, 400_000
@@ -36,7 +37,9 @@ CHUNK_SCHEMA = "chunk long, n_bytes long, ids binary, known binary, lengths bina
 PACKET_SCHEMA = "part int, chunk long, prints binary, labels binary, docs binary, counts binary"
 ANSWER_SCHEMA = "chunk long, part int, one binary, two binary"
 #: Members from which a group counts as hot.
-HOT_MEMBERS = 2000
+HOT_MEMBERS = 500
+#: Fixed value that sets labels of groups apart from other hashes.
+GROUP_SALT = np.uint64(0xA0761D6478BD642F)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,35 +121,40 @@ class Dealt:
 class Prints(Dealt):
     """Distinct fingerprints of a chunk, from occurrences in chunk order.
 
-    prints: fingerprint of each occurrence; row: its row in the chunk; labels: a second 32-bit hash of the
-    same, for verification, if given. Occurrences of rows without a doc_id must be left out.
+    prints: fingerprint of each occurrence; row: its row in the chunk; labels: a second 32-bit hash, for
+    verification. Occurrences of rows without a doc_id must be left out. again: which occurrences come
+    later than another one in this chunk, in a larger doc_id or in the same row.
     """
 
-    def __init__(self, prints: np.ndarray, row: np.ndarray, ids: np.ndarray, parts: int, labels: np.ndarray | None = None):
+    def __init__(self, prints: np.ndarray, row: np.ndarray, ids: np.ndarray, parts: int, labels: np.ndarray):
         order = np.argsort(prints, kind="stable")
         ordered = prints[order]
         head = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(order) else np.zeros(0, bool)
         self.first = order[head]  # rows are sorted by doc_id: the first occurrence has the smallest
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(head) - 1
-        self.prints, self.docs = prints[self.first], ids[row[self.first]]
-        self.labels = None if labels is None else labels[self.first]
+        self.prints, self.docs, self.labels = prints[self.first], ids[row[self.first]], labels[self.first]
+        place = row[order]
+        self.again = np.empty(len(order), bool)
+        self.again[order] = ~head & (np.concatenate(([False], place[1:] == place[:-1])) if len(order) else head)
+        self.later = ids[row] > self.docs[self.of]
+        self.again |= self.later
         super().__init__(self.prints >> np.uint64(32), parts, 0)
 
     def packets(self, chunk: int) -> Iterator[pa.RecordBatch]:
-        cells = [(p, self.prints[own].tobytes(), None if self.labels is None else self.labels[own].tobytes(), pack_ids(self.docs[own])) for p, own in self.slices()]
+        cells = [(p, self.prints[own].tobytes(), self.labels[own].tobytes(), pack_ids(self.docs[own])) for p, own in self.slices()]
         if cells:
             part, prints, labels, docs = map(list, zip(*cells, strict=True))
             yield packet(part, chunk, prints, labels, docs, [None] * len(part))
 
 
 class Groups(Dealt):
-    """Distinct groups of a chunk's distinct fingerprints: labels has the group of each fingerprint."""
+    """Distinct groups of a chunk's distinct fingerprints: anchors has the anchor's hash of each fingerprint."""
 
-    def __init__(self, prints: Prints, labels: np.ndarray, parts: int):
-        self.labels, at, self.of, n = np.unique(labels, return_index=True, return_inverse=True, return_counts=True)
-        self.sample, self.counts = prints.prints[at], np.minimum(n, 255).astype(np.uint8)
-        super().__init__(self.labels, parts, parts)
+    def __init__(self, prints: Prints, anchors: np.ndarray, parts: int):
+        self.labels, at, self.of, n = np.unique(mix64(anchors ^ GROUP_SALT), return_index=True, return_inverse=True, return_counts=True)
+        self.sample, self.counts = prints.prints[at], np.minimum(n, 65535).astype(np.uint16)
+        super().__init__(self.labels >> np.uint64(32), parts, parts)
 
     def packets(self, chunk: int) -> Iterator[pa.RecordBatch]:
         cells = [(p, self.sample[own].tobytes(), self.labels[own].tobytes(), self.counts[own].tobytes()) for p, own in self.slices()]
@@ -156,16 +164,16 @@ class Groups(Dealt):
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
-    """Distinct ids, then each entry's index among them in as few bytes as do."""
-    values, index = np.unique(ids, return_inverse=True)
-    width = np.uint8 if len(values) < 256 else np.uint16 if len(values) < 65536 else np.uint32
-    return np.int64(len(values)).tobytes() + values.tobytes() + index.astype(width).tobytes()
+    """The least id, then each id's distance from it in as few bytes as do; ids of a chunk are close together where the corpus is in order."""
+    least = ids.min(initial=np.iinfo(np.int64).max)
+    far = (ids - least).astype(np.uint64)
+    width = np.min_scalar_type(far.max(initial=np.uint64(0)))
+    return np.array([least, width.itemsize], np.int64).tobytes() + far.astype(width).tobytes()
 
 
 def unpack_ids(raw: bytes) -> np.ndarray:
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    width = np.uint8 if n < 256 else np.uint16 if n < 65536 else np.uint32
-    return np.frombuffer(raw, np.int64, n, 8)[np.frombuffer(raw, width, offset=8 + 8 * n)]
+    least, width = np.frombuffer(raw, np.int64, 2)
+    return np.frombuffer(raw, np.dtype(f"u{width}"), offset=16).astype(np.uint64).view(np.int64) + least
 
 
 class SortedRuns:
@@ -176,10 +184,17 @@ class SortedRuns:
 
     @staticmethod
     def _run(prints, labels, docs):
-        order = np.lexsort((docs, labels, prints))
+        if not len(prints):
+            return prints, labels, docs
+        order = np.argsort(prints)
         prints, labels, docs = prints[order], labels[order], docs[order]
-        head = np.concatenate(([True], (prints[1:] != prints[:-1]) | (labels[1:] != labels[:-1]))) if len(order) else np.zeros(0, bool)
-        return prints[head], labels[head], docs[head]
+        same = prints[1:] == prints[:-1]
+        if (same & (labels[1:] != labels[:-1])).any():  # fingerprints that clash in the first hash alone
+            order = np.lexsort((labels, prints))
+            prints, labels, docs = prints[order], labels[order], docs[order]
+            same &= labels[1:] == labels[:-1]
+        head = np.flatnonzero(np.concatenate(([True], ~same)))
+        return prints[head], labels[head], np.minimum.reduceat(docs, head)
 
     def add(self, prints: np.ndarray, labels: np.ndarray, docs: np.ndarray) -> None:
         self.runs.append(self._run(prints, labels, docs))
@@ -202,8 +217,7 @@ def answer_prints(packets: list[dict]) -> Iterator[pa.RecordBatch]:
     index, pending, size = SortedRuns(), [], 0
     for n, row in enumerate(packets):
         prints = np.frombuffer(row["prints"], np.uint64)
-        labels = np.zeros(len(prints), np.uint32) if row["labels"] is None else np.frombuffer(row["labels"], np.uint32)
-        pending.append((prints, labels, unpack_ids(row["docs"])))
+        pending.append((prints, np.frombuffer(row["labels"], np.uint32), unpack_ids(row["docs"])))
         size += len(prints)
         if size > 100_000 or n == len(packets) - 1:
             index.add(*map(np.concatenate, zip(*pending, strict=True)))
@@ -212,16 +226,15 @@ def answer_prints(packets: list[dict]) -> Iterator[pa.RecordBatch]:
     for row in packets:
         own, doc = np.frombuffer(row["prints"], np.uint64), unpack_ids(row["docs"])
         at = np.searchsorted(prints, own)
-        if row["labels"] is not None:  # a second hash verifies: step over entries that clash in the first alone
-            label = np.frombuffer(row["labels"], np.uint32)
-            while (wrong := labels[at] != label).any():
-                at = at + wrong
+        label = np.frombuffer(row["labels"], np.uint32)
+        while (wrong := labels[at] != label).any():  # the second hash verifies: step over entries that clash in the first alone
+            at = at + wrong
         yield _bits(row, doc > docs[at])
 
 
 def answer_groups(packets: list[dict], hot_members: int) -> Iterator[pa.RecordBatch]:
     """one: the group has several fingerprints over all chunks; two: it is hot."""
-    raw = [(np.frombuffer(r["labels"], np.uint32), np.frombuffer(r["prints"], np.uint64), np.frombuffer(r["counts"], np.uint8)) for r in packets]
+    raw = [(np.frombuffer(r["labels"], np.uint64), np.frombuffer(r["prints"], np.uint64), np.frombuffer(r["counts"], np.uint16)) for r in packets]
     labels, prints, counts = map(np.concatenate, zip(*raw, strict=True))
     order = np.lexsort((prints, labels))
     labels, prints, counts = labels[order], prints[order], counts[order].astype(np.int64)
@@ -259,7 +272,12 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def partitions_for(prints: int) -> int:
-    return max(8, -(-prints // PARTITION_PRINTS))
+    return max(16, -(-prints // PARTITION_PRINTS))
+
+
+def second_hash(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """32 bits that also depend on another hash: with the fingerprint itself, 96 bits have to agree."""
+    return (mix64(one * np.uint64(0xD6E8FEB86659FD93) ^ other) >> np.uint64(32)).astype(np.uint32)
 
 
 def exchange(sent: DataFrame, parts: int, hot_members: int = HOT_MEMBERS) -> DataFrame:

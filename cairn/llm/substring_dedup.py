@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import PACKET_SCHEMA, Chunk, Groups, Prints, chunk_table, exchange, partitions_for, per_chunk
+from .chunks import PACKET_SCHEMA, Chunk, Groups, Prints, chunk_table, exchange, partitions_for, per_chunk, second_hash
 from .shared import table
 from .textkit import Ranges, Words, anchored_windows, cover, mix64
 
@@ -38,17 +38,18 @@ class Runs:
         self.words = Words(self.chunk.data, self.chunk.offsets)
         at, start, count, anchor, whole, _ = anchored_windows(self.words.hash, self.words.ptr, length, ANCHOR)
         ok = self.chunk.known[at]
-        self.row, self.start, self.count = at[ok], start[ok], count[ok]
-        self.prints = Prints(whole[ok], self.row, self.chunk.ids, parts)
-        self.groups = Groups(self.prints, (anchor[ok][self.prints.first] >> np.uint64(32)).astype(np.uint32), parts)
+        self.row, self.start, self.count, anchor, whole = at[ok], start[ok], count[ok], anchor[ok], whole[ok]
+        self.prints = Prints(whole, self.row, self.chunk.ids, parts, second_hash(whole, anchor))
+        self.groups = Groups(self.prints, anchor[self.prints.first], parts)
         self.length = length
 
-    def repeats(self, prints: Prints, row: np.ndarray, answers: list[dict]) -> np.ndarray:
+    @staticmethod
+    def repeats(prints: Prints, answers: list[dict]) -> np.ndarray:
         """Which occurrences a smaller doc_id has as well."""
-        return prints.spread(answers)[prints.of] | (self.chunk.ids[row] > self.chunk.ids[row[prints.first[prints.of]]])
+        return prints.spread(answers)[prints.of] | prints.later
 
     def settle(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        removed = self.repeats(self.prints, self.row, answers)
+        removed = self.repeats(self.prints, answers)
         return removed, ~removed & self.groups.spread(answers)[self.groups.of][self.prints.of]
 
     def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,19 +57,10 @@ class Runs:
         n = self.count[runs]
         return np.repeat(self.start[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(self.row[runs], n)
 
-    def edge_prints(self, edges: np.ndarray, parts: int) -> tuple[Prints, np.ndarray, np.ndarray]:
+    def edge_prints(self, edges: np.ndarray, parts: int) -> tuple[Prints, np.ndarray]:
         start, row = self.windows(edges)
-        one = Ranges(self.words.hash).hash(start, start + self.length)
-        # the label is a second hash of the words, by sums of differently mixed values
-        two = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(self.words.hash ^ np.uint64(0xA0761D6478BD642F)) * (self._place()))))
-        check = mix64((two[start + self.length] - two[start]) * self._unplace()[start])
-        return Prints(one, row, self.chunk.ids, parts, (check >> np.uint64(32)).astype(np.uint32)), start, row
-
-    def _place(self) -> np.ndarray:
-        return np.cumprod(np.full(max(1, len(self.words.hash)), 0x2545F4914F6CDD1D, np.uint64))[: len(self.words.hash)]
-
-    def _unplace(self) -> np.ndarray:
-        return np.cumprod(np.full(len(self.words.hash) + 1, pow(0x2545F4914F6CDD1D, -1, 1 << 64), np.uint64))
+        one, two = (Ranges(h).hash(start, start + self.length) for h in (self.words.hash, mix64(self.words.hash)))
+        return Prints(one, row, self.chunk.ids, parts, (two >> np.uint64(32)).astype(np.uint32)), start
 
 
 def _send_runs(parts: int, length: int):
@@ -94,8 +86,8 @@ def _result(parts: int, edge_parts: int, length: int):
         removed, edges = runs.settle(row["answers"] or [])
         marks = np.zeros(len(runs.words.hash), bool)
         marks[runs.windows(removed)[0]] = True
-        prints, start, at = runs.edge_prints(edges, edge_parts)
-        marks[start[runs.repeats(prints, at, row["edges"] or [])]] = True
+        prints, start = runs.edge_prints(edges, edge_parts)
+        marks[start[runs.repeats(prints, row["edges"] or [])]] = True
         gone = cover(marks, length)
         chunk, out = runs.chunk, ([], [], [], [])
         raw = chunk.data.tobytes()

@@ -1,16 +1,18 @@
-"""Exact removal of repeated 100-byte strings over the whole corpus, with a run-length BWT index.
+"""Exact removal of repeated 100-byte strings over the whole corpus, with run-length BWT indexes.
 
 1. All 100-byte windows are cut into runs that share their anchor (textkit.anchored_windows), so
-   equal windows meet under one anchor. An exchange of (anchor, hash of the run's bytes) per
-   chunk decides whole runs: a run that a smaller doc_id has as well is removed altogether. A run
-   whose anchor has no other bytes anywhere is unique.
-2. What is left are first occurrences of runs that share their anchor with different bytes: the
-   edges of repeats. Their bytes go to one partition per anchor. There a run-length compressed
-   Burrows-Wheeler transform of the distinct runs is built. Match lengths are computed only at
-   the sampled heads of BWT runs, streamed through the text from there (inside a BWT run a
-   suffix's match is one shorter than that of the position before), and long matches are marked.
+   equal windows meet under one anchor. An exchange of (anchor, hashes of the run's bytes) per
+   chunk collapses whole copies of a run, 96 bits of hash agreeing, onto the first of them; and it
+   tells which anchors have different runs. A run whose anchor has no other bytes is unique.
+2. Different runs of one anchor, the edges of repeats, go to one bounded shard per set of anchors.
+   A shard's texts are indexed by a run-length compressed Burrows-Wheeler transform: runs of
+   equal symbols, where each run's head maps to, and the match length sampled there. Neither the
+   suffix array nor ranks of single symbols are kept. The texts are then streamed against the index
+   from their ends, all in step: the last-to-first mapping moves on symbol by symbol, and the matching
+   statistic is the one before plus one inside a run of the transform, the sample at a head. Places
+   whose match is long enough fall into classes of equal strings, of which all but the first go.
    An anchor that very many different runs share is hot and isn't brought together: the single
-   windows of its runs are exchanged by their own hashes instead, once per chunk.
+   windows of its runs are exchanged by 96 bits of hash instead, once per chunk.
 3. Marks and texts meet once more per chunk.
 """
 
@@ -24,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import HOT_MEMBERS, PACKET_SCHEMA, Chunk, Groups, Prints, answer_prints, chunk_table, exchange, names, pack_ids, partitions_for, per_chunk
+from .chunks import HOT_MEMBERS, PACKET_SCHEMA, Chunk, Groups, Prints, answer_prints, chunk_table, exchange, names, pack_ids, partitions_for, per_chunk, second_hash
 from .shared import table
-from .textkit import BYTE_VALUES, Ranges, anchored_windows, cover, mix64
+from .textkit import BYTE_VALUES, Ranges, anchored_windows, cover, text_slices
 
 LENGTH, ANCHOR = 100, 40
-#: Bytes of edge runs that one BWT covers, at least one anchor: sorting is quickest within the cache.
+#: Bytes of edge runs in a shard with an index of its own, at least one anchor: sorting is quickest within the cache.
 INDEX_BYTES = 1 << 17
 #: Rows to compare: edge runs by anchor (place: where the anchor is in the bytes); packets of windows of hot anchors,
 #: whose key is -1 - part; and marks that are settled already, whose key is below -2**40.
@@ -41,109 +43,116 @@ RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_s
 # --- the run-length index -------------------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by prefix doubling from 7 symbols (values below 2**9)."""
-    n, span = len(text), 7
+def suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Suffixes in order, by prefix doubling of what isn't told apart yet.
+
+    left: symbols up to and with the 0 that ends the text of a position. Each 0 is a symbol of its
+    own, less than those after it, so suffixes differ at their ends at the latest.
+    """
+    n, span = len(text), 6
     pad = np.concatenate((text.astype(np.uint64), np.zeros(span, np.uint64)))
     key = np.zeros(n, np.uint64)
-    for j in range(span):
-        key = (key << np.uint64(9)) | pad[j : n + j]
+    for j in range(span):  # symbols behind the end don't count
+        key = (key << np.uint64(9)) | np.where(left > j, pad[j : n + j], np.uint64(0))
+    order = np.argsort(key, kind="stable")
+    slots, same = np.arange(n), key[order][1:] == key[order][:-1]
+    rank = np.empty(n, np.int64)
     while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        if new.all():
+        # in slots, order has groups of equal keys; a group whose suffixes have ended is in order, as sorting is stable
+        own = order[slots]
+        same &= left[own[1:]] > span
+        head = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), slots, 0))
+        rank[own] = head
+        open_ = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        slots = slots[open_]
+        if not len(slots):
             return order
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
-        key = rank << np.uint64(32)
-        key[: max(0, n - span)] |= rank[span:]
+        own = np.sort(order[slots])
+        key = rank[own] * n + rank[own + span]
+        turn = np.argsort(key, kind="stable")
+        order[slots] = own[turn]
+        same = key[turn][1:] == key[turn][:-1]
         span *= 2
 
 
-class RunLengthIndex:
-    """Run-length BWT of a text of symbols, with samples at run heads.
+def shared_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Symbols that the suffixes at a and b share; 0 ends a text and equals nothing."""
+    known, live = np.zeros(len(a), np.int64), np.arange(len(a))
+    while len(live):
+        x = text[a[live] + known[live]]
+        live = live[(x == text[b[live] + known[live]]) & (x > 0)]
+        known[live] += 1
+    return known
 
-    order: the suffix array; heads: where BWT runs begin; sampled: text positions of the run
-    heads' suffixes, for which alone a match length is computed by comparison.
-    """
 
-    def __init__(self, text: np.ndarray):
-        self.text, self.order = text, suffix_array(text)
-        bwt = text[self.order - 1]
-        new = np.concatenate(([True], bwt[1:] != bwt[:-1]))
-        whole = int(np.flatnonzero(self.order == 0)[0])  # nothing precedes the whole text
-        new[whole : whole + 2] = True
-        self.heads = np.flatnonzero(new)
-        self.sampled = self.order[self.heads]
-
-    def matching_statistics(self) -> np.ndarray:
-        """For each text position, how many symbols its suffix shares with the suffix before it in order.
-
-        At a run head it is counted. Elsewhere both suffixes have the same symbol before them, so
-        they are neighbours one position earlier as well and share one more there.
-        """
-        n, text = len(self.text), self.text
-        a, b = self.sampled[1:], self.order[self.heads[1:] - 1]
-        known = np.zeros(len(a), np.int64)
-        live = np.arange(len(a))
-        while len(live):
-            live = live[np.maximum(a[live], b[live]) + known[live] < n]
-            live = live[text[a[live] + known[live]] == text[b[live] + known[live]]]
-            known[live] += 1
-        reach, at = np.zeros(n, np.int64), np.arange(n)
-        reach[a] = a + known
-        sampled = np.zeros(n, bool)
-        sampled[self.sampled] = True
-        return np.maximum(reach[np.maximum.accumulate(np.where(sampled, at, 0))] - at, 0)
-
-    def classes(self, length: int) -> np.ndarray:
-        """For each text position, a class that suffixes share if they share their first `length` symbols."""
-        out = np.empty(len(self.text), np.int64)
-        out[self.order] = np.cumsum(self.matching_statistics()[self.order] < length)
-        return out
-
-
-def earlier_windows(runs: list[bytes], docs: np.ndarray, rows: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each run, which of its windows also start in a smaller doc_id, or earlier in the same row.
-
-    Runs come by doc_id, row and start; rows tells rows apart that repeat a doc_id.
+class RunLengthIndex:
+    """Run-length BWT of texts. Kept per BWT run only: heads, where it begins; images, where its head's
+    suffix goes when the run's symbol is put before it; sampled, the match length there."""
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray):
+        sizes = np.diff(np.concatenate(([0], ends)))
+        self.sizes = sizes
+        begin = ends - sizes + np.arange(len(sizes))
+        text = np.zeros(len(data) + len(sizes), np.uint16)  # a 0 ends each text
+        text[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data.astype(np.uint16) + 1
+        left = np.repeat(begin + sizes + 1, sizes + 1) - np.arange(len(text))
+        order = suffix_array(text, left)
+        bwt = text[order - 1]
+        self.heads = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1])))
+        symbol, length = bwt[self.heads], np.diff(np.concatenate((self.heads, [len(bwt)])))
+        by_symbol = np.argsort(symbol, kind="stable")  # runs of a symbol map, in their order, to the suffixes that begin with it
+        self.images = np.empty(len(symbol), np.int64)
+        self.images[by_symbol] = np.cumsum(length[by_symbol]) - length[by_symbol]
+        at = np.flatnonzero(symbol > 0)
+        self.sampled = np.zeros(len(symbol), np.int64)
+        self.sampled[at] = shared_prefix(text, order[self.images[at]], order[self.images[at] - 1])
+
+    def stream(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Stream the texts from their ends: (texts, starts, places in suffix order, matching statistics) step by step,
+        for starts with at least `length` symbols behind them. The statistic is how much the suffix shares with the one before it in order."""
+        texts = np.argsort(-self.sizes, kind="stable")
+        place, match = texts.copy(), np.zeros(len(texts), np.int64)  # ends are the first in order, text by text
+        done = np.searchsorted(-self.sizes[texts], -np.arange(1, int(self.sizes.max(initial=0)) + 1), side="right")
+        for step, live in enumerate(done.tolist(), 1):
+            texts, place, match = texts[:live], place[:live], match[:live]
+            run = np.searchsorted(self.heads, place, side="right") - 1
+            inside = place - self.heads[run]
+            match = np.where(inside > 0, match + 1, self.sampled[run])
+            place = self.images[run] + inside
+            if step >= length:
+                yield texts, self.sizes[texts] - step, place, match
+
+
+def earlier_windows(data: np.ndarray, ends: np.ndarray, docs: np.ndarray, rows: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(text, start) of the windows that also start in a smaller doc_id, or earlier in the same row.
+
+    Texts are runs by doc_id, row and start; rows tells rows apart that repeat a doc_id.
     """
-    sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-    begin = np.concatenate(([0], np.cumsum(sizes + 1)))
-    text = np.zeros(begin[-1], np.uint16)  # a 0 ends each run
-    body = np.ones(len(text), bool)
-    body[begin[1:] - 1] = False
-    text[body] = np.frombuffer(b"".join(runs), np.uint8).astype(np.uint16) + 1
-    group = RunLengthIndex(text).classes(length)
-    counts = sizes - length + 1
-    owner = np.repeat(np.arange(len(runs)), counts)
-    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    group = group[begin[:-1][owner] + offset]
-    doc, row, at = docs[owner], rows[owner], np.arange(len(owner))
-    first = np.empty(int(group.max()) + 1, np.int64)
-    first[group[::-1]] = at[::-1]  # the last to be written is the first of its class
-    first = first[group]
-    later = (doc > doc[first]) | ((row == row[first]) & (at > first))
-    for i in np.flatnonzero((doc == doc[first]) & (row != row[first])).tolist():  # another row of the same doc_id
-        later[i] = bool(((group[:i] == group[i]) & (row[:i] == row[i])).any())
-    return np.split(later, np.cumsum(counts)[:-1])
-
-
-def related_runs(runs: list[bytes], places: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> np.ndarray:
+    text, start, place, match = map(np.concatenate, zip(*RunLengthIndex(data, ends).stream(length), strict=True))
+    order = np.argsort(place)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(match[order] < length)
+    order = np.lexsort((start, text, group))
+    group, text, start = group[order], text[order], start[order]
+    same = np.concatenate(([False], group[1:] == group[:-1]))
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    later = docs[text] > docs[text[first]]
+    later[1:] |= same[1:] & (rows[text[1:]] == rows[text[:-1]])
+    return text[later], start[later]
+
+
+def related_runs(data: np.ndarray, ends: np.ndarray, places: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> np.ndarray:
     """Which runs may share a window with another one.
 
     A shared window has length - anchor bytes beside the anchor, so at least half of them on one side:
     both runs then agree on the anchor with that half to its left, or with that half to its right.
     """
-    sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-    end = np.cumsum(sizes)
-    begin, half = end - sizes, (length - anchor + 1) // 2
+    begin, half = np.concatenate(([0], ends[:-1])), (length - anchor + 1) // 2
     at = begin + places
-    ranges = Ranges(BYTE_VALUES[np.frombuffer(b"".join(runs), np.uint8)])
-    keep = np.zeros(len(runs), bool)
+    ranges = Ranges(data, BYTE_VALUES)
+    keep = np.zeros(len(ends), bool)
     for a, b in ((at - half, at + anchor), (at, at + anchor + half)):
-        own = np.flatnonzero((a >= begin) & (b <= end))
+        own = np.flatnonzero((a >= begin) & (b <= ends))
         _, same, n = np.unique(ranges.hash(a[own], b[own]), return_inverse=True, return_counts=True)
         keep[own[n[same] > 1]] = True
     return keep
@@ -157,36 +166,28 @@ class Cut:
 
     def __init__(self, row: dict, parts: int, length: int):
         self.chunk, self.length = Chunk(row), length
-        at, start, count, anchor, whole, place = anchored_windows(BYTE_VALUES[self.chunk.data], self.chunk.offsets, length, ANCHOR)
+        at, start, count, anchor, whole, place = anchored_windows(self.chunk.data, self.chunk.offsets, length, ANCHOR, BYTE_VALUES)
         ok = self.chunk.known[at]
-        self.row, self.start, self.count, self.anchor, self.place = at[ok], start[ok], count[ok], anchor[ok], (place - start)[ok]
-        self.prints = Prints(whole[ok], self.row, self.chunk.ids, parts)
-        self.groups = Groups(self.prints, (self.anchor[self.prints.first] >> np.uint64(32)).astype(np.uint32), parts)
-
-    def again(self, prints: Prints, row: np.ndarray) -> np.ndarray:
-        """Which occurrences come later than another one in this chunk."""
-        first = prints.first[prints.of]
-        return (self.chunk.ids[row] > self.chunk.ids[row[first]]) | ((row == row[first]) & (np.arange(len(row)) != first))
+        self.row, self.start, self.count, self.anchor, self.place, whole = at[ok], start[ok], count[ok], anchor[ok], (place - start)[ok], whole[ok]
+        self.prints = Prints(whole, self.row, self.chunk.ids, parts, second_hash(whole, self.anchor))
+        self.groups = Groups(self.prints, self.anchor[self.prints.first], parts)
 
     def decide(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(removed whole, edges to compare, edges of hot anchors)."""
-        removed = self.prints.spread(answers)[self.prints.of] | self.again(self.prints, self.row)
+        removed = self.prints.spread(answers)[self.prints.of] | self.prints.again
         of = self.groups.of[self.prints.of]
-        shared, hot = self.groups.spread(answers)[of], self.groups.spread(answers, "two")[of]
-        open_ = ~removed & shared & (self.prints.first[self.prints.of] == np.arange(len(removed)))
+        open_, hot = ~removed & self.groups.spread(answers)[of], self.groups.spread(answers, "two")[of]
         return removed, open_ & ~hot, open_ & hot
 
     def windows(self, runs: np.ndarray) -> np.ndarray:
         n = self.count[runs]
         return np.repeat(self.start[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
-    def hot_windows(self, hot: np.ndarray, parts: int) -> tuple[Prints, np.ndarray, np.ndarray]:
-        """Windows of hot runs: (their prints, with a label that also depends on the anchor; their starts; which of them come later than another one here)."""
+    def hot_windows(self, hot: np.ndarray, parts: int) -> tuple[Prints, np.ndarray]:
+        """Windows of hot runs: their prints, with a label that also depends on the anchor; and their starts."""
         start, row = self.windows(hot), np.repeat(self.row[hot], self.count[hot])
-        one = Ranges(BYTE_VALUES[self.chunk.data]).hash(start, start + self.length) if len(start) else np.zeros(0, np.uint64)
-        label = mix64(one * np.uint64(0xA0761D6478BD642F) ^ np.repeat(self.anchor[hot], self.count[hot]))
-        prints = Prints(one, row, self.chunk.ids, parts, (label >> np.uint64(32)).astype(np.uint32))
-        return prints, start, self.again(prints, row)
+        one = Ranges(self.chunk.data, BYTE_VALUES).hash(start, start + self.length) if len(start) else np.zeros(0, np.uint64)
+        return Prints(one, row, self.chunk.ids, parts, second_hash(one, np.repeat(self.anchor[hot], self.count[hot]))), start
 
 
 def _send(parts: int, length: int):
@@ -215,15 +216,15 @@ def _edges(parts: int, hot_parts: int, length: int):
             yield _edge_rows(
                 len(own), key=pa.array((cut.anchor[own] >> np.uint64(1)).view(np.int64)), doc_id=pa.array(chunk.ids[cut.row[own]]), chunk=pa.array(np.full(len(own), number)),
                 start=pa.array(cut.start[own].astype(np.int64)), bytes=pa.array(raw, pa.binary()), row=pa.array(cut.row[own].astype(np.int64)), place=pa.array(cut.place[own].astype(np.int64)))
-        prints, start, again = cut.hot_windows(hot, hot_parts)
+        prints, start = cut.hot_windows(hot, hot_parts)
         for part, own in prints.slices():
             # an entry stands for its first occurrence; rows that repeat that one's doc_id share its answer
-            mine = np.flatnonzero(~again & np.isin(prints.of, own))
+            mine = np.flatnonzero(~prints.again & np.isin(prints.of, own))
             entry = prints.of[mine]
             yield _edge_rows(
                 1, key=pa.array([-1 - part]), chunk=pa.array([number]), prints=pa.array([prints.prints[entry].tobytes()], pa.binary()), labels=pa.array([prints.labels[entry].tobytes()], pa.binary()),
                 docs=pa.array([pack_ids(prints.docs[entry])], pa.binary()), starts=pa.array([start[mine].astype(np.int64).tobytes()], pa.binary()))
-        marks = np.concatenate((cut.windows(removed), start[again]))
+        marks = np.concatenate((cut.windows(removed), start[prints.again]))
         if len(marks):
             yield _edge_rows(1, key=pa.array([SETTLED - number]), chunk=pa.array([number]), starts=pa.array([pack_marks(marks)], pa.binary()))
 
@@ -243,60 +244,80 @@ def unpack_marks(raw: bytes) -> np.ndarray:
     return np.repeat(pairs[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+def _marks(chunk: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(chunk, kind="stable")
+    chunks, head = np.unique(chunk[order], return_index=True)
+    return pa.RecordBatch.from_arrays([pa.array(chunks), pa.array([pack_marks(x) for x in np.split(starts[order], head[1:])], pa.binary())], names=names(MARK_SCHEMA))
+
+
+def _answer_windows(packets: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Marks of hot anchors' windows, from one part's packets."""
+    for row, batch in zip(packets, answer_prints(packets), strict=True):
+        starts = np.frombuffer(row["starts"], np.int64)
+        bits = np.unpackbits(np.frombuffer(batch.column("one")[0].as_py(), np.uint8), count=len(starts)).astype(bool)
+        if bits.any():
+            yield _marks(np.full(int(bits.sum()), row["chunk"]), starts[bits])
+
+
+def _compare_edges(edges: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
+    """Marks of whole anchors' edge runs, through an index of their own."""
+    _, _, data, offsets = next(text_slices(edges, "bytes", 1 << 62))
+    keep = np.flatnonzero(related_runs(data, offsets[1:], edges.column("place").to_numpy(), length))
+    if not len(keep):
+        return
+    doc, chunk, start, row = (edges.column(c).to_numpy()[keep] for c in ("doc_id", "chunk", "start", "row"))
+    order = np.lexsort((start, row, chunk, doc))  # a shard's texts in the order of the corpus, across anchors
+    doc, chunk, start, row, own = doc[order], chunk[order], start[order], row[order], keep[order]
+    rows = np.cumsum(np.concatenate(([True], (chunk[1:] != chunk[:-1]) | (row[1:] != row[:-1]))))
+    sizes = np.diff(offsets)[own]
+    ends = np.cumsum(sizes)
+    data = data[np.repeat(offsets[:-1][own] - (ends - sizes), sizes) + np.arange(sizes.sum())]
+    text, offset = earlier_windows(data, ends, doc, rows, length)
+    if len(text):
+        yield _marks(chunk[text], start[text] + offset)
+
+
 def _compare(length: int):
     """Rows come sorted by key: settled marks, then packets part by part, then edge runs, of which whole anchors are gathered up to INDEX_BYTES for one index."""
 
-    def marks(found: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([pack_marks(np.concatenate(v)) for v in found.values()], pa.binary())], names=names(MARK_SCHEMA))
-
-    def answer(packets: list[dict]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {}
-        for row, batch in zip(packets, answer_prints(packets), strict=True):
-            starts = np.frombuffer(row["starts"], np.int64)
-            bits = np.unpackbits(np.frombuffer(batch.column("one")[0].as_py(), np.uint8), count=len(starts)).astype(bool)
-            if bits.any():
-                found.setdefault(row["chunk"], []).append(starts[bits])
-        yield from marks(found)
-
-    def compare(held: list[dict]) -> Iterator[pa.RecordBatch]:
-        related = related_runs([h["bytes"] for h in held], np.array([h["place"] for h in held], np.int64), length)
-        held = [h for h, k in zip(held, related.tolist(), strict=True) if k]
-        if not held:
-            return
-        later = earlier_windows([h["bytes"] for h in held], *(np.array(x, np.int64) for x in ([h["doc_id"] for h in held], [h["chunk"] << 20 | h["row"] for h in held])), length)
-        found: dict[int, list] = {}
-        for h, own in zip(held, later, strict=True):
-            at = np.flatnonzero(own)
-            if len(at):
-                found.setdefault(h["chunk"], []).append(h["start"] + at)
-        yield from marks(found)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        packets: list[dict] = []
+        edges: list[pa.RecordBatch] = []
         size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                yield from (answer if held[-1]["key"] < 0 else compare)(held)
-
-        for row in (r for batch in batches for r in batch.to_pylist()):
-            if row["key"] <= SETTLED:
-                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]]), pa.array([row["starts"]], pa.binary())], names=names(MARK_SCHEMA))
-                continue
-            if held and row["key"] != held[-1]["key"] and (held[-1]["key"] < 0 or size > INDEX_BYTES):
-                yield from flush()
-                held, size = [], 0
-            if row["key"] < 0:
-                row |= {"part": -1 - row["key"]}
-            else:
-                size += len(row["bytes"])
-            held.append(row)
-        yield from flush()
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            settled, packed = np.searchsorted(keys, SETTLED, side="right"), np.searchsorted(keys, 0)
+            if settled:
+                yield batch.slice(0, settled).select(names(MARK_SCHEMA))
+            for row in batch.slice(settled, packed - settled).select(["key", "chunk", "prints", "labels", "docs", "starts"]).to_pylist():
+                if packets and row["key"] != packets[-1]["key"]:
+                    yield from _answer_windows(packets)
+                    packets = []
+                packets.append(row | {"part": -1 - row["key"]})
+            if packed < len(keys):
+                batch, keys = batch.slice(packed), keys[packed:]
+                ends = np.cumsum(np.diff(next(text_slices(batch, "bytes", 1 << 62))[3]))
+                at = 0
+                for change in np.flatnonzero(np.diff(keys, prepend=edges[-1].column("key")[-1].as_py() if edges else keys[0])).tolist():
+                    # an anchor ends here
+                    if size + (int(ends[change - 1]) if change else 0) - (int(ends[at - 1]) if at else 0) >= INDEX_BYTES:
+                        yield from _compare_edges(_joined([*edges, batch.slice(at, change - at)]), length)
+                        edges, size, at = [], 0, change
+                if at < len(keys):
+                    edges.append(batch.slice(at))
+                    size += int(ends[-1]) - (int(ends[at - 1]) if at else 0)
+        if packets:
+            yield from _answer_windows(packets)
+        if edges:
+            yield from _compare_edges(_joined(edges), length)
 
     return run
 
 
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def _result(length: int):
     def work(row: dict) -> Iterator[pa.RecordBatch]:
         chunk = Chunk(row)

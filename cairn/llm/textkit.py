@@ -21,8 +21,8 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 SLICE_BYTES = 1 << 20
-
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Tokens that are hashed at a time: what a long text takes beside its own bytes follows this, not its length.
+BLOCK = 1 << 16
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -35,27 +35,51 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """MULT**i and MULT**-i modulo 2**64 for i < n; kept between calls."""
-    if len(_powers[0]) < n:
-        n = max(n, 2 * len(_powers[0]))
-        for i, base in enumerate((MULT, MULT_INV)):
-            step = np.full(n, base, np.uint64)
-            step[0] = 1
-            _powers[i] = np.cumprod(step)
-    return _powers[0][:n], _powers[1][:n]
+def _power_table(base: np.uint64) -> np.ndarray:
+    step = np.full(BLOCK + 1, base, np.uint64)
+    step[0] = 1
+    return np.cumprod(step)
+
+
+_UP, _DOWN = _power_table(MULT), _power_table(MULT_INV)
 
 
 class Ranges:
-    """Hashes of any token range from prefix sums of value * MULT**position."""
+    """Hashes of any token range from prefix sums of value * MULT**position, block by block.
+
+    table, if given, maps tokens (bytes) to their values as blocks are read. Starts and ends of
+    one call must each be in rising order.
+    """
 
-    def __init__(self, values: np.ndarray):
-        up, self.down = powers(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+    def __init__(self, tokens: np.ndarray, table: np.ndarray | None = None):
+        self.tokens, self.table = tokens, table
+        self.whole = self._sums(0, len(tokens)) if len(tokens) <= BLOCK else None
+
+    def _sums(self, a: int, b: int) -> np.ndarray:
+        values = self.tokens[a:b] if self.table is None else self.table[self.tokens[a:b]]
+        out = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(values * _UP[: b - a], out=out[1:])
+        return out
+
+    def _prefix(self, at: np.ndarray) -> np.ndarray:
+        """Prefix sums at rising positions."""
+        out, before, scale = np.empty(len(at), np.uint64), 0, 1
+        for a in range(0, len(self.tokens), BLOCK):
+            b = min(a + BLOCK, len(self.tokens))
+            sums = self._sums(a, b) * np.uint64(scale)
+            lo, hi = np.searchsorted(at, (a, b + 1 if b == len(self.tokens) else b))
+            out[lo:hi] = np.uint64(before) + sums[at[lo:hi] - a]
+            before, scale = (before + int(sums[-1])) % (1 << 64), scale * int(_UP[BLOCK]) % (1 << 64)
+        return out
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.down[start]
+        if self.whole is not None:
+            raw = (self.whole[end] - self.whole[start]) * _DOWN[start]
+        else:
+            raw = self._prefix(end) - self._prefix(start)
+            block, scale = start // BLOCK, np.empty(-(-len(self.tokens) // BLOCK) + 1, np.uint64)
+            scale[0], scale[1:] = 1, _DOWN[BLOCK]
+            raw *= np.cumprod(scale)[block] * _DOWN[start - block * BLOCK]
         return mix64(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -91,7 +115,7 @@ class Words:
         closes[:-1] &= ~inside[1:] | first[1:-1]
         self.start, self.end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.ptr = np.searchsorted(self.start, offsets)
-        self.hash = Ranges(BYTE_VALUES[data]).hash(self.start, self.end)
+        self.hash = Ranges(data, BYTE_VALUES).hash(self.start, self.end)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.ptr)
@@ -107,43 +131,50 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return Ranges(words.hash).hash(start, np.minimum(start + k, words.ptr[1:][row])), ptr
 
 
-def anchored_windows(values: np.ndarray, ptr: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+def anchored_windows(tokens: np.ndarray, ptr: np.ndarray, length: int, k: int, table: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Cut all windows of `length` tokens into runs that share their anchor.
 
     The anchor of a window is its k-gram of smallest hash (leftmost of equals), so equal windows
     have equal anchors at equal places. Returns for each run: row, first window's start (token
     position in the slice), number of windows, anchor hash, hash of all tokens that it covers,
-    anchor's position in the slice.
+    anchor's position in the slice. Works block by block; a block begins where a run does, so
+    runs don't depend on where blocks are cut. table: see Ranges.
     """
-    n = len(values)
-    none = np.zeros(0, np.int64)
-    nothing = none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
-    if n < length:
-        return nothing
-    ranges = Ranges(values)
+    parts, at = [], 0
+    while at + length <= len(tokens):
+        end = min(len(tokens), at + BLOCK)
+        found, upto = _anchored_block(tokens[at:end], ptr, at, length, k, table, end == len(tokens))
+        parts.append(found)
+        at = upto
+    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64)
+    return tuple(np.concatenate([np.zeros(0, kind), *(p[i] for p in parts)]) for i, kind in enumerate(kinds))
+
+
+def _anchored_block(tokens: np.ndarray, ptr: np.ndarray, base: int, length: int, k: int, table: np.ndarray | None, last: bool) -> tuple[tuple[np.ndarray, ...], int]:
+    """(the block's runs, where the next block begins); base: position of the block's first token."""
+    n = len(tokens)
+    ranges = Ranges(tokens, table)
     at = np.arange(n - k + 1)
     grams = ranges.hash(at, at + k)
-    bits = np.uint64(max(1, int(n - k + 1).bit_length()))
-    low = ((grams >> bits) << bits) | at.astype(np.uint64)
-    width, span = length - k + 1, 1
+    low, width, span = grams >> np.uint64(17) << np.uint64(17) | at.astype(np.uint64), length - k + 1, 1  # a block has at most 2**16 tokens
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if span < width:
         low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-    anchor = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    sizes = np.diff(ptr)
-    windows = np.maximum(sizes - length + 1, 0)
-    row = np.repeat(np.arange(len(sizes)), windows)
-    first = np.concatenate(([0], np.cumsum(windows)))
-    start = ptr[:-1][row] + np.arange(first[-1]) - first[:-1][row]
-    if not len(start):
-        return nothing
-    mine = anchor[start]
-    cut = np.flatnonzero(np.concatenate(([True], (mine[1:] != mine[:-1]) | (row[1:] != row[:-1]))))
+    anchor = (low & np.uint64(0x1FFFF)).astype(np.int64)
+    begin = np.arange(n - length + 1)
+    row = np.searchsorted(ptr, begin + base, side="right") - 1
+    inside = begin + base + length <= ptr[row + 1]
+    start, row, mine = begin[inside], row[inside], anchor[inside]
+    cut = np.flatnonzero(np.concatenate(([True], (mine[1:] != mine[:-1]) | (row[1:] != row[:-1])))) if len(start) else start
     count = np.diff(np.concatenate((cut, [len(start)])))
-    begin = start[cut]
-    return row[cut], begin, count, grams[mine[cut]], ranges.hash(begin, begin + count - 1 + length), mine[cut]
+    upto = base + n - length + 1
+    if not last and len(start) and inside[-1]:  # the last run may go on: it begins the next block
+        upto = base + int(start[cut[-1]])
+        cut, count = cut[:-1], count[:-1]
+    first = start[cut]
+    return (row[cut], first + base, count, grams[mine[cut]], ranges.hash(first, first + count - 1 + length), mine[cut] + base), upto
 
 
 def cover(marks: np.ndarray, length: int) -> np.ndarray:

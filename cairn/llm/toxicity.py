@@ -54,7 +54,7 @@ class Tokens:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.words = Words(data, offsets, lower=True, white=WORD_BREAKS)
         self.size = self.words.end - self.words.start
-        ranges = Ranges(BYTE_VALUES[LOWER[data]])
+        ranges = Ranges(LOWER[data], BYTE_VALUES)
         self.keys = [self.words.hash, *(np.where(self.size > n, ranges.hash(self.words.start, np.minimum(self.words.start + n, self.words.end)), np.uint64(0)) for n in PREFIXES)]
 
 
