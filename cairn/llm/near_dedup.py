@@ -2,13 +2,18 @@
 
 1. One scan makes a SuperMinHash signature of each document's word shingles, and a 128-bit
    digest of the shingle set; documents with the same set are one node from here on.
-2. Bands of the signature are bucketed. Each bucket contributes only star links to its least
-   node, so a bucket of n nodes makes n rows. The components of these links are coarse
-   clusters: any two nodes that share a band are in one cluster.
-3. Inside a cluster all links are decided on full shingle sets, in blocks of bounded size, with
-   an inverted index from shingle to members. A large cluster becomes pairs of blocks, each a
-   task of its own. Tasks emit a spanning forest of the confirmed links, never the pairs.
-4. Components of the confirmed links are the groups.
+2. Bands of the signature are bucketed. Each bucket first sends its nodes to its least node, the
+   centre: pairs (centre, node) are verified on full shingle sets and joined by union-find. A centre
+   that very many nodes name is split into slices, each a task of its own.
+3. A bucket whose other nodes are in one component by now is done: the usual case, as chance
+   meetings have two nodes and copies all link. In the others, nodes outside the bucket's largest
+   component are compared with one another and with that component, in blocks of bounded
+   size by an inverted index. The component isn't compared with itself, so a few odd nodes in a
+   huge bucket cost one pass over it. Tasks emit a spanning forest of the confirmed links.
+4. Components of all confirmed links are the groups.
+
+Work follows the buckets, which nothing chains together. It is quadratic only where many nodes of one
+bucket stay apart, in blocks: every pair of them is a candidate then.
 
 The number of bands follows from the threshold: a pair at the threshold misses every band with
 a chance of at most `miss`. Nothing is capped: every bucket, cluster and set is used whole.
@@ -92,7 +97,7 @@ def _signatures(k: int, bands: int, rows: int):
             for at, end, data, offsets in text_slices(batch):
                 sh, ptr = shingles(Words(data, offsets, lower=True), k)
                 sig = superminhash(sh, ptr, bands * rows)
-                mixed = np.zeros((end - at, bands), np.uint64)
+                mixed = np.tile(np.arange(bands, dtype=np.uint64) << np.uint64(32), (end - at, 1))  # so that a bucket tells its band
                 for r in range(rows):
                     mixed = mix64(mixed + sig[:, r::rows].astype(np.uint64) + np.uint64(r + 1))
                 size, hi, lo = (np.zeros(end - at, kind) for kind in (np.int64, np.uint64, np.uint64))
@@ -150,8 +155,48 @@ def linked_forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, per
     return ids[keep], ids[root[keep]]
 
 
-def _confirm(k: int, percent: int):
-    """Tasks read rows sorted by (cluster, block_a, block_b), one group after the other."""
+def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, its distinct shingles) of the batch's texts."""
+    for at, end, data, offsets in text_slices(batch):
+        sh, ptr = shingles(Words(data, offsets, lower=True), k)
+        for i in range(end - at):
+            yield at + i, distinct(sh[ptr[i] : ptr[i + 1]])
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _confirm_stars(k: int, percent: int):
+    """Rows come by (center, slice), those of the centre itself first: they stay, the others pass by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, {}
+        for batch in batches:
+            centers, slices, docs, first = (batch.column(c).to_pylist() for c in ("center", "slice", "doc_id", "is_center"))
+            u, v = [], []
+            for i, found in _sets(batch, k):
+                if (centers[i], slices[i]) != key:
+                    key, own = (centers[i], slices[i]), {}
+                if first[i]:
+                    own[found.tobytes()] = found
+                elif any(similar(found, x, percent) for x in own.values()):
+                    u.append(docs[i])
+                    v.append(centers[i])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _confirm_blocks(k: int, percent: int):
+    """Tasks read rows sorted by (bucket, block_a, block_b), one group after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets, side = None, [], [], []
@@ -164,24 +209,52 @@ def _confirm(k: int, percent: int):
             return []
 
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_numpy().tolist() for c in ("cluster", "block_a", "block_b")), strict=True))
+            keys = list(zip(*(batch.column(c).to_numpy().tolist() for c in ("bucket", "block_a", "block_b")), strict=True))
             block, doc = batch.column("block").to_numpy(), batch.column("doc_id").to_numpy()
-            for at, end, data, offsets in text_slices(batch):
-                sh, ptr = shingles(Words(data, offsets, lower=True), k)
-                for i in range(at, end):
-                    if keys[i] != key:
-                        yield from flush()
-                        key, ids, sets, side = keys[i], [], [], []
-                    own = distinct(sh[ptr[i - at] : ptr[i - at + 1]])
-                    if len(own):
-                        ids.append(doc[i])
-                        sets.append(own)
-                        side.append(int(block[i] != key[1]))
+            for i, own in _sets(batch, k):
+                if keys[i] != key:
+                    yield from flush()
+                    key, ids, sets, side = keys[i], [], [], []
+                if len(own):
+                    ids.append(doc[i])
+                    sets.append(own)
+                    side.append(int(block[i] != key[1]))
         yield from flush()
 
     return run
 
 
+def _star_links(docs: DataFrame, pairs: DataFrame, k: int, percent: int, block_shingles: int) -> DataFrame:
+    """Confirmed links of pairs (center, node, n_shingles)."""
+    slices = pairs.groupBy("center").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("slices"))
+    nodes = pairs.join(slices, "center").select(F.col("node").alias("doc_id"), "center", F.pmod(F.xxhash64("node"), "slices").cast("int").alias("slice"), F.lit(False).alias("is_center"))
+    centers = slices.select(F.col("center").alias("doc_id"), "center", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("is_center"))
+    # written, so that Spark knows the size of the side and shuffles the texts only where it is large
+    asked = materialize(nodes.unionByName(centers))
+    fetched = docs.join(asked, "doc_id").select("center", "slice", "is_center", "doc_id", "text")
+    return fetched.repartition("center", "slice").sortWithinPartitions("center", "slice", F.desc("is_center")).mapInArrow(_confirm_stars(k, percent), "u long, v long")
+
+
+def _open_links(docs: DataFrame, members: DataFrame, components: DataFrame, k: int, percent: int, block_shingles: int) -> DataFrame:
+    """Confirmed links between the components that meet in a bucket; members: (bucket, node, n_shingles)."""
+    known = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = known.groupBy("bucket", "component").agg(F.sum("n_shingles").alias("n"))
+    # the largest component is told apart from the odd ones; a bucket of one component is done
+    shape = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    shape = materialize(shape.where("parts > 1").select(
+        "bucket", "main", F.ceil((F.col("n") - F.col("main_n")) / block_shingles).cast("int").alias("odd_blocks"), F.ceil(F.col("main_n") / block_shingles).cast("int").alias("main_blocks")))
+    odd = F.col("component") != F.col("main")
+    spread = F.xxhash64("node")
+    placed = known.join(shape, "bucket").select(
+        F.col("node").alias("doc_id"), "bucket",
+        F.when(odd, F.pmod(spread, "odd_blocks")).otherwise(F.col("odd_blocks") + F.pmod(spread, "main_blocks")).cast("int").alias("block"),
+        F.when(odd, F.col("odd_blocks") + F.col("main_blocks")).otherwise(F.col("odd_blocks")).alias("others"))
+    asked = materialize(placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select(
+        "doc_id", "bucket", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "block"))
+    keys = ["bucket", "block_a", "block_b"]
+    return docs.join(asked, "doc_id").select(*keys, "block", "doc_id", "text").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_confirm_blocks(k, percent), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = BAND_ROWS, miss: float = MISS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text, ...).
 
@@ -205,23 +278,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     sets = nodes.where("n_shingles > 0 and doc_id is not null").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("node"))
     sets = materialize(sets)
     reps = nodes.join(sets.select("set_hi", "set_lo", F.col("node").alias("doc_id")), ["set_hi", "set_lo", "doc_id"], "left_semi")
-    banded = reps.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "bucket"))
+    banded = reps.select(F.col("doc_id").alias("node"), "n_shingles", F.explode("bands").alias("bucket"))
     # written, so that the join has a shuffle of its own, which Spark can split at a hot bucket
-    stars = materialize(banded.groupBy("band", "bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    coarse = connected_components(banded.join(stars, ["band", "bucket"]).select(F.col("node").alias("u"), F.col("least").alias("v")))
-    sized = materialize(coarse.join(reps.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles")), "node"))
-    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / block_shingles).alias("blocks"))
-    placed = sized.join(blocks, "component").select(
-        F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")
-    )
-    # placed has no bound on its size: a merge join at every size
-    fetched = docs.hint("merge").join(placed, "doc_id").select(
-        "cluster", "doc_id", "block", "text",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda other: F.struct(F.least("block", other).alias("a"), F.greatest("block", other).alias("b")))).alias("p"),
-    ).select("cluster", F.col("p.a").alias("block_a"), F.col("p.b").alias("block_b"), "block", "doc_id", "text")
-    keys = ["cluster", "block_a", "block_b"]
-    links = fetched.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_confirm(k, percent), "u long, v long")
-    groups = connected_components(links)
+    stars = materialize(banded.groupBy("bucket").agg(F.min(F.struct("node", "n_shingles")).alias("least"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("least.node").alias("center"), F.col("least.n_shingles").alias("center_n")))
+    members = materialize(banded.join(stars, "bucket").where("node <> center"))
+    near_in_size = 100 * F.least("n_shingles", "center_n") >= percent * F.greatest("n_shingles", "center_n")
+    links = materialize(_star_links(docs, members.where(near_in_size).select("center", "node", "n_shingles").distinct(), k, percent, block_shingles))
+    odd_links = _open_links(docs, members.select("bucket", "node", "n_shingles"), connected_components(links), k, percent, block_shingles)
+    groups = connected_components(links.unionByName(odd_links))
     known = sets.join(groups, "node", "left").select("set_hi", "set_lo", F.coalesce("component", "node").alias("component_id"))
     return nodes.select("doc_id", "n_shingles", "set_hi", "set_lo").join(known, ["set_hi", "set_lo"], "left").select(
         "doc_id", "n_shingles",

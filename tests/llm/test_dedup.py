@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from cairn.llm.near_dedup import band_count, near_duplicates, superminhash
 from cairn.llm.substring_dedup import remove_known_windows
-from cairn.llm.suffix_dedup import remove_repeats
-from cairn.llm.textkit import mix64
+from cairn.llm.suffix_dedup import earlier_windows, remove_repeats
+from cairn.llm.textkit import BYTE_VALUES, Ranges, anchored_windows, mix64
 
 import numpy as np
 
@@ -85,13 +85,63 @@ def test_hot_anchors_give_the_same_result(spark):
     assert got == brute.remove_repeats(data, 100)
 
 
-def test_remove_repeats_of_odd_rows(spark):
+@pytest.mark.parametrize("parts", [1, 3])
+def test_remove_repeats_of_odd_rows(spark, parts):
     text = "".join(chr(97 + i * i % 26) for i in range(300))
-    got = sorted((str(r.doc_id), r.n_removed) for r in remove_repeats(frame(spark, [(None, text), (3, text), (3, text), (4, text)])).collect())
+    got = sorted((str(r.doc_id), r.n_removed) for r in remove_repeats(frame(spark, [(None, text), (3, text), (3, text), (4, text)]).repartition(parts)).collect())
     assert got == [("3", got[0][1]), ("3", got[0][1]), ("4", 300), ("None", 0)]
     assert remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize("hot", [2, 2000])
+def test_rows_that_repeat_a_doc_id_lose_the_same(spark, parts, hot):
+    rng = random.Random(5)
+    a, b, x = ("".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(3))
+    data = [(1, b + a), (3, x + a), (3, x + a), (3, a + x), (4, x + a + x)]
+    got = sorted((r.doc_id, r.n_removed) for r in remove_repeats(frame(spark, data).repartition(parts), hot_members=hot).collect())
+    assert got == [(1, 0), (3, 150), (3, 150), (3, 150), (4, 450)]
+
+
+def brute_later(texts, docs, rows, length):
+    found = set()
+    for i, t in enumerate(texts):
+        for j in range(len(t) - length + 1):
+            w = t[j : j + length]
+            if any(docs[k] < docs[i] and w in u for k, u in enumerate(texts)) or any(rows[k] == rows[i] and w in u for k, u in enumerate(texts[:i])) or w in t[: j + length - 1]:
+                found.add((i, j))
+    return found
+
+
+def test_streamed_matching_statistics_match_brute_force():
+    rng = random.Random(9)
+    for n in (1, 2, 7, 40):
+        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(9, 30))) for _ in range(n)] + [b"a" * 20, b"ab" * 9]
+        docs = sorted(rng.randrange(6) for _ in texts)
+        rows = [2 * d + (i % 2 if d % 2 else 0) for i, d in enumerate(docs)]
+        order = sorted(range(len(texts)), key=lambda i: (docs[i], rows[i]))
+        docs, rows = [docs[i] for i in order], [rows[i] for i in order]
+        text, start = earlier_windows(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(list(map(len, texts))), np.array(docs), np.array(rows), 9)
+        assert set(zip(text.tolist(), start.tolist())) == brute_later(texts, docs, rows, 9)
+
+
+def test_long_texts_are_cut_into_the_same_runs():
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 101, 200_000, dtype=np.uint8)
+    text[5000:8000] = 97
+    text[150_000:152_000] = text[10_000:12_000]
+    ptr = np.array([0, 0, 30, 190_000, 190_000, 200_000])
+    whole = anchored_windows(text, ptr, 100, 40, BYTE_VALUES)
+    row, start, count, _, hashed, place = whole
+    assert (np.diff(start) >= 0).all() and count.sum() == sum(max(0, b - a - 99) for a, b in zip(ptr, ptr[1:]))
+    assert (start + count - 1 <= place).all() and (place - start <= 60).all()
+    at = rng.integers(0, len(start), 200)
+    assert (hashed[at] == Ranges(text, BYTE_VALUES).hash(start, start + count + 99)[at]).all()
+    assert all(hashed[i] == Ranges(text[start[i] : start[i] + count[i] + 99], BYTE_VALUES).hash(np.array([0]), np.array([count[i] + 99]))[0] for i in at)
+    again = {(a + 140_000, n) for a, n in zip(start[(start > 10_100) & (start < 11_700)], count[(start > 10_100) & (start < 11_700)])}
+    assert again <= set(zip(start.tolist(), count.tolist()))
+
+
 def test_remove_windows_matches_brute_force(spark):
     data = noisy_rows()
     got = {r.doc_id: tuple(r)[1:] for r in remove_known_windows(frame(spark, data)).collect()}
@@ -106,3 +156,20 @@ def test_documents_table(spark):
     assert {r.doc_id: tuple(r)[1:] for r in remove_known_windows(docs).collect()} == brute.remove_windows(rows, 13)
     near = near_duplicates(docs.withColumn("extra", F.lit(1)), 3, 85).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near} == brute.near_groups(rows, 3, 85)
+
+
+def test_odd_nodes_of_a_hot_bucket(spark):
+    """Near copies of one text, some too far from all others to link with the centre, in blocks of few shingles."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    data = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 3, 4, 5])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        data.append((i, " ".join(w)))
+    rng.shuffle(data)
+    data = [(n * 7 + 1, t) for n, (_, t) in enumerate(data)]
+    for block in (400_000, 700):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, data), 3, 85, block_shingles=block).collect()}
+        assert got == brute.near_groups(data, 3, 85)
