@@ -5,28 +5,24 @@ hash of each window, so an item window that occurs in a document has the same fi
 there: every shared span of a window or more is found. Consecutive document windows with the
 same fingerprint make one row, which carries just the words that those windows span; the
 rows meet the benchmark's fingerprints in a join, and hits are extended and confirmed word by
-word. The document side isn't shuffled if the benchmark's side is small enough to broadcast.
+word. Texts are cut into words once: a row without a span carries each document's number of words past
+the same join. Texts aren't shuffled if the benchmark's side is small enough to broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii, table
+from .mixing import let
+from .shared import lower_ascii, materialize, table
 
 WINDOW, GRAM = 10, 6
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Fingerprint rows of the benchmark up to which its side is broadcast; beyond, Spark shuffles both sides.
-BROADCAST_ROWS = 200_000
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value evaluated once however often body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+#: Fingerprint rows and bytes of the benchmark up to which its side is broadcast; beyond, Spark shuffles both sides.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Fixed value: the fingerprint of rows that carry a document's number of words.
+COUNT_ROW = 0
 
 
 def item_words(text: Column) -> Column:
@@ -77,41 +73,64 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
         short.select(F.xxhash64("length", "window").alias("fp"), "item", "length", "window")).distinct()
 
 
+def _covered() -> Column:
+    """Words in the spans of `found`, each counted once."""
+    return F.aggregate(
+        F.array_sort("found"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
+        lambda acc, x: F.struct((acc.n + F.greatest(F.lit(0), x.stop - F.greatest(acc.upto, x.start))).alias("n"), F.greatest(acc.upto, x.stop).alias("upto")),
+        lambda acc: acc.n.cast("long"))
+
+
+def hits(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, th, copies, n_words, n_hit, n_items, items_sha256, contaminated) for each distinct (doc_id, text) of docs; th is xxhash64 of the text."""
+    windows = materialize(benchmark_windows(items))
+    size = windows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("window") + F.octet_length("item") + 32), F.lit(0)).alias("bytes"),
+                       F.array_sort(F.collect_set(F.when(F.col("length") < WINDOW, F.col("length")))).alias("short")).first()  # nine lengths at most
+    known = windows.unionByName(docs.sparkSession.range(1).select(F.lit(COUNT_ROW).cast("long").alias("fp"), F.lit(None).cast("string").alias("item"), F.lit(0).alias("length"), F.lit(None).cast("string").alias("window")))
+    if size["rows"] <= broadcast_rows and size["bytes"] <= BROADCAST_BYTES:
+        known = F.broadcast(known)
+    spans = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(let(item_words(F.coalesce("text", F.lit(""))), lambda w: F.concat(
+        F.array(F.struct(F.lit(COUNT_ROW).cast("long").alias("fp"), F.size(w).alias("at"), F.lit(None).cast("string").alias("span"))),
+        _runs(w), *[_short(w, n) for n in size["short"]]))).alias("x")).select("doc_id", "th", "x.*")
+    starts = let(F.split("span", " "), lambda w: F.filter(
+        F.transform(_upto(F.size(w) - F.col("length")), lambda i: F.when(_span(w, i, F.col("length")) == F.col("window"), F.col("at") + i)),
+        lambda x: x.isNotNull()))
+    counts = F.col("item").isNull()
+    met = spans.join(known, "fp").where(F.col("span").isNull() == counts).select(
+        "doc_id", "th", "item", "length", F.when(counts, F.col("at")).alias("words"), F.explode(F.when(counts, F.array(F.lit(None).cast("int"))).otherwise(starts)).alias("start"))
+    return met.groupBy("doc_id", "th").agg(
+        F.count(F.when(counts, 1)).alias("copies"), F.max("words").cast("long").alias("n_words"),
+        F.collect_set(F.when(~counts, F.struct("start", (F.col("start") + F.col("length")).alias("stop")))).alias("found"), F.array_sort(F.collect_set("item")).alias("items"),
+    ).select("doc_id", "th", "copies", "n_words", _covered().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+             F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("found") > 0).alias("contaminated"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS, keep: list[str] | None = None) -> DataFrame:
     """docs (its columns `keep`, default all) with n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit if it lies in an occurrence of any window of any item; an item of fewer than
     WINDOW words, but not none, is one window. Null and empty texts have no words and no hits.
     Items with a null item_id or without words are no items; rows that repeat an item_id are one
-    item. Repeated documents each get a row. Columns of docs with the names above are replaced.
+    item. Repeated documents each get a row; texts are taken whole, at any length. An empty table gives
+    an empty result. Columns of docs with the names above are replaced.
     """
     made = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    windows = benchmark_windows(items).cache()
-    short = sorted(r.length for r in windows.where(F.col("length") < WINDOW).select("length").distinct().collect())  # nine values at most
-    known = F.broadcast(windows) if windows.limit(broadcast_rows + 1).count() <= broadcast_rows else windows
-    spans = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.explode(let(item_words(F.col("text")), lambda w: F.concat(
-        _runs(w), *[_short(w, n) for n in short]))).alias("x")).select("doc_id", "th", "x.*")
-    hits = spans.join(known, "fp").select("doc_id", "th", "item", "length", F.explode(let(F.split("span", " "), lambda w: F.filter(
-        F.transform(_upto(F.size(w) - F.col("length")), lambda i: F.when(_span(w, i, F.col("length")) == F.col("window"), F.col("at") + i)),
-        lambda x: x.isNotNull()))).alias("start"))
-    covered = F.aggregate(
-        F.array_sort("found"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
-        lambda acc, x: F.struct((acc.n + F.greatest(F.lit(0), x.stop - F.greatest(acc.upto, x.start))).alias("n"), F.greatest(acc.upto, x.stop).alias("upto")),
-        lambda acc: acc.n.cast("long"))
-    found = hits.groupBy("doc_id", "th").agg(
-        F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("stop"))).alias("found"), F.array_sort(F.collect_set("item")).alias("items"),
-    ).select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), covered.alias("hit"), "items")
-    rows = docs.select(F.struct(*[c for c in keep or docs.columns if c not in made]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"),
-                       F.coalesce(F.regexp_count("text", F.lit(CASED_WORD)), F.lit(0)).cast("long").alias("n_words"))
-    return rows.join(found, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left").select(
-        "row.*", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.coalesce("items", F.array().cast("array<string>")), ","), 256).alias("items_sha256"),
-        F.col("hit").isNotNull().alias("contaminated"),
-    )
+    found = hits(docs, items, broadcast_rows)
+    if keep == ["doc_id"]:
+        return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", *made)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns if c.lower() not in made]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+    return rows.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("th") == F.col("text_hash"))).select("row.*", *made)
+
+
+def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows of docs without any window of an item, with the columns of docs and their own values, whatever their names."""
+    # written, so that Spark knows its size and shuffles the texts only where it is large
+    bad = materialize(hits(docs, items).where("contaminated").select(F.col("doc_id").alias("id"), "th")).alias("bad")
+    return docs.alias("docs").join(bad, F.col("docs.doc_id").eqNullSafe(F.col("bad.id")) & (F.xxhash64("docs.text") == F.col("bad.th")), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits of all documents (see contamination)."""
     return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), keep=["doc_id"])
 
 

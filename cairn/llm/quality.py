@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from .shared import bounded_batches, table
+from .shared import aside, bounded_batches, fresh, table
 from .textkit import Ranges, Words, cover, text_slices
 
 #: Limits from a length in bytes on: (length, largest ratio). Prose sits well inside.
@@ -98,12 +98,12 @@ def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _rules(columns: list[str]):
+def _rules(columns: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             kept_columns = batch.select(columns)
-            for at, end, data, offsets in text_slices(batch, "_text"):
+            for at, end, data, offsets in text_slices(batch, text):
                 words = Words(data, offsets)
                 n = words.counts()
                 inside = np.zeros(len(data) + 1, np.int8)
@@ -139,8 +139,15 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     made = [f.split()[0] for f in FIELDS.split(", ")]
     columns = [c for c in keep or docs.columns if c not in made]
     schema = docs.select(*columns).schema
-    source = docs.select(*columns, docs["text"].cast("string").alias("_text"))
-    return source.mapInArrow(_rules(columns), StructType([*schema.fields, *StructType.fromDDL(FIELDS).fields]))
+    text = fresh("_text", columns)
+    source = docs.select(*columns, docs["text"].cast("string").alias(text))
+    return source.mapInArrow(_rules(columns, text), StructType([*schema.fields, *StructType.fromDDL(FIELDS).fields]))
+
+
+def good_documents(docs: DataFrame) -> DataFrame:
+    """Rows of docs that the rules keep, with the columns of docs and their own values, whatever their names."""
+    safe, back = aside(docs, [f.split()[0] for f in FIELDS.split(", ")])
+    return back(quality_rules(safe).where("kept"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
