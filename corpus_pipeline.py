@@ -1,8 +1,14 @@
 """Corpus preparation over `documents`: quality rules, near-duplicate removal, benchmark
 decontamination, mixing sources to target weights, sharding.
 
-Each stage takes all rows its predecessor kept, and returns the columns of `documents`; the last
-adds where each row goes. Near-duplicate and mixing stages can't be expressed in SQL together
+Each stage takes all rows its predecessor kept, and returns the columns of `documents` with their own
+values, whatever other columns the table has; the last adds where each row goes and replaces columns
+of those names. Texts are taken whole at any length.
+
+Null, empty and blank texts have fewer than ten words, so they go at the first stage. Null doc_ids
+and sources are ordinary rows. Rows that repeat a doc_id and text are alike at every stage and stay
+together: of a group of near-duplicates all rows of the smallest doc_id stay. An empty table runs
+through and gives an empty result. Near-duplicate and mixing stages can't be expressed in SQL together
 (groups are connected components), so ORACLE_SQL is None and the tests compare with a
 brute-force version.
 """
@@ -11,10 +17,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.decontam import contamination
+from cairn.llm.decontam import clean_documents
 from cairn.llm.mixing import training_order
 from cairn.llm.near_dedup import near_duplicates
-from cairn.llm.quality import quality_rules
+from cairn.llm.quality import good_documents
 from cairn.llm.shared import materialize
 from cairn.llm.sharding import shard_documents
 
@@ -23,7 +29,7 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    return good_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return contamination(docs, items).where("not contaminated").select(*docs.columns)
+    return clean_documents(docs, items)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
