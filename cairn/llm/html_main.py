@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,32 +29,45 @@ BIAS, PER_LOG_WORD, LINKED, ARTICLE, CONTENT_NAME, HEADING, BOILER_TAG, BOILER_N
 ADJACENT, SAME_PARENT = 0.4, 0.9
 
 # Elements by their role in a page, and words in class, id and role that name a part.
-RAW = frozenset("script style noscript template textarea title svg math iframe object select option canvas audio video head".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())  # without markup inside, up to their end tag
+UNENDED_RAW = frozenset("script style".split())  # without an end tag these run to the end of the page
+SKIPPED = frozenset("noscript template svg object select option datalist canvas audio video".split())  # elements that show no text of the page
+FOREIGN = frozenset("svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form
  h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul""".split())
 BOILER_TAGS = frozenset("nav footer aside form button menu dialog fieldset label".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CLOSED_BY_BLOCK = frozenset(["p"])
-CLOSES_SAME = frozenset("li dt dd tr td th option a".split())
+#: What a start tag ends, unless an element of the second set lies between.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}), "a": ({"a"}, BLOCK),
+}
 BOILER_NAMES = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs
  sidebar side aside widget related recommended header masthead topbar footer foot copyright colophon contentinfo complementary search form login signup subscribe
  newsletter cookie cookies consent gdpr notice notification alert popup modal overlay comment comments commentlist reply replies respond disqus discussion
  share sharing social pagination pager toolbar skip""".split())
+#: Names that say little about an article or a part that is also named as content.
+WEAK_NAMES = frozenset("search share sharing foot footer header banner notice alert skip promo discussion replies reply".split())
 CONTENT_NAMES = frozenset("article content post entry story main body text hentry maincontent".split())
 
 # quotes count right behind an equals sign only, and what is matched isn't given back, so no page takes more than a few passes
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 NAME = re.compile(r"[a-z0-9]+")
+END_TAG = re.compile(r"</([a-zA-Z][^\s/<>]*)")
+SLASH = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     tag: str
     number: int
     score: float  # what this element and those around it say of the blocks inside
     article: bool
+    skipped: bool  # its text isn't shown
+    block: Element | None  # the nearest block-level element, itself included
+    outer: int  # number of the block-level element around that one
 
 
 @dataclass
@@ -74,7 +87,8 @@ class Block:
 
 
 def _element(tag: str, attributes: str, number: int, above: Element | None) -> Element:
-    score, article = (above.score, above.article) if above else (0.0, False)
+    score, article, skipped = (above.score, above.article, above.skipped) if above else (0.0, False, False)
+    skipped = skipped or tag in SKIPPED
     if tag in ("article", "main") and not article:
         score, article = score + ARTICLE, True
     if tag in BOILER_TAGS or (tag == "header" and not article):
@@ -82,86 +96,119 @@ def _element(tag: str, attributes: str, number: int, above: Element | None) -> E
     if attributes and "=" in attributes or " hidden" in attributes:
         values = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
         names = set(NAME.findall(f"{values.get('class', '')} {values.get('id', '')} {values.get('role', '')}".lower()))
-        if tag not in ("html", "body") and names & BOILER_NAMES:
+        content = names & CONTENT_NAMES
+        boiler = names & BOILER_NAMES
+        if tag in ("article", "main") or content:
+            boiler = boiler - WEAK_NAMES
+        if tag not in ("html", "body") and boiler:
             score += BOILER_NAME
-        elif names & CONTENT_NAMES and not article:
+        elif content and not article:
             score += CONTENT_NAME
         style = values.get("style", "").replace(" ", "").lower()
         if "display:none" in style or "visibility:hidden" in style or values.get("aria-hidden") == "true" or re.search(r"\shidden(?=[\s=/]|$)", attributes):
             score += HIDDEN
-    return Element(tag, number, score, article)
-
+            skipped = skipped or tag not in BLOCK
+    element = Element(tag, number, score, article, skipped, above.block if above else None, above.outer if above else 0)
+    if tag in BLOCK and not (above and above.skipped):
+        element.outer, element.block = (above.block.number if above and above.block else 0), element
+    return element
+
+
+class Page:
+    """Blocks of text of a page, in page order. Each token is handled in constant time, however deep tags are nested."""
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.stack: list[Element] = []
+        self.where: defaultdict[str, list[int]] = defaultdict(list)  # tag -> places in the stack
+        self.parts: list[str] = []
+        self.linked = self.number = 0
+        last_end = {m[1].lower(): m.start() for m in END_TAG.finditer(page)}
+        at = 0
+        while (m := TOKEN.search(page, at)) is not None:
+            self.add(page[at : m.start()])
+            at = m.end()
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                self.end(tag)
+            elif tag in RAW:
+                if last_end.get(tag, -1) >= at:
+                    found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+                    at = found.end() if found else at
+                elif tag in UNENDED_RAW:
+                    at = len(page)
+            else:
+                self.start(tag, m[3], tag in SKIPPED and tag != "option" and last_end.get(tag, -1) < at)
+        self.add(page[at:])
+        self.flush()
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks of text in page order."""
-    out: list[Block] = []
-    stack: list[Element] = []
-    parts: list[str] = []
-    links = linked = at = number = 0
-
-    def flush() -> None:
-        nonlocal linked
-        text = " ".join("".join(parts).split())
-        if text:
-            holder = next((e for e in reversed(stack) if e.tag in BLOCK), None)
-            outer = [e for e in stack if e.tag in BLOCK]
-            parent = outer[-2].number if len(outer) > 1 else 0
-            out.append(Block(text, parent, holder.score if holder else (stack[-1].score if stack else 0.0), min(1.0, linked / len(text)), bool(holder) and holder.tag in HEADINGS))
-        parts.clear()
-        linked = 0
-
-    def add(text: str) -> None:
-        nonlocal linked
+    def flush(self) -> None:
+        text = " ".join("".join(self.parts).split())
         if text:
+            top = self.stack[-1] if self.stack else None
+            holder = top.block if top else None
+            score = holder.score if holder else (top.score if top else 0.0)
+            self.blocks.append(Block(text, top.outer if top else 0, score, min(1.0, self.linked / len(text)), bool(holder) and holder.tag in HEADINGS))
+        self.parts.clear()
+        self.linked = 0
+
+    def add(self, text: str) -> None:
+        if text and not self.skipping():
             text = html.unescape(text)
-            parts.append(text)
-            if links:
-                linked += len(" ".join(text.split()))
-
-    def close(tag: str) -> None:
-        nonlocal links
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag == tag:
-                if any(e.tag in BLOCK for e in stack[i:]):
-                    flush()
-                links -= sum(e.tag == "a" for e in stack[i:])
-                del stack[i:]
-                return
-
-    while (m := TOKEN.search(page, at)) is not None:
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            close(tag)
-            if tag in BLOCK:
-                flush()
-            continue
-        if tag in RAW and not m[3].endswith("/"):
-            if tag == "head":  # its parts are skipped one by one: many pages never close it
-                continue
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
+            self.parts.append(text)
+            if self.where["a"]:
+                self.linked += len(" ".join(text.split()))
+
+    def skipping(self) -> bool:
+        return bool(self.stack) and self.stack[-1].skipped
+
+    def pop(self) -> None:
+        self.where[self.stack.pop().tag].pop()
+
+    def close(self, tag: str) -> None:
+        """End the innermost element of this tag and all inside it."""
+        if self.where[tag]:
+            place = self.where[tag][-1]
+            if self.stack[-1].block is not (self.stack[place - 1].block if place else None):
+                self.flush()
+            while len(self.stack) > place:
+                self.pop()
+
+    def end(self, tag: str) -> None:
+        self.close(tag)
+        if tag in BLOCK and not self.skipping():
+            self.flush()
+
+    def start(self, tag: str, attributes: str, unended: bool) -> None:
+        if self.where["option"] and tag not in ("option", "optgroup") or tag == "option":
+            self.close("option")
         if tag in ("br", "wbr"):
-            parts.append(" " if tag == "br" else "")
-            continue
+            if tag == "br":
+                self.add(" ")
+            return
         if tag in BLOCK:
-            flush()
-            if any(e.tag == "p" for e in stack):
-                close("p")
-        if tag in CLOSES_SAME and stack and any(e.tag == tag for e in stack[-3:]):
-            close(tag)
-        if tag in VOID or m[3].endswith("/"):
-            continue
-        number += 1
-        stack.append(_element(tag, m[3], number, stack[-1] if stack else None))
-        links += tag == "a"
-    add(page[at:])
-    flush()
-    return out
+            self.close("svg")  # such a tag ends foreign content
+            if not self.skipping():
+                self.flush()
+                self.close("p")
+        if tag in ENDS:
+            own, between = ENDS[tag]
+            place = max((self.where[t][-1] for t in own if self.where[t]), default=-1)
+            if place >= 0 and not any(self.where[t] and self.where[t][-1] > place for t in between):
+                self.close(self.stack[place].tag)
+        # a slash ends an element only in foreign content, and only where it isn't part of a value
+        if tag in VOID or unended or (tag in FOREIGN or self.where["svg"] or self.where["math"]) and SLASH.search(attributes):
+            return
+        self.number += 1
+        self.where[tag].append(len(self.stack))
+        self.stack.append(_element(tag, attributes, self.number, self.stack[-1] if self.stack else None))
+
+
+def blocks_of(page: str) -> list[Block]:
+    """Blocks of text in page order."""
+    return Page(page).blocks
 
 
 def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -255,7 +302,10 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     Character references are decoded, white space inside a block becomes one space, blocks are
     trimmed and joined by one newline. Null or empty html, or a page without content, gives an
-    empty text. Any page_id and url may be null or repeated; other columns are ignored.
+    empty text. Pages are taken whole at any length and depth; an element that is never ended takes nothing
+    else with it, but for script and style, as in browsers. Any page_id and url may be null or repeated,
+    and repeated rows get equal texts; other columns are ignored, so their names can't clash. An empty table
+    gives an empty result.
     """
     bounded_batches(pages.sparkSession)
     kinds = dict(pages.dtypes)
@@ -264,4 +314,5 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
 
 def op7_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages (see extract_main_text)."""
     return extract_main_text(table(spark, sf_dir, "pages"))

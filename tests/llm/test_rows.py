@@ -1,5 +1,6 @@
 """Operators that judge each row alone, mixing, decontamination and sharding."""
 
+import time
 import zlib
 from collections import defaultdict
 
@@ -195,6 +196,31 @@ def test_odd_markup():
     assert main_text("<article><p>One</p><script>if (a < b) { '</p>' }</script><p>Two") == "One\nTwo"
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<datalist><option value=a><option value=b></datalist><article><p>One two three four five.", "One two three four five."),
+    ("<article><p>A b c d e f g.<svg><path d=1><p>More text here now ok.</article>", "A b c d e f g.\nMore text here now ok."),
+    ("<article><p>A <a href=/>link</a> and <script src=//x/></script>text goes on.</p><select><option>x<p>Other text is here.</article>", "A link and text goes on.\nOther text is here."),
+    ("<article><p>One two <object>three four five six seven.</p></article>", "One two three four five six seven."),
+    ("<article><p>One two <video><p>fallback</p></video>three four five six seven.</p></article>", "One two three four five six seven."),
+    ("<article class='post share'><p>One two three four five six seven.</p><ul class=share><li>Share</ul></article>", "One two three four five six seven."),
+    ("<article><p>Where x is <math><mi>y</mi></math> and <svg width=1 /> four five six.</article>", "Where x is y and four five six."),
+    ("<article><p>One two three four five.<textarea>never ended<p>Six seven eight nine ten.</article>", "One two three four five.never ended\nSix seven eight nine ten."),
+    ("<nav><ul><li>a<ul><li>b</ul><li>c</ul></nav><article><p>One two three four five six.</article>", "One two three four five six."),
+])
+def test_elements_that_end_late_or_never(page, text):
+    assert main_text(page) == text
+
+
+def test_deep_pages_take_linear_time():
+    def took(n):
+        began = time.perf_counter()
+        main_text("<div><p>" * n + "text")
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(40_000) < 20 * took(5000)
+
+
 def test_minimum_cut_is_cheapest():
     rng = np.random.default_rng(3)
     for _ in range(30):
