@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from cairn.functions import pose as P
 from cairn.operators import clouds
 from cairn.sources import formats
-from cairn.sources.shared import shared_dir
+from cairn.sources.shared import scratch_path
 from cairn.streaming import robots as R
 
 from .views import edges, keyframes, points, r6, scan_frames, with_views
@@ -20,7 +19,7 @@ def _stream(spark, d, topic):
 
 
 def _path(spark):
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return scratch_path(spark)
 
 
 def stream_watermark_late(spark, d):

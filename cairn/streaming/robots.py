@@ -8,7 +8,6 @@ before what a robot has had is an error, as its results can't be taken back.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cairn.sources.shared import shared_dir
+from cairn.sources.shared import scratch_path
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -35,7 +34,7 @@ def message_stream(spark: SparkSession, path: str, files_per_trigger: int | None
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process what is there, and return the result as a table."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    base = scratch_path(spark)
     stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
