@@ -23,6 +23,8 @@ from .textkit import BYTE_VALUES, LOWER, text_slices
 GRAMS, BUCKETS, WIDTH, EPOCHS, RATE, SAMPLE_PER_LANG = (2, 3, 4), 1 << 15, 16, 6, 2.0, 500
 #: Bytes of a text to learn from, at most: it bounds what the driver gathers. Scoring knows no such limit.
 SAMPLE_BYTES = 1 << 15
+#: Languages that are learned, the most frequent first, and rows of all of them together: these bound the sample too.
+MOST_LANGS, SAMPLE_ROWS = 1000, 40_000
 #: Part of the sample that sets temperature and rejection; share of its right answers that rejection may cost.
 VALIDATION, REJECT_RIGHT = 0.25, 0.01
 SLICE = 1 << 18
@@ -125,12 +127,14 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> LanguageModel
 def learn(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel | None:
     """Train on about `per_lang` rows for each language, chosen by hash among those not held out."""
     usable = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES) & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row for each language
+    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     if not counts:
         return None
+    per_lang = min(per_lang, SAMPLE_ROWS // len(counts))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, per_lang / n)])[F.col("lang")]
     chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20) < share)
-    rows = chosen.select("text", "lang").limit(2 * per_lang * len(counts)).toPandas()
+    # by hash as well, so that reruns agree where many rows share a doc_id and the limit bites
+    rows = chosen.select("text", "lang").orderBy(F.xxhash64("text", "lang")).limit(2 * per_lang * len(counts)).toPandas()
     # a fixed order, whatever order the rows came in
     pairs = sorted((t.encode(), lang) for t, lang in zip(rows["text"], rows["lang"], strict=True))
     return train([t for t, _ in pairs], [lang for _, lang in pairs])
@@ -164,7 +168,8 @@ def identify_languages(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Data
     letter, or if there was nothing to learn from. score is the calibrated probability.
     rejected tells answers below the calibrated threshold. Null doc_ids count as an empty string
     in the split. Repeated rows get equal answers; an empty table gives an empty result; other
-    columns are ignored.
+    columns are ignored, so their names can't clash. Texts are scored whole at any length, a very long one
+    by itself.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -175,4 +180,5 @@ def identify_languages(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Data
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents (see identify_languages)."""
     return identify_languages(table(spark, sf_dir, "documents"))

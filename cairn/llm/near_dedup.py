@@ -266,7 +266,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     Null or empty texts and texts without words have no shingles and link with nothing. Rows of
     a null doc_id get a null component_id, link with nothing and are kept. Rows that repeat a
     doc_id are one document in links and each get a result row. Other columns are ignored, so
-    their names can't clash. An empty table gives an empty result.
+    their names can't clash. A text of any length is one set; what is held of it is its words' hashes and
+    its shingles. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -294,4 +295,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of three-word shingle sets with a similarity of 0.85 or more, over all documents (see near_duplicates)."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)

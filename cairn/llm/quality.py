@@ -132,7 +132,7 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     n_repeat_words, base_failed, ratio, kept.
 
     Null and empty texts have no words, so they fail the base rule. Each row is judged alone, so
-    repeated rows get equal results. No shuffle; an empty table gives an empty result; columns
+    repeated rows get equal results; texts are judged whole at any length. No shuffle; an empty table gives an empty result; columns
     of docs with the names above are replaced.
     """
     bounded_batches(docs.sparkSession)
@@ -151,4 +151,5 @@ def good_documents(docs: DataFrame) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of all documents (see quality_rules)."""
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])

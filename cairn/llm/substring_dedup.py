@@ -109,7 +109,8 @@ def remove_known_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     removed; windows are judged on the input and never cross documents. Words are
     `[^\\x20\\x09-\\x0D]+`, unchanged. Null texts have no words. Rows of a null doc_id have no place
     in the order: nothing is removed from them or for them. Rows that repeat a doc_id are equally
-    early. Other columns are ignored. An empty table gives an empty result.
+    early. Other columns are ignored, so their names can't clash. A text beyond a chunk's size is a chunk alone and is
+    hashed in blocks. An empty table gives an empty result.
     """
     chunks = chunk_table(docs)
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
@@ -121,4 +122,5 @@ def remove_known_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 13-word windows of smaller doc_ids (see remove_known_windows)."""
     return remove_known_windows(table(spark, sf_dir, "documents"))

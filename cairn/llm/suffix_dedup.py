@@ -345,7 +345,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_members: int = HOT
     document, earlier start) is removed; strings are judged on the input. Null texts are empty.
     Rows of a null doc_id have no place in the order: nothing is removed from them or for them.
     Rows that repeat a doc_id are documents of their own, neither earlier than the other. Other
-    columns are ignored. An empty table gives an empty result.
+    columns are ignored, so their names can't clash. A text beyond a chunk's size is a chunk alone and is
+    hashed in blocks. An empty table gives an empty result.
     """
     chunks = chunk_table(docs)
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
@@ -359,4 +360,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_members: int = HOT
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 100-byte strings that start earlier (see remove_repeats)."""
     return remove_repeats(table(spark, sf_dir, "documents"))

@@ -233,8 +233,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
         return None
     share = F.when(F.col("toxic") > 0, F.lit(per_class / max(1, counts[1]))).otherwise(F.lit(per_class / max(1, counts[0])))
     # the choice is bounded, so it may be broadcast
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20) < share).limit(4 * per_class)
-    rows = docs.where(~held_out(F.col("doc_id")) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)).join(F.broadcast(chosen), "doc_id").select("text", "toxic").limit(8 * per_class).toPandas()
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20) < share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * per_class)
+    rows = docs.where(~held_out(F.col("doc_id")) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)).join(F.broadcast(chosen), "doc_id").select("text", "toxic").orderBy(F.xxhash64("text", "toxic")).limit(8 * per_class).toPandas()
     pairs = sorted(((t or "").encode(), int(x > 0)) for t, x in zip(rows["text"], rows["toxic"], strict=True))
     return train([t for t, _ in pairs], [x for _, x in pairs], tuple(max(1.0, counts[k] / per_class) for k in (0, 1))) if pairs else None
 
@@ -257,7 +257,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_P
     labels(doc_id, toxic, ...): the greatest label of a doc_id counts; null labels and rows held
     out (crc32 of doc_id mod 5 is 0) are never learned from. Null and empty texts get the score
     of an empty text. Without any label every score is 0. Repeated rows get equal scores; an
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored, so their names can't clash. Texts
+    are scored whole at any length, a very long one by itself.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -267,4 +268,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_P
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents (see score_toxicity)."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
