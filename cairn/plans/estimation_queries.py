@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -11,7 +13,7 @@ from cairn.functions import pose as P
 from cairn.operators import clouds, graph, motion, neighbours, registration, solve
 from cairn.operators.temporal import micros
 
-from .views import edges, imu, keyframes, points, r6, scan_frames, with_views
+from .views import edges, imu, keyframes, nodes, points, r6, scan_frames, with_views
 
 ICP = registration.IcpParams(max_dist=2.0)
 
@@ -60,18 +62,19 @@ def surface_normals(spark, d):
 
 
 def pose_graph(spark, d):
-    """Graphs with exact edges from disturbed places: optimization restores the distances to node 0."""
-    nodes = keyframes(spark, d).select("robot_id", F.col("kf_id").alias("node"), "x", "y")
-    shaken = nodes.withColumns({"x": F.col("x") + F.when(F.col("node") > 0, 0.1 * (F.col("node") % 3)).otherwise(0.0), "y": F.col("y") - F.when(F.col("node") > 0, 0.1 * (F.col("node") % 2)).otherwise(0.0)})
-    links = graph.optimizable(edges(spark, d), nodes).select("robot_id", "src", "dst", "tx", "ty")
-    return solve.optimize_graphs(shaken, links).select("robot_id", "node", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
+    """Graphs with exact edges from disturbed poses: optimization restores the poses relative to node 0."""
+    at = nodes(spark, d)
+    off = lambda k, step: F.when(F.col("node") > 0, step * (F.col("node") % k)).otherwise(0.0)
+    shaken = at.withColumn("pose", P.product(F.col("pose"), P.from_yaw(off(4, 0.05), off(3, 0.1), off(2, -0.1))))
+    out = solve.optimize_graphs(shaken, graph.optimizable(edges(spark, d), at).select("robot_id", "src", "dst", "pose"))
+    return out.select("robot_id", "node", *[(F.round(F.col("pose")[i], 3) + 0.0).alias(n) for i, n in ((3, "x"), (7, "y"), (0, "c"), (4, "s"))])
 
 
 def gyro_bias_gn(spark, d):
     """Bias of the turn rates against the headings between scans."""
     by = Window.partitionBy("robot_id").orderBy("frame_id")
     f = scan_frames(spark, d).withColumns({"hx": F.col("x") - F.lag("x").over(by), "hy": F.col("y") - F.lag("y").over(by)})
-    f = f.withColumn("heading", F.atan2("hy", "hx")).withColumn("seen", F.col("heading") - F.lag("heading").over(by)).where("seen is not null")
+    f = f.withColumn("heading", F.atan2("hy", "hx")).withColumn("seen", P.wrap_angle(F.col("heading") - F.lag("heading").over(by), math.pi)).where("seen is not null")
     turns = motion.imu_preintegrate(motion.imu_intervals(scan_frames(spark, d), imu(spark, d))).join(f.select("robot_id", "frame_id", "seen"), ["robot_id", "frame_id"])
     return solve.gyro_bias(turns).select("robot_id", r6("bias").alias("bias"), "n")
 
@@ -130,7 +133,7 @@ SQL = {
     "icp_pair": with_views("""SELECT DISTINCT cloud_id AS pair, true AS ok, round(-(0.05::DOUBLE * cos(0.02::DOUBLE) - 0.03::DOUBLE * sin(0.02::DOUBLE)), 4) + 0.0 AS tx,
   round(0.05::DOUBLE * sin(0.02::DOUBLE) + 0.03::DOUBLE * cos(0.02::DOUBLE), 4) + 0.0 AS ty, -0.02::DOUBLE AS tz, round(cos(0.02::DOUBLE), 4) AS r00, round(-sin(0.02::DOUBLE), 4) AS r10 FROM points"""),
     "surface_density": with_views(_KNN + "SELECT point_id, round(count(*) / (4 / 3.0::DOUBLE * pi() * pow(sqrt(max(d2)), 3)), 6) + 0.0 AS density FROM knn WHERE r <= 5 GROUP BY 1"),
-    "pose_graph": with_views("SELECT robot_id, kf_id AS node, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y FROM keyframes"),
+    "pose_graph": with_views("SELECT robot_id, kf_id AS node, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(cos(yaw), 3) + 0.0 AS c, round(sin(yaw), 3) + 0.0 AS s FROM keyframes"),
     "realtime_gaps": with_views("SELECT robot_id, round(max(gap), 6) + 0.0 AS gap FROM (SELECT robot_id, (epoch_us(stamp) - epoch_us(lag(stamp) OVER (PARTITION BY robot_id ORDER BY frame_id))) / 3.6e9::DOUBLE AS gap FROM scan_frames) GROUP BY 1"),
     "gravity_ba": with_views("SELECT robot_id, count(*) AS n, -9.81::DOUBLE AS gz, 9.81::DOUBLE AS length, 0.05::DOUBLE AS bias_x FROM imu GROUP BY 1"),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import pose as P
 from cairn.operators import clouds, fixes, graph, neighbours, registration
 
-from .views import edges, gps, imu, keyframes, points, r6, scan_frames, tf, with_views
+from .views import edges, gps, imu, keyframes, planar, points, r6, scan_frames, tf, with_views
 
 
 def gps_normalize(spark, d):
@@ -55,14 +55,14 @@ def loop_overlap_best(spark, d):
 def sample_neighbours(spark, d):
     """Two neighbours of each node, chosen by hash."""
     by = Window.partitionBy("robot_id", "src").orderBy(clouds.uniform(F.col("dst"), 5), "dst")
-    e = graph.insert_absent(edges(spark, d), edges(spark, d).select("robot_id", "src", (F.col("dst") + 2).alias("dst"), "tx", "ty", "reachable"))
+    e = graph.insert_absent(edges(spark, d), edges(spark, d).select("robot_id", "src", (F.col("dst") + 2).alias("dst"), "pose", "reachable"))
     return e.withColumn("n", F.row_number().over(by)).where("n <= 2").select("robot_id", "src", "dst")
 
 
 def reslam_anchor(spark, d):
-    """A new session's first keyframe linked to the nearest old one by an identity, both ways reachable."""
-    last = keyframes(spark, d).groupBy("robot_id").agg(F.max("kf_id").alias("old"))
-    return last.select("robot_id", F.explode(F.array(F.struct(F.col("old").alias("src"), (F.col("old") + 1).alias("dst")), F.struct((F.col("old") + 1).alias("src"), F.col("old").alias("dst")))).alias("e")).select("robot_id", "e.*", F.lit(0.0).alias("tx"), F.lit(0.0).alias("ty"), F.lit(True).alias("reachable"))
+    """A new session's first keyframe linked to the newest old one by an identity, both ways reachable."""
+    last = keyframes(spark, d).groupBy("robot_id").agg(F.max("kf_id").alias("old")).withColumn("new", F.col("old") + 1)
+    return graph.anchor_session(last).select("robot_id", "src", "dst", *planar(), "reachable")
 
 
 def batch_loop_closure(spark, d):
@@ -91,8 +91,8 @@ FROM halves WINDOW w AS (PARTITION BY robot_id ORDER BY stamp, event_id ROWS UNB
     "loop_overlap_best": with_views("""SELECT robot_id, kf_id, b.c AS cand_id, round(b.o, 6) + 0.0 AS overlap FROM (
   SELECT a.robot_id, a.kf_id, max_by({'c': b.kf_id, 'o': 1 / (1 + (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))}, (1 / (1 + (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), -b.kf_id)) AS b
   FROM keyframes a JOIN keyframes b ON a.robot_id = b.robot_id AND b.kf_id + 5 <= a.kf_id AND b.kf_id >= 1 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9 GROUP BY ALL) WHERE b.o >= 0.4::DOUBLE"""),
-    "sample_neighbours": with_views(""", more AS (FROM edges UNION ALL SELECT e.robot_id, e.src, e.dst + 2, e.tx, e.ty, e.reachable FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges o WHERE o.robot_id = e.robot_id AND o.src = e.src AND o.dst = e.dst + 2))
+    "sample_neighbours": with_views(""", more AS (FROM edges UNION ALL SELECT e.robot_id, e.src, e.dst + 2, e.x, e.y, e.yaw, e.reachable FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges o WHERE o.robot_id = e.robot_id AND o.src = e.src AND o.dst = e.dst + 2))
 SELECT robot_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY robot_id, src ORDER BY ((dst % 1073741824) * 2654435761 + 5 * 40503) % 4294967296, dst) AS n FROM more) WHERE n <= 2"""),
     "reslam_anchor": with_views(""", last AS (SELECT robot_id, max(kf_id) AS old FROM keyframes GROUP BY 1)
-SELECT robot_id, old AS src, old + 1 AS dst, 0.0::DOUBLE AS tx, 0.0::DOUBLE AS ty, true AS reachable FROM last UNION ALL SELECT robot_id, old + 1, old, 0.0, 0.0, true FROM last"""),
+SELECT robot_id, old AS src, old + 1 AS dst, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 1.0::DOUBLE AS c, 0.0::DOUBLE AS s, true AS reachable FROM last UNION ALL SELECT robot_id, old + 1, old, 0.0, 0.0, 1.0, 0.0, true FROM last"""),
 }

@@ -11,7 +11,7 @@ from cairn.sources import formats
 from cairn.sources.shared import scratch_path
 from cairn.streaming import robots as R
 
-from .views import edges, keyframes, points, r6, scan_frames, with_views
+from .views import PLANAR_SQL, edges, keyframes, planar, points, r6, scan_frames, with_views
 
 
 def _stream(spark, d, topic):
@@ -48,11 +48,11 @@ def stream_localize(spark, d):
 def xml_roundtrip(spark, d):
     """All edges as one topology file and back; ids are robot_id * 1000 + keyframe."""
     key = lambda c: F.col("robot_id") * 1000 + F.col(c)
-    e = edges(spark, d).select(key("src").alias("src"), key("dst").alias("dst"), P.from_yaw(F.lit(0.1), F.col("tx"), F.col("ty"), F.lit(0.0)).alias("pose"), "reachable")
+    e = edges(spark, d).select(key("src").alias("src"), key("dst").alias("dst"), "pose", "reachable")
     path = _path(spark)
     formats.write_topology(e, keyframes(spark, d).select(key("kf_id").alias("id")), path)
     back = formats.read_topology(spark, path)[1]
-    return back.select("src", "dst", r6(F.col("pose")[3]).alias("tx"), r6(F.col("pose")[7]).alias("ty"), r6(F.col("pose")[4]).alias("sine"), "reachable")
+    return back.select("src", "dst", *planar(), "reachable")
 
 
 def tum_roundtrip(spark, d):
@@ -90,7 +90,7 @@ SQL = {
     SELECT *, row_number() OVER w AS n, (epoch_us(stamp) - epoch_us(lag(stamp) OVER w)) / 3.6e9::DOUBLE AS dt FROM imu WINDOW w AS (PARTITION BY robot_id ORDER BY stamp, event_id))
   WINDOW w AS (PARTITION BY robot_id ORDER BY n))
 SELECT robot_id, event_id, round(sum(dv) OVER w, 6) + 0.0 AS speed, round(sum(dr) OVER w, 6) + 0.0 AS turn FROM s WHERE n > 3 WINDOW w AS (PARTITION BY robot_id ORDER BY n)"""),
-    "xml_roundtrip": with_views("SELECT robot_id * 1000 + src AS src, robot_id * 1000 + dst AS dst, round(tx, 6) + 0.0 AS tx, round(ty, 6) + 0.0 AS ty, round(sin(0.1::DOUBLE), 6) AS sine, reachable FROM edges"),
+    "xml_roundtrip": with_views(f"SELECT robot_id * 1000 + src AS src, robot_id * 1000 + dst AS dst, {PLANAR_SQL}, reachable FROM edges"),
     "tum_roundtrip": with_views("SELECT CAST(robot_id * 1000 + kf_id AS DOUBLE) AS time, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, 1.5::DOUBLE AS z, round(cos(kf_id * 0.1::DOUBLE), 6) + 0.0 AS cosine FROM keyframes"),
     "submap_read": with_views("SELECT cloud_id, point_id, round(x, 6) + 0.0 AS x FROM points WHERE cloud_id IN (2, 5)"),
     "yaml_chain": with_views("""SELECT cloud_id, point_id, round(CASE WHEN -nx * x - ny * y - nz * z < 0 THEN -nx ELSE nx END, 6) + 0.0 AS nx

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.functions import pose as P
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,23 +71,32 @@ def tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_frames(spark, sf_dir).select("robot_id", (F.col("frame_id") - 1).alias("kf_id"), "stamp", "x", "y")
+    return scan_frames(spark, sf_dir).select("robot_id", (F.col("frame_id") - 1).alias("kf_id"), "stamp", "x", "y", ((F.col("y") - 5) * 0.6).alias("yaw"))
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyframes as nodes of a graph, turned by their yaw."""
+    return keyframes(spark, sf_dir).select("robot_id", F.col("kf_id").alias("node"), P.from_yaw(F.col("yaw"), F.col("x"), F.col("y")).alias("pose"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both directions between consecutive keyframes; only the forward one is reachable."""
-    by = Window.partitionBy("robot_id").orderBy("kf_id")
-    ahead = keyframes(spark, sf_dir).select(
-        "robot_id", F.col("kf_id").alias("src"), (F.col("kf_id") + 1).alias("dst"),
-        (F.lead("x").over(by) - F.col("x")).alias("tx"), (F.lead("y").over(by) - F.col("y")).alias("ty"),
-    ).where("tx is not null")
+    """Both directions between consecutive keyframes, with rotations; only the forward one is reachable."""
+    by = Window.partitionBy("robot_id").orderBy("node")
+    ahead = nodes(spark, sf_dir).select("robot_id", F.col("node").alias("src"), (F.col("node") + 1).alias("dst"), "pose", F.lead("pose").over(by).alias("next")).where("next is not null")
+    step = P.relative(F.col("pose"), F.col("next"))
     both = F.explode(F.array(
-        F.struct("src", "dst", "tx", "ty", F.lit(True).alias("reachable")),
-        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), (-F.col("tx")).alias("tx"), (-F.col("ty")).alias("ty"), F.lit(False).alias("reachable")),
+        F.struct("src", "dst", step.alias("pose"), F.lit(True).alias("reachable")),
+        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), P.inverse(step).alias("pose"), F.lit(False).alias("reachable")),
     ))
     return ahead.select("robot_id", both.alias("e")).select("robot_id", "e.*")
 
 
+def planar(pose: Column = None) -> list[Column]:
+    """x, y, c, s of a pose about the z axis, rounded."""
+    pose = F.col("pose") if pose is None else pose
+    return [r6(pose[i]).alias(n) for i, n in ((3, "x"), (7, "y"), (0, "c"), (4, "s"))]
+
+
 def wgs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), (60 + (F.col("o_orderkey") % 900) / 10.0).alias("lon"), (1 + (F.col("o_custkey") % 540) / 10.0).alias("lat")
@@ -115,18 +126,22 @@ points AS (
 ), tf AS (
   SELECT robot_id, event_id, stamp, value AS tx, k::DOUBLE AS ty FROM messages WHERE topic = 'error'
 ), keyframes AS (
-  SELECT robot_id, frame_id - 1 AS kf_id, stamp, x, y FROM scan_frames
-), ahead AS (
-  SELECT robot_id, kf_id AS src, kf_id + 1 AS dst, lead(x) OVER w - x AS tx, lead(y) OVER w - y AS ty FROM keyframes WINDOW w AS (PARTITION BY robot_id ORDER BY kf_id)
+  SELECT robot_id, frame_id - 1 AS kf_id, stamp, x, y, (y - 5) * 0.6::DOUBLE AS yaw FROM scan_frames
+), ends AS (
+  SELECT a.robot_id, a.kf_id AS src, b.kf_id AS dst, b.kf_id > a.kf_id AS reachable FROM keyframes a JOIN keyframes b ON a.robot_id = b.robot_id AND abs(a.kf_id - b.kf_id) = 1
 ), edges AS (
-  SELECT robot_id, src, dst, tx, ty, true AS reachable FROM ahead WHERE tx IS NOT NULL
-  UNION ALL SELECT robot_id, dst, src, -tx, -ty, false FROM ahead WHERE tx IS NOT NULL
+  SELECT e.robot_id, src, dst, cos(a.yaw) * (b.x - a.x) + sin(a.yaw) * (b.y - a.y) AS x, cos(a.yaw) * (b.y - a.y) - sin(a.yaw) * (b.x - a.x) AS y, b.yaw - a.yaw AS yaw, reachable
+  FROM ends e JOIN keyframes a ON a.robot_id = e.robot_id AND a.kf_id = src JOIN keyframes b ON b.robot_id = e.robot_id AND b.kf_id = dst
 ), wgs AS (
   SELECT o_orderkey AS id, 60 + (o_orderkey % 900) / 10.0::DOUBLE AS lon, 1 + (o_custkey % 540) / 10.0::DOUBLE AS lat FROM orders
 )
 """
 
 
+#: x, y, c, s of a relation that has x, y and yaw.
+PLANAR_SQL = "round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(cos(yaw), 6) + 0.0 AS c, round(sin(yaw), 6) + 0.0 AS s"
+
+
 def with_views(sql: str, recursive: bool = False) -> str:
     """The query's text behind the views; text that starts with a comma adds views of its own."""
     sql = sql.strip()

@@ -143,18 +143,18 @@ def test_asof_ties_and_tolerance(spark):
 
 def test_both_traversals_agree(spark):
     rng = np.random.default_rng(4)
-    rows = [(g, int(a), int(b), float(a - b), float(a * b % 5), True) for g in (1, 2) for a, b in rng.integers(0, 30, (60, 2)) if a != b]
-    edges = spark.createDataFrame(rows, "robot_id long, src long, dst long, tx double, ty double, reachable boolean")
-    seeds = spark.createDataFrame([(1, 0, 0.0, 0.0), (2, 3, 1.0, 0.0), (3, 9, 0.0, 0.0)], "robot_id long, node long, x double, y double")
+    rows = [(g, int(a), int(b), pose(yaw=0.3 * a - 0.2 * b, t=(float(a - b), float(a * b % 5), 0.0)).reshape(-1).tolist(), True) for g in (1, 2) for a, b in rng.integers(0, 30, (60, 2)) if a != b]
+    edges = spark.createDataFrame(rows, "robot_id long, src long, dst long, pose array<double>, reachable boolean")
+    seeds = spark.createDataFrame([(g, n, pose(t=(x, 0.0, 0.0)).reshape(-1).tolist()) for g, n, x in ((1, 0, 0.0), (2, 3, 1.0), (3, 9, 0.0))], "robot_id long, node long, pose array<double>")
     for hops in (None, 2):
-        whole, loop = (sorted(map(str, graph.traverse(edges, seeds, hops, task_edges=n).collect())) for n in (1000, 0))
+        whole, loop = (sorted((r.robot_id, r.node, r.hop, str(r.parent), *np.round(r.pose, 9)) for r in graph.traverse(edges, seeds, hops, task_edges=n).collect()) for n in (1000, 0))
         assert whole == loop
         assert len(whole) >= 5
 
 
 def test_missing_fixed_node_raises(spark):
     nodes = spark.createDataFrame([(1, 5)], "robot_id long, node long")
-    edges = spark.createDataFrame([], "robot_id long, src long, dst long, tx double, ty double, reachable boolean")
+    edges = spark.createDataFrame([], "robot_id long, src long, dst long, pose array<double>, reachable boolean")
     with pytest.raises(ValueError, match="fixed node"):
         graph.link_nodes(edges, nodes)
 
