@@ -35,8 +35,8 @@ from .textkit import Words, mix64, shingles, text_slices
 
 #: Slots per band, and the chance with which a pair at the threshold may miss every band.
 BAND_ROWS, MISS = 6, 1e-7
-#: Shingles in a block of the exact comparison, and shingles that one permutation table holds.
-BLOCK_SHINGLES, TABLE_SHINGLES = 400_000, 1 << 15
+#: Shingles in a block of the exact comparison, nodes that meet a centre in one slice, and shingles that one permutation table holds.
+BLOCK_SHINGLES, SLICE_NODES, TABLE_SHINGLES = 100_000, 256, 1 << 15
 NODE_COLUMNS = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
 
 
@@ -226,12 +226,10 @@ def _confirm_blocks(k: int, percent: int):
 
 def _star_links(docs: DataFrame, pairs: DataFrame, k: int, percent: int, block_shingles: int) -> DataFrame:
     """Confirmed links of pairs (center, node, n_shingles)."""
-    slices = pairs.groupBy("center").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("slices"))
+    slices = pairs.groupBy("center").agg(F.greatest(F.ceil(F.sum("n_shingles") / block_shingles), F.ceil(F.count("*") / SLICE_NODES)).cast("int").alias("slices"))
     nodes = pairs.join(slices, "center").select(F.col("node").alias("doc_id"), "center", F.pmod(F.xxhash64("node"), "slices").cast("int").alias("slice"), F.lit(False).alias("is_center"))
     centers = slices.select(F.col("center").alias("doc_id"), "center", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("is_center"))
-    # written, so that Spark knows the size of the side and shuffles the texts only where it is large
-    asked = materialize(nodes.unionByName(centers))
-    fetched = docs.join(asked, "doc_id").select("center", "slice", "is_center", "doc_id", "text")
+    fetched = docs.hint("merge").join(nodes.unionByName(centers), "doc_id").select("center", "slice", "is_center", "doc_id", "text")
     return fetched.repartition("center", "slice").sortWithinPartitions("center", "slice", F.desc("is_center")).mapInArrow(_confirm_stars(k, percent), "u long, v long")
 
 
@@ -249,10 +247,10 @@ def _open_links(docs: DataFrame, members: DataFrame, components: DataFrame, k: i
         F.col("node").alias("doc_id"), "bucket",
         F.when(odd, F.pmod(spread, "odd_blocks")).otherwise(F.col("odd_blocks") + F.pmod(spread, "main_blocks")).cast("int").alias("block"),
         F.when(odd, F.col("odd_blocks") + F.col("main_blocks")).otherwise(F.col("odd_blocks")).alias("others"))
-    asked = materialize(placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select(
-        "doc_id", "bucket", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "block"))
+    asked = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select(
+        "doc_id", "bucket", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "block")
     keys = ["bucket", "block_a", "block_b"]
-    return docs.join(asked, "doc_id").select(*keys, "block", "doc_id", "text").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_confirm_blocks(k, percent), "u long, v long")
+    return docs.hint("merge").join(asked, "doc_id").select(*keys, "block", "doc_id", "text").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_confirm_blocks(k, percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = BAND_ROWS, miss: float = MISS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -283,6 +281,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     # written, so that the join has a shuffle of its own, which Spark can split at a hot bucket
     stars = materialize(banded.groupBy("bucket").agg(F.min(F.struct("node", "n_shingles")).alias("least"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("least.node").alias("center"), F.col("least.n_shingles").alias("center_n")))
     members = materialize(banded.join(stars, "bucket").where("node <> center"))
+    # texts of all nodes that meet another, fetched once; neither side has a bound on its size: merge joins at every size
+    meeting = members.select(F.explode(F.array("center", "node")).alias("doc_id")).distinct()
+    docs = materialize(docs.hint("merge").join(meeting, "doc_id", "left_semi"))
     near_in_size = 100 * F.least("n_shingles", "center_n") >= percent * F.greatest("n_shingles", "center_n")
     links = materialize(_star_links(docs, members.where(near_in_size).select("center", "node", "n_shingles").distinct(), k, percent, block_shingles))
     odd_links = _open_links(docs, members.select("bucket", "node", "n_shingles"), connected_components(links), k, percent, block_shingles)
