@@ -55,6 +55,25 @@ def rotation_angle(pose: Column) -> Column:
     return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (pose[0] + pose[5] + pose[10] - 1) / 2)))
 
 
+def orthonormalize(pose: Column) -> Column:
+    """The pose with its rotation made exact again, by way of a unit quaternion."""
+    return let(pose, lambda m: let(to_quaternion(m), lambda q: from_quaternion(q["w"], q["x"], q["y"], q["z"], m[3], m[7], m[11])))
+
+
+def nav_of_laser(laser: Column, body_laser: Column) -> Column:
+    """Pose of the body from the laser's: laser * body_laser^-1."""
+    return product(laser, inverse(body_laser))
+
+
+def laser_of_nav(body: Column, body_laser: Column) -> Column:
+    return product(body, body_laser)
+
+
+def turn_velocity(before: Column, after: Column, v: list[Column]) -> tuple[Column, Column, Column]:
+    """A velocity that stays the same in the body's frame while its pose changes: R2 R1' v."""
+    return rotate(product(after, inverse(before)), *v)
+
+
 def from_yaw(yaw: Column, tx, ty, tz=0.0) -> Column:
     c, s = F.cos(yaw), F.sin(yaw)
     lit = lambda v: F.lit(v) if isinstance(v, float) else v
@@ -140,10 +159,3 @@ def so3_log(pose: Column) -> Column:
 def wrap_angle(angle: Column, half_turn: float = 3.1416) -> Column:
     """Into [-half_turn, half_turn)."""
     return F.pmod(angle + half_turn, F.lit(2 * half_turn)) - half_turn
-
-
-def propagate(p: list[Column], v: list[Column], rotation: Column, dp: list[Column], dv: list[Column], dt: Column, gravity: float = -9.81) -> tuple[list[Column], list[Column]]:
-    """Position and velocity of a nav state after a pre-integrated interval: P + Vt + gt^2/2 + R dP, V + gt + R dV."""
-    rp, rv = rotate(rotation, *dp), rotate(rotation, *dv)
-    g = [0.0, 0.0, gravity]
-    return [p[i] + v[i] * dt + 0.5 * g[i] * dt * dt + rp[i] for i in range(3)], [v[i] + g[i] * dt + rv[i] for i in range(3)]

@@ -8,7 +8,7 @@ from cairn.functions import pose as P
 from cairn.operators import graph as G
 from cairn.operators.neighbours import loop_candidates
 
-from .views import PLANAR_SQL, edges, keyframes, nodes, planar, scan_frames, with_views
+from .views import PLANAR_SQL, edges, keyframes, nodes, planar, planar_product, planar_relative, scan_frames, with_views
 
 
 def _loops(spark, d):
@@ -117,22 +117,13 @@ QUERIES = {f.__name__: f for f in (chain_edges, bfs_poses, scan_poses, bfs_with_
 _E = f"{PLANAR_SQL}, reachable"
 
 
-def _relative(a: str, b: str) -> str:
-    """x, y, yaw of b as a sees it."""
-    return f"cos({a}.yaw) * ({b}.x - {a}.x) + sin({a}.yaw) * ({b}.y - {a}.y) AS x, cos({a}.yaw) * ({b}.y - {a}.y) - sin({a}.yaw) * ({b}.x - {a}.x) AS y, {b}.yaw - {a}.yaw AS yaw"
-
-
-def _product(a: str, b: str) -> str:
-    return f"{a}.x + cos({a}.yaw) * {b}.x - sin({a}.yaw) * {b}.y AS x, {a}.y + sin({a}.yaw) * {b}.x + cos({a}.yaw) * {b}.y AS y, {a}.yaw + {b}.yaw AS yaw"
-
-
 _LOOPS = f""", loops AS (
   SELECT robot_id, b[2] AS src, kf_id AS dst FROM (
     SELECT a.robot_id, a.kf_id, min(((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.kf_id)) AS b
     FROM keyframes a JOIN keyframes b ON a.robot_id = b.robot_id AND b.kf_id + 5 <= a.kf_id AND b.kf_id >= 1
     WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9 GROUP BY ALL) WHERE b[1] < 4
 ), loop_edges AS (
-  SELECT l.robot_id, l.src, l.dst, {_relative("a", "b")}, true AS reachable
+  SELECT l.robot_id, l.src, l.dst, {planar_relative("a", "b")}, true AS reachable
   FROM (FROM loops UNION ALL SELECT robot_id, dst, src FROM loops) l JOIN keyframes a ON a.robot_id = l.robot_id AND a.kf_id = l.src JOIN keyframes b ON b.robot_id = l.robot_id AND b.kf_id = l.dst
 ), all_edges AS (
   FROM edges UNION ALL FROM loop_edges
@@ -141,13 +132,13 @@ _LOOPS = f""", loops AS (
 _SHAKEN = f""", step AS (
   SELECT robot_id, kf_id, kf_id * 0.5::DOUBLE AS x, -0.25::DOUBLE AS y, kf_id * 0.1::DOUBLE AS yaw FROM keyframes
 ), shaken AS (
-  SELECT k.robot_id, k.kf_id, {_product("k", "t")} FROM keyframes k JOIN step t USING (robot_id, kf_id)
+  SELECT k.robot_id, k.kf_id, {planar_product("k", "t")} FROM keyframes k JOIN step t USING (robot_id, kf_id)
 )
 """
 _BY_ENDS = "JOIN {0} a ON a.robot_id = e.robot_id AND a.kf_id = e.src JOIN {0} b ON b.robot_id = e.robot_id AND b.kf_id = e.dst"
 SQL = {
     "chain_edges": with_views(f"SELECT robot_id, src, dst, {_E} FROM edges"),
-    "bfs_poses": with_views(f""", seen AS (SELECT k.robot_id, k.kf_id AS node, CAST(k.kf_id AS INTEGER) AS hop, {_relative("f", "k")} FROM keyframes k JOIN keyframes f ON f.robot_id = k.robot_id AND f.kf_id = 0)
+    "bfs_poses": with_views(f""", seen AS (SELECT k.robot_id, k.kf_id AS node, CAST(k.kf_id AS INTEGER) AS hop, {planar_relative("f", "k")} FROM keyframes k JOIN keyframes f ON f.robot_id = k.robot_id AND f.kf_id = 0)
 SELECT robot_id, node, hop, {PLANAR_SQL} FROM seen"""),
     "scan_poses": with_views(f"SELECT robot_id, kf_id AS node, {PLANAR_SQL} FROM keyframes"),
     "bfs_with_loops": with_views(_LOOPS + f""", walk AS (
@@ -156,23 +147,23 @@ SELECT robot_id, node, hop, {PLANAR_SQL} FROM seen"""),
 ), hops AS (
   SELECT robot_id, node, min(hop) AS hop FROM walk GROUP BY ALL
 ), seen AS (
-  SELECT h.robot_id, h.node, h.hop, {_relative("f", "k")} FROM hops h JOIN keyframes k ON k.robot_id = h.robot_id AND k.kf_id = h.node JOIN keyframes f ON f.robot_id = h.robot_id AND f.kf_id = 0)
+  SELECT h.robot_id, h.node, h.hop, {planar_relative("f", "k")} FROM hops h JOIN keyframes k ON k.robot_id = h.robot_id AND k.kf_id = h.node JOIN keyframes f ON f.robot_id = h.robot_id AND f.kf_id = 0)
 SELECT robot_id, node, hop, {PLANAR_SQL} FROM seen""", recursive=True),
-    "hop_neighbours": with_views(f""", seen AS (SELECT c.robot_id, k.kf_id AS node, CAST(abs(k.kf_id - 3) AS INTEGER) AS hop, {_relative("c", "k")}
+    "hop_neighbours": with_views(f""", seen AS (SELECT c.robot_id, k.kf_id AS node, CAST(abs(k.kf_id - 3) AS INTEGER) AS hop, {planar_relative("c", "k")}
   FROM keyframes c JOIN keyframes k ON c.robot_id = k.robot_id AND c.kf_id = 3 AND abs(k.kf_id - 3) <= 2)
 SELECT robot_id, node, hop, {PLANAR_SQL} FROM seen"""),
-    "shortest_path": with_views(f""", seen AS (SELECT k.robot_id, CAST(k.kf_id AS INTEGER) AS step, k.kf_id AS node, {_relative("c", "k")}
+    "shortest_path": with_views(f""", seen AS (SELECT k.robot_id, CAST(k.kf_id AS INTEGER) AS step, k.kf_id AS node, {planar_relative("c", "k")}
   FROM keyframes k JOIN keyframes c ON c.robot_id = k.robot_id AND c.kf_id = 0 WHERE k.kf_id <= 4 AND k.robot_id IN (SELECT robot_id FROM keyframes WHERE kf_id = 4))
 SELECT robot_id, step, node, {PLANAR_SQL} FROM seen"""),
     "edge_insert_absent": with_views(_LOOPS + f"SELECT robot_id, src, dst, {_E} FROM all_edges"),
-    "edge_upsert": with_views(_SHAKEN + f""", fresh AS (SELECT e.robot_id, e.src, e.dst, {_relative("a", "b")}, true AS reachable FROM edges e {_BY_ENDS.format("shaken")} WHERE least(e.src, e.dst) % 2 = 0), every AS (
+    "edge_upsert": with_views(_SHAKEN + f""", fresh AS (SELECT e.robot_id, e.src, e.dst, {planar_relative("a", "b")}, true AS reachable FROM edges e {_BY_ENDS.format("shaken")} WHERE least(e.src, e.dst) % 2 = 0), every AS (
   FROM fresh UNION ALL FROM edges WHERE least(src, dst) % 2 <> 0)
 SELECT robot_id, src, dst, {_E} FROM every"""),
-    "edge_refresh": with_views(_SHAKEN + f", fresh AS (SELECT e.robot_id, e.src, e.dst, {_relative('a', 'b')}, e.reachable FROM edges e {_BY_ENDS.format('shaken')}) SELECT robot_id, src, dst, {_E} FROM fresh"),
+    "edge_refresh": with_views(_SHAKEN + f", fresh AS (SELECT e.robot_id, e.src, e.dst, {planar_relative('a', 'b')}, e.reachable FROM edges e {_BY_ENDS.format('shaken')}) SELECT robot_id, src, dst, {_E} FROM fresh"),
     "reachable_edges": with_views(f"SELECT robot_id, src, dst, {_E} FROM edges WHERE reachable AND src % 5 <> 4 AND dst % 5 <> 4"),
     "circle_close": with_views(f""", span AS (SELECT robot_id, max(kf_id) AS last FROM keyframes GROUP BY 1 HAVING max(kf_id) > 1), closed AS (
   FROM edges UNION ALL
-  SELECT t.robot_id, a.kf_id, b.kf_id, {_relative("a", "b")}, true FROM span t JOIN keyframes a ON a.robot_id = t.robot_id JOIN keyframes b ON b.robot_id = t.robot_id
+  SELECT t.robot_id, a.kf_id, b.kf_id, {planar_relative("a", "b")}, true FROM span t JOIN keyframes a ON a.robot_id = t.robot_id JOIN keyframes b ON b.robot_id = t.robot_id
   WHERE (a.kf_id = 0 AND b.kf_id = last) OR (a.kf_id = last AND b.kf_id = 0))
 SELECT robot_id, src, dst, {_E} FROM closed"""),
     "merge_sessions": with_views(f""", n AS (SELECT robot_id, count(*) AS n FROM keyframes GROUP BY 1), g AS (
@@ -182,18 +173,18 @@ SELECT robot_id, src, dst, {_E} FROM closed"""),
   UNION ALL SELECT "group", a - 1, a, 1.5, -0.5, 0.3, true FROM g WHERE a > 0 AND b > 0
   UNION ALL SELECT "group", a, a - 1, -1.5::DOUBLE * cos(0.3::DOUBLE) + 0.5::DOUBLE * sin(0.3::DOUBLE), 1.5::DOUBLE * sin(0.3::DOUBLE) + 0.5::DOUBLE * cos(0.3::DOUBLE), -0.3, true FROM g WHERE a > 0 AND b > 0)
 SELECT "group", src, dst, {_E} FROM merged"""),
-    "session_reposed": with_views(f""", bridge AS (SELECT 1.5::DOUBLE AS x, -0.5::DOUBLE AS y, 0.3::DOUBLE AS yaw), moved AS (SELECT k.robot_id, k.kf_id AS node, {_product("b", "k")} FROM keyframes k, bridge b WHERE k.robot_id % 2 = 1)
+    "session_reposed": with_views(f""", bridge AS (SELECT 1.5::DOUBLE AS x, -0.5::DOUBLE AS y, 0.3::DOUBLE AS yaw), moved AS (SELECT k.robot_id, k.kf_id AS node, {planar_product("b", "k")} FROM keyframes k, bridge b WHERE k.robot_id % 2 = 1)
 SELECT robot_id, node, {PLANAR_SQL} FROM moved"""),
     "trajectory_export": with_views(f""", local AS (SELECT robot_id, frame_id, x, y, frame_id * 0.01::DOUBLE AS yaw FROM scan_frames), rows AS (
   SELECT robot_id, kf_id, -1::BIGINT AS frame_id, x, y, yaw FROM keyframes WHERE kf_id % 4 = 0
-  UNION ALL SELECT f.robot_id, k.kf_id, f.frame_id, {_product("k", "f")} FROM local f JOIN keyframes k ON k.robot_id = f.robot_id AND k.kf_id = f.frame_id - 1 - (f.frame_id - 1) % 4)
+  UNION ALL SELECT f.robot_id, k.kf_id, f.frame_id, {planar_product("k", "f")} FROM local f JOIN keyframes k ON k.robot_id = f.robot_id AND k.kf_id = f.frame_id - 1 - (f.frame_id - 1) % 4)
 SELECT robot_id, kf_id, frame_id, {PLANAR_SQL} FROM rows"""),
     "pose_correction": with_views(_SHAKEN + f""", local AS (SELECT robot_id, frame_id, x, y, frame_id * 0.01::DOUBLE AS yaw FROM scan_frames), newest AS (
   SELECT robot_id, max(kf_id) AS kf_id FROM keyframes GROUP BY 1
 ), seen AS (
-  SELECT f.robot_id, f.frame_id, {_relative("k", "f")} FROM local f JOIN newest n USING (robot_id) JOIN keyframes k ON k.robot_id = n.robot_id AND k.kf_id = n.kf_id
+  SELECT f.robot_id, f.frame_id, {planar_relative("k", "f")} FROM local f JOIN newest n USING (robot_id) JOIN keyframes k ON k.robot_id = n.robot_id AND k.kf_id = n.kf_id
 ), moved AS (
-  SELECT v.robot_id, v.frame_id, {_product("t", "v")} FROM seen v JOIN newest n ON n.robot_id = v.robot_id JOIN shaken t ON t.robot_id = n.robot_id AND t.kf_id = n.kf_id)
+  SELECT v.robot_id, v.frame_id, {planar_product("t", "v")} FROM seen v JOIN newest n ON n.robot_id = v.robot_id JOIN shaken t ON t.robot_id = n.robot_id AND t.kf_id = n.kf_id)
 SELECT robot_id, frame_id, {PLANAR_SQL} FROM moved"""),
     "node_degree": with_views("SELECT robot_id, src AS node, count(*) AS degree FROM edges GROUP BY ALL"),
 }

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cairn.functions import pose as P
 from cairn.operators import motion as M
 from cairn.operators.neighbours import loop_candidates as candidates
 from cairn.operators.temporal import micros
 
-from .views import imu, keyframes, odom, r6, scan_frames, with_views
+from .views import PLANAR_SQL, imu, keyframes, odom, planar, planar_product, planar_relative, r6, scan_frames, with_views
 
-CUTS = M.CutParams(min_gap=3, min_overlap=0.6, half_road_width=4.0, max_length=12.0)
+CUTS = M.CutParams(min_gap=3, min_overlap=0.6, min_map_points=2000, max_map_points=9000, half_road_width=8.0, max_length=22.0, max_angle=2.0)
 
 
 def _frames(spark, d):
-    """Scan frames with an overlap that follows from their place."""
-    return scan_frames(spark, d).withColumn("overlap", F.col("y") / 10)
+    """Scan frames with an overlap, a heading and a size of the local map that follow from their place."""
+    return scan_frames(spark, d).withColumns({"overlap": F.col("y") / 10, "yaw": (F.col("y") - 5) * 0.6, "map_points": F.col("x") * 200})
 
 
 def gyro_bias_mean(spark, d):
@@ -41,16 +44,39 @@ def imu_preint(spark, d):
 
 
 def imu_preint_cov(spark, d):
+    """The full fold: motion, and its derivatives by the biases."""
     out = M.imu_covariances(_intervals(spark, d))
-    return out.select("robot_id", "frame_id", *[(F.round(c, 4) + 0.0).alias(c) for c in ("px", "py", "p_ba", "r_bg")], F.col("cov_trace"))
+    return out.select("robot_id", "frame_id", *[(F.round(c, 4) + 0.0).alias(c) for c in ("px", "py", "p_ba", "r_bg")])
 
 
 def nav_propagate(spark, d):
-    return M.nav_propagate(M.imu_preintegrate(_intervals(spark, d))).select("robot_id", "frame_id", *[(F.round(c, 3) + 0.0).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")])
+    """States behind frame 2, from a state given there."""
+    start = {"x": 1.0, "y": 2.0, "z": 0.0, "vx": 1.0, "vy": 0.0, "vz": 0.0, "heading": 0.3}
+    anchors = scan_frames(spark, d).where("frame_id = 2").select("robot_id", F.col("frame_id").alias("anchor"), *[F.lit(v).alias(k) for k, v in start.items()])
+    out = M.nav_propagate(M.imu_preintegrate(_intervals(spark, d)), anchors)
+    return out.select("robot_id", "frame_id", *[(F.round(c, 2) + 0.0).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz", "heading")])
+
+
+def _posed(spark, d):
+    return _frames(spark, d).select("robot_id", "frame_id", P.from_yaw(F.col("yaw"), F.col("x"), F.col("y")).alias("pose"))
 
 
 def const_velocity(spark, d):
-    return M.frame_features(scan_frames(spark, d)).where("pred_x is not null").select("robot_id", "frame_id", r6("pred_x").alias("pred_x"), r6("pred_y").alias("pred_y"))
+    return M.constant_velocity(_posed(spark, d)).select("robot_id", "frame_id", *planar(F.col("predicted")))
+
+
+def initial_guess(spark, d):
+    """Guesses from inertial deltas, by way of the sensor's place on the robot."""
+    moved = M.imu_preintegrate(_intervals(spark, d)).join(_posed(spark, d), ["robot_id", "frame_id"])
+    guess = M.initial_guess(F.col("pose"), P.from_yaw(F.col("turn"), F.col("px"), F.col("py")), P.from_yaw(F.lit(0.2), F.lit(0.5), F.lit(0.1)))
+    return moved.select("robot_id", "frame_id", guess.alias("g")).select("robot_id", "frame_id", *[(F.round(F.col("g")[i], 4) + 0.0).alias(n) for i, n in ((3, "x"), (7, "y"), (0, "c"), (4, "s"))])
+
+
+def window_samples(spark, d):
+    """Inertial samples of every third frame, those of the frames skipped before it included."""
+    out = M.window_samples(scan_frames(spark, d), _intervals(spark, d), 3)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.dt)
+    return out.select("robot_id", "frame_id", F.size("samples").cast("long").alias("n"), (F.round(total, 4) + 0.0).alias("dt"))
 
 
 def kf_features(spark, d):
@@ -61,8 +87,13 @@ def kf_cut(spark, d):
     return M.keyframe_cuts(_frames(spark, d), CUTS).select("robot_id", "frame_id")
 
 
+def kf_cut_plain(spark, d):
+    """Cuts by the rules of plain scans: a wide gap, no turning."""
+    return M.keyframe_cuts(_frames(spark, d), replace(M.PLAIN, min_gap=4, min_overlap=0.6, min_map_points=2000, max_map_points=9000, half_road_width=8.0, max_length=22.0)).select("robot_id", "frame_id")
+
+
 def kf_reason(spark, d):
-    return M.keyframe_cuts(_frames(spark, d), CUTS).select("robot_id", F.concat_ws(" ", "frame_id", "reason").alias("line"))
+    return M.keyframe_cuts(_frames(spark, d), CUTS).select("robot_id", F.concat_ws("  ", "frame_id", "reason").alias("line"))
 
 
 def frames_by_keyframe(spark, d):
@@ -85,7 +116,7 @@ def realtime_ratio(spark, d):
     return scan_frames(spark, d).withColumn("ratio", 100 * F.col("x") * 1e5 / gap).where("ratio is not null").groupBy("robot_id").agg(r6(F.max("ratio")).alias("worst"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (gyro_bias_mean, static_start, odom_fold, imu_preint, imu_preint_cov, nav_propagate, const_velocity, kf_features, kf_cut, kf_reason, frames_by_keyframe, loop_cooldown, window_stride, realtime_ratio)}
+QUERIES = {f.__name__: f for f in (gyro_bias_mean, static_start, odom_fold, imu_preint, imu_preint_cov, nav_propagate, const_velocity, initial_guess, kf_features, kf_cut, kf_cut_plain, kf_reason, frames_by_keyframe, loop_cooldown, window_stride, window_samples, realtime_ratio)}
 
 _FOLD = """, tagged AS (
   SELECT s.*, f.frame_id, f.stamp AS fin FROM imu s ASOF JOIN scan_frames f ON s.robot_id = f.robot_id AND s.stamp < f.stamp
@@ -101,16 +132,28 @@ _FOLD = """, tagged AS (
   FROM pushed GROUP BY ALL
 )
 """
-_CUTS = """, cuts AS (
-  SELECT robot_id, frame_id, frame_id AS id, x, y, false AS cut, CAST('' AS VARCHAR) AS reason FROM scan_frames WHERE frame_id = 1
+
+
+def _cuts(gap: int, angle: bool) -> str:
+    turned = "acos(cos(f.yaw - c.yaw)) > 2" if angle else "false"
+    return f""", seen AS (
+  SELECT *, y / 10 AS overlap, (y - 5) * 0.6::DOUBLE AS yaw, x * 200 AS size FROM scan_frames
+), cuts AS (
+  SELECT robot_id, frame_id, frame_id AS id, x, y, yaw, false AS cut, CAST('' AS VARCHAR) AS reason FROM seen WHERE frame_id = 1
   UNION ALL
-  SELECT f.robot_id, f.frame_id, CASE WHEN hit THEN f.frame_id ELSE f.id END, CASE WHEN hit THEN f.x ELSE f.x0 END, CASE WHEN hit THEN f.y ELSE f.y0 END, hit,
-    CASE WHEN f.y / 10 < 0.6::DOUBLE THEN 'Low Overlap' WHEN abs(f.y - f.y0) > 4 THEN 'Too Wide' ELSE 'Too Long' END
-  FROM (SELECT f.robot_id, f.frame_id, f.x, f.y, c.id, c.x AS x0, c.y AS y0,
-          (f.y / 10 < 0.6::DOUBLE AND f.frame_id - c.id > 3) OR abs(f.y - c.y) > 4 OR sqrt((f.x - c.x) * (f.x - c.x) + (f.y - c.y) * (f.y - c.y)) > 12 AS hit
-        FROM cuts c JOIN scan_frames f ON f.robot_id = c.robot_id AND f.frame_id = c.frame_id + 1) f
+  SELECT robot_id, frame_id, CASE WHEN hit THEN frame_id ELSE id END, CASE WHEN hit THEN x ELSE x0 END, CASE WHEN hit THEN y ELSE y0 END, CASE WHEN hit THEN yaw ELSE yaw0 END, hit,
+    CASE WHEN low THEN 'Overlap' WHEN big THEN 'MaxLocalMappoints' WHEN wide THEN 'T y Over' WHEN long THEN 'Too Long' ELSE 'angle too large' END
+  FROM (SELECT *, low AND gap > {gap} AND size > 2000 OR big OR wide OR long OR turned AS hit FROM (
+    SELECT f.robot_id, f.frame_id, f.x, f.y, f.yaw, f.size, c.id, c.x AS x0, c.y AS y0, c.yaw AS yaw0, f.frame_id - c.id AS gap, f.overlap < 0.6::DOUBLE AS low, f.size > 9000 AS big,
+      abs(cos(c.yaw) * (f.y - c.y) - sin(c.yaw) * (f.x - c.x)) > 8 AS wide, sqrt((f.x - c.x) * (f.x - c.x) + (f.y - c.y) * (f.y - c.y)) > 22 AS long, {turned} AS turned
+    FROM cuts c JOIN seen f ON f.robot_id = c.robot_id AND f.frame_id = c.frame_id + 1))
 )
 """
+
+
+_CUTS = _cuts(3, True)
+_PREVIOUS = "(PARTITION BY robot_id ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_UPTO = "(PARTITION BY robot_id ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 SQL = {
     "gyro_bias_mean": with_views("SELECT robot_id, round(avg(gz) FILTER (event_id % 10 <> 0), 6) + 0.0 AS bias, round(sum(CASE WHEN event_id % 10 <> 0 THEN gz ELSE 0 END) / count(*), 6) + 0.0 AS bias_all FROM imu GROUP BY 1"),
     "static_start": with_views("""SELECT robot_id, min_by(event_id, (stamp, event_id)) AS event_id, min(stamp) AS stamp FROM (
@@ -122,12 +165,35 @@ SQL = {
   SELECT *, sum(r * dt) OVER (PARTITION BY robot_id ORDER BY stamp, event_id ROWS UNBOUNDED PRECEDING) - r * dt AS heading FROM step WHERE dt IS NOT NULL)
 SELECT robot_id, round(sum(v * cos(heading) * dt), 6) + 0.0 AS dx, round(sum(v * sin(heading) * dt), 6) + 0.0 AS dy, round(sum(r * dt), 6) + 0.0 AS turn, round(sum(dt), 6) + 0.0 AS dt FROM head GROUP BY 1"""),
     "imu_preint": with_views(_FOLD + "SELECT robot_id, frame_id, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("px", "py", "vx", "vy", "turn", "dt")) + " FROM folded"),
-    "nav_propagate": with_views(_FOLD + """SELECT robot_id, frame_id, round(dt + px, 3) + 0.0 AS x, round(py, 3) + 0.0 AS y, round(-0.5::DOUBLE * 9.81::DOUBLE * dt * dt, 3) + 0.0 AS z,
-  round(1 + vx, 3) + 0.0 AS vx, round(vy, 3) + 0.0 AS vy, round(-9.81::DOUBLE * dt, 3) + 0.0 AS vz FROM folded"""),
-    "const_velocity": with_views("SELECT robot_id, frame_id, round(2 * x1 - x2, 6) + 0.0 AS pred_x, round(2 * y1 - y2, 6) + 0.0 AS pred_y FROM (SELECT *, lag(x) OVER w AS x1, lag(y) OVER w AS y1, lag(x, 2) OVER w AS x2, lag(y, 2) OVER w AS y2 FROM scan_frames WINDOW w AS (PARTITION BY robot_id ORDER BY frame_id)) WHERE x2 IS NOT NULL"),
+    "imu_preint_cov": with_views(_FOLD + """, reach AS (
+  SELECT *, coalesce(sum(cos(turn) * dt) OVER w, 0) AS upto FROM turned WINDOW w AS (PARTITION BY robot_id, frame_id ORDER BY stamp, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), by_bias AS (
+  SELECT robot_id, frame_id, -sum(upto * dt + 0.5::DOUBLE * cos(turn) * dt * dt) AS p_ba, -sum(dt) AS r_bg FROM reach GROUP BY ALL)
+SELECT robot_id, frame_id, round(px, 4) + 0.0 AS px, round(py, 4) + 0.0 AS py, round(p_ba, 4) + 0.0 AS p_ba, round(r_bg, 4) + 0.0 AS r_bg FROM folded JOIN by_bias USING (robot_id, frame_id)"""),
+    "nav_propagate": with_views(_FOLD + f""", turning AS (SELECT *, 0.3::DOUBLE + coalesce(sum(turn) OVER {_PREVIOUS}, 0) AS h FROM folded WHERE frame_id > 2
+), pushes AS (SELECT *, cos(h) * vx - sin(h) * vy AS gx, sin(h) * vx + cos(h) * vy AS gy, -9.81::DOUBLE * dt AS gz FROM turning
+), speeds AS (SELECT *, 1 + coalesce(sum(gx) OVER {_PREVIOUS}, 0) AS v0, coalesce(sum(gy) OVER {_PREVIOUS}, 0) AS v1, coalesce(sum(gz) OVER {_PREVIOUS}, 0) AS v2 FROM pushes
+), moves AS (SELECT *, v0 * dt + cos(h) * px - sin(h) * py AS mx, v1 * dt + sin(h) * px + cos(h) * py AS my, v2 * dt - 0.5::DOUBLE * 9.81::DOUBLE * dt * dt AS mz FROM speeds)
+SELECT robot_id, frame_id, round(1 + sum(mx) OVER {_UPTO}, 2) + 0.0 AS x, round(2 + sum(my) OVER {_UPTO}, 2) + 0.0 AS y, round(sum(mz) OVER {_UPTO}, 2) + 0.0 AS z,
+  round(v0 + gx, 2) + 0.0 AS vx, round(v1 + gy, 2) + 0.0 AS vy, round(v2 + gz, 2) + 0.0 AS vz, round(h + turn, 2) + 0.0 AS heading FROM moves"""),
+    "const_velocity": with_views(f""", posed AS (SELECT robot_id, frame_id, x, y, (y - 5) * 0.6::DOUBLE AS yaw FROM scan_frames), steps AS (
+  SELECT f.robot_id, f.frame_id, {planar_relative("b", "a")} FROM posed f JOIN posed a ON a.robot_id = f.robot_id AND a.frame_id = f.frame_id - 1 JOIN posed b ON b.robot_id = f.robot_id AND b.frame_id = f.frame_id - 2
+), ahead AS (
+  SELECT t.robot_id, t.frame_id, {planar_product("a", "t")} FROM steps t JOIN posed a ON a.robot_id = t.robot_id AND a.frame_id = t.frame_id - 1)
+SELECT robot_id, frame_id, {PLANAR_SQL} FROM ahead"""),
+    "initial_guess": with_views(_FOLD + f""", posed AS (SELECT robot_id, frame_id, x, y, (y - 5) * 0.6::DOUBLE AS yaw FROM scan_frames), e AS (SELECT 0.5::DOUBLE AS x, 0.1::DOUBLE AS y, 0.2::DOUBLE AS yaw
+), o AS (SELECT 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS yaw), back AS (SELECT {planar_relative("e", "o")} FROM e, o
+), moved AS (SELECT robot_id, frame_id, px AS x, py AS y, turn AS yaw FROM folded), one AS (SELECT m.robot_id, m.frame_id, {planar_product("e", "m")} FROM moved m, e
+), two AS (SELECT m.robot_id, m.frame_id, {planar_product("m", "b")} FROM one m, back b
+), ahead AS (SELECT m.robot_id, m.frame_id, {planar_product("k", "m")} FROM two m JOIN posed k USING (robot_id, frame_id))
+SELECT robot_id, frame_id, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(cos(yaw), 4) + 0.0 AS c, round(sin(yaw), 4) + 0.0 AS s FROM ahead"""),
+    "window_samples": with_views(_FOLD + """, numbered AS (SELECT robot_id, frame_id, row_number() OVER (PARTITION BY robot_id ORDER BY frame_id) AS n FROM scan_frames)
+SELECT robot_id, max(frame_id) AS frame_id, CAST(coalesce(sum(m), 0) AS BIGINT) AS n, round(coalesce(sum(t), 0), 4) + 0.0 AS dt
+FROM numbered LEFT JOIN (SELECT robot_id, frame_id, count(*) AS m, sum(dt) AS t FROM timed GROUP BY ALL) USING (robot_id, frame_id) GROUP BY robot_id, (n + 2) // 3 HAVING count(*) = 3"""),
+    "kf_cut_plain": with_views(_cuts(4, False) + "SELECT robot_id, frame_id FROM cuts WHERE cut", recursive=True),
     "kf_features": with_views("SELECT robot_id, frame_id, round(dx, 6) + 0.0 AS dx, round(dy, 6) + 0.0 AS dy, round(sqrt(dx * dx + dy * dy), 6) + 0.0 AS step FROM (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM scan_frames WINDOW w AS (PARTITION BY robot_id ORDER BY frame_id)) WHERE dx IS NOT NULL"),
     "kf_cut": with_views(_CUTS + "SELECT robot_id, frame_id FROM cuts WHERE cut", recursive=True),
-    "kf_reason": with_views(_CUTS + "SELECT robot_id, frame_id || ' ' || reason AS line FROM cuts WHERE cut", recursive=True),
+    "kf_reason": with_views(_CUTS + "SELECT robot_id, frame_id || '  ' || reason AS line FROM cuts WHERE cut", recursive=True),
     "frames_by_keyframe": with_views(_CUTS + """SELECT robot_id, kf_id, count(*) AS n_frames, min(frame_id) AS first_frame FROM (
   SELECT robot_id, frame_id, cut, CAST(sum(CAST(cut AS INTEGER)) OVER (PARTITION BY robot_id ORDER BY frame_id) AS BIGINT) AS kf_id FROM cuts) WHERE NOT cut GROUP BY ALL""", recursive=True),
     "loop_cooldown": with_views(""", found AS (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import pose as P
 from cairn.operators import clouds, fixes, graph, neighbours, registration
 
-from .views import edges, gps, imu, keyframes, planar, points, r6, scan_frames, tf, with_views
+from .views import PLANAR_SQL, edges, gps, imu, keyframes, planar, planar_product, planar_relative, points, r6, scan_frames, tf, with_views
 
 
 def gps_normalize(spark, d):
@@ -65,6 +65,22 @@ def reslam_anchor(spark, d):
     return graph.anchor_session(last).select("robot_id", "src", "dst", *planar(), "reachable")
 
 
+def orthonormalize(spark, d):
+    """Rotations that rounding has stretched, made exact again."""
+    p = F.transform(P.from_yaw(F.col("yaw"), F.col("x"), F.col("y")), lambda v, i: F.when((i % 4 < 3) & (i < 11), v * 1.0005).otherwise(v))
+    return keyframes(spark, d).select("robot_id", "kf_id", *planar(P.orthonormalize(p)))
+
+
+def nav_state(spark, d):
+    """Bodies' poses and velocities from those of the laser, and the laser's back from them."""
+    mount = P.from_yaw(F.lit(0.2), F.lit(0.5), F.lit(0.1))
+    laser = P.from_yaw(F.col("yaw"), F.col("x"), F.col("y"))
+    body = P.nav_of_laser(laser, mount)
+    v = P.turn_velocity(P.identity(), body, [F.lit(1.0), F.lit(0.0), F.lit(0.0)])
+    rows = keyframes(spark, d).select("robot_id", "kf_id", body.alias("body"), P.laser_of_nav(body, mount).alias("laser"), v[0].alias("vx"), v[1].alias("vy"))
+    return rows.select("robot_id", "kf_id", *planar(F.col("body")), r6("vx").alias("vx"), r6("vy").alias("vy"), r6(F.col("laser")[3]).alias("laser_x"))
+
+
 def batch_loop_closure(spark, d):
     """Submaps against themselves, moved by more for higher ids: only those that register with enough overlap stay."""
     p = points(spark, d).withColumn("pair", F.col("cloud_id"))
@@ -73,10 +89,14 @@ def batch_loop_closure(spark, d):
     return fixes.batch_loop_closure(pairs, registration.register_pairs(moved, p)).select("pair", "ok")
 
 
-QUERIES = {f.__name__: f for f in (gps_normalize, gps_halves, timestamp_split, wrap_angles, rpy_matrix, quaternion_roundtrip, guess_clamp, loop_overlap_best, sample_neighbours, reslam_anchor, batch_loop_closure)}
+QUERIES = {f.__name__: f for f in (orthonormalize, nav_state, gps_normalize, gps_halves, timestamp_split, wrap_angles, rpy_matrix, quaternion_roundtrip, guess_clamp, loop_overlap_best, sample_neighbours, reslam_anchor, batch_loop_closure)}
 
 _RPY = ", m AS (SELECT robot_id, event_id, gz * 10 AS r, ax / 10 AS p, gz * 20 AS y FROM imu)"
 SQL = {
+    "orthonormalize": with_views(f"SELECT robot_id, kf_id, {PLANAR_SQL} FROM keyframes"),
+    "nav_state": with_views(f""", e AS (SELECT 0.5::DOUBLE AS x, 0.1::DOUBLE AS y, 0.2::DOUBLE AS yaw), o AS (SELECT 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS yaw), back AS (SELECT {planar_relative("e", "o")} FROM e, o
+), body AS (SELECT k.robot_id, k.kf_id, k.x AS laser_x, {planar_product("k", "b")} FROM keyframes k, back b)
+SELECT robot_id, kf_id, {PLANAR_SQL}, round(cos(yaw), 6) + 0.0 AS vx, round(sin(yaw), 6) + 0.0 AS vy, round(laser_x, 6) + 0.0 AS laser_x FROM body"""),
     "gps_normalize": with_views("SELECT robot_id, stamp, round(easting / 10, 6) + 0.0 AS longitude, round(northing / 10, 6) + 0.0 AS latitude, 0.0::DOUBLE AS northing, 0.0::DOUBLE AS easting, CAST(event_id % 3 AS INTEGER) AS status, CAST(event_id % 3 AS INTEGER) AS satellites_used FROM gps"),
     "gps_halves": with_views(""", halves AS (
   SELECT robot_id, stamp, event_id, easting, northing, NULL::DOUBLE AS yaw FROM gps UNION ALL SELECT robot_id, stamp, event_id, NULL, NULL, gz * 10 FROM imu)

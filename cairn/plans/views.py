@@ -142,6 +142,16 @@ points AS (
 PLANAR_SQL = "round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(cos(yaw), 6) + 0.0 AS c, round(sin(yaw), 6) + 0.0 AS s"
 
 
+def planar_relative(a: str, b: str) -> str:
+    """x, y, yaw of b as a sees it."""
+    return f"cos({a}.yaw) * ({b}.x - {a}.x) + sin({a}.yaw) * ({b}.y - {a}.y) AS x, cos({a}.yaw) * ({b}.y - {a}.y) - sin({a}.yaw) * ({b}.x - {a}.x) AS y, {b}.yaw - {a}.yaw AS yaw"
+
+
+def planar_product(a: str, b: str) -> str:
+    """x, y, yaw of b, given as a sees it, in a's own frame."""
+    return f"{a}.x + cos({a}.yaw) * {b}.x - sin({a}.yaw) * {b}.y AS x, {a}.y + sin({a}.yaw) * {b}.x + cos({a}.yaw) * {b}.y AS y, {a}.yaw + {b}.yaw AS yaw"
+
+
 def with_views(sql: str, recursive: bool = False) -> str:
     """The query's text behind the views; text that starts with a comma adds views of its own."""
     sql = sql.strip()

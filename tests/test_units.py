@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.functions import extrinsics
 from cairn.functions import pose as P
 from cairn.operators import clouds, graph, motion, registration, solve, temporal
 from cairn.sources import formats
@@ -199,3 +200,41 @@ def test_frames_file(spark, tmp_path):
     formats.write_frames(rows, str(tmp_path / "f"))
     back = formats.read_frames(spark, str(tmp_path / "f")).collect()
     assert sorted((r.keyframe_id, r.id, r.time, r.gps.satellites_used) for r in back) == [(0, 4, 1.5, 5), (0, 5, 2.5, 5)]
+
+
+def test_jacobians_of_rotations():
+    rng = np.random.default_rng(3)
+    for _ in range(10):
+        v, h = rng.normal(0, 1, 3), 1e-6
+        right = np.column_stack([motion.log_so3(motion.exp_so3(v).T @ motion.exp_so3(v + h * e)) / h for e in np.eye(3)])
+        left = np.column_stack([motion.log_so3(motion.exp_so3(v + h * e) @ motion.exp_so3(v).T) / h for e in np.eye(3)])
+        assert np.allclose(motion.right_jacobian(v), right, atol=1e-5)
+        assert np.allclose(motion.left_jacobian(v), left, atol=1e-5)
+        assert np.allclose(motion.inverse_right_jacobian(v) @ motion.right_jacobian(v), np.eye(3), atol=1e-9)
+        assert np.allclose(motion.exps_so3(v[None])[1][0], motion.right_jacobian(v), atol=1e-9)
+
+
+def test_preintegration_derivatives_and_covariance():
+    rng = np.random.default_rng(6)
+    gyro, acc, dts = rng.normal(0, 0.5, (12, 3)), rng.normal(0, 2, (12, 3)), rng.uniform(0.01, 0.1, 12)
+    m, h = motion.preintegrate(gyro, acc, dts), 1e-6
+    for k, e in enumerate(np.eye(3)):
+        by_gyro, by_acc = motion.preintegrate(gyro - h * e, acc, dts), motion.preintegrate(gyro, acc - h * e, dts)
+        assert np.allclose((by_gyro.dp - m.dp) / h, m.p_bg[:, k], atol=1e-4)
+        assert np.allclose((by_gyro.dv - m.dv) / h, m.v_bg[:, k], atol=1e-4)
+        assert np.allclose((by_acc.dp - m.dp) / h, m.p_ba[:, k], atol=1e-4)
+        assert np.allclose((by_acc.dv - m.dv) / h, m.v_ba[:, k], atol=1e-4)
+        assert np.allclose(motion.log_so3(m.dr.T @ by_gyro.dr) / h, m.r_bg[:, k], atol=1e-4)
+    draws = []
+    for _ in range(4000):
+        n = motion.preintegrate(gyro + rng.normal(0, 0.01, gyro.shape), acc + rng.normal(0, 0.1, acc.shape), dts)
+        draws.append(np.concatenate((n.dp - m.dp, n.dv - m.dv, motion.log_so3(m.dr.T @ n.dr))))
+    assert np.allclose(np.cov(np.array(draws).T), m.cov, atol=0.1 * np.abs(m.cov).max())
+
+
+def test_default_mounting():
+    there, back = extrinsics.body_laser()
+    assert np.allclose(there @ back, np.eye(4), atol=1e-9)
+    rows = np.array(extrinsics.CAMERA_OF_LASER)[:3]
+    given, _ = extrinsics.body_laser(np.eye(4)[:3], rows, np.array(extrinsics.BODY_CAMERA))
+    assert np.allclose(given, there)
