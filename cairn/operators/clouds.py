@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from cairn.functions import pose as P
 
+from .neighbours import knn_all
+from .registration import surface_normals
+
 #: Fixed values of the hash behind `uniform`.
 SPREAD, SEED_STEP, MODULUS = 2654435761, 40503, 1 << 32
 
@@ -69,6 +72,33 @@ def voxel_grid(points: DataFrame, size: float, means: list[str] = ["p_static"])
     return points.groupBy(*[c.alias(n) for n, c in cell.items()]).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("x", "y", "z", *means)])
 
 
+def voxel_filter(points: DataFrame, size: tuple[float, float, float]) -> DataFrame:
+    """One point per cloud and voxel, as a filter in a chain: the least point_id, and means of places and descriptors."""
+    cells = [F.floor(F.col(a) / v).alias(f"_v{a}") for a, v in zip("xyz", size, strict=True)]
+    means = [F.avg(c).alias(c) for c, kind in points.dtypes if kind in ("double", "float")]
+    out = points.groupBy("cloud_id", *cells).agg(F.min("point_id").alias("point_id"), *means)
+    return out.select(*[c for c in points.columns if c in out.columns])
+
+
+def surface_normal(points: DataFrame, knn: int = 10, radius: float = 2.0, normals: bool = True, densities: bool = True) -> DataFrame:
+    """Adds or replaces normals and density, from the knn nearest points of the same cloud; radius is where the search begins.
+    Points of clouds with fewer than three others keep what they have, or get nulls."""
+    fitted = surface_normals(knn_all(points, knn, radius, ["cloud_id"]), ("cloud_id",))
+    new = [c for c, wanted in (("nx", normals), ("ny", normals), ("nz", normals), ("density", densities)) if wanted]
+    fitted = fitted.select("cloud_id", "point_id", *[F.col(c).alias(f"_{c}") for c in new])
+    old = {c: F.col(c) if c in points.columns else F.lit(None).cast("double") for c in new}
+    return points.join(fitted, ["cloud_id", "point_id"], "left").withColumns({c: F.coalesce(f"_{c}", old[c]) for c in new}).drop(*[f"_{c}" for c in new])
+
+
+def concatenate(clouds: list[DataFrame]) -> DataFrame:
+    """Clouds as one, with the descriptors that all of them have."""
+    shared = [c for c in clouds[0].columns if all(c in o.columns for o in clouds)]
+    out = clouds[0].select(*shared)
+    for o in clouds[1:]:
+        out = out.unionByName(o.select(*shared))
+    return out
+
+
 def max_point_count(points: DataFrame, count: int, seed: int = 0) -> DataFrame:
     """The `count` points of smallest hash."""
     return points.orderBy(uniform(F.col("point_id"), seed), "point_id").limit(count)
@@ -115,12 +145,15 @@ def sane_clouds(points: DataFrame, least: int = 1000) -> DataFrame:
     return points.join(points.groupBy("cloud_id").count().where(F.col("count") >= least).select("cloud_id"), "cloud_id", "left_semi")
 
 
-def whole_map(points: DataFrame, poses: DataFrame, static: float | None = None, skip_last: bool = False) -> DataFrame:
-    """All submaps in one frame: poses joined by cloud_id, points moved and filtered. skip_last leaves out the newest submap."""
+def whole_map(points: DataFrame, poses: DataFrame, static: float | None = None, skip_last: bool = False, begin: int | None = None, post: list[tuple[str, dict]] | None = None) -> DataFrame:
+    """All submaps in one frame: poses joined by cloud_id, points moved and filtered, then the chain `post`. skip_last leaves out
+    the newest submap, begin those before it: as a map is rebuilt after an optimization."""
+    if begin is not None:
+        poses = poses.where(F.col("cloud_id") >= begin)
     if skip_last:
         poses = poses.join(poses.agg(F.max("cloud_id").alias("_last")), F.col("cloud_id") < F.col("_last")).drop("_last")
     moved = move(points.join(poses, "cloud_id"), F.col("pose"), "nx" in points.columns).drop("pose")
-    return moved if static is None else static_only(moved, static)
+    return apply_chain(moved if static is None else static_only(moved, static), post or [])
 
 
 #: Filters by the names that chains in configuration files use.
@@ -131,7 +164,8 @@ FILTERS: dict[str, Callable[..., DataFrame]] = {
     "SimpleSensorNoiseDataPointsFilter": lambda p, **_: sensor_noise(p),
     "ObservationDirectionDataPointsFilter": lambda p, x=0, y=0, z=0, **_: observation_direction(p, (float(x), float(y), float(z))),
     "OrientNormalsDataPointsFilter": lambda p, **_: orient_normals(p),
-    "VoxelGridDataPointsFilter": lambda p, vSizeX=1, **_: voxel_grid(p, float(vSizeX)),
+    "SurfaceNormalDataPointsFilter": lambda p, knn=5, keepNormals=1, keepDensities=0, radius=2, **_: surface_normal(p, int(knn), float(radius), bool(float(keepNormals)), bool(float(keepDensities))),
+    "VoxelGridDataPointsFilter": lambda p, vSizeX=1, vSizeY=1, vSizeZ=1, **_: voxel_filter(p, (float(vSizeX), float(vSizeY), float(vSizeZ))),
     "MaxPointCountDataPointsFilter": lambda p, maxCount=1000, **_: max_point_count(p, int(maxCount)),
     "MaxDistDataPointsFilter": lambda p, maxDist=1, dim=-1, **_: max_distance(p, float(maxDist), None if int(dim) < 0 else "xyz"[int(dim)]),
     "MinDistDataPointsFilter": lambda p, minDist=1, **_: min_distance(p, float(minDist)),

@@ -45,7 +45,7 @@ def knn(left: DataFrame, right: DataFrame, k: int, radius: float, axes: tuple[st
     pairs = within(left, right, radius, axes, by)
     if not self_match:
         pairs = pairs.where(F.col(f"l.{key}") != F.col(f"r.{key}"))
-    order = Window.partitionBy(f"l.{key}").orderBy("d2", f"r.{key}")
+    order = Window.partitionBy(f"l.{key}", *[f"l.{c}" for c in by or []]).orderBy("d2", f"r.{key}")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -54,8 +54,9 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float, axes: tuple
     pairs = within(left.select(key, *axes, *(by or [])), right, radius, axes, by)
     if not self_match:
         pairs = pairs.where(F.col(f"l.{key}") != F.col(f"r.{key}"))
-    best = pairs.groupBy(F.col(f"l.{key}").alias(key)).agg(F.min(F.struct("d2", F.col(f"r.{key}").alias("match_id"))).alias("m"))
-    return left.join(best, key, "left").withColumns({"match_id": F.col("m.match_id"), "d2": F.col("m.d2")}).drop("m")
+    keys = [key, *(by or [])]
+    best = pairs.groupBy(*[F.col(f"l.{c}").alias(c) for c in keys]).agg(F.min(F.struct("d2", F.col(f"r.{key}").alias("match_id"))).alias("m"))
+    return left.join(best, keys, "left").withColumns({"match_id": F.col("m.match_id"), "d2": F.col("m.d2")}).drop("m")
 
 
 def nearest(left: DataFrame, right: DataFrame, start_radius: float, axes: tuple[str, ...] = XYZ, self_match: bool = False, key: str = "point_id") -> DataFrame:
@@ -79,6 +80,29 @@ def nearest(left: DataFrame, right: DataFrame, start_radius: float, axes: tuple[
         radius *= 2
 
 
+def knn_all(rows: DataFrame, k: int, start_radius: float, by: list[str], axes: tuple[str, ...] = XYZ, key: str = "point_id") -> DataFrame:
+    """The k nearest other rows of the same `by` columns at any distance: (l, r, d2, rank). Rings as in `nearest`: rows with fewer
+    than k within the radius go on with a doubled one; those of groups with k rows or fewer take what there is."""
+    keys = [key, *by]
+    ranges = rows.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
+    span = sum((ranges[a] or 0.0) ** 2 for a in axes) ** 0.5
+    every, radius, found = rows.select(*keys, *axes), start_radius, None
+    rest = every
+    while True:
+        near = materialize(knn(rest, every, k, radius, axes, by, key=key))
+        own = [F.col(f"l.{c}").alias(c) for c in keys]
+        full = near.groupBy(*own).agg(F.max("rank").alias("n")).where(F.col("n") == k).drop("n")
+        last = radius > span
+        got = near if last else near.join(full, [F.col(f"l.{c}") == full[c] for c in keys], "left_semi")
+        found = got if found is None else found.unionByName(got)
+        if last:
+            return found
+        rest = materialize(rest.join(full, keys, "left_anti"))
+        if not rest.take(1):
+            return found
+        radius *= 2
+
+
 def loop_candidates(keyframes: DataFrame, radius: float = 30.0, gap: int = 5, begin: int = 1) -> DataFrame:
     """Pairs (robot_id, kf_id, cand_id, d2): an older keyframe, at least `gap` before and not among the first `begin`, within the radius in x and y."""
     pairs = within(keyframes, keyframes, radius, ("x", "y"), ["robot_id"])

@@ -1,29 +1,39 @@
-"""Scan registration: point-to-plane ICP.
+"""Scan registration: point-to-plane ICP, configured as chains are.
 
-Large clouds: `normal_equations` leaves Spark one aggregation per iteration, of 28 sums, and the
-driver solves a 6 x 6 system (`register`). Many small pairs: `register_pairs` runs whole
-registrations, one pair per group.
+Pairs of clouds are registered side by side. Small ones, whose sizes are checked, run whole in a task each;
+for larger ones every iteration is a grid join and one aggregation of 28 sums a pair (`register_many`), whatever
+the size of a cloud. Both follow the same definitions:
 
-Definitions: matches are the nearest reference points within max_dist; a match is kept if its
-distance is among the smallest `ratio` of them, its normals differ by at most max_angle, and
-the reference point is static enough. Overlap is the share of reading points with a kept match.
+Matches of a reading point are the knn nearest reference points within max_dist; a match is kept if its squared
+distance is among the smallest `ratio` of them (the value of that rank, to 1/100000 in Spark), its normals differ by
+at most max_angle, and the reference point is static enough. Overlap is the share of reading points with a kept match.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions import pose as P
+from cairn.sources.shared import materialize
+
 from .motion import exp_so3, log_so3
-from .neighbours import nearest_within
+from .neighbours import within
+
+#: Distances that one iteration of a pair may take in a task of its own.
+TASK_DISTANCES = 4_000_000
 
 
 @dataclass(frozen=True)
 class IcpParams:
+    """reading_filters and reference_filters are chains (clouds.apply_chain) that callers run before."""
+
+    knn: int = 1
     max_dist: float = 2.0
     ratio: float = 0.75
     max_angle: float = 1.57
@@ -34,31 +44,69 @@ class IcpParams:
     smooth: int = 2
     max_rotation_norm: float = 0.8
     max_translation_norm: float = 30.0
+    reading_filters: tuple = ()
+    reference_filters: tuple = ()
+
+
+def configured(sections: dict[str, list[tuple[str, dict]]]) -> IcpParams:
+    """Parameters from a chain file's sections (formats.parse_sections), by the names that such files use."""
+    made: dict = {"reading_filters": tuple(sections.get("readingDataPointsFilters", ())), "reference_filters": tuple(sections.get("referenceDataPointsFilters", ()))}
+    known = {
+        "KDTreeMatcher": {"knn": ("knn", int), "maxDist": ("max_dist", float)}, "TrimmedDistOutlierFilter": {"ratio": ("ratio", float)},
+        "SurfaceNormalOutlierFilter": {"maxAngle": ("max_angle", float)}, "GenericDescriptorOutlierFilter": {"threshold": ("min_static", float)},
+        "DifferentialTransformationChecker": {"minDiffRotErr": ("min_rotation", float), "minDiffTransErr": ("min_translation", float), "smoothLength": ("smooth", int)},
+        "CounterTransformationChecker": {"maxIterationCount": ("max_iterations", int)},
+        "BoundTransformationChecker": {"maxRotationNorm": ("max_rotation_norm", float), "maxTranslationNorm": ("max_translation_norm", float)},
+        "PointToPlaneErrorMinimizer": {}, "NullInspector": {}, "NullLogger": {},
+    }
+    # an outlier filter that a file leaves out is off
+    outliers = {n for n, _ in sections.get("outlierFilters", ())}
+    off = {"TrimmedDistOutlierFilter": ("ratio", 1.0), "SurfaceNormalOutlierFilter": ("max_angle", 4.0), "GenericDescriptorOutlierFilter": ("min_static", -1.0)}
+    made |= dict(v for n, v in off.items() if n not in outliers)
+    for section in ("matcher", "outlierFilters", "errorMinimizer", "transformationCheckers", "inspector", "logger"):
+        for name, params in sections.get(section, ()):
+            if name not in known:
+                raise ValueError(f"unknown part {name} of {section}")
+            for key, value in params.items():
+                if key in known[name]:
+                    field, kind = known[name][key]
+                    made[field] = kind(value)
+    return IcpParams(**made)
 
 
 class ConvergenceError(Exception):
     """The transform left its bounds: callers drop the scan."""
 
 
-def matches(reading: DataFrame, reference: DataFrame, p: IcpParams) -> DataFrame:
-    """reading with its match's place and normal (q*, n*), d2 and keep."""
-    ref = reference.select(F.col("point_id").alias("match_id"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz"),
-                           F.col("nx").alias("mx"), F.col("ny").alias("my"), F.col("nz").alias("mz"), F.col("p_static").alias("ref_static"))
-    found = nearest_within(reading, reference, p.max_dist).join(ref, "match_id", "left")
-    limit = found.where("d2 is not null").agg(F.expr(f"percentile(d2, {p.ratio})").alias("limit"))
-    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("nx") * F.col("mx") + F.col("ny") * F.col("my") + F.col("nz") * F.col("mz"))))
-    keep = F.col("d2").isNotNull() & (F.col("d2") <= F.col("limit")) & (angle <= p.max_angle) & (F.col("ref_static") > p.min_static)
-    return found.join(F.broadcast(limit), F.lit(True)).withColumn("keep", F.coalesce(keep, F.lit(False))).drop("limit")
-
-
-def normal_equations(matched: DataFrame) -> DataFrame:
-    """One row: the upper triangle a00..a55 of J'J, b0..b5 of J'r, rr, n and overlap of the kept matches."""
+def matches(reading: DataFrame, reference: DataFrame, p: IcpParams, by: list[str] | None = None) -> DataFrame:
+    """A row for each reading point and match, or one without: reading's columns, the match's place and normal (q*, m*), nth, d2, keep, any (of the point's)."""
+    keys = [*(by or []), "point_id"]
+    named = {"point_id": "match_id", "x": "qx", "y": "qy", "z": "qz", "nx": "mx", "ny": "my", "nz": "mz", "p_static": "ref_static"}
+    pairs = within(reading.select(*keys, *"xyz"), reference.select(*(by or []), *named), p.max_dist, by=by).select(
+        *[F.col(f"l.{k}").alias(k) for k in keys], F.struct("d2", *[F.col(f"r.{c}").alias(n) for c, n in named.items()]).alias("m"))
+    if p.knn == 1:
+        best = pairs.groupBy(*keys).agg(F.array(F.min("m")).alias("found"))
+    else:
+        rank = Window.partitionBy(*keys).orderBy("m.d2", "m.match_id")
+        best = pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= p.knn).groupBy(*keys).agg(F.array_sort(F.collect_list("m")).alias("found"))
+    joined = reading.join(best, keys, "left")
+    limit = joined.select(*(by or []), F.explode("found.d2").alias("d2")).groupBy(*(by or [])).agg(F.percentile_approx("d2", p.ratio, 100_000).alias("limit"))
+    joined = joined.join(limit, by, "left") if by else joined.join(F.broadcast(limit), F.lit(True))
+    angle = lambda m: F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("nx") * m.mx + F.col("ny") * m.my + F.col("nz") * m.mz)))
+    kept = F.transform("found", lambda m: F.struct(m.alias("m"), ((m.d2 <= F.col("limit")) & (angle(m) <= p.max_angle) & (m.ref_static > p.min_static)).alias("keep")))
+    rows = joined.withColumn("found", kept).withColumn("any", F.coalesce(F.exists("found", lambda c: c.keep), F.lit(False)))
+    return rows.select(*reading.columns, "any", F.posexplode_outer("found").alias("nth", "c")).select(*reading.columns, "nth", "c.m.*", F.coalesce("c.keep", F.lit(False)).alias("keep"), "any")
+
+
+def normal_equations(matched: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row (for each `by`): the upper triangle a00..a55 of J'J, b0..b5 of J'r, rr, n and overlap of the kept matches."""
     x, y, z, a, b, c = (F.col(n) for n in ("x", "y", "z", "mx", "my", "mz"))
     j = [y * c - z * b, z * a - x * c, x * b - y * a, a, b, c]  # rotation, then translation
     r = (F.col("qx") - x) * a + (F.col("qy") - y) * b + (F.col("qz") - z) * c
     kept = lambda e: F.sum(F.when(F.col("keep"), e))
     sums = [kept(j[i] * j[k]).alias(f"a{i}{k}") for i in range(6) for k in range(i, 6)] + [kept(j[i] * r).alias(f"b{i}") for i in range(6)]
-    return matched.agg(*sums, kept(r * r).alias("rr"), F.count_if("keep").alias("n"), (F.count_if("keep") / F.count("*")).alias("overlap"))
+    point = F.coalesce("nth", F.lit(0)) == 0
+    return matched.groupBy(*(by or [])).agg(*sums, kept(r * r).alias("rr"), F.count_if("keep").alias("n"), (F.count_if(point & F.col("any")) / F.count_if(point)).alias("overlap"))
 
 
 def solve_step(row) -> tuple[np.ndarray, np.ndarray]:
@@ -83,92 +131,155 @@ def settled(steps: list[tuple[float, float]], p: IcpParams) -> bool:
     return len(last) == p.smooth and np.mean([s[0] for s in last]) < p.min_rotation and np.mean([s[1] for s in last]) < p.min_translation
 
 
-def register(reading: DataFrame, reference: DataFrame, start: np.ndarray | None = None, p: IcpParams = IcpParams()) -> tuple[np.ndarray, float]:
-    """(transform, overlap) that moves the reading onto the reference; a driver loop over one aggregation per iteration."""
-    start = np.eye(4) if start is None else start
-    t, overlap, steps = start.copy(), 0.0, []
-    for _ in range(p.max_iterations):
-        cells = [float(v) for v in t.reshape(-1)]
-        moved = reading.withColumns({
-            **{c: sum((cells[4 * i + k] * F.col(a) for k, a in enumerate("xyz")), F.lit(cells[4 * i + 3])) for i, c in enumerate("xyz")},
-            **{c: sum((cells[4 * i + k] * F.col(a) for k, a in enumerate(("nx", "ny", "nz"))), F.lit(0.0)) for i, c in enumerate(("nx", "ny", "nz"))}})
-        row = normal_equations(matches(moved, reference, p)).first()
-        if not row["n"]:
-            raise ConvergenceError("no matches")
-        overlap = row["overlap"]
-        r, move = solve_step(row)
-        delta = np.eye(4)
-        delta[:3, :3], delta[:3, 3] = r, move
-        t = delta @ t
-        check_bounds(t, start, p)
-        steps.append((float(np.linalg.norm(log_so3(r))), float(np.linalg.norm(move))))
-        if settled(steps, p):
-            break
-    return t, overlap
+def next_step(row, t: np.ndarray, start: np.ndarray, steps: list, p: IcpParams) -> tuple[np.ndarray, list, bool]:
+    """(transform, steps so far, settled) after one iteration's sums; ConvergenceError out of bounds or without matches."""
+    if not row["n"]:
+        raise ConvergenceError("no matches")
+    r, move = solve_step(row)
+    delta = np.eye(4)
+    delta[:3, :3], delta[:3, 3] = r, move
+    t = delta @ t
+    check_bounds(t, start, p)
+    steps = [*steps, (float(np.linalg.norm(log_so3(r))), float(np.linalg.norm(move)))]
+    return t, steps, settled(steps, p)
 
 
 def icp(reading: np.ndarray, read_normals: np.ndarray, reference: np.ndarray, normals: np.ndarray, static: np.ndarray, start: np.ndarray | None = None, p: IcpParams = IcpParams()) -> tuple[np.ndarray, float]:
-    """The same registration for two small clouds in memory; distances are computed in slices of the reading."""
+    """The registration of two small clouds in memory; distances are computed in slices of the reading."""
     start = np.eye(4) if start is None else start
     t, overlap, steps = start.copy(), 0.0, []
+    k = min(p.knn, len(reference))
     for _ in range(p.max_iterations):
         moved, turned = reading @ t[:3, :3].T + t[:3, 3], read_normals @ t[:3, :3].T
-        at, d2 = np.empty(len(moved), np.int64), np.empty(len(moved))
+        at, d2 = np.empty((len(moved), k), np.int64), np.empty((len(moved), k))
         for a in range(0, len(moved), 1024):
             gap = ((moved[a : a + 1024, None] - reference[None]) ** 2).sum(axis=2)
-            at[a : a + 1024], d2[a : a + 1024] = gap.argmin(axis=1), gap.min(axis=1)
+            at[a : a + 1024] = np.argsort(gap, axis=1, kind="stable")[:, :k]
+            d2[a : a + 1024] = np.take_along_axis(gap, at[a : a + 1024], axis=1)
         near = d2 <= p.max_dist**2
         if not near.any():
             raise ConvergenceError("no matches")
-        angle = np.arccos(np.clip((turned * normals[at]).sum(axis=1), -1, 1))
-        keep = near & (d2 <= np.quantile(d2[near], p.ratio)) & (angle <= p.max_angle) & (static[at] > p.min_static)
-        if not keep.any():
-            raise ConvergenceError("no matches")
-        overlap = float(keep.mean())
-        n = normals[at][keep]
-        j = np.hstack((np.cross(moved[keep], n), n))
-        r = ((reference[at][keep] - moved[keep]) * n).sum(axis=1)
-        step = np.linalg.lstsq(j.T @ j, j.T @ r, rcond=1e-10)[0]
-        delta = np.eye(4)
-        delta[:3, :3], delta[:3, 3] = exp_so3(step[:3]), step[3:]
-        t = delta @ t
-        check_bounds(t, start, p)
-        steps.append((float(np.linalg.norm(step[:3])), float(np.linalg.norm(step[3:]))))
-        if settled(steps, p):
+        angle = np.arccos(np.clip((turned[:, None] * normals[at]).sum(axis=2), -1, 1))
+        keep = near & (d2 <= np.quantile(d2[near], p.ratio, method="inverted_cdf")) & (angle <= p.max_angle) & (static[at] > p.min_static)
+        overlap = float(keep.any(axis=1).mean())
+        own, q, n = moved[np.nonzero(keep)[0]], reference[at[keep]], normals[at[keep]]
+        j, r = np.hstack((np.cross(own, n), n)), ((q - own) * n).sum(axis=1)
+        a, b = j.T @ j, j.T @ r
+        row = {f"a{i}{m}": a[i, m] for i in range(6) for m in range(i, 6)} | {f"b{i}": b[i] for i in range(6)} | {"n": len(own)}
+        t, steps, done = next_step(row, t, start, steps, p)
+        if done:
             break
     return t, overlap
 
 
-def register_pairs(readings: DataFrame, references: DataFrame, p: IcpParams = IcpParams()) -> DataFrame:
+def register_many(readings: DataFrame, references: DataFrame, starts: DataFrame, p: IcpParams = IcpParams()) -> DataFrame:
+    """(pair, ok, overlap, t) for pairs of any size: each iteration is a join and an aggregation for all pairs that still move; their states are small tables."""
+    state = "pair long, start array<double>, t array<double>, overlap double, steps array<array<double>>, done boolean, ok boolean"
+    now = materialize(starts.select("pair", F.col("start"), F.col("start").alias("t"), F.lit(0.0).alias("overlap"), F.array().cast("array<array<double>>").alias("steps"), F.lit(False).alias("done"), F.lit(True).alias("ok")))
+    sums = [f"a{i}{k}" for i in range(6) for k in range(i, 6)] + [f"b{i}" for i in range(6)] + ["n", "overlap"]
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                start, t = (np.array(r[c], float).reshape(4, 4) for c in ("start", "t"))
+                steps, overlap = [tuple(x) for x in r["steps"]], float(r["new_overlap"] or 0.0)
+                try:
+                    t, steps, done = next_step({c: r[c] if r[c] == r[c] else None for c in sums if c != "overlap"}, t, start, steps, p)
+                    out.append((r["pair"], list(r["start"]), t.reshape(-1).tolist(), overlap, [list(x) for x in steps], done or len(steps) >= p.max_iterations, True))
+                except ConvergenceError:
+                    out.append((r["pair"], list(r["start"]), list(r["t"]), 0.0, [list(x) for x in steps], True, False))
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in state.split(", ")])
+
+    while now.where("not done").take(1):
+        open_ = now.where("not done")
+        moved = readings.join(open_.select("pair", "t"), "pair")
+        moved = moved.withColumns(dict(zip(["x", "y", "z", "nx", "ny", "nz"], [*P.transform(F.col("t"), "x", "y", "z"), *P.rotate(F.col("t"), "nx", "ny", "nz")], strict=True))).drop("t")
+        found = normal_equations(matches(moved, references, p, ["pair"]), ["pair"]).withColumnRenamed("overlap", "new_overlap")
+        waiting = open_.join(found, "pair", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        now = materialize(now.where("done").unionByName(waiting.mapInPandas(step, state)))
+    return now.select("pair", "ok", "overlap", F.when(F.col("ok"), F.col("t")).alias("t"))
+
+
+def register(reading: DataFrame, reference: DataFrame, start: np.ndarray | None = None, p: IcpParams = IcpParams()) -> tuple[np.ndarray, float]:
+    """(transform, overlap) that moves one reading onto its reference, of any size."""
+    pair = lambda df: df.withColumn("pair", F.lit(0).cast("long"))
+    cells = [float(v) for v in (np.eye(4) if start is None else start).reshape(-1)]
+    starts = reading.sparkSession.range(1).select(F.col("id").alias("pair"), F.array(*map(F.lit, cells)).alias("start"))
+    row = register_many(pair(reading), pair(reference), starts, p).first()
+    if not row.ok:
+        raise ConvergenceError("no matches, or the transform left its bounds")
+    return np.array(row.t).reshape(4, 4), row.overlap
+
+
+def register_pairs(readings: DataFrame, references: DataFrame, p: IcpParams = IcpParams(), starts: DataFrame | None = None, task_distances: int = TASK_DISTANCES) -> DataFrame:
     """(pair, ok, overlap, t array<double>): registers the reading of each pair to its reference, pairs in parallel.
 
-    Both sides: pair, x, y, z, nx, ny, nz, p_static. A registration that fails gives ok = false.
+    Both sides: pair, point_id, x, y, z, nx, ny, nz, p_static. starts(pair, start): guesses, the identity where there is none. A
+    registration that fails gives ok = false, as does an empty cloud. Pairs of more than task_distances distances go by `register_many`.
     """
+    cells = ["pair", "point_id", "x", "y", "z", "nx", "ny", "nz", "p_static"]
+    sizes = [side.groupBy("pair").agg(F.count("*").alias(n)) for side, n in ((readings, "n_a"), (references, "n_b"))]
+    every = sizes[0].join(sizes[1], "pair", "full").na.fill(0)
+    if starts is not None:
+        every = every.join(starts.select("pair", "start"), "pair", "left").withColumn("start", F.coalesce("start", P.identity()))
+    else:
+        every = every.withColumn("start", P.identity())
+    every = materialize(every.withColumn("large", F.col("n_a") * F.col("n_b") > task_distances))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values("point_id"), b.sort_values("point_id")
         pair = (a if len(a) else b)["pair"].iloc[0]
         xyz, n = ["x", "y", "z"], ["nx", "ny", "nz"]
         try:
             if not len(a) or not len(b):
                 raise ConvergenceError("an empty cloud")
-            t, overlap = icp(a[xyz].to_numpy(), a[n].to_numpy(), b[xyz].to_numpy(), b[n].to_numpy(), b["p_static"].to_numpy(), p=p)
+            t, overlap = icp(a[xyz].to_numpy(), a[n].to_numpy(), b[xyz].to_numpy(), b[n].to_numpy(), b["p_static"].to_numpy(), np.array(a["start"].iloc[0], float).reshape(4, 4), p)
             return pd.DataFrame({"pair": [pair], "ok": [True], "overlap": [overlap], "t": [t.reshape(-1).tolist()]})
         except ConvergenceError:
             return pd.DataFrame({"pair": [pair], "ok": [False], "overlap": [0.0], "t": [None]})
 
-    cells = ["pair", "x", "y", "z", "nx", "ny", "nz", "p_static"]  # renamed, as both sides may come from one table
-    a, b = (side.select(*cells).toDF(*cells) for side in (readings, references))
-    return a.groupBy("pair").cogroup(b.groupBy("pair")).applyInPandas(run, "pair long, ok boolean, overlap double, t array<double>")
+    small = every.where("not large").select("pair", "start")
+    a, b = (side.select(*cells).join(small, "pair").toDF(*cells, "start") for side in (readings, references))  # renamed, as both sides may come from one table
+    out = a.groupBy("pair").cogroup(b.groupBy("pair")).applyInPandas(run, "pair long, ok boolean, overlap double, t array<double>")
+    large = every.where("large").select("pair", "start")
+    return out.unionByName(register_many(readings.select(*cells), references.select(*cells), large, p)) if large.take(1) else out
+
+
+def overlap_gate(results: DataFrame, least: float = 0.2) -> DataFrame:
+    """Registrations that succeeded with enough overlap: the scans of the others are dropped."""
+    return results.where(F.col("ok") & (F.col("overlap") >= least))
+
+
+def merge_clouds(first: DataFrame, second: DataFrame, p: IcpParams = IcpParams(), start: np.ndarray | None = None) -> DataFrame:
+    """Two clouds in the first one's frame: the second is registered to the first and moved there; p's chains thin both for the registration."""
+    from .clouds import apply_chain, move
+
+    t, _ = register(apply_chain(second, list(p.reading_filters)), apply_chain(first, list(p.reference_filters)), start, p)
+    return first.unionByName(move(second, F.array(*[F.lit(float(v)) for v in t.reshape(-1)]), normals=True), allowMissingColumns=True)
+
+
+def bootstrap(scans: list[DataFrame], cloud: DataFrame, p: IcpParams = IcpParams(), rounds: int = 6) -> np.ndarray | None:
+    """Pose of a robot on a known map, once `rounds` scans in a row have registered, each from the result before; a failure starts over. None if too few do."""
+    t, done = np.eye(4), 0
+    for scan in scans:
+        try:
+            t, done = register(scan, cloud, t, p)[0], done + 1
+        except ConvergenceError:
+            t, done = np.eye(4), 0
+        if done >= rounds:
+            return t
+    return None
 
 
-def surface_normals(neighbours: DataFrame) -> DataFrame:
-    """(point_id, nx, ny, nz, density) from knn rows (l, r, d2): the smallest eigenvector of the neighbours' covariance.
+def surface_normals(neighbours: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, point_id, nx, ny, nz, density) from knn rows (l, r, d2): the smallest eigenvector of the neighbours' covariance.
 
     The covariance is one hash aggregation; only its six numbers per point go to numpy, in batches.
-    density is k over the volume of the sphere through the farthest neighbour.
+    density is k over the volume of the sphere through the farthest neighbour, spread the variance along the normal.
     """
     x, y, z = (F.col(f"r.{a}") for a in "xyz")
-    cov = neighbours.groupBy(F.col("l.point_id").alias("point_id")).agg(
+    cov = neighbours.groupBy(*[F.col(f"l.{c}").alias(c) for c in (*by, "point_id")]).agg(
         F.covar_pop(x, x).alias("xx"), F.covar_pop(x, y).alias("xy"), F.covar_pop(x, z).alias("xz"), F.covar_pop(y, y).alias("yy"), F.covar_pop(y, z).alias("yz"), F.covar_pop(z, z).alias("zz"),
         F.count("*").alias("k"), F.sqrt(F.max("d2")).alias("reach"))
 
@@ -178,6 +289,7 @@ def surface_normals(neighbours: DataFrame) -> DataFrame:
             n = np.linalg.eigh(m)[1][:, :, 0] if len(m) else np.zeros((0, 3))
             n = n * np.where(n[np.arange(len(n)), np.abs(n).argmax(axis=1)] < 0, -1, 1)[:, None] if len(n) else n
             volume = 4 / 3 * np.pi * pdf["reach"].to_numpy() ** 3
-            yield pd.DataFrame({"point_id": pdf["point_id"], "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2], "density": pdf["k"].to_numpy() / np.where(volume > 0, volume, np.inf)})
+            yield pd.DataFrame({**{c: pdf[c] for c in (*by, "point_id")}, "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2],
+                                "density": pdf["k"].to_numpy() / np.where(volume > 0, volume, np.inf), "spread": np.einsum("ni,nij,nj->n", n, m, n)})
 
-    return cov.mapInPandas(run, "point_id long, nx double, ny double, nz double, density double")
+    return cov.mapInPandas(run, "".join(f"{c} long, " for c in (*by, "point_id")) + "nx double, ny double, nz double, density double, spread double")

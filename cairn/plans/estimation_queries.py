@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from cairn.functions import pose as P
 from cairn.operators import clouds, graph, motion, neighbours, registration, solve
 from cairn.operators.temporal import micros
+from cairn.sources import formats
 
+from .motion_queries import FOLD as _FOLD
 from .views import edges, imu, keyframes, nodes, points, r6, scan_frames, with_views
 
 ICP = registration.IcpParams(max_dist=2.0)
@@ -34,19 +36,72 @@ def icp_normal_eq(spark, d):
 
 
 def trimmed_quantile(spark, d):
-    return _matched(spark, d).where("d2 is not null").groupBy("cloud_id").agg(r6(F.expr("percentile(d2, 0.75)")).alias("q75"), F.count("*").alias("n"))
+    return _matched(spark, d).where("d2 is not null").groupBy("cloud_id").agg(r6(F.percentile_approx("d2", 0.75, 100_000)).alias("q75"), F.count("*").alias("n"))
 
 
 def overlap_ratio(spark, d):
     return _matched(spark, d).groupBy("cloud_id").agg(r6(F.count_if("keep") / F.count("*")).alias("overlap"))
 
 
+def _registered(out):
+    return out.select("pair", "ok", *[(F.round(F.col("t")[i], 4) + 0.0).alias(n) for i, n in ((3, "tx"), (7, "ty"), (11, "tz"), (0, "r00"), (4, "r10"))])
+
+
 def icp_pair(spark, d):
     """Each submap, turned by 0.02 rad and shifted, registered back to itself."""
     p = points(spark, d).withColumn("pair", F.col("cloud_id"))
     moved = clouds.move(p, P.from_yaw(F.lit(0.02), F.lit(0.05), F.lit(-0.03), F.lit(0.02)), normals=True)
-    out = registration.register_pairs(moved, p, ICP)
-    return out.select("pair", "ok", *[(F.round(F.col("t")[i], 4) + 0.0).alias(n) for i, n in ((3, "tx"), (7, "ty"), (11, "tz"), (0, "r00"), (4, "r10"))])
+    return _registered(registration.register_pairs(moved, p, ICP))
+
+
+CHAIN = """
+readingDataPointsFilters:
+  - MaxDistDataPointsFilter:
+      maxDist: 1000
+referenceDataPointsFilters:
+#  - RandomSamplingDataPointsFilter:
+#      prob: 0.2
+matcher:
+  KDTreeMatcher:
+    knn: 1
+    maxDist: 2
+outlierFilters:
+  - TrimmedDistOutlierFilter:
+     ratio: 0.75
+  - SurfaceNormalOutlierFilter:
+     maxAngle: 1.57
+errorMinimizer:
+  PointToPlaneErrorMinimizer
+transformationCheckers:
+  - DifferentialTransformationChecker:
+      minDiffRotErr: 0.0001
+      minDiffTransErr: 0.0001
+      smoothLength: 2
+  - CounterTransformationChecker:
+      maxIterationCount: 40
+  - BoundTransformationChecker:
+      maxRotationNorm: 0.80
+      maxTranslationNorm: 30.00
+logger:
+  NullLogger
+"""
+
+
+def icp_configured(spark, d):
+    """Submaps far off their places, registered from guesses of their own by a configured chain."""
+    p = registration.configured(formats.parse_sections(CHAIN))
+    own = points(spark, d).withColumn("pair", F.col("cloud_id"))
+    moved = clouds.move(own, P.from_yaw(F.lit(0.3), F.lit(4.0), F.lit(-2.0), F.lit(0.5)), normals=True)
+    guess = own.select("pair").distinct().select("pair", P.inverse(P.from_yaw(F.lit(0.29), F.lit(3.97), F.lit(-2.02), F.lit(0.5))).alias("start"))
+    reading, reference = clouds.apply_chain(moved, list(p.reading_filters)), clouds.apply_chain(own, list(p.reference_filters))
+    return _registered(registration.register_pairs(reading, reference, p, guess))
+
+
+def merge_clouds(spark, d):
+    """A submap and a moved copy of it, registered and merged."""
+    one = points(spark, d).where("cloud_id = 2")
+    other = clouds.move(one.withColumn("point_id", F.col("point_id") + 1_000_000), P.from_yaw(F.lit(0.01), F.lit(0.05), F.lit(-0.03)), normals=True)
+    return registration.merge_clouds(one, other, ICP).select("point_id", *[(F.round(c, 3) + 0.0).alias(c) for c in "xyz"])
 
 
 def surface_density(spark, d):
@@ -55,10 +110,41 @@ def surface_density(spark, d):
 
 
 def surface_normals(spark, d):
-    """Squared lengths and residual directions of fitted normals."""
+    """Lengths of fitted normals, and how far neighbours spread along them: the least variance in any direction."""
     p = points(spark, d)
     n = registration.surface_normals(neighbours.knn(p, p, 5, 4.0))
-    return n.select("point_id", *[(F.round(c, 4) + 0.0).alias(c) for c in ("nx", "ny", "nz")], r6(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2).alias("length2"))
+    return n.select("point_id", r6(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2).alias("length2"), (F.round("spread", 4) + 0.0).alias("spread"))
+
+
+INPUT_CHAIN = """
+- FixStepSamplingDataPointsFilter:
+    startStep: 2
+- RandomSamplingDataPointsFilter:
+    prob: 0.8
+- SurfaceNormalDataPointsFilter:
+    knn: 4
+    keepNormals: 1
+    keepDensities: 1
+- MaxDensityDataPointsFilter:
+    maxDensity: 200.0
+- SimpleSensorNoiseDataPointsFilter:
+    sensorType: 0
+- ObservationDirectionDataPointsFilter
+- OrientNormalsDataPointsFilter
+"""
+
+
+def chain_input(spark, d):
+    """The chain for scans: thinned, with normals that face the sensor, densities and noise."""
+    out = clouds.apply_chain(points(spark, d), formats.parse_chain(INPUT_CHAIN))
+    facing = F.col("nx") * F.col("ox") + F.col("ny") * F.col("oy") + F.col("nz") * F.col("oz") >= 0
+    return out.select("cloud_id", "point_id", (F.round("density", 6) + 0.0).alias("density"), r6("noise").alias("noise"), facing.alias("facing"))
+
+
+def chain_voxels(spark, d):
+    """A voxel grid within a chain keeps clouds apart, and ids and descriptors for the filters behind it."""
+    out = clouds.apply_chain(points(spark, d), formats.parse_chain("- VoxelGridDataPointsFilter:\n    vSizeX: 2\n    vSizeY: 3\n    vSizeZ: 4\n- MaxDistDataPointsFilter:\n    maxDist: 3\n    dim: -1\n"))
+    return out.select("cloud_id", "point_id", *[r6(c).alias(c) for c in ("x", "y", "z", "nx", "p_static")])
 
 
 def pose_graph(spark, d):
@@ -80,8 +166,24 @@ def gyro_bias_gn(spark, d):
 
 
 def smoother(spark, d):
-    intervals = motion.imu_intervals(scan_frames(spark, d), imu(spark, d))
-    return solve.smooth_robots(intervals, scan_frames(spark, d).select("robot_id", "frame_id", "x", "y")).select("robot_id", "frame_id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), "ok")
+    """Windows over each robot's whole path, from places 0.05 off, with samples that fit it: speeds go on from frame to frame, a second each."""
+    by = Window.partitionBy("robot_id").orderBy("frame_id")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    f = scan_frames(spark, d).select("robot_id", "frame_id", (F.col("x") / 100).alias("x"), (F.col("y") / 100).alias("y"))
+    # a constant pull between two frames takes the speed to twice the mean one less the speed before
+    sign = F.when(F.col("frame_id") % 2 == 0, 1.0).otherwise(-1.0)
+    for a in "xy":
+        step = F.coalesce(F.col(a) - F.lag(a).over(by), F.lit(0.0))
+        f = f.withColumn(f"d{a}", step).withColumn(f"v{a}", sign * F.sum(sign * 2 * F.col(f"d{a}")).over(upto))
+    f = f.withColumns({f"a{a}": F.col(f"v{a}") - F.coalesce(F.lag(f"v{a}").over(by), F.lit(0.0)) for a in "xy"})
+    zero = F.lit(0.0)
+    steps = f.select("robot_id", "frame_id", F.array(F.struct(F.lit(0.5).alias("dt"), zero.alias("wx"), zero.alias("wy"), zero.alias("wz"), "ax", "ay", zero.alias("az")),
+                                                     F.struct(F.lit(0.5).alias("dt"), zero.alias("wx"), zero.alias("wy"), zero.alias("wz"), "ax", "ay", zero.alias("az"))).alias("samples"))
+    states = f.select("robot_id", "frame_id", P.from_yaw(zero, F.col("x"), F.col("y")).alias("pose"), F.array("vx", "vy", zero).alias("v"))
+    off = states.withColumn("start", P.product(F.col("pose"), P.from_yaw(zero, F.when((F.col("frame_id") - 1) % 3 > 0, 0.05).otherwise(0.0), zero)))
+    out = solve.smooth_windows(off, steps, width=4, stride=3, iterations=5).join(f.select("robot_id", "frame_id", "x", "y"), ["robot_id", "frame_id"])
+    near = (F.abs(F.col("pose")[3] - F.col("x")) < 0.01) & (F.abs(F.col("pose")[7] - F.col("y")) < 0.01)
+    return out.select("robot_id", "frame_id", near.alias("near"), "ok")
 
 
 def gravity_ba(spark, d):
@@ -104,12 +206,12 @@ def realtime_gaps(spark, d):
     return scan_frames(spark, d).withColumn("gap", (micros("stamp") - F.lag(micros("stamp")).over(by)) / 3.6e9).groupBy("robot_id").agg(r6(F.max("gap")).alias("gap"))
 
 
-QUERIES = {f.__name__: f for f in (icp_normal_eq, trimmed_quantile, overlap_ratio, icp_pair, surface_density, surface_normals, pose_graph, gyro_bias_gn, gravity_ba, smoother, realtime_gaps)}
+QUERIES = {f.__name__: f for f in (icp_normal_eq, trimmed_quantile, overlap_ratio, icp_pair, icp_configured, merge_clouds, surface_density, surface_normals, chain_input, chain_voxels, pose_graph, gyro_bias_gn, gravity_ba, smoother, realtime_gaps)}
 
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 _MATCH = f""", near AS (
   SELECT a.point_id, min(({_D2}, b.point_id)) AS m FROM points a JOIN points b ON a.cloud_id % 2 = 1 AND b.cloud_id % 2 = 0 WHERE {_D2} <= 4 GROUP BY 1
-), lim AS (SELECT quantile_cont(m[1], 0.75) AS q FROM near), matched AS (
+), lim AS (SELECT quantile_disc(m[1], 0.75) AS q FROM near), matched AS (
   SELECT a.*, m[1] AS d2, b.x AS qx, b.y AS qy, b.z AS qz, b.nx AS mx, b.ny AS my, b.nz AS mz,
     coalesce(m[1] <= q AND acos(least(1, greatest(-1, a.nx * b.nx + a.ny * b.ny + a.nz * b.nz))) <= 1.57::DOUBLE AND b.p_static > 0.1::DOUBLE, false) AS keep
   FROM points a LEFT JOIN near USING (point_id) LEFT JOIN points b ON b.point_id = m[2] CROSS JOIN lim WHERE a.cloud_id % 2 = 1
@@ -128,10 +230,38 @@ _KNN = f""", knn AS (
 """
 SQL = {
     "icp_normal_eq": with_views(_MATCH + f"SELECT {_SUMS} FROM matched"),
-    "trimmed_quantile": with_views(_MATCH + "SELECT cloud_id, round(quantile_cont(d2, 0.75), 6) + 0.0 AS q75, count(*) AS n FROM matched WHERE d2 IS NOT NULL GROUP BY 1"),
+    "trimmed_quantile": with_views(_MATCH + "SELECT cloud_id, round(quantile_disc(d2, 0.75), 6) + 0.0 AS q75, count(*) AS n FROM matched WHERE d2 IS NOT NULL GROUP BY 1"),
     "overlap_ratio": with_views(_MATCH + "SELECT cloud_id, round(count(*) FILTER (keep) / count(*), 6) + 0.0 AS overlap FROM matched GROUP BY 1"),
     "icp_pair": with_views("""SELECT DISTINCT cloud_id AS pair, true AS ok, round(-(0.05::DOUBLE * cos(0.02::DOUBLE) - 0.03::DOUBLE * sin(0.02::DOUBLE)), 4) + 0.0 AS tx,
   round(0.05::DOUBLE * sin(0.02::DOUBLE) + 0.03::DOUBLE * cos(0.02::DOUBLE), 4) + 0.0 AS ty, -0.02::DOUBLE AS tz, round(cos(0.02::DOUBLE), 4) AS r00, round(-sin(0.02::DOUBLE), 4) AS r10 FROM points"""),
+    "icp_configured": with_views("""SELECT DISTINCT cloud_id AS pair, true AS ok, round(-(4 * cos(0.3::DOUBLE) - 2 * sin(0.3::DOUBLE)), 4) + 0.0 AS tx, round(4 * sin(0.3::DOUBLE) + 2 * cos(0.3::DOUBLE), 4) + 0.0 AS ty,
+  -0.5::DOUBLE AS tz, round(cos(0.3::DOUBLE), 4) AS r00, round(-sin(0.3::DOUBLE), 4) AS r10 FROM points"""),
+    "merge_clouds": with_views("SELECT point_id + n * 1000000 AS point_id, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(z, 3) + 0.0 AS z FROM points, (SELECT unnest([0, 1])::BIGINT AS n) WHERE cloud_id = 2"),
+    "surface_normals": with_views(f""", knn AS (
+  SELECT a.point_id, b.x, b.y, b.z, row_number() OVER (PARTITION BY a.point_id ORDER BY {_D2}, b.point_id) AS r FROM points a JOIN points b ON a.point_id <> b.point_id WHERE {_D2} <= 16
+), cov AS (
+  SELECT point_id, var_pop(x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, var_pop(y) AS yy, covar_pop(y, z) AS yz, var_pop(z) AS zz FROM knn WHERE r <= 5 GROUP BY 1
+), shifted AS (
+  SELECT *, (xx + yy + zz) / 3 AS q FROM cov
+), scaled AS (
+  SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM shifted
+), angled AS (
+  SELECT *, CASE WHEN p = 0 THEN 0 ELSE ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p) END AS r FROM scaled)
+SELECT point_id, 1.0::DOUBLE AS length2, round(greatest(0, q + 2 * p * cos(acos(least(1, greatest(-1, r))) / 3 + 2 * pi() / 3)), 4) + 0.0 AS spread FROM angled"""),
+    "chain_input": with_views(f""", stepped AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY point_id) AS n FROM points) WHERE (n - 1) % 2 = 0 AND (((point_id % 1073741824) * 2654435761) % 4294967296) / 4294967296.0::DOUBLE < 0.8::DOUBLE
+), near AS (
+  SELECT a.cloud_id, a.point_id, {_D2} AS d2, row_number() OVER (PARTITION BY a.cloud_id, a.point_id ORDER BY {_D2}, b.point_id) AS r FROM stepped a JOIN stepped b ON a.cloud_id = b.cloud_id AND a.point_id <> b.point_id
+), dense AS (
+  SELECT cloud_id, point_id, count(*) / (4 / 3.0::DOUBLE * pi() * pow(sqrt(max(d2)), 3)) AS density FROM near WHERE r <= 4 GROUP BY ALL)
+SELECT cloud_id, point_id, round(density, 6) + 0.0 AS density, round(greatest(0.0012::DOUBLE, 0.0068::DOUBLE * sqrt(x * x + y * y + z * z)), 6) AS noise, true AS facing FROM stepped JOIN dense USING (cloud_id, point_id)"""),
+    "chain_voxels": with_views("""SELECT * FROM (SELECT cloud_id, min(point_id) AS point_id, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, round(avg(z), 6) + 0.0 AS z, round(avg(nx), 6) + 0.0 AS nx, round(avg(p_static), 6) + 0.0 AS p_static
+  FROM points GROUP BY cloud_id, floor(x / 2), floor(y / 3), floor(z / 4) HAVING sqrt(avg(x) * avg(x) + avg(y) * avg(y) + avg(z) * avg(z)) < 3)"""),
+    "gyro_bias_gn": with_views(_FOLD + """, heads AS (SELECT *, atan2(y - lag(y) OVER w, x - lag(x) OVER w) AS heading FROM scan_frames WINDOW w AS (PARTITION BY robot_id ORDER BY frame_id)
+), steps AS (SELECT robot_id, frame_id, heading - lag(heading) OVER (PARTITION BY robot_id ORDER BY frame_id) AS s FROM heads
+), seen AS (SELECT robot_id, frame_id, s - 2 * pi() * floor((s + pi()) / (2 * pi())) AS seen FROM steps WHERE s IS NOT NULL)
+SELECT robot_id, round(sum(dt * (turn - seen)) / sum(dt * dt), 6) + 0.0 AS bias, count(*) AS n FROM folded JOIN seen USING (robot_id, frame_id) GROUP BY 1"""),
+    "smoother": with_views("SELECT robot_id, frame_id, true AS near, true AS ok FROM scan_frames"),
     "surface_density": with_views(_KNN + "SELECT point_id, round(count(*) / (4 / 3.0::DOUBLE * pi() * pow(sqrt(max(d2)), 3)), 6) + 0.0 AS density FROM knn WHERE r <= 5 GROUP BY 1"),
     "pose_graph": with_views("SELECT robot_id, kf_id AS node, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(cos(yaw), 3) + 0.0 AS c, round(sin(yaw), 3) + 0.0 AS s FROM keyframes"),
     "realtime_gaps": with_views("SELECT robot_id, round(max(gap), 6) + 0.0 AS gap FROM (SELECT robot_id, (epoch_us(stamp) - epoch_us(lag(stamp) OVER (PARTITION BY robot_id ORDER BY frame_id))) / 3.6e9::DOUBLE AS gap FROM scan_frames) GROUP BY 1"),

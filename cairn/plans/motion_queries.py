@@ -118,7 +118,7 @@ def realtime_ratio(spark, d):
 
 QUERIES = {f.__name__: f for f in (gyro_bias_mean, static_start, odom_fold, imu_preint, imu_preint_cov, nav_propagate, const_velocity, initial_guess, kf_features, kf_cut, kf_cut_plain, kf_reason, frames_by_keyframe, loop_cooldown, window_stride, window_samples, realtime_ratio)}
 
-_FOLD = """, tagged AS (
+FOLD = """, tagged AS (
   SELECT s.*, f.frame_id, f.stamp AS fin FROM imu s ASOF JOIN scan_frames f ON s.robot_id = f.robot_id AND s.stamp < f.stamp
 ), timed AS (
   SELECT *, greatest(0, (epoch_us(coalesce(lead(stamp) OVER w, fin)) - epoch_us(stamp)) / 3.6e9::DOUBLE) AS dt FROM tagged WINDOW w AS (PARTITION BY robot_id, frame_id ORDER BY stamp, event_id)
@@ -164,13 +164,13 @@ SQL = {
 ), head AS (
   SELECT *, sum(r * dt) OVER (PARTITION BY robot_id ORDER BY stamp, event_id ROWS UNBOUNDED PRECEDING) - r * dt AS heading FROM step WHERE dt IS NOT NULL)
 SELECT robot_id, round(sum(v * cos(heading) * dt), 6) + 0.0 AS dx, round(sum(v * sin(heading) * dt), 6) + 0.0 AS dy, round(sum(r * dt), 6) + 0.0 AS turn, round(sum(dt), 6) + 0.0 AS dt FROM head GROUP BY 1"""),
-    "imu_preint": with_views(_FOLD + "SELECT robot_id, frame_id, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("px", "py", "vx", "vy", "turn", "dt")) + " FROM folded"),
-    "imu_preint_cov": with_views(_FOLD + """, reach AS (
+    "imu_preint": with_views(FOLD + "SELECT robot_id, frame_id, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("px", "py", "vx", "vy", "turn", "dt")) + " FROM folded"),
+    "imu_preint_cov": with_views(FOLD + """, reach AS (
   SELECT *, coalesce(sum(cos(turn) * dt) OVER w, 0) AS upto FROM turned WINDOW w AS (PARTITION BY robot_id, frame_id ORDER BY stamp, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), by_bias AS (
   SELECT robot_id, frame_id, -sum(upto * dt + 0.5::DOUBLE * cos(turn) * dt * dt) AS p_ba, -sum(dt) AS r_bg FROM reach GROUP BY ALL)
 SELECT robot_id, frame_id, round(px, 4) + 0.0 AS px, round(py, 4) + 0.0 AS py, round(p_ba, 4) + 0.0 AS p_ba, round(r_bg, 4) + 0.0 AS r_bg FROM folded JOIN by_bias USING (robot_id, frame_id)"""),
-    "nav_propagate": with_views(_FOLD + f""", turning AS (SELECT *, 0.3::DOUBLE + coalesce(sum(turn) OVER {_PREVIOUS}, 0) AS h FROM folded WHERE frame_id > 2
+    "nav_propagate": with_views(FOLD + f""", turning AS (SELECT *, 0.3::DOUBLE + coalesce(sum(turn) OVER {_PREVIOUS}, 0) AS h FROM folded WHERE frame_id > 2
 ), pushes AS (SELECT *, cos(h) * vx - sin(h) * vy AS gx, sin(h) * vx + cos(h) * vy AS gy, -9.81::DOUBLE * dt AS gz FROM turning
 ), speeds AS (SELECT *, 1 + coalesce(sum(gx) OVER {_PREVIOUS}, 0) AS v0, coalesce(sum(gy) OVER {_PREVIOUS}, 0) AS v1, coalesce(sum(gz) OVER {_PREVIOUS}, 0) AS v2 FROM pushes
 ), moves AS (SELECT *, v0 * dt + cos(h) * px - sin(h) * py AS mx, v1 * dt + sin(h) * px + cos(h) * py AS my, v2 * dt - 0.5::DOUBLE * 9.81::DOUBLE * dt * dt AS mz FROM speeds)
@@ -181,13 +181,13 @@ SELECT robot_id, frame_id, round(1 + sum(mx) OVER {_UPTO}, 2) + 0.0 AS x, round(
 ), ahead AS (
   SELECT t.robot_id, t.frame_id, {planar_product("a", "t")} FROM steps t JOIN posed a ON a.robot_id = t.robot_id AND a.frame_id = t.frame_id - 1)
 SELECT robot_id, frame_id, {PLANAR_SQL} FROM ahead"""),
-    "initial_guess": with_views(_FOLD + f""", posed AS (SELECT robot_id, frame_id, x, y, (y - 5) * 0.6::DOUBLE AS yaw FROM scan_frames), e AS (SELECT 0.5::DOUBLE AS x, 0.1::DOUBLE AS y, 0.2::DOUBLE AS yaw
+    "initial_guess": with_views(FOLD + f""", posed AS (SELECT robot_id, frame_id, x, y, (y - 5) * 0.6::DOUBLE AS yaw FROM scan_frames), e AS (SELECT 0.5::DOUBLE AS x, 0.1::DOUBLE AS y, 0.2::DOUBLE AS yaw
 ), o AS (SELECT 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS yaw), back AS (SELECT {planar_relative("e", "o")} FROM e, o
 ), moved AS (SELECT robot_id, frame_id, px AS x, py AS y, turn AS yaw FROM folded), one AS (SELECT m.robot_id, m.frame_id, {planar_product("e", "m")} FROM moved m, e
 ), two AS (SELECT m.robot_id, m.frame_id, {planar_product("m", "b")} FROM one m, back b
 ), ahead AS (SELECT m.robot_id, m.frame_id, {planar_product("k", "m")} FROM two m JOIN posed k USING (robot_id, frame_id))
 SELECT robot_id, frame_id, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(cos(yaw), 4) + 0.0 AS c, round(sin(yaw), 4) + 0.0 AS s FROM ahead"""),
-    "window_samples": with_views(_FOLD + """, numbered AS (SELECT robot_id, frame_id, row_number() OVER (PARTITION BY robot_id ORDER BY frame_id) AS n FROM scan_frames)
+    "window_samples": with_views(FOLD + """, numbered AS (SELECT robot_id, frame_id, row_number() OVER (PARTITION BY robot_id ORDER BY frame_id) AS n FROM scan_frames)
 SELECT robot_id, max(frame_id) AS frame_id, CAST(coalesce(sum(m), 0) AS BIGINT) AS n, round(coalesce(sum(t), 0), 4) + 0.0 AS dt
 FROM numbered LEFT JOIN (SELECT robot_id, frame_id, count(*) AS m, sum(dt) AS t FROM timed GROUP BY ALL) USING (robot_id, frame_id) GROUP BY robot_id, (n + 2) // 3 HAVING count(*) = 3"""),
     "kf_cut_plain": with_views(_cuts(4, False) + "SELECT robot_id, frame_id FROM cuts WHERE cut", recursive=True),

@@ -67,7 +67,7 @@ def reslam_anchor(spark, d):
 
 def orthonormalize(spark, d):
     """Rotations that rounding has stretched, made exact again."""
-    p = F.transform(P.from_yaw(F.col("yaw"), F.col("x"), F.col("y")), lambda v, i: F.when((i % 4 < 3) & (i < 11), v * 1.0005).otherwise(v))
+    p = F.transform(P.from_yaw(F.col("yaw"), F.col("x"), F.col("y")), lambda v, i: F.when((i % 4 < 3) & (i < 11), v * 1.01).otherwise(v))
     return keyframes(spark, d).select("robot_id", "kf_id", *planar(P.orthonormalize(p)))
 
 
@@ -82,18 +82,32 @@ def nav_state(spark, d):
 
 
 def batch_loop_closure(spark, d):
-    """Submaps against themselves, moved by more for higher ids: only those that register with enough overlap stay."""
+    """Submaps against copies that lie farther off for higher ids, from guesses at their places: those that register near their guess stay."""
     p = points(spark, d).withColumn("pair", F.col("cloud_id"))
     moved = clouds.move(p, P.from_yaw(F.lit(0.01), 0.02 * F.col("cloud_id"), F.lit(0.0), F.lit(0.0)), normals=True)
-    pairs = p.select("pair").distinct()
-    return fixes.batch_loop_closure(pairs, registration.register_pairs(moved, p)).select("pair", "ok")
+    pairs = p.select("pair").distinct().withColumn("start", P.identity())
+    kept = fixes.batch_loop_closure(pairs, registration.register_pairs(moved, p, starts=pairs), most_shift=0.11)
+    return kept.select("pair", *[(F.round(F.col("t")[i], 3) + 0.0).alias(n) for i, n in ((3, "x"), (7, "y"), (0, "c"), (4, "s"))])
 
 
-QUERIES = {f.__name__: f for f in (orthonormalize, nav_state, gps_normalize, gps_halves, timestamp_split, wrap_angles, rpy_matrix, quaternion_roundtrip, guess_clamp, loop_overlap_best, sample_neighbours, reslam_anchor, batch_loop_closure)}
+def satellite_fixes(spark, d):
+    """Full fixes with the latest heading of an inertial system."""
+    full = gps(spark, d).select("robot_id", "event_id", "stamp", F.col("easting").alias("longitude"), F.col("northing").alias("latitude"), F.lit(1.0).alias("altitude"), F.lit(0.1).alias("roll"), F.lit(0.2).alias("pitch"), F.lit(7).alias("satellites_used"))
+    return fixes.satellite_fix(full, tf(spark, d).withColumnRenamed("tx", "yaw")).select("robot_id", "event_id", r6("longitude").alias("longitude"), "easting", r6("yaw").alias("yaw"), "satellites_used")
+
+
+QUERIES = {f.__name__: f for f in (orthonormalize, nav_state, gps_normalize, gps_halves, timestamp_split, wrap_angles, rpy_matrix, quaternion_roundtrip, guess_clamp, loop_overlap_best, sample_neighbours, reslam_anchor, batch_loop_closure, satellite_fixes)}
 
 _RPY = ", m AS (SELECT robot_id, event_id, gz * 10 AS r, ax / 10 AS p, gz * 20 AS y FROM imu)"
 SQL = {
-    "orthonormalize": with_views(f"SELECT robot_id, kf_id, {PLANAR_SQL} FROM keyframes"),
+    "batch_loop_closure": with_views("""SELECT DISTINCT cloud_id AS pair, round(-0.02::DOUBLE * cloud_id * cos(0.01::DOUBLE), 3) + 0.0 AS x, round(0.02::DOUBLE * cloud_id * sin(0.01::DOUBLE), 3) + 0.0 AS y,
+  round(cos(0.01::DOUBLE), 3) AS c, round(-sin(0.01::DOUBLE), 3) AS s FROM points WHERE cloud_id <= 5"""),
+    "satellite_fixes": with_views("""SELECT g.robot_id, g.event_id, round(easting, 6) + 0.0 AS longitude, 0.0::DOUBLE AS easting, round(tx, 6) + 0.0 AS yaw, 7 AS satellites_used
+  FROM gps g ASOF LEFT JOIN tf t ON g.robot_id = t.robot_id AND g.stamp >= t.stamp"""),
+    "orthonormalize": with_views(f""", cells AS (SELECT robot_id, kf_id, x, y, cos(yaw) AS c, 1.01::DOUBLE * cos(yaw) AS kc, 1.01::DOUBLE * sin(yaw) AS ks, 1.01::DOUBLE AS k FROM keyframes
+), big AS (SELECT *, sqrt(1 + k + 2 * abs(kc)) / 2 AS b FROM cells
+), exact AS (SELECT robot_id, kf_id, x, y, 2 * CASE WHEN c >= 0 THEN atan2(ks / (2 * b), b) ELSE atan2(b, ks / (2 * b)) END AS yaw FROM big)
+SELECT robot_id, kf_id, {PLANAR_SQL} FROM exact"""),
     "nav_state": with_views(f""", e AS (SELECT 0.5::DOUBLE AS x, 0.1::DOUBLE AS y, 0.2::DOUBLE AS yaw), o AS (SELECT 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS yaw), back AS (SELECT {planar_relative("e", "o")} FROM e, o
 ), body AS (SELECT k.robot_id, k.kf_id, k.x AS laser_x, {planar_product("k", "b")} FROM keyframes k, back b)
 SELECT robot_id, kf_id, {PLANAR_SQL}, round(cos(yaw), 6) + 0.0 AS vx, round(sin(yaw), 6) + 0.0 AS vy, round(laser_x, 6) + 0.0 AS laser_x FROM body"""),

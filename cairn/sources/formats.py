@@ -107,3 +107,26 @@ def parse_chain(text: str) -> list[tuple[str, dict]]:
         else:
             raise ValueError(f"not a filter chain: {raw!r}")
     return chain
+
+
+def parse_sections(text: str) -> dict[str, list[tuple[str, dict]]]:
+    """A registration's configuration: sections at the margin, each with a list of parts, or one part, with or without parameters."""
+    sections: dict[str, list[str]] = {}
+    name = None
+    for raw in text.splitlines():
+        line = raw.split("#")[0].rstrip()
+        if not line.strip():
+            continue
+        if not line[0].isspace():
+            name = line.rstrip(":").strip()
+            sections[name] = []
+        elif name is None:
+            raise ValueError(f"not in a section: {raw!r}")
+        else:
+            sections[name].append(line)
+    out = {}
+    for name, lines in sections.items():
+        if lines and not lines[0].strip().startswith("- "):  # a part without a dash: the least indented line
+            lines = ["- " + lines[0].strip(), *lines[1:]]
+        out[name] = parse_chain("\n".join(lines))
+    return out

@@ -238,3 +238,86 @@ def test_default_mounting():
     rows = np.array(extrinsics.CAMERA_OF_LASER)[:3]
     given, _ = extrinsics.body_laser(np.eye(4)[:3], rows, np.array(extrinsics.BODY_CAMERA))
     assert np.allclose(given, there)
+
+
+def dense_box(rng, n=700):
+    """Points on three faces of a box, with their normals."""
+    face, uv = rng.integers(0, 3, n), rng.uniform(0, 4, (n, 2))
+    xyz = np.zeros((n, 3))
+    for k in range(3):
+        xyz[np.ix_(face == k, [i for i in range(3) if i != k])] = uv[face == k]
+    return xyz, np.eye(3)[face]
+
+
+def cloud_frame(spark, xyz, normals, pair=0):
+    rows = [(pair, i, *map(float, p), *map(float, n), 1.0) for i, (p, n) in enumerate(zip(xyz, normals))]
+    return spark.createDataFrame(rows, "pair long, point_id long, x double, y double, z double, nx double, ny double, nz double, p_static double")
+
+
+def test_large_and_small_registrations_agree(spark):
+    rng = np.random.default_rng(11)
+    xyz, n = dense_box(rng)
+    there = pose(0.04, (0.1, -0.06, 0.05))
+    moved, turned = xyz @ there[:3, :3].T + there[:3, 3], n @ there[:3, :3].T
+    reading = cloud_frame(spark, moved, turned).unionByName(cloud_frame(spark, moved + 500, turned, 1)).unionByName(cloud_frame(spark, moved[:5], turned[:5], 2))
+    reference = cloud_frame(spark, xyz, n).unionByName(cloud_frame(spark, xyz, n, 1))
+    p = registration.IcpParams(knn=3, max_dist=1.0, max_iterations=12)
+    for limit in (10**9, 0):
+        out = {r.pair: r for r in registration.register_pairs(reading, reference, p, task_distances=limit).collect()}
+        assert np.allclose(np.array(out[0].t).reshape(4, 4) @ there, np.eye(4), atol=5e-3)
+        assert out[0].ok and out[0].overlap > 0.7
+        assert not out[1].ok and not out[2].ok
+        assert [r.pair for r in registration.overlap_gate(registration.register_pairs(reading, reference, p, task_distances=limit)).collect()] == [0]
+
+
+def test_bootstrap_needs_scans_in_a_row(spark):
+    rng = np.random.default_rng(12)
+    xyz, n = dense_box(rng, 200)
+    good, bad = cloud_frame(spark, xyz + 0.05, n), cloud_frame(spark, xyz + 900, n)
+    p = registration.IcpParams(max_dist=1.0, max_iterations=3)
+    assert registration.bootstrap([good, bad, good], cloud_frame(spark, xyz, n), p, rounds=2) is None
+    assert np.allclose(registration.bootstrap([bad, good, good], cloud_frame(spark, xyz, n), p, rounds=2)[:3, 3], -0.05, atol=0.02)
+
+
+def test_chain_files():
+    text = "readingDataPointsFilters:\n  - MaxDensityDataPointsFilter:\n      maxDensity: 30\n#9000\nmatcher:\n  KDTreeMatcher:\n    knn: 3\n    maxDist: 2\noutlierFilters:\n  - TrimmedDistOutlierFilter:\n     ratio: 0.75\nerrorMinimizer:\n  PointToPlaneErrorMinimizer\ntransformationCheckers:\n  - CounterTransformationChecker:\n      maxIterationCount: 40\n  - BoundTransformationChecker:\n      maxRotationNorm: 0.80\nlogger:\n#  FileLogger\n  NullLogger\n"
+    p = registration.configured(formats.parse_sections(text))
+    assert (p.knn, p.max_dist, p.ratio, p.max_iterations, p.max_rotation_norm) == (3, 2.0, 0.75, 40, 0.8)
+    assert p.reading_filters == (("MaxDensityDataPointsFilter", {"maxDensity": 30.0}),)
+    assert (p.max_angle, p.min_static) == (4.0, -1.0)
+    with pytest.raises(ValueError, match="unknown part"):
+        registration.configured({"matcher": [("OtherMatcher", {})]})
+
+
+def test_linear_alignment_finds_gravity_and_scale():
+    rng = np.random.default_rng(2)
+    g, p, v, r = np.array([0.3, -0.2, -9.8]), np.zeros(3), np.array([1.0, 0.5, 0.0]), np.eye(3)
+    g *= 9.81 / np.linalg.norm(g)
+    poses, folds, speeds = [pose(t=p)], [], [v]
+    for _ in range(8):
+        m = motion.preintegrate(rng.normal(0, 0.5, (20, 3)), rng.normal(0, 1, (20, 3)) - r.T @ g, np.full(20, 0.02))
+        p, v, r = p + v * m.dt + 0.5 * g * m.dt**2 + r @ m.dp, v + g * m.dt + r @ m.dv, r @ m.dr
+        at = np.eye(4)
+        at[:3, :3], at[:3, 3] = r, p
+        poses.append(at)
+        folds.append(m)
+        speeds.append(r.T @ v)
+    for t in poses:
+        t[:3, 3] /= 2
+    found, gravity, scale = solve.linear_alignment(poses, folds)
+    assert np.allclose(gravity, g, atol=1e-6)
+    assert abs(scale - 2) < 1e-6
+    assert np.allclose(found[3], speeds[3], atol=1e-6)
+    assert solve.linear_alignment(poses, folds, g=20.0) is None
+
+
+def test_loop_edges_pull_a_drifted_square_together(spark):
+    turn, nodes, drifted = pose(np.pi / 2, (1.0, 0.0, 0.0)), [np.eye(4)], [np.eye(4)]
+    for i in range(39):
+        step = turn if i % 10 == 9 else pose(0.0, (1.0, 0.0, 0.0))
+        nodes.append(nodes[-1] @ step)
+        drifted.append(drifted[-1] @ step @ pose(0.01, (0.02, 0.01, 0.0)))
+    edges = [(i, i + 1, np.linalg.inv(nodes[i]) @ nodes[i + 1]) for i in range(39)] + [(39, 0, np.linalg.inv(nodes[39]) @ nodes[0])]
+    out, before, after = solve.optimize_poses(drifted, edges)
+    assert before > 1e-3 and after < 1e-9
+    assert np.allclose(out, nodes, atol=1e-3)
