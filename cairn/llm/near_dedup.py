@@ -35,8 +35,8 @@ from .textkit import Words, mix64, shingles, text_slices
 
 #: Slots per band, and the chance with which a pair at the threshold may miss every band.
 BAND_ROWS, MISS = 6, 1e-7
-#: Shingles in a block of the exact comparison, nodes that meet a centre in one slice, and shingles that one permutation table holds.
-BLOCK_SHINGLES, SLICE_NODES, TABLE_SHINGLES = 100_000, 256, 1 << 15
+#: Shingles and nodes in a block of the exact comparison, nodes that meet a centre in one slice, and shingles that one permutation table holds.
+BLOCK_SHINGLES, BLOCK_NODES, SLICE_NODES, TABLE_SHINGLES = 100_000, 512, 256, 1 << 15
 NODE_COLUMNS = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
 
 
@@ -236,11 +236,12 @@ def _star_links(docs: DataFrame, pairs: DataFrame, k: int, percent: int, block_s
 def _open_links(docs: DataFrame, members: DataFrame, components: DataFrame, k: int, percent: int, block_shingles: int) -> DataFrame:
     """Confirmed links between the components that meet in a bucket; members: (bucket, node, n_shingles)."""
     known = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = known.groupBy("bucket", "component").agg(F.sum("n_shingles").alias("n"))
+    weight = F.col("n_shingles") / block_shingles + F.lit(1 / BLOCK_NODES)  # share of a block that a node takes
+    parts = known.groupBy("bucket", "component").agg(F.sum(weight).alias("n"))
     # the largest component is told apart from the odd ones; a bucket of one component is done
     shape = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("n"), F.count("*").alias("parts"))
     shape = materialize(shape.where("parts > 1").select(
-        "bucket", "main", F.ceil((F.col("n") - F.col("main_n")) / block_shingles).cast("int").alias("odd_blocks"), F.ceil(F.col("main_n") / block_shingles).cast("int").alias("main_blocks")))
+        "bucket", "main", F.ceil(F.greatest(F.col("n") - F.col("main_n"), F.lit(1 / BLOCK_NODES))).cast("int").alias("odd_blocks"), F.ceil("main_n").cast("int").alias("main_blocks")))
     odd = F.col("component") != F.col("main")
     spread = F.xxhash64("node")
     placed = known.join(shape, "bucket").select(
