@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from cairn.functions import pose as P
 from cairn.operators import clouds
-from cairn.sources import formats
+from cairn.sources import formats, pointclouds
 from cairn.sources.shared import scratch_path
 from cairn.streaming import robots as R
 
-from .views import PLANAR_SQL, edges, keyframes, planar, points, r6, scan_frames, with_views
+from .views import PLANAR_SQL, edges, keyframes, nodes, planar, points, poses, r6, scan_frames, with_views
 
 
 def _stream(spark, d, topic):
@@ -40,6 +40,26 @@ def stream_imu(spark, d):
     return R.run_available(R.imu_state(_stream(spark, d, "signup"))).select("robot_id", "event_id", r6("speed").alias("speed"), r6("turn").alias("turn"))
 
 
+def stream_bias_feedback(spark, d):
+    """Inertial states while another topic keeps correcting the bias."""
+    both = R.message_stream(spark, d).where("topic in ('signup', 'error')")
+    return R.run_available(R.imu_state(both, feedback="error")).select("robot_id", "event_id", r6("speed").alias("speed"), r6("turn").alias("turn"))
+
+
+def stream_growing_map(spark, d):
+    return R.run_available(R.growing_map(_stream(spark, d, "click")))
+
+
+def stream_lost(spark, d):
+    """Mapping states where scans that don't register make a robot lose its way."""
+    return R.run_available(R.state_machine(_stream(spark, d, "click").withColumn("good", F.col("k") >= 60), patience=2))
+
+
+def stream_localizing(spark, d):
+    """States of robots with a map, which have to find their place first."""
+    return R.run_available(R.state_machine(_stream(spark, d, "click").withColumn("good", F.col("k") >= 30), localize_after=4))
+
+
 def stream_localize(spark, d):
     fixed = scan_frames(spark, d).where("frame_id = 1").select("robot_id", "x", "y")
     return R.run_available(R.localize(_stream(spark, d, "click"), fixed)).select("robot_id", "event_id", r6("distance").alias("distance"))
@@ -63,6 +83,78 @@ def tum_roundtrip(spark, d):
     return formats.read_tum(spark, path).select("time", r6(p[3]).alias("x"), r6(p[7]).alias("y"), r6(p[11]).alias("z"), r6(p[0]).alias("cosine"))
 
 
+def _one_map(spark, d):
+    """All graphs as one map: ids are robot_id * 1000 + keyframe."""
+    key = lambda c: (F.col("robot_id") * 1000 + F.col(c))
+    return nodes(spark, d).select(key("node").alias("id"), "pose"), edges(spark, d).select(key("src").alias("src"), key("dst").alias("dst"), "pose", "reachable")
+
+
+def map_read(spark, d):
+    """A map through its files, with poses by the order of reading: the first node of each path has its own file."""
+    n, e = _one_map(spark, d)
+    topology, poses = _path(spark), _path(spark)
+    formats.write_topology(e, n, topology, force_reachable=True)
+    formats.write_poses(n.where("id % 1000 = 0"), poses)
+    return formats.read_map(spark, topology, poses)[0].select("id", *planar())
+
+
+def map_read_poses(spark, d):
+    """Poses of a map from their files alone, ids moved up by an offset."""
+    n, e = _one_map(spark, d)
+    topology, poses = _path(spark), _path(spark)
+    formats.write_topology(e.where("src % 3 = 0"), n, topology)
+    formats.write_poses(n.where("id % 20 = 0"), poses, offset=1)
+    return formats.read_map_poses(spark, topology, poses)[0].where("pose is not null").select("id", *planar())
+
+
+def frames_roundtrip(spark, d):
+    """Frames nested by keyframe, with their fixes, as a file and back."""
+    f = scan_frames(spark, d).select((F.col("robot_id") * 1000 + F.floor(F.col("frame_id") / 4)).alias("keyframe_id"), F.col("robot_id").alias("keyframe_frame_id"), F.col("frame_id").alias("id"), F.col("frame_id").cast("double").alias("time"),
+                                     P.from_yaw(F.col("y") * 0.1, F.col("x"), F.col("y")).alias("pose"), F.struct(F.lit(1.5).alias("timestamp"), F.col("x").alias("northing"), F.col("y").alias("easting"), *[F.lit(0.25).alias(c) for c in ("altitude", "latitude", "longitude", "roll", "pitch", "yaw")], F.lit(6).alias("satellites_used"), F.lit(1).alias("status")).alias("gps"))
+    path = _path(spark)
+    formats.write_frames(f, path)
+    return formats.read_frames(spark, path).select("keyframe_id", "id", "time", *planar(), r6("gps.northing").alias("northing"), F.col("gps.satellites_used").alias("satellites"))
+
+
+def node_gps_roundtrip(spark, d):
+    """Fixes as a file for each node, and back."""
+    f = keyframes(spark, d).where("kf_id % 10 = 0").select((F.col("robot_id") * 1000 + F.col("kf_id")).alias("id"), F.lit(1.5).alias("timestamp"), F.col("x").alias("northing"), F.col("y").alias("easting"),
+                                                          *[F.lit(0.25).alias(c) for c in ("altitude", "latitude", "longitude", "roll", "pitch", "yaw")], F.lit(1).alias("status"), F.lit(6).alias("satellites_used"))
+    path = _path(spark)
+    formats.write_node_gps(f, path)
+    return formats.read_node_gps(spark, path).select("node", r6("northing").alias("northing"), r6("easting").alias("easting"), "satellites_used")
+
+
+def gps_trajectory(spark, d):
+    """Trajectory of fixes as text and back; keyframes without a fix are left out."""
+    gps = F.when(F.col("kf_id") % 3 > 0, F.struct(F.col("x").alias("longitude"), F.col("y").alias("latitude"), *[F.lit(0.5).alias(c) for c in ("altitude", "roll", "pitch", "yaw")], F.lit(6).alias("satellites_used")))
+    rows = keyframes(spark, d).select((F.col("robot_id") * 1000 + F.col("kf_id")).cast("double").alias("time"), gps.alias("gps"))
+    path = _path(spark)
+    formats.write_gps_trajectory(rows, path)
+    return formats.read_gps_trajectory(spark, path).select("time", r6("longitude").alias("longitude"), r6("latitude").alias("latitude"), "satellites_used")
+
+
+def graph_dump(spark, d):
+    """A pose graph's snapshot as text and back: its edges."""
+    n, e = _one_map(spark, d)
+    path = _path(spark)
+    formats.dump_graph(n, e, path)
+    return formats.read_graph(spark, path)[1].select("src", "dst", *planar())
+
+
+def whole_map_roundtrip(spark, d):
+    """The whole map rebuilt after an optimization, without its first and its newest submap, thinned, written and read back."""
+    path = _path(spark)
+    formats.write_whole_map(clouds.whole_map(points(spark, d), poses(spark), skip_last=True, begin=1, post=[("MaxDistDataPointsFilter", {"maxDist": 25})]), path)
+    return spark.read.parquet(path).select("cloud_id", "point_id", *[r6(c).alias(c) for c in "xyz"])
+
+
+def cloud_decode(spark, d):
+    """Submaps as binary messages, decoded."""
+    out = pointclouds.decode_clouds(pointclouds.encode_clouds(points(spark, d)))
+    return out.select("cloud_id", "nth", *[(F.round(c, 4) + 0.0).alias(c) for c in "xyz"])
+
+
 def submap_read(spark, d):
     """Submaps written by id, two of them read back: only their folders are scanned."""
     path = _path(spark)
@@ -76,8 +168,11 @@ def yaml_chain(spark, d):
     return clouds.apply_chain(points(spark, d), formats.parse_chain(text)).select("cloud_id", "point_id", r6("nx").alias("nx"))
 
 
-QUERIES = {f.__name__: f for f in (stream_watermark_late, stream_state_machine, stream_sliding_map, stream_imu, stream_localize, xml_roundtrip, tum_roundtrip, submap_read, yaml_chain)}
+QUERIES = {f.__name__: f for f in (stream_watermark_late, stream_state_machine, stream_sliding_map, stream_imu, stream_bias_feedback, stream_growing_map, stream_lost, stream_localizing, stream_localize, map_read, map_read_poses, frames_roundtrip, node_gps_roundtrip, gps_trajectory, graph_dump, whole_map_roundtrip, cloud_decode, xml_roundtrip, tum_roundtrip, submap_read, yaml_chain)}
 
+_SCANS = """, scans AS (
+  SELECT robot_id, event_id, row_number() OVER (PARTITION BY robot_id ORDER BY stamp, event_id) AS frame_id, value / 10 AS x, k / 10.0::DOUBLE AS y, k FROM messages WHERE topic = 'click')
+"""
 SQL = {
     "stream_watermark_late": with_views("""SELECT date_trunc('day', stamp)::TIMESTAMP AS start, topic, count(*) AS n, round(sum(value), 4) + 0.0 AS value FROM messages
   WHERE date_trunc('day', stamp) + INTERVAL 1 DAY <= (SELECT max(stamp) FROM messages) - INTERVAL 10 DAY GROUP BY ALL"""),
@@ -90,6 +185,39 @@ SQL = {
     SELECT *, row_number() OVER w AS n, (epoch_us(stamp) - epoch_us(lag(stamp) OVER w)) / 3.6e9::DOUBLE AS dt FROM imu WINDOW w AS (PARTITION BY robot_id ORDER BY stamp, event_id))
   WINDOW w AS (PARTITION BY robot_id ORDER BY n))
 SELECT robot_id, event_id, round(sum(dv) OVER w, 6) + 0.0 AS speed, round(sum(dr) OVER w, 6) + 0.0 AS turn FROM s WHERE n > 3 WINDOW w AS (PARTITION BY robot_id ORDER BY n)"""),
+    "stream_sliding_map": with_views(""", slid AS (
+  SELECT robot_id, frame_id, event_id, [{'x': x, 'y': y}] AS near FROM scans WHERE frame_id = 1
+  UNION ALL SELECT f.robot_id, f.frame_id, f.event_id, list_append(list_filter(s.near, lambda p: (p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y) <= 100), {'x': f.x, 'y': f.y})
+  FROM slid s JOIN scans f ON f.robot_id = s.robot_id AND f.frame_id = s.frame_id + 1)
+SELECT robot_id, event_id, CAST(len(near) AS BIGINT) AS n FROM slid""".replace(", slid", _SCANS + ", slid", 1), recursive=True),
+    "stream_growing_map": with_views(_SCANS + """, grown AS (
+  SELECT robot_id, frame_id, event_id, x AS x0, y AS y0, [{'x': x, 'y': y}] AS own, 1::BIGINT AS n, false AS cut FROM scans WHERE frame_id = 1
+  UNION ALL
+  SELECT robot_id, frame_id, event_id, CASE WHEN far THEN x ELSE x0 END, CASE WHEN far THEN y ELSE y0 END,
+    CASE WHEN far THEN list_filter(joined, lambda p: (p.x - x) * (p.x - x) + (p.y - y) * (p.y - y) <= 25) ELSE joined END, CAST(len(joined) AS BIGINT), far
+  FROM (SELECT f.robot_id, f.frame_id, f.event_id, f.x, f.y, g.x0, g.y0, list_append(g.own, {'x': f.x, 'y': f.y}) AS joined, (f.x - g.x0) * (f.x - g.x0) + (f.y - g.y0) * (f.y - g.y0) > 144 AS far
+        FROM grown g JOIN scans f ON f.robot_id = g.robot_id AND f.frame_id = g.frame_id + 1))
+SELECT robot_id, event_id, n, cut FROM grown""", recursive=True),
+    "stream_bias_feedback": with_views(""", mixed AS (
+  SELECT robot_id, event_id, stamp, topic, value / 100 - coalesce(sum(CASE WHEN topic = 'error' THEN value / 1000 END) OVER (PARTITION BY robot_id ORDER BY stamp, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ax, (k - 50) / 1000.0::DOUBLE AS gz
+  FROM messages WHERE topic IN ('signup', 'error')
+), steps AS (
+  SELECT *, row_number() OVER w AS n, (epoch_us(stamp) - epoch_us(lag(stamp) OVER w)) / 3.6e9::DOUBLE AS dt, lag(ax) OVER w AS a, lag(gz) OVER w AS g FROM mixed WHERE topic = 'signup' WINDOW w AS (PARTITION BY robot_id ORDER BY stamp, event_id))
+SELECT robot_id, event_id, round(sum(a * dt) OVER w, 6) + 0.0 AS speed, round(sum(g * dt) OVER w, 6) + 0.0 AS turn FROM steps WHERE n > 3 WINDOW w AS (PARTITION BY robot_id ORDER BY stamp, event_id ROWS UNBOUNDED PRECEDING)"""),
+    "stream_lost": with_views(_SCANS + """, runs AS (SELECT *, frame_id - coalesce(max(CASE WHEN k >= 60 THEN frame_id END) OVER (PARTITION BY robot_id ORDER BY frame_id ROWS UNBOUNDED PRECEDING), 0) AS bad FROM scans)
+SELECT robot_id, event_id, CASE WHEN frame_id > 4 AND bad > 2 THEN 'LOST' WHEN frame_id = 1 THEN 'NOT_INITIALIZED' WHEN frame_id <= 4 THEN 'INITIALIZING' ELSE 'WORKING' END AS state FROM runs"""),
+    "stream_localizing": with_views(_SCANS + """, runs AS (SELECT *, frame_id - coalesce(max(CASE WHEN k < 30 THEN frame_id END) OVER (PARTITION BY robot_id ORDER BY frame_id ROWS UNBOUNDED PRECEDING), 0) AS good FROM scans)
+SELECT robot_id, event_id, CASE WHEN bool_or(good >= 4) OVER (PARTITION BY robot_id ORDER BY frame_id ROWS UNBOUNDED PRECEDING) THEN 'LOCALIZEING' ELSE 'NOT_LOCALIZEING' END AS state FROM runs"""),
+    "map_read": with_views(f"SELECT robot_id * 1000 + kf_id AS id, {PLANAR_SQL} FROM keyframes"),
+    "map_read_poses": with_views(f"SELECT b.robot_id * 1000 + b.kf_id AS id, round(a.x, 6) + 0.0 AS x, round(a.y, 6) + 0.0 AS y, round(cos(a.yaw), 6) + 0.0 AS c, round(sin(a.yaw), 6) + 0.0 AS s FROM keyframes a JOIN keyframes b ON a.robot_id = b.robot_id AND b.kf_id = a.kf_id + 1 WHERE a.kf_id % 20 = 0"),
+    "frames_roundtrip": with_views("""SELECT robot_id * 1000 + frame_id // 4 AS keyframe_id, frame_id AS id, CAST(frame_id AS DOUBLE) AS time, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(cos(y * 0.1::DOUBLE), 6) + 0.0 AS c, round(sin(y * 0.1::DOUBLE), 6) + 0.0 AS s,
+  round(x, 6) + 0.0 AS northing, 6 AS satellites FROM scan_frames"""),
+    "node_gps_roundtrip": with_views("SELECT robot_id * 1000 + kf_id AS node, round(x, 6) + 0.0 AS northing, round(y, 6) + 0.0 AS easting, 6 AS satellites_used FROM keyframes WHERE kf_id % 10 = 0"),
+    "gps_trajectory": with_views("SELECT CAST(robot_id * 1000 + kf_id AS DOUBLE) AS time, round(x, 6) + 0.0 AS longitude, round(y, 6) + 0.0 AS latitude, 6 AS satellites_used FROM keyframes WHERE kf_id % 3 > 0"),
+    "graph_dump": with_views(f"SELECT robot_id * 1000 + src AS src, robot_id * 1000 + dst AS dst, {PLANAR_SQL} FROM edges"),
+    "whole_map_roundtrip": with_views("""SELECT cloud_id, point_id, round(wx, 6) + 0.0 AS x, round(wy, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM (
+  SELECT p.*, c * x - s * y + t AS wx, s * x + c * y AS wy FROM points p JOIN poses USING (cloud_id) WHERE cloud_id BETWEEN 1 AND 8) WHERE sqrt(wx * wx + wy * wy + z * z) < 25"""),
+    "cloud_decode": with_views("SELECT cloud_id, row_number() OVER (PARTITION BY cloud_id ORDER BY point_id) - 1 AS nth, round(x::FLOAT::DOUBLE, 4) + 0.0 AS x, round(y::FLOAT::DOUBLE, 4) + 0.0 AS y, round(z::FLOAT::DOUBLE, 4) + 0.0 AS z FROM points"),
     "xml_roundtrip": with_views(f"SELECT robot_id * 1000 + src AS src, robot_id * 1000 + dst AS dst, {PLANAR_SQL}, reachable FROM edges"),
     "tum_roundtrip": with_views("SELECT CAST(robot_id * 1000 + kf_id AS DOUBLE) AS time, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, 1.5::DOUBLE AS z, round(cos(kf_id * 0.1::DOUBLE), 6) + 0.0 AS cosine FROM keyframes"),
     "submap_read": with_views("SELECT cloud_id, point_id, round(x, 6) + 0.0 AS x FROM points WHERE cloud_id IN (2, 5)"),

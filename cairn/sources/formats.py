@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import pose as P
+from cairn.operators import graph
 
 NODE_SCHEMA = "id long, inMap boolean, neighbour_list struct<neighbour: array<struct<id: long, transform: string, reachable: boolean>>>"
 GPS_FIELDS = "timestamp double, northing double, easting double, altitude double, latitude double, longitude double, roll double, pitch double, yaw double"
@@ -20,8 +21,11 @@ FRAMES_SCHEMA = (
 TUM_SCHEMA = "time double, tx double, ty double, tz double, qx double, qy double, qz double, qw double"
 
 
-def write_topology(edges: DataFrame, nodes: DataFrame, path: str) -> None:
-    """nodes(id), edges(src, dst, pose array<double>, reachable) as <map><node>..., a node without edges with an empty list."""
+def write_topology(edges: DataFrame, nodes: DataFrame, path: str, force_reachable: bool = False) -> None:
+    """nodes(id), edges(src, dst, pose array<double>, reachable) as <map><node>..., a node without edges with an empty list.
+    Maps for driving have all edges reachable; the others keep what holds."""
+    if force_reachable:
+        edges = edges.withColumn("reachable", F.lit(True))
     lists = edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("dst").alias("id"), P.pack(F.col("pose")).alias("transform"), "reachable"))).alias("neighbour"))
     rows = nodes.select("id").join(lists, "id", "left").select("id", F.lit(True).alias("inMap"), F.struct(F.coalesce("neighbour", F.array().cast("array<struct<id: bigint, transform: string, reachable: boolean>>")).alias("neighbour")).alias("neighbour_list"))
     rows.write.format("xml").option("rootTag", "map").option("rowTag", "node").mode("overwrite").save(path)
@@ -36,6 +40,55 @@ def read_topology(spark: SparkSession, path: str, force_reachable: bool = False)
     return nodes, links.select("src", F.col("n.id").alias("dst"), P.unpack(F.col("n.transform")).alias("pose"), reachable.alias("reachable"))
 
 
+def write_closed_map(edges: DataFrame, nodes: DataFrame, path: str) -> None:
+    """The topology of one map, nodes(id, pose), with its first and last node joined where they end a path, all edges reachable."""
+    one = lambda df: df.withColumn("robot_id", F.lit(0).cast("long"))
+    closed = graph.close_circle(one(edges).select("robot_id", "src", "dst", "pose", "reachable"), one(nodes).select("robot_id", F.col("id").alias("node"), "pose"))
+    write_topology(closed, nodes, path, force_reachable=True)
+
+
+def topology_or_none(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """read_topology, or None if the file is no well-formed map."""
+    rows = spark.read.format("xml").option("rowTag", "node").option("mode", "FAILFAST").schema(NODE_SCHEMA).load(path)
+    try:
+        if rows.where("id is null").take(1) or not rows.take(1):
+            return None
+        rows.foreach(lambda _: None)
+    except Exception:  # Spark reports broken XML by several kinds of errors
+        return None
+    return read_topology(spark, path)
+
+
+def read_map(spark: SparkSession, topology: str, poses: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes(id, in_map, pose), edges): nodes in the order of their ids take their pose from the first neighbour read before; the
+    others from their file of `poses` (see write_poses). A map's points are read by id as they are needed (read_points)."""
+    nodes, edges = read_topology(spark, topology)
+    one = lambda df: df.withColumn("robot_id", F.lit(0).cast("long"))
+    own = nodes.join(read_node_poses(spark, poses), "id", "left").select(F.col("id").alias("node"), "pose")
+    placed = graph.pose_by_scan(one(edges), one(own)).select(F.col("node").alias("id"), "pose")
+    return nodes.join(placed, "id", "left"), edges
+
+
+def read_map_poses(spark: SparkSession, topology: str, poses: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes(id, in_map, pose), edges) with the poses of the files alone; null where a node has none."""
+    nodes, edges = read_topology(spark, topology)
+    return nodes.join(read_node_poses(spark, poses), "id", "left"), edges
+
+
+def read_sessions(spark: SparkSession, topology: str, fixed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(known(id, pose), new(id), edges): nodes that were in the map are posed from the fixed node over edges between them; those
+    without the mark are new, and their points are still to be loaded."""
+    rows = spark.read.format("xml").option("rowTag", "node").schema(NODE_SCHEMA).load(topology)
+    _, edges = read_topology(spark, topology)
+    known, new = rows.where("inMap is not null").select("id"), rows.where("inMap is null").select("id")
+    inside = edges
+    for end in ("src", "dst"):
+        inside = inside.join(known.select(F.col("id").alias(end)), end, "left_semi")
+    one = lambda df: df.withColumn("robot_id", F.lit(0).cast("long"))
+    posed = graph.link_nodes(one(inside), one(known.select(F.col("id").alias("node"))), fixed)
+    return posed.select(F.col("node").alias("id"), "pose"), new, edges
+
+
 def write_frames(frames: DataFrame, path: str) -> None:
     """frames(keyframe_id, keyframe_frame_id, id, time, pose, gps struct) nested by keyframe."""
     groups = frames.groupBy("keyframe_id", "keyframe_frame_id").agg(F.sort_array(F.collect_list(F.struct("id", "time", P.pack(F.col("pose")).alias("transform"), "gps"))).alias("f"))
@@ -52,18 +105,34 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 def read_node_gps(spark: SparkSession, path: str) -> DataFrame:
     """gps.xml of each node's folder: (node, fields of the fix); the node's id is the folder's name."""
     rows = spark.read.format("xml").option("rowTag", "gps").schema(GPS_FIELDS + ", status struct<status: int, satellites_used: int>").load(path)
-    return rows.withColumn("node", F.regexp_extract(F.input_file_name(), r"/(\d+)/[^/]*$", 1).cast("long")).select("node", *[c for c in rows.columns if c != "status"], "status.status", "status.satellites_used")
+    return rows.withColumn("node", _folder_id()).select("node", *[c for c in rows.columns if c != "status"], "status.status", "status.satellites_used")
+
+
+def _folder_id():
+    return F.regexp_extract(F.input_file_name(), r"/(?:id=)?(\d+)/[^/]*$", 1).cast("long")
+
+
+def write_node_gps(fixes: DataFrame, path: str) -> None:
+    """fixes(id, fields of the fix, status, satellites_used): a gps.xml in a folder for each id."""
+    fields = [f.split()[0] for f in GPS_FIELDS.split(", ")]
+    fixes.select("id", *fields, F.struct("status", "satellites_used").alias("status")).write.format("xml").option("rootTag", "root").option("rowTag", "gps").partitionBy("id").mode("overwrite").save(path)
+
+
+def read_node_poses(spark: SparkSession, path: str) -> DataFrame:
+    """(id, pose) of the text matrices in each id's folder."""
+    return read_pose(spark, path).select(F.regexp_extract("file", r"/(?:id=)?(\d+)/[^/]*$", 1).cast("long").alias("id"), "pose")
 
 
 def read_pose(spark: SparkSession, path: str) -> DataFrame:
     """4 x 4 or 3 x 4 text matrices: (file, pose), the last row filled in where it lacks."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.transform(F.filter(F.split("value", r"\s+"), lambda v: v != ""), lambda v: v.cast("double")).alias("c"))
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("file"), F.transform(F.filter(F.split("value", r"\s+"), lambda v: v != ""), lambda v: v.cast("double")).alias("c"))
     bottom = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
     return rows.select("file", F.when(F.size("c") == 16, F.col("c")).when(F.size("c") == 12, F.concat("c", bottom)).alias("pose"))
 
 
-def write_poses(nodes: DataFrame, path: str) -> None:
-    """nodes(id, pose): a text matrix in a folder for each id."""
+def write_poses(nodes: DataFrame, path: str, offset: int = 0) -> None:
+    """nodes(id, pose): a text matrix in a folder for each id; ids go up by the offset, as when a second session joins a map."""
+    nodes = nodes.withColumn("id", F.col("id") + offset)
     line = lambda r: F.concat_ws(" ", *[F.col("pose")[4 * r + c].cast("string") for c in range(4)])
     nodes.select("id", F.concat_ws("\n", *[line(r) for r in range(4)]).alias("value")).write.partitionBy("id").mode("overwrite").text(path)
 
@@ -80,6 +149,52 @@ def write_tum(rows: DataFrame, path: str) -> None:
     rows.orderBy("time").select("time", *[F.col("pose")[i].alias(n) for i, n in ((3, "tx"), (7, "ty"), (11, "tz"))], *[q[n].alias(f"q{n}") for n in "xyzw"]).write.mode("overwrite").csv(path, sep=" ")
 
 
+GPS_LINE = "time double, longitude double, latitude double, altitude double, roll double, pitch double, yaw double, satellites_used int"
+
+
+def write_gps_trajectory(rows: DataFrame, path: str) -> None:
+    """rows(time, gps struct), in time order: `time lon lat alt roll pitch yaw satellites`; rows without a fix are left out."""
+    names = [f.split()[0] for f in GPS_LINE.split(", ")][1:]
+    rows.where("gps is not null").orderBy("time").select("time", *[F.col(f"gps.{n}").alias(n) for n in names]).write.mode("overwrite").csv(path, sep=" ")
+
+
+def read_gps_trajectory(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, sep=" ", schema=GPS_LINE)
+
+
+def _quaternion_text(pose) -> list:
+    """tx ty tz qx qy qz qw as columns."""
+    q = P.to_quaternion(pose)
+    return [*(pose[i] for i in (3, 7, 11)), *(q[n] for n in "xyzw")]
+
+
+def dump_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A pose graph as text, one line for each vertex (id, pose) and edge (src, dst, pose): a snapshot before or after an optimization."""
+    line = lambda head, pose: F.concat_ws(" ", *head, *[c.cast("string") for c in _quaternion_text(pose)]).alias("value")
+    pose = F.col("pose")
+    lines = nodes.select(line([F.lit("VERTEX_SE3:QUAT"), F.col("id").cast("string")], pose)).unionByName(
+        edges.select(line([F.lit("EDGE_SE3:QUAT"), F.col("src").cast("string"), F.col("dst").cast("string")], pose)))
+    lines.write.mode("overwrite").text(path)
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes(id, pose), edges(src, dst, pose)) of a dumped pose graph."""
+    cells = spark.read.text(path).select(F.split("value", " ").alias("c"))
+
+    def pose(at: int):
+        v = [F.col("c")[at + i].cast("double") for i in range(7)]
+        return P.from_quaternion(v[6], v[3], v[4], v[5], v[0], v[1], v[2]).alias("pose")
+
+    number = lambda i: F.col("c")[i].cast("long")
+    vertices, links = cells.where("c[0] = 'VERTEX_SE3:QUAT'"), cells.where("c[0] = 'EDGE_SE3:QUAT'")
+    return vertices.select(number(1).alias("id"), pose(2)), links.select(number(1).alias("src"), number(2).alias("dst"), pose(3))
+
+
+def write_whole_map(points: DataFrame, path: str) -> None:
+    """A whole map as one table, with its points near each other in space in the same files."""
+    points.repartitionByRange(F.floor(F.col("x") / 50), F.floor(F.col("y") / 50)).write.mode("overwrite").parquet(path)
+
+
 def write_points(points: DataFrame, path: str) -> None:
     """Submaps as Parquet, a folder for each cloud_id."""
     points.write.partitionBy("cloud_id").mode("overwrite").parquet(path)

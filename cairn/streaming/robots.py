@@ -8,6 +8,7 @@ before what a robot has had is an error, as its results can't be taken back.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -60,16 +61,36 @@ def stateful(messages: DataFrame, step: Callable, output: str, state: str) -> Da
     return messages.groupBy("robot_id").applyInPandasWithState(run, output, f"{state}, last_stamp long, last_event long", "append", GroupStateTimeout.NoTimeout)
 
 
-def state_machine(messages: DataFrame, warm_up: int = 3) -> DataFrame:
-    """Mapping state after each scan: NOT_INITIALIZED until the first, INITIALIZING for `warm_up` scans, then WORKING."""
+# Names of the mapping states.
+STATES = ["NOT_INITIALIZED", "INITIALIZING", "WORKING", "LOST", "NOT_LOCALIZEING", "LOCALIZEING"]
+
+
+def state_machine(messages: DataFrame, warm_up: int = 3, patience: int | None = None, localize_after: int | None = None) -> DataFrame:
+    """Mapping state after each scan: NOT_INITIALIZED until the first, INITIALIZING for `warm_up` scans, then WORKING.
+
+    A scan (column `good`, true where there is none) that doesn't register is dropped; after more than `patience` of them in a row a working
+    robot is LOST, until one registers. With localize_after, the robot has a map: it is NOT_LOCALIZEING until so many scans in a row have
+    registered, and LOCALIZEING from then on.
+    """
+    if "good" not in messages.columns:
+        messages = messages.withColumn("good", F.lit(True))
 
     def step(robot: int, rows: pd.DataFrame, state: list | None) -> tuple[pd.DataFrame, tuple]:
-        n = state[0] if state else 0
-        before = [n + i for i in range(len(rows))]
-        names = ["NOT_INITIALIZED" if b == 0 else "INITIALIZING" if b <= warm_up else "WORKING" for b in before]
-        return pd.DataFrame({"robot_id": robot, "event_id": rows["event_id"], "state": names}), (n + len(rows),)
+        n, bad, run, found = state or (0, 0, 0, False)
+        names = []
+        for good in rows["good"].tolist():
+            bad, run = (0, run + 1) if good else (bad + 1, 0)
+            if localize_after is not None:
+                found = found or run >= localize_after
+                names.append("LOCALIZEING" if found else "NOT_LOCALIZEING")
+            elif n > warm_up and patience is not None and bad > patience:
+                names.append("LOST")
+            else:
+                names.append("NOT_INITIALIZED" if n == 0 else "INITIALIZING" if n <= warm_up else "WORKING")
+            n += 1
+        return pd.DataFrame({"robot_id": robot, "event_id": rows["event_id"], "state": names}), (n, bad, run, found)
 
-    return stateful(messages, step, "robot_id long, event_id long, state string", "n long")
+    return stateful(messages, step, "robot_id long, event_id long, state string", "n long, bad long, run long, found boolean")
 
 
 def sliding_map(messages: DataFrame, radius: float = 10.0) -> DataFrame:
@@ -95,22 +116,63 @@ def sliding_map(messages: DataFrame, radius: float = 10.0) -> DataFrame:
     return stateful(messages, step, "robot_id long, event_id long, n long", "xs array<double>, ys array<double>, ns array<long>")
 
 
-def imu_state(messages: DataFrame, least: int = 3) -> DataFrame:
-    """Inertial bootstrap and propagation: after `least` samples, one (speed, turn) per sample, from the samples before it."""
+def growing_map(messages: DataFrame, max_length: float = 12.0, seed: float = 5.0) -> DataFrame:
+    """Size of each robot's submap after each scan, and whether it was cut there: places join until one is farther than max_length from
+    where the submap began; the next submap begins there, seeded with the places within `seed` of it. (robot_id, event_id, n, cut)."""
 
     def step(robot: int, rows: pd.DataFrame, state: list | None) -> tuple[pd.DataFrame, tuple]:
-        n, at, ax, gz, speed, turn = state or (0, 0, 0.0, 0.0, 0.0, 0.0)
+        began, xs, ys = (state[0], np.array(state[1]), np.array(state[2])) if state else (None, np.zeros(0), np.zeros(0))
         out = []
-        for r in rows.itertuples():
-            t = r.stamp.value // 1000
+        for event, x, y in zip(rows["event_id"], rows["value"] / 10, rows["k"] / 10, strict=True):
+            began = [x, y] if began is None else began
+            xs, ys = np.append(xs, x), np.append(ys, y)
+            cut = bool((x - began[0]) ** 2 + (y - began[1]) ** 2 > max_length**2)
+            out.append((robot, event, len(xs), cut))
+            if cut:
+                near = (xs - x) ** 2 + (ys - y) ** 2 <= seed**2
+                began, xs, ys = [x, y], xs[near], ys[near]
+        return pd.DataFrame(out, columns=["robot_id", "event_id", "n", "cut"]), (began, xs.tolist(), ys.tolist())
+
+    return stateful(messages, step, "robot_id long, event_id long, n long, cut boolean", "began array<double>, xs array<double>, ys array<double>")
+
+
+def imu_state(messages: DataFrame, least: int = 3, feedback: str | None = None) -> DataFrame:
+    """Inertial bootstrap and propagation: after `least` samples, one (speed, turn) per sample, from the samples before it.
+
+    Messages of the topic `feedback` correct the accelerometer's bias: each adds value / 1000 to it, and samples that come later are cleared of it.
+    """
+
+    def step(robot: int, rows: pd.DataFrame, state: list | None) -> tuple[pd.DataFrame, tuple]:
+        n, at, ax, gz, speed, turn, bias = state or (0, 0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        out = []
+        for event, stamp, topic, value, k in zip(*(rows[c] for c in ("event_id", "stamp", "topic", "value", "k")), strict=True):
+            if topic == feedback:
+                bias += value / 1000
+                continue
+            t = stamp.value // 1000
             if n >= least:
                 dt = (t - at) / 3.6e9
                 speed, turn = speed + ax * dt, turn + gz * dt
-                out.append((robot, r.event_id, speed, turn))
-            n, at, ax, gz = n + 1, t, r.value / 100, (r.k - 50) / 1000
-        return pd.DataFrame(out, columns=["robot_id", "event_id", "speed", "turn"]), (n, at, ax, gz, speed, turn)
+                out.append((robot, event, speed, turn))
+            n, at, ax, gz = n + 1, t, value / 100 - bias, (k - 50) / 1000
+        return pd.DataFrame(out, columns=["robot_id", "event_id", "speed", "turn"]), (n, at, ax, gz, speed, turn, bias)
 
-    return stateful(messages, step, "robot_id long, event_id long, speed double, turn double", "n long, at long, ax double, gz double, speed double, turn double")
+    return stateful(messages, step, "robot_id long, event_id long, speed double, turn double", "n long, at long, ax double, gz double, speed double, turn double, bias double")
+
+
+def follow(stream: DataFrame, path: str, stop: Callable[[], bool], every: str = "1 second", limit_s: float = 3600.0) -> None:
+    """Publish a stream as Parquet at `path`, refreshed `every` so often, until stop() says so or the time is over.
+
+    Rows per refresh are bounded where the stream is read (files_per_trigger); nothing is dropped, what waits is read later.
+    """
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{scratch_path(stream.sparkSession)}/log").trigger(processingTime=every).start()
+    try:
+        ends = time.monotonic() + limit_s
+        while not stop() and time.monotonic() < ends:
+            if query.awaitTermination(0.2):
+                break
+    finally:
+        query.stop()
 
 
 def localize(messages: DataFrame, fixed_map: DataFrame) -> DataFrame:
