@@ -19,6 +19,7 @@ and answers each packed row with bits.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from .textkit import mix64, text_slices
 
 #: Text bytes in a chunk (one longer text is a chunk alone) and fingerprints in a partition, about.
 CHUNK_BYTES, PARTITION_PRINTS = 2 << 20, 400_000
-CHUNK_SCHEMA = "chunk long, n_bytes long, ids binary, known binary, lengths binary, texts binary"
+CHUNK_SCHEMA = "batch int, chunk long, n_bytes long, ids binary, known binary, lengths binary, texts binary"
 PACKET_SCHEMA = "part int, chunk long, prints binary, labels binary, docs binary, counts binary"
 ANSWER_SCHEMA = "chunk long, part int, one binary, two binary"
 #: Members from which a group counts as hot.
@@ -42,38 +43,48 @@ HOT_MEMBERS = 500
 GROUP_SALT = np.uint64(0xA0761D6478BD642F)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    packer = zstandard.ZstdCompressor(level=3)
-    held: list[tuple[int, bool, bytes]] = []
-    nth, size = TaskContext.get().partitionId() << 32, 0
+def _pack(bounds: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        open_: dict[int, list[tuple[int, bool, bytes]]] = {}
+        sizes: dict[int, int] = {}
+        nth = TaskContext.get().partitionId() << 32
+
+        def flush(part: int) -> pa.RecordBatch:
+            nonlocal nth
+            held = sorted(open_.pop(part), key=lambda x: x[:2])
+            ids = np.array([x[0] for x in held], np.int64)
+            cells = (part, nth, sizes.pop(part), ids.tobytes(), np.array([x[1] for x in held], bool).tobytes(),
+                     np.array([len(x[2]) for x in held], np.int64).tobytes(), packer.compress(b"".join(x[2] for x in held)))
+            nth += 1
+            kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=names(CHUNK_SCHEMA))
+
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            for at, _, data, offsets in text_slices(batch):
+                raw = data.tobytes()
+                for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    doc = ids[at + i]
+                    part = bisect_right(bounds, 0 if doc is None else doc)
+                    if part in open_ and sizes[part] + b - a > CHUNK_BYTES:
+                        yield flush(part)
+                    open_.setdefault(part, []).append((0 if doc is None else doc, doc is not None, raw[a:b]))
+                    sizes[part] = sizes.get(part, 0) + b - a
+        for part in sorted(open_):
+            yield flush(part)
 
-    def flush() -> pa.RecordBatch:
-        held.sort(key=lambda x: x[:2])
-        ids = np.array([x[0] for x in held], np.int64)
-        cells = (nth, sum(len(x[2]) for x in held), ids.tobytes(), np.array([x[1] for x in held], bool).tobytes(),
-                 np.array([len(x[2]) for x in held], np.int64).tobytes(), packer.compress(b"".join(x[2] for x in held)))
-        return pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], names=[f.split()[0] for f in CHUNK_SCHEMA.split(", ")])
+    return run
 
-    for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        for at, _, data, offsets in text_slices(batch):
-            raw = data.tobytes()
-            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                if held and size + b - a > CHUNK_BYTES:
-                    yield flush()
-                    held, size, nth = [], 0, nth + 1
-                doc = ids[at + i]
-                held.append((0 if doc is None else doc, doc is not None, raw[a:b]))
-                size += b - a
-    if held:
-        yield flush()
-
-
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """Chunks of docs(doc_id, text), in the shared folder. Null texts are empty; rows of a null doc_id are kept apart."""
+
+def chunk_table(docs: DataFrame, bounds: list[int] | None = None) -> DataFrame:
+    """Chunks of docs(doc_id, text), in the shared folder. Null texts are empty; rows of a null doc_id are kept apart.
+
+    Chunks are dealt to batches: documents below bounds[0] to batch 0, those below bounds[1] to batch 1, and so on.
+    """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(docs.mapInArrow(_pack, CHUNK_SCHEMA))
+    return materialize(docs.mapInArrow(_pack(sorted(bounds or [])), CHUNK_SCHEMA))
 
 
 class Chunk:

@@ -1,9 +1,11 @@
-"""The log-structured fingerprint index as tables, for corpora that grow batch by batch.
+"""Log-structured fingerprint indexes as tables, extended batch by batch.
 
-Each batch's window fingerprints are sorted into an immutable run, a Parquet table in the index's
-folder. A new batch is merge-joined with all runs, so its documents lose words that history has, or
-smaller doc_ids of the batch itself; only fingerprints new to the index make the next run.
-Once there are more than `fanout` runs they are compacted into one.
+An index is a list of runs: immutable tables of fingerprints in sorted order, one sorted array for each hash
+partition. A new batch is merge-joined with all runs, found fingerprints are verified by a second hash, and
+those that are new to the index make the next run. Once there are more than `fanout` runs they are compacted into one.
+
+* `SortedRuns` takes a chunk store's packets (chunks.py), packed by hash partition: the index of op10.
+* `FingerprintIndex` takes documents and has each window's fingerprint as a row, for corpora that grow for good.
 """
 
 from __future__ import annotations
@@ -18,13 +20,95 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import names
+from .chunks import SortedRuns as Merging
+from .chunks import names, rows_of, unpack_ids
 from .shared import bounded_batches, materialize
-from .substring_dedup import LENGTH, RESULT_SCHEMA
 from .textkit import Ranges, Words, cover, mix64, text_slices
 
+LENGTH, RESULT_SCHEMA = 13, "doc_id long, n_words long, n_removed long, kept_sha256 string"
 WINDOW_SCHEMA = "doc_id long, th long, at int, print long, check long"
 RUN_KEYS = ["print", "check"]
+#: Answers to a batch's packets, and the partition's next run (chunk is null).
+JOINED_SCHEMA = "chunk long, part int, one binary, prints binary, labels binary"
+
+
+def _joined(row_chunk, part: int, one, prints, labels) -> pa.RecordBatch:
+    cells = (([row_chunk], pa.int64()), ([part], pa.int32()), ([one], pa.binary()), ([prints], pa.binary()), ([labels], pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array(*c) for c in cells], names=names(JOINED_SCHEMA))
+
+
+def _known(prints: np.ndarray, labels: np.ndarray, own: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Where sorted (prints, labels) have an entry: a merge join on the first hash, verified by the second."""
+    at, found = np.searchsorted(prints, own), np.zeros(len(own), bool)
+    live = np.flatnonzero(at < len(prints))
+    while len(live):
+        live = live[prints[at[live]] == own[live]]
+        found[live] |= labels[at[live]] == label[live]
+        live = live[~found[live]]  # clashes in the first hash alone: the next entry
+        at[live] += 1
+        live = live[at[live] < len(prints)]
+    return found
+
+
+def _merge_join(compact: bool):
+    """Rows come by part: its runs first (chunk below 0), then the batch's packets."""
+
+    def flush(part: int, runs: list[tuple], packets: list[tuple]) -> Iterator[pa.RecordBatch]:
+        merging = Merging()
+        for prints, labels, docs, _ in packets:
+            merging.add(prints, labels, docs)
+        prints, labels, docs = merging.compact() if packets else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        old = np.zeros(len(prints), bool)
+        for run in runs:
+            old |= _known(*run, prints, labels)
+        for own, label, doc, chunk in packets:
+            at = np.searchsorted(prints, own)
+            while (wrong := labels[at] != label).any():
+                at = at + wrong
+            yield _joined(chunk, part, np.packbits(old[at] | (doc > docs[at])).tobytes(), None, None)
+        prints, labels = prints[~old], labels[~old]
+        if compact:
+            merging = Merging()
+            merging.runs = [(p, x, np.zeros(len(p), np.int64)) for p, x in [*runs, (prints, labels)]]
+            prints, labels, _ = merging.compact()
+        if len(prints):
+            yield _joined(None, part, None, prints.tobytes(), labels.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, runs, packets = None, [], []
+        for row in rows_of(batches):
+            if row["part"] != part:
+                if part is not None:
+                    yield from flush(part, runs, packets)
+                part, runs, packets = row["part"], [], []
+            prints, labels = np.frombuffer(row["prints"], np.uint64), np.frombuffer(row["labels"], np.uint32)
+            if row["chunk"] < 0:
+                runs.append((prints, labels))
+            else:
+                packets.append((prints, labels, unpack_ids(row["docs"]), row["chunk"]))
+        if part is not None:
+            yield from flush(part, runs, packets)
+
+    return run
+
+
+class SortedRuns:
+    """Fingerprints of a chunk store's batches. Batches must come in the order of their documents: what the index has is from smaller doc_ids.
+
+    runs are the index's tables; a partition's new run leaves out what older ones have. `fanout` bounds their number.
+    """
+
+    def __init__(self, parts: int, fanout: int = 4, runs: list[DataFrame] | None = None):
+        self.parts, self.fanout, self.runs = parts, fanout, list(runs or [])
+
+    def extend(self, sent: DataFrame) -> DataFrame:
+        """(chunk, answers) to the packets `sent`: whether a smaller doc_id has a fingerprint, in the index or in the batch itself. The batch then belongs to the index."""
+        every, compact = sent, len(self.runs) >= self.fanout
+        for i, r in enumerate(self.runs):
+            every = every.unionByName(r.select("part", F.lit(-1 - i).cast("long").alias("chunk"), "prints", "labels"), allowMissingColumns=True)
+        joined = materialize(every.repartition(self.parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(_merge_join(compact), JOINED_SCHEMA))
+        self.runs = [*([] if compact else self.runs), joined.where("chunk is null").select("part", "prints", "labels")]
+        return joined.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("part", "one", F.lit(None).cast("binary").alias("two"))).alias("answers"))
 
 
 def _windows(length: int):

@@ -1,14 +1,14 @@
-"""Removal of 13-word windows that a smaller doc_id has as well, by a log-structured fingerprint index.
+"""Removal of 13-word windows that a smaller doc_id has as well, by log-structured fingerprint indexes.
 
-The chunk store (chunks.py) holds the texts. Its exchange is run twice, each time against an
-index of sorted immutable runs of fingerprints, one index per hash partition: the fingerprints
-of each new batch of chunks are sorted into a run, runs of similar size are merge-joined and
-compacted, each fingerprint keeping its smallest doc_id, and every batch is answered from the
-compacted index after a check against a second hash.
+The chunk store (chunks.py) holds the texts, in batches by doc_id. A pass over it tells which anchors have
+different words around them anywhere: the edges of repeats. Then the batches go, in the order of their
+documents, through two indexes of sorted immutable runs (fingerprint_index.SortedRuns). A batch is
+merge-joined with the runs of those before it, hits are verified by a second hash, and what is
+new becomes the next run; runs are compacted once there are several.
 
-Round one has one fingerprint for each run of windows with the same anchor, about six windows;
-it settles exact repeats and unique text. Round two has the single windows of what is left:
-runs whose anchor also occurs with other words around it, the edges of repeats.
+The first index has one fingerprint for each run of windows with the same anchor, about six windows;
+it settles exact repeats and unique text. The second has the single windows of what is left
+at the edges of repeats.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import PACKET_SCHEMA, Chunk, Groups, Prints, chunk_table, exchange, partitions_for, per_chunk, second_hash
-from .shared import table
+from .fingerprint_index import LENGTH, RESULT_SCHEMA, SortedRuns
+from .shared import materialize, table
 from .textkit import Ranges, Words, anchored_windows, cover, mix64
 
-LENGTH, ANCHOR = 13, 5
-RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+ANCHOR = 5
+#: Batches that a corpus is dealt to.
+BATCHES = 2
 
 
 class Runs:
@@ -48,9 +50,10 @@ class Runs:
         """Which occurrences a smaller doc_id has as well."""
         return prints.spread(answers)[prints.of] | prints.later
 
-    def settle(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    def edges(self, answers: list[dict], contested: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """(runs that a smaller doc_id has whole, other runs whose anchor has different words around it somewhere)."""
         removed = self.repeats(self.prints, answers)
-        return removed, ~removed & self.groups.spread(answers)[self.groups.of][self.prints.of]
+        return removed, ~removed & self.groups.spread(contested)[self.groups.of][self.prints.of]
 
     def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, row) of the windows of the marked runs."""
@@ -63,19 +66,15 @@ class Runs:
         return Prints(one, row, self.chunk.ids, parts, (two >> np.uint64(32)).astype(np.uint32)), start
 
 
-def _send_runs(parts: int, length: int):
-    def work(row: dict) -> Iterator[pa.RecordBatch]:
-        runs = Runs(row, parts, length)
-        yield from runs.prints.packets(row["chunk"])
-        yield from runs.groups.packets(row["chunk"])
-
-    return per_chunk(work)
+def _send(kind: str, parts: int, edge_parts: int, length: int):
+    """Packets of a chunk: its groups, its runs, or the windows of its edges."""
 
-
-def _send_edges(parts: int, edge_parts: int, length: int):
     def work(row: dict) -> Iterator[pa.RecordBatch]:
         runs = Runs(row, parts, length)
-        yield from runs.edge_prints(runs.settle(row["answers"] or [])[1], edge_parts)[0].packets(row["chunk"])
+        if kind == "windows":
+            yield from runs.edge_prints(runs.edges(row["answers"] or [], row["contested"] or [])[1], edge_parts)[0].packets(row["chunk"])
+        else:
+            yield from (runs.groups if kind == "groups" else runs.prints).packets(row["chunk"])
 
     return per_chunk(work)
 
@@ -83,11 +82,11 @@ def _send_edges(parts: int, edge_parts: int, length: int):
 def _result(parts: int, edge_parts: int, length: int):
     def work(row: dict) -> Iterator[pa.RecordBatch]:
         runs = Runs(row, parts, length)
-        removed, edges = runs.settle(row["answers"] or [])
+        removed, edges = runs.edges(row["answers"] or [], row["contested"] or [])
         marks = np.zeros(len(runs.words.hash), bool)
         marks[runs.windows(removed)[0]] = True
         prints, start = runs.edge_prints(edges, edge_parts)
-        marks[start[runs.repeats(prints, row["edges"] or [])]] = True
+        marks[start[runs.repeats(prints, row["found"] or [])]] = True
         gone = cover(marks, length)
         chunk, out = runs.chunk, ([], [], [], [])
         raw = chunk.data.tobytes()
@@ -102,7 +101,15 @@ def _result(parts: int, edge_parts: int, length: int):
     return per_chunk(work)
 
 
-def remove_known_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
+    """doc_ids that cut the corpus into batches of about equal numbers of rows."""
+    if batches < 2:
+        return []
+    found = docs.select(F.col("doc_id").cast("double").alias("id")).where("id is not null").approxQuantile("id", [i / batches for i in range(1, batches)], 0.02)
+    return sorted({int(x) for x in found})
+
+
+def remove_known_windows(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of docs(doc_id, text, ...).
 
     Each word covered by a window of `length` words that also starts in a smaller doc_id is
@@ -112,13 +119,20 @@ def remove_known_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     early. Other columns are ignored, so their names can't clash. A text beyond a chunk's size is a chunk alone and is
     hashed in blocks. An empty table gives an empty result.
     """
-    chunks = chunk_table(docs)
+    bounds = batch_bounds(docs, batches)
+    chunks = chunk_table(docs, bounds)
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     parts, edge_parts = partitions_for(total // 30), partitions_for(total // 60)  # a run per 30 bytes or so
-    answers = exchange(chunks.mapInArrow(_send_runs(parts, length), PACKET_SCHEMA), parts)
-    answered = chunks.join(answers, "chunk", "left")
-    edges = exchange(answered.mapInArrow(_send_edges(parts, edge_parts, length), PACKET_SCHEMA), edge_parts)
-    return answered.join(edges.withColumnRenamed("answers", "edges"), "chunk", "left").mapInArrow(_result(parts, edge_parts, length), RESULT_SCHEMA)
+    send = lambda rows, kind: rows.mapInArrow(_send(kind, parts, edge_parts, length), PACKET_SCHEMA)
+    contested = materialize(exchange(send(chunks, "groups"), parts).withColumnRenamed("answers", "contested"))
+    whole, single, out = SortedRuns(parts), SortedRuns(edge_parts), None
+    for i in range(len(bounds) + 1):
+        batch = chunks.where(F.col("batch") == i)
+        settled = batch.join(whole.extend(send(batch, "runs")), "chunk", "left").join(contested, "chunk", "left")
+        found = single.extend(send(settled, "windows")).withColumnRenamed("answers", "found")
+        done = settled.join(found, "chunk", "left").mapInArrow(_result(parts, edge_parts, length), RESULT_SCHEMA)
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,11 +142,15 @@ def test_long_texts_are_cut_into_the_same_runs():
     assert again <= set(zip(start.tolist(), count.tolist()))
 
 
-def test_remove_windows_matches_brute_force(spark):
+@pytest.mark.parametrize("batches", [1, 7])
+def test_remove_windows_matches_brute_force(spark, batches):
     data = noisy_rows()
-    got = {r.doc_id: tuple(r)[1:] for r in remove_known_windows(frame(spark, data)).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in remove_known_windows(frame(spark, data), batches=batches).collect()}
     assert got == brute.remove_windows(data, 13)
-    assert remove_known_windows(frame(spark, [])).count() == 0
+    assert remove_known_windows(frame(spark, []), batches=batches).count() == 0
+    odd = [(None, data[3][1]), (3, data[3][1]), (3, data[3][1]), (4, data[3][1])]
+    removed = sorted((str(r.doc_id), r.n_removed == r.n_words) for r in remove_known_windows(frame(spark, odd), batches=batches).collect())
+    assert removed == [("3", False), ("3", False), ("4", True), ("None", False)]
 
 
 def test_documents_table(spark):
