@@ -48,7 +48,7 @@ def relative_poses(spark, d):
 
 
 def seed_crop(spark, d):
-    """Points of a submap within 3 m of the origin after the move into its pose's frame: the seed of a new submap."""
+    """Points of a submap within 20 m of the origin after the move into its pose's frame: the seed of a new submap."""
     return _xyz(C.max_distance(C.move(points(spark, d).join(poses(spark), "cloud_id"), P.inverse(F.col("pose"))), 20.0))
 
 

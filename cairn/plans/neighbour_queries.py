@@ -70,13 +70,19 @@ def dynamic_update(spark, d):
     return update_probabilities(cloud, scan, PARAMS).select("point_id", *[r6(c).alias(c) for c in ("p_static", "p_dynamic", "dynamic_ratio")])
 
 
+def dynamic_stamps(spark, d):
+    """Stamps (here days) of the map's points: those that the scan updated have the scan's."""
+    cloud, scan = (side.withColumn("stamp", F.date_add(F.lit("2024-01-01"), days)) for side, days in zip(_sides(spark, d), (F.lit(0), F.lit(3)), strict=True))
+    return update_probabilities(cloud, scan, PARAMS).select("point_id", F.date_diff("stamp", F.lit("2024-01-01")).alias("days"), (F.col("dynamic_ratio") > 0).alias("updated"))
+
+
 def dynamic_ratio_hist(spark, d):
     cloud, scan = _sides(spark, d)
     out = update_probabilities(cloud, scan, PARAMS)
     return out.groupBy(F.least(F.floor(F.round("dynamic_ratio", 6) * 10), F.lit(9)).alias("bin")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (nn_self_excluded, knn_k, radius_count, angular_nn, novel_split, color_backfill, loop_candidates, loop_best, proximity_pairs_anti, dynamic_update, dynamic_ratio_hist)}
+QUERIES = {f.__name__: f for f in (nn_self_excluded, knn_k, radius_count, angular_nn, novel_split, color_backfill, loop_candidates, loop_best, proximity_pairs_anti, dynamic_update, dynamic_stamps, dynamic_ratio_hist)}
 
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 _ANGLES = """, angles AS (
@@ -130,5 +136,6 @@ FROM points LEFT JOIN last USING (point_id) WHERE cloud_id % 2 = 0"""),
   FROM keyframes a JOIN keyframes b ON a.robot_id = b.robot_id AND a.kf_id + 1 < b.kf_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4
   AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.robot_id = a.robot_id AND e.src = a.kf_id AND e.dst = b.kf_id)"""),
     "dynamic_update": with_views(_DYN + "SELECT * FROM updated"),
+    "dynamic_stamps": with_views(_DYN + "SELECT point_id, CASE WHEN dynamic_ratio > 0 THEN 3 ELSE 0 END AS days, dynamic_ratio > 0 AS updated FROM updated"),
     "dynamic_ratio_hist": with_views(_DYN + "SELECT CAST(least(floor(dynamic_ratio * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM updated GROUP BY 1"),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.operators import temporal as T
@@ -21,8 +22,10 @@ def demux_topics(spark, d):
 
 def asof_nav(spark, d):
     """Latest odometry within a day before each scan, and before the previous scan."""
+    by = Window.partitionBy("robot_id").orderBy("frame_id")
     out = T.asof_backward(scan_frames(spark, d), odom(spark, d), "robot_id", 86400, {"odom_id": "event_id", "vx": "vx"})
-    return out.select("robot_id", "frame_id", "odom_id", r6("vx").alias("vx"))
+    out = out.withColumns({"before_id": F.lag("odom_id").over(by), "before_vx": F.lag("vx").over(by)})
+    return out.select("robot_id", "frame_id", "odom_id", r6("vx").alias("vx"), "before_id", r6("before_vx").alias("before_vx"))
 
 
 def asof_tolerance(spark, d):
@@ -86,8 +89,9 @@ SQL = {
     "topic_time_scan": with_views("""SELECT event_id, stamp, robot_id, topic, value FROM messages, (SELECT min(stamp) AS t0 FROM messages)
   WHERE topic IN ('click', 'view') AND stamp >= t0 + INTERVAL 1 HOUR AND stamp <= t0 + INTERVAL 121 HOUR"""),
     "demux_topics": with_views("SELECT topic, count(*) AS n, min_by(event_id, (stamp, event_id)) AS first_id, max_by(event_id, (stamp, event_id)) AS last_id FROM messages GROUP BY 1"),
-    "asof_nav": with_views(f"""SELECT l.robot_id, frame_id, CASE WHEN l.stamp - r.stamp <= INTERVAL 1 DAY THEN r.event_id END AS odom_id,
-  CASE WHEN l.stamp - r.stamp <= INTERVAL 1 DAY THEN round(vx, 6) + 0.0 END AS vx FROM scan_frames l {_BACK.format(r='odom')}"""),
+    "asof_nav": with_views(f""", found AS (SELECT l.robot_id, frame_id, CASE WHEN l.stamp - r.stamp <= INTERVAL 1 DAY THEN r.event_id END AS odom_id,
+  CASE WHEN l.stamp - r.stamp <= INTERVAL 1 DAY THEN round(vx, 6) + 0.0 END AS vx FROM scan_frames l {_BACK.format(r='odom')})
+SELECT *, lag(odom_id) OVER w AS before_id, lag(vx) OVER w AS before_vx FROM found WINDOW w AS (PARTITION BY robot_id ORDER BY frame_id)"""),
     "asof_tolerance": with_views(f"SELECT l.robot_id, frame_id, r.event_id AS odom_id FROM scan_frames l {_BACK.format(r='odom')} WHERE l.stamp - r.stamp <= INTERVAL 2 HOUR"),
     "gps_same_hour": with_views(f"""SELECT l.robot_id, frame_id, round(easting, 6) + 0.0 AS easting, round(northing, 6) + 0.0 AS northing,
   CASE WHEN date_trunc('hour', l.stamp) = date_trunc('hour', r.stamp) THEN 1 ELSE 0 END AS status FROM scan_frames l {_BACK.format(r='gps')}"""),

@@ -21,7 +21,7 @@ def con():
 
 def rows(columns, data):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(([r[i] for i in order] for r in data), key=lambda r: [(v is None, str(type(v)), v if not isinstance(v, (list, dict)) else str(v)) for v in r if v is not None] + [str(r)])
+    return sorted(([r[i] for i in order] for r in data), key=lambda r: [(v is None, str(v)) for v in r])
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
