@@ -35,6 +35,10 @@ def odom_fold(spark, d):
     return M.odom_preintegrate(odom(spark, d)).select("robot_id", *[r6(c).alias(c) for c in ("dx", "dy", "turn", "dt")])
 
 
+def odom_covariance(spark, d):
+    return M.odom_covariance(odom(spark, d)).select("robot_id", *[(F.round(c, 3) + 0.0).alias(c) for c in ("xx", "xy", "xt", "yy", "yt", "tt")])
+
+
 def _intervals(spark, d):
     return M.imu_intervals(scan_frames(spark, d), imu(spark, d))
 
@@ -116,7 +120,7 @@ def realtime_ratio(spark, d):
     return scan_frames(spark, d).withColumn("ratio", 100 * F.col("x") * 1e5 / gap).where("ratio is not null").groupBy("robot_id").agg(r6(F.max("ratio")).alias("worst"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (gyro_bias_mean, static_start, odom_fold, imu_preint, imu_preint_cov, nav_propagate, const_velocity, initial_guess, kf_features, kf_cut, kf_cut_plain, kf_reason, frames_by_keyframe, loop_cooldown, window_stride, window_samples, realtime_ratio)}
+QUERIES = {f.__name__: f for f in (gyro_bias_mean, static_start, odom_fold, odom_covariance, imu_preint, imu_preint_cov, nav_propagate, const_velocity, initial_guess, kf_features, kf_cut, kf_cut_plain, kf_reason, frames_by_keyframe, loop_cooldown, window_stride, window_samples, realtime_ratio)}
 
 FOLD = """, tagged AS (
   SELECT s.*, f.frame_id, f.stamp AS fin FROM imu s ASOF JOIN scan_frames f ON s.robot_id = f.robot_id AND s.stamp < f.stamp
@@ -164,6 +168,14 @@ SQL = {
 ), head AS (
   SELECT *, sum(r * dt) OVER (PARTITION BY robot_id ORDER BY stamp, event_id ROWS UNBOUNDED PRECEDING) - r * dt AS heading FROM step WHERE dt IS NOT NULL)
 SELECT robot_id, round(sum(v * cos(heading) * dt), 6) + 0.0 AS dx, round(sum(v * sin(heading) * dt), 6) + 0.0 AS dy, round(sum(r * dt), 6) + 0.0 AS turn, round(sum(dt), 6) + 0.0 AS dt FROM head GROUP BY 1"""),
+    "odom_covariance": with_views(""", steps AS (
+  SELECT robot_id, row_number() OVER w - 1 AS i, (epoch_us(stamp) - epoch_us(lag(stamp) OVER w)) / 3.6e9::DOUBLE AS dt, lag(vx) OVER w AS v, lag(wz) OVER w AS r FROM odom WINDOW w AS (PARTITION BY robot_id ORDER BY stamp, event_id)
+), folded AS (
+  SELECT DISTINCT robot_id, 0::BIGINT AS i, 0::DOUBLE AS h, 0::DOUBLE AS xx, 0::DOUBLE AS xy, 0::DOUBLE AS xt, 0::DOUBLE AS yy, 0::DOUBLE AS yt, 0::DOUBLE AS tt FROM steps
+  UNION ALL
+  SELECT robot_id, i, h + r * dt, xx + 2 * a * xt + a * a * tt + q * cos(h) * cos(h), xy + b * xt + a * yt + a * b * tt + q * cos(h) * sin(h), xt + a * tt, yy + 2 * b * yt + b * b * tt + q * sin(h) * sin(h), yt + b * tt, tt + 1e-4::DOUBLE * dt * dt
+  FROM (SELECT f.* EXCLUDE (i), s.i, s.dt, s.r, -sin(f.h) * s.v * s.dt AS a, cos(f.h) * s.v * s.dt AS b, 1e-2::DOUBLE * s.dt * s.dt AS q FROM folded f JOIN steps s ON s.robot_id = f.robot_id AND s.i = f.i + 1))
+SELECT robot_id, """ + ", ".join(f"round({c}, 3) + 0.0 AS {c}" for c in ("xx", "xy", "xt", "yy", "yt", "tt")) + " FROM (SELECT *, max(i) OVER (PARTITION BY robot_id) AS last FROM folded) WHERE i = last AND i > 0", recursive=True),
     "imu_preint": with_views(FOLD + "SELECT robot_id, frame_id, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("px", "py", "vx", "vy", "turn", "dt")) + " FROM folded"),
     "imu_preint_cov": with_views(FOLD + """, reach AS (
   SELECT *, coalesce(sum(cos(turn) * dt) OVER w, 0) AS upto FROM turned WINDOW w AS (PARTITION BY robot_id, frame_id ORDER BY stamp, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
