@@ -280,12 +280,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     reps = nodes.join(sets.select("set_hi", "set_lo", F.col("node").alias("doc_id")), ["set_hi", "set_lo", "doc_id"], "left_semi")
     banded = reps.select(F.col("doc_id").alias("node"), "n_shingles", F.explode("bands").alias("bucket"))
     # written, so that the join has a shuffle of its own, which Spark can split at a hot bucket
-    stars = materialize(banded.groupBy("bucket").agg(F.min(F.struct("node", "n_shingles")).alias("least"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("least.node").alias("center"), F.col("least.n_shingles").alias("center_n")))
+    # a doc_id that several rows have may be there with several sets
+    stars = materialize(banded.groupBy("bucket").agg(F.min(F.struct("node", "n_shingles")).alias("least"), F.max(F.struct(-F.col("node"), "n_shingles")).alias("most"), F.count("*").alias("n")).where("n > 1").select(
+        "bucket", F.col("least.node").alias("center"), F.col("least.n_shingles").alias("center_least"), F.col("most.n_shingles").alias("center_most")))
     members = materialize(banded.join(stars, "bucket").where("node <> center"))
     # texts of all nodes that meet another, fetched once; neither side has a bound on its size: merge joins at every size
     meeting = members.select(F.explode(F.array("center", "node")).alias("doc_id")).distinct()
     docs = materialize(docs.hint("merge").join(meeting, "doc_id", "left_semi"))
-    near_in_size = 100 * F.least("n_shingles", "center_n") >= percent * F.greatest("n_shingles", "center_n")
+    near_in_size = (100 * F.col("n_shingles") >= percent * F.col("center_least")) & (100 * F.col("center_most") >= percent * F.col("n_shingles"))
     links = materialize(_star_links(docs, members.where(near_in_size).select("center", "node", "n_shingles").distinct(), k, percent, block_shingles))
     odd_links = _open_links(docs, members.select("bucket", "node", "n_shingles"), connected_components(links), k, percent, block_shingles)
     groups = connected_components(links.unionByName(odd_links))

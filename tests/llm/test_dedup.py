@@ -64,6 +64,9 @@ def test_near_duplicates_of_odd_rows(spark):
     got = sorted((str(r.doc_id), r.component_id, r.kept) for r in near_duplicates(frame(spark, data), 3, 85).collect())
     assert got == [("5", 5, True), ("5", 5, True), ("7", 5, False), ("None", None, True), ("None", None, True)]
     assert near_duplicates(frame(spark, []), 3, 85).count() == 0
+    words = [f"w{i}" for i in range(140)]
+    data = [(1, " ".join(words[:100])), (1, " ".join(words)), (2, " ".join([*words[:139], "other"]))]  # one doc_id, two texts
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(frame(spark, data), 3, 85).collect()) == [(1, 1), (1, 1), (2, 1)]
 
 
 def test_bands_rarely_miss():
