@@ -119,8 +119,8 @@ def _bundles(capacity: int):
     return run
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """docs with size, text_crc32, shard, slot.
+def shard_documents(docs: DataFrame, shards: int = SHARDS, keep: list[str] | None = None) -> DataFrame:
+    """docs (its columns `keep`, default all) with size, text_crc32, shard, slot.
 
     size is the text's UTF-8 bytes (null: none) plus 1; texts are one item at any length. Rows of
     equal text share a shard; null texts are a group of their own, with a crc of 0. Shards differ by at most
@@ -132,7 +132,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     spark = docs.sparkSession
     made = ["size", "text_crc32", "shard", "slot"]
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]).alias("row"), F.col("doc_id").alias("id"),
+        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns if c.lower() not in made]).alias("row"), F.col("doc_id").alias("id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
         F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("crc"), F.xxhash64("text").alias("hash"), F.col("text").isNull().alias("none"),
     )
@@ -168,6 +168,6 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under law `bytes` over 8 shards; grown_shard is null under that law."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return shard_documents(docs).select(
+    return shard_documents(docs, keep=["doc_id"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
