@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import OP5_SQL, op5_decontamination
+from .filter_audit import OP11_SQL, op11_filter_audit
 from .html_main import op7_html_main
 from .langid import op4_language_id
 from .mixing import OP2_SQL, op2_mixing
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL = {
     "op2_mixing": OP2_SQL,
     "op5_decontamination": OP5_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
