@@ -8,6 +8,7 @@ from .html_main import op7_html_main
 from .langid import op4_language_id
 from .mixing import OP2_SQL, op2_mixing
 from .near_dedup import op1_near_dedup
+from .pivot_search import OP12_SQL, op12_pivot_search
 from .quality import op6_quality
 from .sharding import op8_sharding
 from .substring_dedup import op10_substring_dedup
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_pivot_search": op12_pivot_search,
 }
 
 ORACLE_SQL = {
     "op2_mixing": OP2_SQL,
     "op5_decontamination": OP5_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op12_pivot_search": OP12_SQL,
 }
