@@ -9,6 +9,7 @@ from .langid import op4_language_id
 from .mixing import OP2_SQL, op2_mixing
 from .near_dedup import op1_near_dedup
 from .pivot_search import OP12_SQL, op12_pivot_search
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .quality import op6_quality
 from .sharding import op8_sharding
 from .substring_dedup import op10_substring_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_filter_audit": op11_filter_audit,
     "op12_pivot_search": op12_pivot_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -35,4 +37,5 @@ ORACLE_SQL = {
     "op5_decontamination": OP5_SQL,
     "op11_filter_audit": OP11_SQL,
     "op12_pivot_search": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
