@@ -72,8 +72,8 @@ def failing_filters(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     judged = materialize(rows.mapInArrow(_judge, "doc_id long, part string, digest binary, mask int"))
-    # a row for each text that several doc_ids have: Spark splits the join at a text that very many have
-    shared = judged.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    # texts that several doc_ids have; written, so that the join has a shuffle of its own, which Spark can split at a text that very many have
+    shared = materialize(judged.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
     copy = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).cast("int") * (1 << FILTERS.index("E"))
     return judged.join(shared, "digest", "left").select("doc_id", "part", (F.col("mask") + copy).alias("mask"))
 
