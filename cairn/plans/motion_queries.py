@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import pose as P
 from cairn.operators import motion as M
+from cairn.operators.inertial import propagate
 from cairn.operators.neighbours import loop_candidates as candidates
 from cairn.operators.temporal import micros
 
@@ -61,6 +62,26 @@ def nav_propagate(spark, d):
     return out.select("robot_id", "frame_id", *[(F.round(c, 2) + 0.0).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz", "heading")])
 
 
+#: Microseconds of a day.
+DAY = 8.64e10
+
+
+def _turning_samples(spark, d):
+    """Inertial samples whose axis of turning changes from one to the next."""
+    sevenths = F.col("event_id") % 7 - 3
+    return imu(spark, d).select("robot_id", "event_id", "stamp", (F.col("gz") * 10).alias("wx"), (sevenths * 0.1).alias("wy"), (F.col("ax") / 10).alias("wz"), "ax", (F.col("gz") * 10).alias("ay"), (9.81 + sevenths * 0.01).alias("az"))
+
+
+def nav_propagate_turning(spark, d):
+    """States with full rotations behind each robot's third sample, whose state is given; time in days, five days to a bucket."""
+    by = Window.partitionBy("robot_id").orderBy("stamp", "event_id")
+    third = imu(spark, d).withColumn("n", F.row_number().over(by)).where("n = 3")
+    anchors = third.select("robot_id", "stamp", P.from_yaw(F.lit(0.3), F.lit(1.0), F.lit(2.0)).alias("pose"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.5)).alias("v"))
+    out = propagate(_turning_samples(spark, d), anchors, unit=DAY, bucket_s=5 * 86400)
+    cells = {"x": 3, "y": 7, "z": 11, "r00": 0, "r10": 4, "r20": 8, "r21": 9}
+    return out.select("robot_id", "event_id", *[(F.round(F.col("pose")[i], 3) + 0.0).alias(n) for n, i in cells.items()], *[(F.round(F.col("v")[i], 3) + 0.0).alias(n) for i, n in enumerate(("vx", "vy", "vz"))])
+
+
 def _posed(spark, d):
     return _frames(spark, d).select("robot_id", "frame_id", P.from_yaw(F.col("yaw"), F.col("x"), F.col("y")).alias("pose"))
 
@@ -120,7 +141,7 @@ def realtime_ratio(spark, d):
     return scan_frames(spark, d).withColumn("ratio", 100 * F.col("x") * 1e5 / gap).where("ratio is not null").groupBy("robot_id").agg(r6(F.max("ratio")).alias("worst"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (gyro_bias_mean, static_start, odom_fold, odom_covariance, imu_preint, imu_preint_cov, nav_propagate, const_velocity, initial_guess, kf_features, kf_cut, kf_cut_plain, kf_reason, frames_by_keyframe, loop_cooldown, window_stride, window_samples, realtime_ratio)}
+QUERIES = {f.__name__: f for f in (gyro_bias_mean, static_start, odom_fold, odom_covariance, imu_preint, imu_preint_cov, nav_propagate, nav_propagate_turning, const_velocity, initial_guess, kf_features, kf_cut, kf_cut_plain, kf_reason, frames_by_keyframe, loop_cooldown, window_stride, window_samples, realtime_ratio)}
 
 FOLD = """, tagged AS (
   SELECT s.*, f.frame_id, f.stamp AS fin FROM imu s ASOF JOIN scan_frames f ON s.robot_id = f.robot_id AND s.stamp < f.stamp
@@ -188,6 +209,22 @@ SELECT robot_id, frame_id, round(px, 4) + 0.0 AS px, round(py, 4) + 0.0 AS py, r
 ), moves AS (SELECT *, v0 * dt + cos(h) * px - sin(h) * py AS mx, v1 * dt + sin(h) * px + cos(h) * py AS my, v2 * dt - 0.5::DOUBLE * 9.81::DOUBLE * dt * dt AS mz FROM speeds)
 SELECT robot_id, frame_id, round(1 + sum(mx) OVER {_UPTO}, 2) + 0.0 AS x, round(2 + sum(my) OVER {_UPTO}, 2) + 0.0 AS y, round(sum(mz) OVER {_UPTO}, 2) + 0.0 AS z,
   round(v0 + gx, 2) + 0.0 AS vx, round(v1 + gy, 2) + 0.0 AS vy, round(v2 + gz, 2) + 0.0 AS vz, round(h + turn, 2) + 0.0 AS heading FROM moves"""),
+    "nav_propagate_turning": with_views(""", numbered AS (
+  SELECT *, row_number() OVER w AS n, coalesce((epoch_us(lead(stamp) OVER w) - epoch_us(stamp)) / 8.64e10::DOUBLE, 0) AS dt, gz * 10 AS wx, (event_id % 7 - 3) * 0.1::DOUBLE AS wy, ax / 10 AS wz, [ax, gz * 10, 9.81::DOUBLE + (event_id % 7 - 3) * 0.01::DOUBLE] AS a
+  FROM imu WINDOW w AS (PARTITION BY robot_id ORDER BY stamp, event_id)
+), angled AS (SELECT *, sqrt(wx * wx + wy * wy + wz * wz) * dt AS q FROM numbered
+), axes AS (SELECT *, CASE WHEN q < 1e-5::DOUBLE THEN 1 ELSE sin(q) / q END * dt AS s, CASE WHEN q < 1e-5::DOUBLE THEN 0 ELSE (1 - cos(q)) / (q * q) END * dt * dt AS c FROM angled
+), turns AS (
+  SELECT robot_id, event_id, n, dt, a, [1 - c * (wy * wy + wz * wz), c * wx * wy - s * wz, c * wx * wz + s * wy, c * wx * wy + s * wz, 1 - c * (wx * wx + wz * wz), c * wy * wz - s * wx, c * wx * wz - s * wy, c * wy * wz + s * wx, 1 - c * (wx * wx + wy * wy)] AS e FROM axes
+), states AS (
+  SELECT robot_id, n, event_id, [cos(0.3::DOUBLE), -sin(0.3::DOUBLE), 0, sin(0.3::DOUBLE), cos(0.3::DOUBLE), 0, 0, 0, 1] AS r, [1, 0, 0.5::DOUBLE] AS v, [1, 2, 0::DOUBLE] AS p FROM turns WHERE n = 3
+  UNION ALL
+  SELECT robot_id, n + 1, after, list_transform(range(9), lambda i: r[i // 3 * 3 + 1] * e[i % 3 + 1] + r[i // 3 * 3 + 2] * e[i % 3 + 4] + r[i // 3 * 3 + 3] * e[i % 3 + 7]),
+    list_transform(range(1, 4), lambda i: v[i] + f[i] * dt), list_transform(range(1, 4), lambda i: p[i] + v[i] * dt + 0.5::DOUBLE * f[i] * dt * dt)
+  FROM (SELECT s.*, t.e, t.dt, u.event_id AS after, list_transform(range(3), lambda i: s.r[i * 3 + 1] * t.a[1] + s.r[i * 3 + 2] * t.a[2] + s.r[i * 3 + 3] * t.a[3] - CASE WHEN i = 2 THEN 9.81::DOUBLE ELSE 0 END) AS f
+        FROM states s JOIN turns t ON t.robot_id = s.robot_id AND t.n = s.n JOIN turns u ON u.robot_id = s.robot_id AND u.n = s.n + 1))
+SELECT robot_id, event_id, round(p[1], 3) + 0.0 AS x, round(p[2], 3) + 0.0 AS y, round(p[3], 3) + 0.0 AS z, round(r[1], 3) + 0.0 AS r00, round(r[4], 3) + 0.0 AS r10, round(r[7], 3) + 0.0 AS r20, round(r[8], 3) + 0.0 AS r21,
+  round(v[1], 3) + 0.0 AS vx, round(v[2], 3) + 0.0 AS vy, round(v[3], 3) + 0.0 AS vz FROM states""", recursive=True),
     "const_velocity": with_views(f""", posed AS (SELECT robot_id, frame_id, x, y, (y - 5) * 0.6::DOUBLE AS yaw FROM scan_frames), steps AS (
   SELECT f.robot_id, f.frame_id, {planar_relative("b", "a")} FROM posed f JOIN posed a ON a.robot_id = f.robot_id AND a.frame_id = f.frame_id - 1 JOIN posed b ON b.robot_id = f.robot_id AND b.frame_id = f.frame_id - 2
 ), ahead AS (
