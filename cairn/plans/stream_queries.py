@@ -11,7 +11,7 @@ from cairn.sources import formats, pointclouds
 from cairn.sources.shared import scratch_path
 from cairn.streaming import robots as R
 
-from .views import PLANAR_SQL, edges, keyframes, nodes, planar, points, poses, r6, scan_frames, with_views
+from .views import PLANAR_SQL, edges, keyframes, nodes, planar, points, poses, r6, read, scan_frames, with_views
 
 
 def _stream(spark, d, topic):
@@ -65,6 +65,47 @@ def stream_localize(spark, d):
     return R.run_available(R.localize(_stream(spark, d, "click"), fixed)).select("robot_id", "event_id", r6("distance").alias("distance"))
 
 
+#: Messages of the held streams come up to four days after their time, in a file for each three days of coming.
+_COMES_S, _FILE_S = 4 * 86400, 3 * 86400
+
+
+def _as_they_come(spark, d, files_per_trigger, topics):
+    """A stream of messages from files in the order in which they come, not that of their time."""
+    e = read(spark, d, "events")
+    comes = (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 + F.col("event_id") * 7919 % _COMES_S) / _FILE_S
+    path = _path(spark)
+    e.withColumn("file", F.floor(comes)).repartition("file").write.partitionBy("file").parquet(f"{path}/events.parquet")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/events.parquet")
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted(str(f.getPath()) for f in system.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/events.parquet/file=*/*.parquet")))
+    for nth, name in enumerate(files):  # as many as days of messages; a stream reads files by their time
+        system.setTimes(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name), 1_700_000_000_000 + 60_000 * nth, -1)
+    return R.message_stream(spark, path, files_per_trigger).where(F.col("topic").isin(topics))
+
+
+def stream_held_imu(spark, d):
+    """Inertial states of messages that come late, held for the watermark; three files a trigger."""
+    out = R.run_available(R.imu_state(_as_they_come(spark, d, 3, ["signup"]), late="5 days"), timers=True)
+    return out.where("not dropped").select("robot_id", "event_id", r6("speed").alias("speed"), r6("turn").alias("turn"))
+
+
+def stream_held_feedback(spark, d):
+    """The same with corrections of the bias from another topic; a file a trigger."""
+    out = R.run_available(R.imu_state(_as_they_come(spark, d, 1, ["signup", "error"]), feedback="error", late="5 days"), timers=True)
+    return out.where("not dropped").select("robot_id", "event_id", r6("speed").alias("speed"), r6("turn").alias("turn"))
+
+
+def stream_held_map(spark, d):
+    """Local maps of scans that come late, held for the watermark; all files in one trigger."""
+    return R.run_available(R.sliding_map(_as_they_come(spark, d, 1000, ["click"]), late="5 days"), timers=True).where("not dropped").drop("dropped")
+
+
+def stream_dropped(spark, d):
+    """Scans that came after the watermark, a file a trigger and six hours of patience."""
+    out = R.run_available(R.state_machine(_as_they_come(spark, d, 1, ["click"]), late="6 hours"), timers=True)
+    return out.where("dropped").select("robot_id", "event_id")
+
+
 def xml_roundtrip(spark, d):
     """All edges as one topology file and back; ids are robot_id * 1000 + keyframe."""
     key = lambda c: F.col("robot_id") * 1000 + F.col(c)
@@ -98,6 +139,17 @@ def map_read(spark, d):
     return formats.read_map(spark, topology, poses)[0].select("id", *planar())
 
 
+def map_read_dangling(spark, d):
+    """A map without every fourth node but with the edges to it: nodes behind a gap start from their own files, which lie 100 to the side."""
+    n, e = _one_map(spark, d)
+    there = n.where("id % 1000 % 4 <> 2")
+    aside = F.transform("pose", lambda x, i: x + F.when(i == 7, 100.0).otherwise(0.0))
+    topology, own = _path(spark), _path(spark)
+    formats.write_topology(e.join(there.select(F.col("id").alias("src")), "src", "left_semi"), there, topology, force_reachable=True)
+    formats.write_poses(there.withColumn("pose", aside), own)
+    return formats.read_map(spark, topology, own)[0].select("id", *planar())
+
+
 def map_read_poses(spark, d):
     """Poses of a map from their files alone, ids moved up by an offset."""
     n, e = _one_map(spark, d)
@@ -168,7 +220,7 @@ def yaml_chain(spark, d):
     return clouds.apply_chain(points(spark, d), formats.parse_chain(text)).select("cloud_id", "point_id", r6("nx").alias("nx"))
 
 
-QUERIES = {f.__name__: f for f in (stream_watermark_late, stream_state_machine, stream_sliding_map, stream_imu, stream_bias_feedback, stream_growing_map, stream_lost, stream_localizing, stream_localize, map_read, map_read_poses, frames_roundtrip, node_gps_roundtrip, gps_trajectory, graph_dump, whole_map_roundtrip, cloud_decode, xml_roundtrip, tum_roundtrip, submap_read, yaml_chain)}
+QUERIES = {f.__name__: f for f in (stream_watermark_late, stream_state_machine, stream_sliding_map, stream_imu, stream_bias_feedback, stream_growing_map, stream_lost, stream_localizing, stream_localize, stream_held_imu, stream_held_feedback, stream_held_map, stream_dropped, map_read, map_read_dangling, map_read_poses, frames_roundtrip, node_gps_roundtrip, gps_trajectory, graph_dump, whole_map_roundtrip, cloud_decode, xml_roundtrip, tum_roundtrip, submap_read, yaml_chain)}
 
 _SCANS = """, scans AS (
   SELECT robot_id, event_id, row_number() OVER (PARTITION BY robot_id ORDER BY stamp, event_id) AS frame_id, value / 10 AS x, k / 10.0::DOUBLE AS y, k FROM messages WHERE topic = 'click')
@@ -209,6 +261,11 @@ SELECT robot_id, event_id, CASE WHEN frame_id > 4 AND bad > 2 THEN 'LOST' WHEN f
     "stream_localizing": with_views(_SCANS + """, runs AS (SELECT *, frame_id - coalesce(max(CASE WHEN k < 30 THEN frame_id END) OVER (PARTITION BY robot_id ORDER BY frame_id ROWS UNBOUNDED PRECEDING), 0) AS good FROM scans)
 SELECT robot_id, event_id, CASE WHEN bool_or(good >= 4) OVER (PARTITION BY robot_id ORDER BY frame_id ROWS UNBOUNDED PRECEDING) THEN 'LOCALIZEING' ELSE 'NOT_LOCALIZEING' END AS state FROM runs"""),
     "map_read": with_views(f"SELECT robot_id * 1000 + kf_id AS id, {PLANAR_SQL} FROM keyframes"),
+    "map_read_dangling": with_views("""SELECT robot_id * 1000 + kf_id AS id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(cos(yaw), 6) + 0.0 AS c, round(sin(yaw), 6) + 0.0 AS s FROM (
+  SELECT k.robot_id, k.kf_id, r.x + cos(r.yaw) * m.x - sin(r.yaw) * m.y AS x, r.y + 100 + sin(r.yaw) * m.x + cos(r.yaw) * m.y AS y, r.yaw + m.yaw AS yaw FROM keyframes k
+  JOIN keyframes r ON r.robot_id = k.robot_id AND r.kf_id = CASE WHEN k.kf_id < 2 THEN 0 ELSE k.kf_id - (k.kf_id - 3) % 4 END,
+  LATERAL (SELECT cos(r.yaw) * (k.x - r.x) + sin(r.yaw) * (k.y - r.y) AS x, cos(r.yaw) * (k.y - r.y) - sin(r.yaw) * (k.x - r.x) AS y, k.yaw - r.yaw AS yaw) m
+  WHERE k.kf_id % 4 <> 2)"""),
     "map_read_poses": with_views(f"SELECT b.robot_id * 1000 + b.kf_id AS id, round(a.x, 6) + 0.0 AS x, round(a.y, 6) + 0.0 AS y, round(cos(a.yaw), 6) + 0.0 AS c, round(sin(a.yaw), 6) + 0.0 AS s FROM keyframes a JOIN keyframes b ON a.robot_id = b.robot_id AND b.kf_id = a.kf_id + 1 WHERE a.kf_id % 20 = 0"),
     "frames_roundtrip": with_views("""SELECT robot_id * 1000 + frame_id // 4 AS keyframe_id, frame_id AS id, CAST(frame_id AS DOUBLE) AS time, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(cos(y * 0.1::DOUBLE), 6) + 0.0 AS c, round(sin(y * 0.1::DOUBLE), 6) + 0.0 AS s,
   round(x, 6) + 0.0 AS northing, 6 AS satellites FROM scan_frames"""),
@@ -224,3 +281,25 @@ SELECT robot_id, event_id, CASE WHEN bool_or(good >= 4) OVER (PARTITION BY robot
     "yaml_chain": with_views("""SELECT cloud_id, point_id, round(CASE WHEN -nx * x - ny * y - nz * z < 0 THEN -nx ELSE nx END, 6) + 0.0 AS nx
   FROM (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY point_id) AS n FROM points) WHERE (n - 1) % 3 = 0 AND abs(x) < 2.5::DOUBLE"""),
 }
+
+_HOUR = "(epoch_us(stamp) // 3600000000 + 1) * 3600000000"
+
+
+def _passed(name, topics):
+    """A held stream's SQL: that of the stream without lateness, cut to hours that the watermark, five days behind the last message, has passed."""
+    sql = SQL[name].strip()
+    at = sql.rindex("SELECT robot_id, event_id")
+    return f"""{sql[:at]}, plain AS ({sql[at:]})
+SELECT p.* FROM plain p JOIN messages m USING (robot_id, event_id) WHERE {_HOUR.replace("stamp", "m.stamp")} <= (SELECT max(epoch_us(stamp)) FROM messages WHERE topic IN ({topics})) - 432000000000"""
+
+
+SQL |= {
+    "stream_held_imu": _passed("stream_imu", "'signup'"),
+    "stream_held_feedback": _passed("stream_bias_feedback", "'signup', 'error'"),
+    "stream_held_map": _passed("stream_sliding_map", "'click'"),
+    "stream_dropped": with_views(f""", came AS (
+  SELECT *, floor((epoch_us(stamp) / 1e6 + event_id * 7919 % {_COMES_S}) / {_FILE_S}) AS file FROM messages WHERE topic = 'click'
+), files AS (SELECT file, max(epoch_us(stamp)) AS newest FROM came GROUP BY file),
+marks AS (SELECT file, max(newest) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 1000 * 1000 - 21600000000 AS mark FROM files)
+SELECT robot_id, event_id FROM came JOIN marks USING (file) WHERE epoch_us(stamp) < mark"""),
+}

@@ -1,9 +1,11 @@
 """Streaming twins of the batch operators, on Structured Streaming.
 
 Messages (robot_id, event_id, stamp, topic, value, k) come from the events table, a Parquet file or a
-folder of part files. Each run processes what is there, in one trigger, and stops; results go to Parquet in the
-shared folder. Operators with state take each robot's rows in time order; a later trigger that brings rows from
-before what a robot has had is an error, as its results can't be taken back.
+folder of part files. Each run processes what is there, in one trigger or several, and stops; results go to Parquet in the
+shared folder. Operators with state take each robot's rows in time order. With `late`, rows are held in state until
+the watermark, that much behind the newest message, has passed them, so it doesn't matter in which triggers they come; one
+that comes after the watermark is put out as dropped, by itself. Without, rows are taken as they come, and a
+later trigger that brings rows from before what a robot has had is an error, as its results can't be taken back.
 """
 
 from __future__ import annotations
@@ -15,10 +17,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import ArrayType, LongType, StructType, _parse_datatype_string
 
 from cairn.sources.shared import scratch_path
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -32,11 +37,18 @@ def message_stream(spark: SparkSession, path: str, files_per_trigger: int | None
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("stamp"), F.col("user_id").alias("robot_id"), F.col("event_type").alias("topic"), "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process what is there, and return the result as a table."""
+def run_available(stream: DataFrame, mode: str = "append", timers: bool = False) -> DataFrame:
+    """Process what is there, and return the result as a table. timers: state of operators that hold late rows is kept on disk."""
     spark = stream.sparkSession
     base = scratch_path(spark)
-    stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(STORE)
+    if timers:
+        spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode(mode).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STORE, before)
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -45,8 +57,66 @@ def windowed_counts(messages: DataFrame, late: str = "10 days", width: str = "1
     return messages.withWatermark("stamp", late).groupBy(F.window("stamp", width).alias("w"), "topic").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "topic", "n", "value")
 
 
-def stateful(messages: DataFrame, step: Callable, output: str, state: str) -> DataFrame:
-    """step(robot, rows in time order, state or None) gives (output rows, new state) for each robot and trigger."""
+class Held(StatefulProcessor):
+    """Holds a robot's rows in buckets of time until the watermark has passed them, then takes them in time order."""
+
+    def __init__(self, step: Callable, names: list[str], rows: StructType, state: StructType, bucket_ms: int):
+        self.step, self.names, self.rows, self.state, self.bucket_ms = step, names, rows, state, bucket_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.own = handle.getValueState("own", self.state)
+        self.held = handle.getMapState("held", StructType().add("bucket", LongType()), StructType().add("rows", ArrayType(self.rows)))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
+        new: dict[int, list[tuple]] = {}
+        for part in rows:
+            at = part["at"]
+            late = part[at < passed]
+            if len(late):
+                yield self._named(key, late.reset_index(drop=True), dropped=True)
+            for row in part.loc[at >= passed, [f.name for f in self.rows]].itertuples(index=False, name=None):
+                new.setdefault(row[0] // 1000 // self.bucket_ms, []).append(row)
+        for bucket, own in new.items():
+            if self.held.containsKey((bucket,)):
+                own = [*map(tuple, self.held.getValue((bucket,))[0]), *own]
+            else:
+                self.handle.registerTimer((bucket + 1) * self.bucket_ms)  # beyond every row of the bucket
+            self.held.updateValue((bucket,), (own,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        bucket = expiredTimerInfo.getExpiryTimeInMs() // self.bucket_ms - 1  # timers come in order of time
+        rows = pd.DataFrame([tuple(r) for r in self.held.getValue((bucket,))[0]], columns=[f.name for f in self.rows]).sort_values(["at", "event_id"], ignore_index=True)
+        self.held.removeKey((bucket,))
+        rows["stamp"] = pd.to_datetime(rows["at"], unit="us")
+        out, state = self.step(key[0], rows, list(self.own.get()) if self.own.exists() else None)
+        self.own.update(tuple(state))
+        yield self._named(key, out.reset_index(drop=True), dropped=False)
+
+    def _named(self, key, rows: pd.DataFrame, dropped: bool) -> pd.DataFrame:
+        out = {n: rows[n] if n in ("event_id",) or not dropped and n in rows else pd.Series([None] * len(rows), dtype=object) for n in self.names}
+        return pd.DataFrame(out | {"robot_id": pd.Series([key[0]] * len(rows)), "dropped": pd.Series([dropped] * len(rows), dtype=bool)})
+
+    def close(self) -> None:
+        pass
+
+
+def stateful(messages: DataFrame, step: Callable, output: str, state: str, late: str | None = None, bucket_s: int = 3600) -> DataFrame:
+    """step(robot, rows in time order, state or None) gives (output rows, new state) for each robot and trigger.
+
+    With late, rows wait until the watermark, `late` behind the newest message of all robots, has passed the bucket of
+    time that they are in, and the result has one column more: dropped is true for messages that the watermark had passed when
+    they came; of these only robot_id and event_id are put out. What is newer than the watermark when a run ends waits in the state.
+    """
+    if late is not None:
+        kept = [f.name for f in messages.schema if f.name not in ("robot_id", "stamp")]
+        # without the column of the watermark Spark leaves late rows to the processor
+        timed = messages.withWatermark("stamp", late).select("robot_id", F.unix_micros("stamp").alias("at"), *kept)
+        rows = StructType([f for f in timed.schema if f.name != "robot_id"])
+        out = _parse_datatype_string(f"{output}, dropped boolean")
+        held = Held(step, [f.name for f in out], rows, _parse_datatype_string(state), bucket_s * 1000)
+        return timed.groupBy("robot_id").transformWithStateInPandas(statefulProcessor=held, outputStructType=out, outputMode="append", timeMode="EventTime")
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["stamp", "event_id"])
@@ -65,7 +135,7 @@ def stateful(messages: DataFrame, step: Callable, output: str, state: str) -> Da
 STATES = ["NOT_INITIALIZED", "INITIALIZING", "WORKING", "LOST", "NOT_LOCALIZEING", "LOCALIZEING"]
 
 
-def state_machine(messages: DataFrame, warm_up: int = 3, patience: int | None = None, localize_after: int | None = None) -> DataFrame:
+def state_machine(messages: DataFrame, warm_up: int = 3, patience: int | None = None, localize_after: int | None = None, late: str | None = None) -> DataFrame:
     """Mapping state after each scan: NOT_INITIALIZED until the first, INITIALIZING for `warm_up` scans, then WORKING.
 
     A scan (column `good`, true where there is none) that doesn't register is dropped; after more than `patience` of them in a row a working
@@ -90,10 +160,10 @@ def state_machine(messages: DataFrame, warm_up: int = 3, patience: int | None =
             n += 1
         return pd.DataFrame({"robot_id": robot, "event_id": rows["event_id"], "state": names}), (n, bad, run, found)
 
-    return stateful(messages, step, "robot_id long, event_id long, state string", "n long, bad long, run long, found boolean")
+    return stateful(messages, step, "robot_id long, event_id long, state string", "n long, bad long, run long, found boolean", late=late)
 
 
-def sliding_map(messages: DataFrame, radius: float = 10.0) -> DataFrame:
+def sliding_map(messages: DataFrame, radius: float = 10.0, late: str | None = None) -> DataFrame:
     """Size of each robot's local map after each scan: the new place joins, then what is farther than `radius` goes.
 
     State keeps the distinct places in reach, (value / 10, k / 10) pairs, with the number of scans at each.
@@ -113,10 +183,10 @@ def sliding_map(messages: DataFrame, radius: float = 10.0) -> DataFrame:
             sizes.append(int(ns.sum()))
         return pd.DataFrame({"robot_id": robot, "event_id": rows["event_id"], "n": sizes}), (xs.tolist(), ys.tolist(), ns.tolist())
 
-    return stateful(messages, step, "robot_id long, event_id long, n long", "xs array<double>, ys array<double>, ns array<long>")
+    return stateful(messages, step, "robot_id long, event_id long, n long", "xs array<double>, ys array<double>, ns array<long>", late=late)
 
 
-def growing_map(messages: DataFrame, max_length: float = 12.0, seed: float = 5.0) -> DataFrame:
+def growing_map(messages: DataFrame, max_length: float = 12.0, seed: float = 5.0, late: str | None = None) -> DataFrame:
     """Size of each robot's submap after each scan, and whether it was cut there: places join until one is farther than max_length from
     where the submap began; the next submap begins there, seeded with the places within `seed` of it. (robot_id, event_id, n, cut)."""
 
@@ -133,10 +203,10 @@ def growing_map(messages: DataFrame, max_length: float = 12.0, seed: float = 5.0
                 began, xs, ys = [x, y], xs[near], ys[near]
         return pd.DataFrame(out, columns=["robot_id", "event_id", "n", "cut"]), (began, xs.tolist(), ys.tolist())
 
-    return stateful(messages, step, "robot_id long, event_id long, n long, cut boolean", "began array<double>, xs array<double>, ys array<double>")
+    return stateful(messages, step, "robot_id long, event_id long, n long, cut boolean", "began array<double>, xs array<double>, ys array<double>", late=late)
 
 
-def imu_state(messages: DataFrame, least: int = 3, feedback: str | None = None) -> DataFrame:
+def imu_state(messages: DataFrame, least: int = 3, feedback: str | None = None, late: str | None = None) -> DataFrame:
     """Inertial bootstrap and propagation: after `least` samples, one (speed, turn) per sample, from the samples before it.
 
     Messages of the topic `feedback` correct the accelerometer's bias: each adds value / 1000 to it, and samples that come later are cleared of it.
@@ -157,7 +227,7 @@ def imu_state(messages: DataFrame, least: int = 3, feedback: str | None = None)
             n, at, ax, gz = n + 1, t, value / 100 - bias, (k - 50) / 1000
         return pd.DataFrame(out, columns=["robot_id", "event_id", "speed", "turn"]), (n, at, ax, gz, speed, turn, bias)
 
-    return stateful(messages, step, "robot_id long, event_id long, speed double, turn double", "n long, at long, ax double, gz double, speed double, turn double, bias double")
+    return stateful(messages, step, "robot_id long, event_id long, speed double, turn double", "n long, at long, ax double, gz double, speed double, turn double, bias double", late=late)
 
 
 def follow(stream: DataFrame, path: str, stop: Callable[[], bool], every: str = "1 second", limit_s: float = 3600.0) -> None:
