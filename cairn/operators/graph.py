@@ -156,8 +156,10 @@ def link_nodes(edges: DataFrame, nodes: DataFrame, fixed: int = 0) -> DataFrame:
 
 def pose_by_scan(edges: DataFrame, known: DataFrame) -> DataFrame:
     """(robot_id, node, pose) of nodes that are read in the order of their ids: each takes its pose from its first
-    neighbour that was read before, pose(neighbour) * edge^-1; one without takes its own of known(robot_id, node, pose)."""
-    before = edges.where("dst < src").groupBy("robot_id", F.col("src").alias("node")).agg(F.min(F.struct("dst", "pose")).alias("s"))
+    neighbour that was read before, pose(neighbour) * edge^-1; one without takes its own of known(robot_id, node, pose).
+    Neighbours that known lacks aren't in the map: edges to them are passed over."""
+    there = edges.where("dst < src").join(known.select("robot_id", F.col("node").alias("dst")), ["robot_id", "dst"], "left_semi")
+    before = there.groupBy("robot_id", F.col("src").alias("node")).agg(F.min(F.struct("dst", "pose")).alias("s"))
     placed = known.select("robot_id", "node", F.col("pose").alias("own")).join(before, ["robot_id", "node"], "left")
     return compose_up(placed.select("robot_id", "node", F.col("s.dst").alias("up"), F.when(F.col("s").isNull(), F.col("own")).otherwise(P.inverse(F.col("s.pose"))).alias("pose")))
 

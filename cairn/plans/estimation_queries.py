@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -10,12 +11,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.functions import pose as P
-from cairn.operators import clouds, graph, motion, neighbours, registration, solve
+from cairn.operators import clouds, graph, large_graphs, loop_closing, motion, neighbours, registration, solve
 from cairn.operators.temporal import micros
 from cairn.sources import formats
+from cairn.sources.shared import materialize
 
 from .motion_queries import FOLD as _FOLD
-from .views import edges, imu, keyframes, nodes, points, r6, scan_frames, with_views
+from .views import edges, imu, keyframes, nodes, points, poses, r6, scan_frames, with_views
 
 ICP = registration.IcpParams(max_dist=2.0)
 
@@ -156,6 +158,57 @@ def pose_graph(spark, d):
     return out.select("robot_id", "node", *[(F.round(F.col("pose")[i], 3) + 0.0).alias(n) for i, n in ((3, "x"), (7, "y"), (0, "c"), (4, "s"))])
 
 
+def pose_graph_parts(spark, d):
+    """The same through parts of eight nodes: no graph of more is in one task."""
+    at = nodes(spark, d)
+    off = lambda k, step: F.when(F.col("node") > 0, step * (F.col("node") % k)).otherwise(0.0)
+    shaken = at.withColumn("pose", P.product(F.col("pose"), P.from_yaw(off(4, 0.05), off(3, 0.1), off(2, -0.1))))
+    out = large_graphs.optimize_large_graphs(shaken, graph.optimizable(edges(spark, d), at).select("robot_id", "src", "dst", "pose"), iterations=6, part_nodes=8)
+    return out.select("robot_id", "node", *[(F.round(F.col("pose")[i], 3) + 0.0).alias(n) for i, n in ((3, "x"), (7, "y"), (0, "c"), (4, "s"))])
+
+
+def _world(spark, d):
+    """All submaps' points in one world."""
+    return clouds.move(points(spark, d).join(poses(spark), "cloud_id"), F.col("pose"), normals=True).drop("pose")
+
+
+def _drifted(spark, d):
+    """(nodes, edges): keyframes by drifting odometry. Each step has its own small error, so the path bends away from the true one."""
+    wrong = P.from_yaw(((F.col("src") * 37 + F.col("robot_id")) % 7 - 3) * 0.004, ((F.col("src") * 53 + F.col("robot_id")) % 5 - 2) * 0.04, ((F.col("src") * 29 + F.col("robot_id")) % 5 - 2) * 0.04)
+    e = edges(spark, d).where("reachable").withColumn("pose", P.product(F.col("pose"), wrong))
+    start = nodes(spark, d).where("node = 0")
+    at = materialize(graph.traverse(e, start).select("robot_id", "node", "pose"))
+    return at, e
+
+
+def _seen_points(spark, d, reach=5.0):
+    """What each keyframe sees from its true place: the world's points within reach, in its own frame."""
+    seen = neighbours.within(keyframes(spark, d).withColumn("z", F.lit(0.0)), _world(spark, d), reach)
+    rows = seen.select(F.col("l.robot_id").alias("robot_id"), F.col("l.kf_id").alias("node"), *[F.col(f"r.{c}").alias(c) for c in ("point_id", "x", "y", "z", "nx", "ny", "nz", "p_static")])
+    back = nodes(spark, d).select("robot_id", "node", P.inverse(F.col("pose")).alias("pose"))
+    return clouds.move(rows.join(back, ["robot_id", "node"]), F.col("pose"), normals=True).drop("pose")
+
+
+def _closed(spark, d):
+    at, e = _drifted(spark, d)
+    return at, loop_closing.close_loops(at, e, materialize(_seen_points(spark, d)), radius=4.0, most_shift=3.0, p=replace(ICP, min_translation=0.001, min_rotation=0.0001))
+
+
+def loop_closure_pairs(spark, d):
+    """All near pairs of drifted keyframes with what their registration came to."""
+    return _closed(spark, d)[1].pairs.select("robot_id", "src", "dst", "ok", (F.round("overlap", 6) + 0.0).alias("overlap"), "passed")
+
+
+def loop_closure(spark, d):
+    """Robots whose loops were closed: mean distance of their keyframes from the true places by odometry and after optimization."""
+    at, closed = _closed(spark, d)
+    true = nodes(spark, d).select("robot_id", "node", F.col("pose").alias("true"))
+    off = lambda c: F.sqrt((F.col(c)[3] - F.col("true")[3]) ** 2 + (F.col(c)[7] - F.col("true")[7]) ** 2)
+    gained = closed.pairs.where("passed").groupBy("robot_id").agg(F.count("*").alias("loops"))
+    rows = true.join(at.withColumnRenamed("pose", "was"), ["robot_id", "node"]).join(closed.nodes.select("robot_id", "node", F.col("pose").alias("now")), ["robot_id", "node"])
+    return rows.groupBy("robot_id").agg((F.round(F.avg(off("was")), 4) + 0.0).alias("before"), (F.round(F.avg(off("now")), 4) + 0.0).alias("after")).join(gained, "robot_id")
+
+
 def gyro_bias_gn(spark, d):
     """Bias of the turn rates against the headings between scans."""
     by = Window.partitionBy("robot_id").orderBy("frame_id")
@@ -206,7 +259,7 @@ def realtime_gaps(spark, d):
     return scan_frames(spark, d).withColumn("gap", (micros("stamp") - F.lag(micros("stamp")).over(by)) / 3.6e9).groupBy("robot_id").agg(r6(F.max("gap")).alias("gap"))
 
 
-QUERIES = {f.__name__: f for f in (icp_normal_eq, trimmed_quantile, overlap_ratio, icp_pair, icp_configured, merge_clouds, surface_density, surface_normals, chain_input, chain_voxels, pose_graph, gyro_bias_gn, gravity_ba, smoother, realtime_gaps)}
+QUERIES = {f.__name__: f for f in (icp_normal_eq, trimmed_quantile, overlap_ratio, icp_pair, icp_configured, merge_clouds, surface_density, surface_normals, chain_input, chain_voxels, pose_graph, pose_graph_parts, loop_closure_pairs, loop_closure, gyro_bias_gn, gravity_ba, smoother, realtime_gaps)}
 
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 _MATCH = f""", near AS (
@@ -264,6 +317,7 @@ SELECT robot_id, round(sum(dt * (turn - seen)) / sum(dt * dt), 6) + 0.0 AS bias,
     "smoother": with_views("SELECT robot_id, frame_id, true AS near, true AS ok FROM scan_frames"),
     "surface_density": with_views(_KNN + "SELECT point_id, round(count(*) / (4 / 3.0::DOUBLE * pi() * pow(sqrt(max(d2)), 3)), 6) + 0.0 AS density FROM knn WHERE r <= 5 GROUP BY 1"),
     "pose_graph": with_views("SELECT robot_id, kf_id AS node, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(cos(yaw), 3) + 0.0 AS c, round(sin(yaw), 3) + 0.0 AS s FROM keyframes"),
+    "pose_graph_parts": with_views("SELECT robot_id, kf_id AS node, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(cos(yaw), 3) + 0.0 AS c, round(sin(yaw), 3) + 0.0 AS s FROM keyframes"),
     "realtime_gaps": with_views("SELECT robot_id, round(max(gap), 6) + 0.0 AS gap FROM (SELECT robot_id, (epoch_us(stamp) - epoch_us(lag(stamp) OVER (PARTITION BY robot_id ORDER BY frame_id))) / 3.6e9::DOUBLE AS gap FROM scan_frames) GROUP BY 1"),
     "gravity_ba": with_views("SELECT robot_id, count(*) AS n, -9.81::DOUBLE AS gz, 9.81::DOUBLE AS length, 0.05::DOUBLE AS bias_x FROM imu GROUP BY 1"),
 }
