@@ -79,14 +79,19 @@ def plain_verdict(raw):
     """The bands once more, from their statement alone."""
     packer = zstandard.ZstdCompressor(level=quality.LEVEL)
     size = lambda b: len(b) / len(packer.compress(b))
-
-    def least(n):
-        points = list(zip(quality.LEAST_AT, quality.LEAST))
-        for (a, u), (b, v) in zip(points, points[1:]):
-            if a <= n < b:
-                return u + (v - u) * (n - a) / (b - a)
+    mostly_ascii = lambda b: sum(x < 128 for x in b) >= quality.ASCII_SHARE * len(b)
+    wide = lambda b: (len(b) / max(1, sum(x & 0xC0 != 0x80 for x in b))) ** 0.5
+
+    def least(b):
+        n, points = len(b), list(zip(quality.LEAST_AT, quality.LEAST) if mostly_ascii(b) else zip(quality.OTHER_AT, quality.OTHER_LEAST))
+        for (a, u), (c, v) in zip(points, points[1:]):
+            if a <= n < c:
+                return u + (v - u) * (n - a) / (c - a)
         return points[-1][1] if n >= points[-1][0] else points[0][1]
 
+    def most(b):
+        return [m for n, m in quality.DOCUMENT_MOST if n <= len(b)][-1] * wide(b)
+
     def recurs(b):
         pairs, ones = Counter(zip(b, b[1:])), Counter(b)
         same = sum(v * (v - 1) for v in pairs.values()) / ((len(b) - 1) * (len(b) - 2))
@@ -95,12 +100,12 @@ def plain_verdict(raw):
 
     if not raw:
         return True
-    if not least(len(raw)) <= size(raw) <= [m for n, m in quality.DOCUMENT_MOST if n <= len(raw)][-1]:
+    if not least(raw) <= size(raw) <= most(raw):
         return False
     chunks = [raw[i : i + quality.CHUNK] for i in range(0, len(raw), quality.CHUNK)]
-    noise = sum(len(c) for c in chunks if size(c) < least(len(c)) or len(c) >= quality.PAIRS_FROM and recurs(c) < quality.PAIR_GAIN)
-    whole = [c for c in chunks if len(c) == quality.CHUNK]
-    return noise <= quality.NOISE_SHARE * len(raw) and sum(size(c) > quality.CHUNK_MOST for c in whole) <= quality.CHUNK_SHARE * len(whole)
+    noise = sum(len(c) for c in chunks if size(c) < least(c) or mostly_ascii(c) and len(c) >= quality.PAIRS_FROM and recurs(c) < quality.PAIR_GAIN)
+    above = sum(len(c) for c in chunks if size(c) > (quality.CHUNK_MOST * wide(c) if len(c) == quality.CHUNK else most(c)))
+    return noise <= quality.NOISE_SHARE * len(raw) and above <= quality.CHUNK_SHARE * len(raw)
 
 
 def test_quality_verdicts_match_brute_force(spark):
