@@ -1,9 +1,10 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks at block-level tags. A linear classifier over a block's features gives
-its costs of being content and of being boilerplate, which become capacities to the two
-terminals; neighbours on the page and blocks of the same DOM parent are tied by smoothness
-edges. The minimum cut of that graph is the cheapest labelling; the blocks on the content
+A page is cut into blocks at block-level tags. A linear classifier over a block's features (its words, its
+links, what the elements around it are and are named) gives its costs of being content and of being boilerplate, which become
+capacities to the two terminals; neighbours on the page and blocks of the same DOM parent are tied by smoothness
+edges. What a name says of an element counts less than what is in it: it is void if the element holds the page's articles and
+most of its prose, as a wrapper does; so is a form that does. Names that state how something is laid out (no-sidebar) say nothing. The minimum cut of that graph is the cheapest labelling; the blocks on the content
 side, in page order, are the text. Pages are independent: one scan, no shuffle.
 """
 
@@ -25,6 +26,8 @@ from .textkit import text_slices
 
 #: Weights of the classifier: a positive sum speaks for content.
 BIAS, PER_LOG_WORD, LINKED, ARTICLE, CONTENT_NAME, HEADING, BOILER_TAG, BOILER_NAME, HIDDEN = -1.6, 0.8, -5.0, 3.0, 1.5, 0.8, -8.0, -7.0, -12.0
+#: Words from which a block of few links is prose, and the share of a page's prose that makes an element its wrapper.
+PROSE_WORDS, PROSE_LINKED, WRAPPER = 8, 0.3, 0.5
 #: Smoothness between neighbours on the page, and between consecutive blocks of one DOM parent.
 ADJACENT, SAME_PARENT = 0.4, 0.9
 
@@ -49,13 +52,16 @@ BOILER_NAMES = frozenset("""ad ads advert adverts advertisement advertising spon
  share sharing social pagination pager toolbar skip""".split())
 #: Names that say little about an article or a part that is also named as content.
 WEAK_NAMES = frozenset("search share sharing foot footer header banner notice alert skip promo discussion replies reply".split())
+#: Words that make a name a statement about the page rather than the name of a part.
+STATE_NAMES = frozenset("no not non has have having with without free open opened closed off on by is are enabled disabled allowed default layout".split())
 CONTENT_NAMES = frozenset("article content post entry story main body text hentry maincontent".split())
 
-# quotes count right behind an equals sign only, and what is matched isn't given back, so no page takes more than a few passes
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+# Quotes count right behind an equals sign only; a tag without an end runs to the page's end. What is matched isn't given back and
+# no match fails behind a long reading, so no page takes more than a few passes.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 NAME = re.compile(r"[a-z0-9]+")
-END_TAG = re.compile(r"</([a-zA-Z][^\s/<>]*)")
+END_TAG = re.compile(r"</([a-zA-Z][^\s/<>]*+)(?=[\s/>])")
 SLASH = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 
 
@@ -63,55 +69,87 @@ SLASH = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 class Element:
     tag: str
     number: int
-    score: float  # what this element and those around it say of the blocks inside
-    article: bool
+    article: bool  # inside an article, or one
     skipped: bool  # its text isn't shown
     block: Element | None  # the nearest block-level element, itself included
     outer: int  # number of the block-level element around that one
 
 
+@dataclass(slots=True)
+class Evidence:
+    """What an element says of the blocks inside: for good, and unless it turns out to be a wrapper."""
+
+    up: int
+    sure: float = 0.0
+    name: float = 0.0
+    form: float = 0.0
+    main: bool = False  # it is the page's main part
+    article: bool = False  # it is an article that no name makes boilerplate
+
+
 @dataclass
 class Block:
     text: str
     parent: int
-    score: float
+    element: int
     linked: float
     heading: bool
+    score: float = 0.0
     words: int = field(init=False)
 
     def __post_init__(self):
         self.words = self.text.count(" ") + 1
 
+    def prose(self) -> int:
+        return self.words if self.words >= PROSE_WORDS and self.linked < PROSE_LINKED else 0
+
     def cost(self) -> float:
         return BIAS + PER_LOG_WORD * float(np.log1p(self.words)) + LINKED * self.linked + self.score + (HEADING if self.heading else 0)
 
 
-def _element(tag: str, attributes: str, number: int, above: Element | None) -> Element:
-    score, article, skipped = (above.score, above.article, above.skipped) if above else (0.0, False, False)
+def _names(tag: str, named: str) -> tuple[bool, bool]:
+    """(speaks for content, speaks for boilerplate) of an element's class, id and role."""
+    content, boiler, plain = False, set(), False
+    for token in named.lower().split():
+        parts = set(NAME.findall(token))
+        if parts & STATE_NAMES:
+            continue
+        found = parts & BOILER_NAMES
+        content = content or bool(parts & CONTENT_NAMES) and not found - WEAK_NAMES
+        boiler |= found
+        plain = plain or bool(found - WEAK_NAMES) and (len(parts) == 1 or bool(parts & CONTENT_NAMES))
+    if tag in ("article", "main") or content:
+        boiler -= WEAK_NAMES
+        if not plain:  # a compound beside a name of content tells where something else is
+            boiler = set()
+    return content, bool(boiler)
+
+
+def _element(tag: str, attributes: str, number: int, above: Element | None) -> tuple[Element, Evidence]:
+    article, skipped = (above.article, above.skipped) if above else (False, False)
     skipped = skipped or tag in SKIPPED
+    says = Evidence(above.number if above else 0, main=tag == "main", article=tag == "article")
     if tag in ("article", "main") and not article:
-        score, article = score + ARTICLE, True
-    if tag in BOILER_TAGS or (tag == "header" and not article):
-        score += BOILER_TAG
+        says.sure, article = ARTICLE, True
+    if tag == "form":
+        says.form = BOILER_TAG
+    elif tag in BOILER_TAGS or (tag == "header" and not article):
+        says.sure += BOILER_TAG
     if attributes and "=" in attributes or " hidden" in attributes:
         values = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
-        names = set(NAME.findall(f"{values.get('class', '')} {values.get('id', '')} {values.get('role', '')}".lower()))
-        content = names & CONTENT_NAMES
-        boiler = names & BOILER_NAMES
-        if tag in ("article", "main") or content:
-            boiler = boiler - WEAK_NAMES
+        content, boiler = _names(tag, f"{values.get('class', '')} {values.get('id', '')} {values.get('role', '')}")
         if tag not in ("html", "body") and boiler:
-            score += BOILER_NAME
+            says.name, says.article, says.main = BOILER_NAME, False, False
         elif content and not article:
-            score += CONTENT_NAME
+            says.sure += CONTENT_NAME
         style = values.get("style", "").replace(" ", "").lower()
-        if "display:none" in style or "visibility:hidden" in style or values.get("aria-hidden") == "true" or re.search(r"\shidden(?=[\s=/]|$)", attributes):
-            score += HIDDEN
+        if "display:none" in style or "visibility:hidden" in style or values.get("aria-hidden") == "true" or "hidden" in values:
+            says.sure += HIDDEN
             skipped = skipped or tag not in BLOCK
-    element = Element(tag, number, score, article, skipped, above.block if above else None, above.outer if above else 0)
+    element = Element(tag, number, article, skipped, above.block if above else None, above.outer if above else 0)
     if tag in BLOCK and not (above and above.skipped):
         element.outer, element.block = (above.block.number if above and above.block else 0), element
-    return element
+    return element, says
 
 
 class Page:
@@ -123,6 +161,7 @@ class Page:
         self.where: defaultdict[str, list[int]] = defaultdict(list)  # tag -> places in the stack
         self.parts: list[str] = []
         self.linked = self.number = 0
+        self.says = [Evidence(0)]  # by element; 0 is the page
         last_end = {m[1].lower(): m.start() for m in END_TAG.finditer(page)}
         at = 0
         while (m := TOKEN.search(page, at)) is not None:
@@ -143,14 +182,35 @@ class Page:
                 self.start(tag, m[3], tag in SKIPPED and tag != "option" and last_end.get(tag, -1) < at)
         self.add(page[at:])
         self.flush()
+        self.judge()
+
+    def judge(self) -> None:
+        """Scores of the blocks by the elements around them, names and forms void where they hold what the page is about."""
+        n = len(self.says)
+        prose, articles, main = [0] * n, [int(e.article) for e in self.says], [e.main for e in self.says]
+        for b in self.blocks:
+            prose[b.element] += b.prose()
+        for i in range(n - 1, 0, -1):  # elements come behind those around them
+            up = self.says[i].up
+            prose[up] += prose[i]
+            articles[up] += articles[i]
+            main[up] = main[up] or main[i]
+        score = [0.0] * n
+        for i in range(1, n):
+            e = self.says[i]
+            most = prose[0] > 0 and prose[i] >= WRAPPER * prose[0]
+            wraps = most and (main[i] and not e.main or articles[0] > 0 and articles[i] == articles[0] and not e.article)
+            score[i] = score[e.up] + e.sure + (0.0 if wraps else e.name) + (0.0 if most else e.form)
+        for b in self.blocks:
+            b.score = score[b.element]
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             top = self.stack[-1] if self.stack else None
             holder = top.block if top else None
-            score = holder.score if holder else (top.score if top else 0.0)
-            self.blocks.append(Block(text, top.outer if top else 0, score, min(1.0, self.linked / len(text)), bool(holder) and holder.tag in HEADINGS))
+            inside = (holder or top).number if top else 0
+            self.blocks.append(Block(text, top.outer if top else 0, inside, min(1.0, self.linked / len(text)), bool(holder) and holder.tag in HEADINGS))
         self.parts.clear()
         self.linked = 0
 
@@ -203,7 +263,9 @@ class Page:
             return
         self.number += 1
         self.where[tag].append(len(self.stack))
-        self.stack.append(_element(tag, attributes, self.number, self.stack[-1] if self.stack else None))
+        element, says = _element(tag, attributes, self.number, self.stack[-1] if self.stack else None)
+        self.stack.append(element)
+        self.says.append(says)
 
 
 def blocks_of(page: str) -> list[Block]:

@@ -234,3 +234,33 @@ def test_minimum_cut_is_cheapest():
 
         best = min(price([bool(m >> i & 1) for i in range(n)]) for m in range(2**n))
         assert abs(price(minimum_cut(costs, edges)) - best) < 1e-6
+
+
+FIRST = "The first paragraph of this story tells at some length what the mayor said to the council about the old bridge."
+SECOND = "A second paragraph follows, in which the council answers that there is no money left for bridges this year."
+PARAGRAPHS = f"<p>{FIRST}</p><p>{SECOND}</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="site-content sidebar-right"><article>{PARAGRAPHS}</article></div>',
+    f'<article class="post comments-open">{PARAGRAPHS}</article>',
+    f'<main class="page no-sidebar">{PARAGRAPHS}</main>',
+    f'<div class="ad-free">{PARAGRAPHS}</div>',
+    f'<div class="side-by-side"><article>{PARAGRAPHS}</article></div>',
+    f'<form action="/"><input name="q"><div><article>{PARAGRAPHS}</article></div></form>',
+    f'<form><div class="content">{PARAGRAPHS}</div></form>',
+    f'<body class="has-sidebar search-open"><div id="page">{PARAGRAPHS}</div><div class="sidebar"><p>Other news of the town that you may like to read.</p></div></body>',
+    f'<div class="sidebar-layout"><div class="related-wrap"><main>{PARAGRAPHS}</main></div></div>',
+    f'<article>{PARAGRAPHS}</article><div class="comments"><article class="comment"><p>I was there and it was not like that at all, believe me, it was worse by far.</p></article></div>',
+    f'<div class="content">{PARAGRAPHS}</div><div class="related"><article><p>Another story of the week that is told here in short.</p></article></div>',
+    f'<div class="content">{PARAGRAPHS}</div><div class="widget-content">Read this too, it is the best we had for weeks and weeks.</div>',
+])
+def test_names_of_wrappers_take_no_article_with_them(page):
+    assert main_text(page) == f"{FIRST}\n{SECOND}"
+
+
+@pytest.mark.parametrize("junk", ["<div x=1 " + "a" * 1_000_000 + ">", "<a " + '="<a" ' * 150_000, "<div " + "a " * 500_000 + ">", "<a b='" * 150_000, "<script></script<" * 60_000, "<a =" + " " * 1_000_000])
+def test_long_tags_take_linear_time(junk):
+    began = time.perf_counter()
+    main_text(f"<p>{FIRST}</p>{junk}")
+    assert time.perf_counter() - began < 3
