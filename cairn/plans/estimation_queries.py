@@ -167,12 +167,12 @@ def pose_graph_parts(spark, d):
     return out.select("robot_id", "node", *[(F.round(F.col("pose")[i], 3) + 0.0).alias(n) for i, n in ((3, "x"), (7, "y"), (0, "c"), (4, "s"))])
 
 
-def _world(spark, d):
+def world(spark, d):
     """All submaps' points in one world."""
     return clouds.move(points(spark, d).join(poses(spark), "cloud_id"), F.col("pose"), normals=True).drop("pose")
 
 
-def _drifted(spark, d):
+def drifted(spark, d):
     """(nodes, edges): keyframes by drifting odometry. Each step has its own small error, so the path bends away from the true one."""
     wrong = P.from_yaw(((F.col("src") * 37 + F.col("robot_id")) % 7 - 3) * 0.004, ((F.col("src") * 53 + F.col("robot_id")) % 5 - 2) * 0.04, ((F.col("src") * 29 + F.col("robot_id")) % 5 - 2) * 0.04)
     e = edges(spark, d).where("reachable").withColumn("pose", P.product(F.col("pose"), wrong))
@@ -181,17 +181,17 @@ def _drifted(spark, d):
     return at, e
 
 
-def _seen_points(spark, d, reach=5.0):
+def seen_points(spark, d, reach=5.0):
     """What each keyframe sees from its true place: the world's points within reach, in its own frame."""
-    seen = neighbours.within(keyframes(spark, d).withColumn("z", F.lit(0.0)), _world(spark, d), reach)
+    seen = neighbours.within(keyframes(spark, d).withColumn("z", F.lit(0.0)), world(spark, d), reach)
     rows = seen.select(F.col("l.robot_id").alias("robot_id"), F.col("l.kf_id").alias("node"), *[F.col(f"r.{c}").alias(c) for c in ("point_id", "x", "y", "z", "nx", "ny", "nz", "p_static")])
     back = nodes(spark, d).select("robot_id", "node", P.inverse(F.col("pose")).alias("pose"))
     return clouds.move(rows.join(back, ["robot_id", "node"]), F.col("pose"), normals=True).drop("pose")
 
 
 def _closed(spark, d):
-    at, e = _drifted(spark, d)
-    return at, loop_closing.close_loops(at, e, materialize(_seen_points(spark, d)), radius=4.0, most_shift=3.0, p=replace(ICP, min_translation=0.001, min_rotation=0.0001))
+    at, e = drifted(spark, d)
+    return at, loop_closing.close_loops(at, e, materialize(seen_points(spark, d)), radius=4.0, most_shift=3.0, p=replace(ICP, min_translation=0.001, min_rotation=0.0001))
 
 
 def loop_closure_pairs(spark, d):

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.functions import pose as P
 from cairn.operators import clouds
+from cairn.operators.dynamic import DynamicParams
+from cairn.operators.registration import IcpParams
 from cairn.sources import formats, pointclouds
 from cairn.sources.shared import scratch_path
+from cairn.streaming import point_maps as M
 from cairn.streaming import robots as R
 
-from .views import PLANAR_SQL, edges, keyframes, nodes, planar, points, poses, r6, read, scan_frames, with_views
+from .estimation_queries import drifted, seen_points, world
+from .views import PLANAR_SQL, edges, keyframes, nodes, planar, points, poses, r6, read, scan_frames, topic, with_views
 
 
 def _stream(spark, d, topic):
@@ -69,18 +74,56 @@ def stream_localize(spark, d):
 _COMES_S, _FILE_S = 4 * 86400, 3 * 86400
 
 
+def _written_as_it_comes(rows, stamp, name):
+    """A path with rows in files in the order in which they come, not that of their time."""
+    spark, path = rows.sparkSession, _path(rows.sparkSession)
+    comes = (F.unix_micros(F.col(stamp).cast("timestamp")) / 1_000_000 + F.col("event_id") * 7919 % _COMES_S) / _FILE_S
+    rows.withColumn("file", F.floor(comes)).repartition("file").write.partitionBy("file").parquet(f"{path}/{name}.parquet")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for nth, file in enumerate(sorted(str(f.getPath()) for f in system.globStatus(place(f"{path}/{name}.parquet/file=*/*.parquet")))):
+        system.setTimes(place(file), 1_700_000_000_000 + 60_000 * nth, -1)  # a stream reads files by their time; they are as many as days of messages
+    return path
+
+
 def _as_they_come(spark, d, files_per_trigger, topics):
-    """A stream of messages from files in the order in which they come, not that of their time."""
-    e = read(spark, d, "events")
-    comes = (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 + F.col("event_id") * 7919 % _COMES_S) / _FILE_S
-    path = _path(spark)
-    e.withColumn("file", F.floor(comes)).repartition("file").write.partitionBy("file").parquet(f"{path}/events.parquet")
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/events.parquet")
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files = sorted(str(f.getPath()) for f in system.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/events.parquet/file=*/*.parquet")))
-    for nth, name in enumerate(files):  # as many as days of messages; a stream reads files by their time
-        system.setTimes(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name), 1_700_000_000_000 + 60_000 * nth, -1)
-    return R.message_stream(spark, path, files_per_trigger).where(F.col("topic").isin(topics))
+    """A stream of messages that come late."""
+    return R.message_stream(spark, _written_as_it_comes(read(spark, d, "events"), "ts", "events"), files_per_trigger).where(F.col("topic").isin(topics))
+
+
+def _scans_as_they_come(spark, d, poses_at, files_per_trigger):
+    """A stream of the keyframes' scans that come late, with poses from poses_at(robot_id, node, pose)."""
+    order = Window.partitionBy("robot_id").orderBy("stamp", "event_id")
+    events = topic(spark, d, "click").select("robot_id", "event_id", "stamp", (F.row_number().over(order) - 1).cast("long").alias("node"))
+    seen = seen_points(spark, d).groupBy("robot_id", "node").agg(F.array_sort(F.collect_list(F.struct(*M.COLUMNS))).alias("points"))
+    scans = events.join(poses_at.select("robot_id", "node", "pose"), ["robot_id", "node"]).join(seen, ["robot_id", "node"])
+    path = _written_as_it_comes(scans.select("robot_id", "event_id", F.col("stamp").cast("timestamp").alias("stamp"), "pose", "points"), "stamp", "scans")
+    return M.scan_stream(spark, path, files_per_trigger)
+
+
+def stream_point_map(spark, d):
+    """Local maps of points by scans that come late: those the scans see are updated, new ones join, what is out of reach leaves."""
+    params = M.MapParams(dynamic=DynamicParams(max_angle=0.05), max_dist_new=0.04, min_add=0.5, radius=12.0)
+    out = R.run_available(M.point_maps(_scans_as_they_come(spark, d, nodes(spark, d), 4), params, "5 days"), timers=True)
+    return out.where("not dropped").select("robot_id", "event_id", "n", "updated", "added", r6("static").alias("static"))
+
+
+def stream_submaps(spark, d):
+    """The same as submaps that end at a length of their own, the next one seeded."""
+    params = M.MapParams(dynamic=DynamicParams(max_angle=0.05), max_dist_new=0.04, min_add=0.5, radius=None, max_length=12.0, seed=6.0)
+    out = R.run_available(M.point_maps(_scans_as_they_come(spark, d, nodes(spark, d), 4), params, "5 days"), timers=True)
+    return out.where("not dropped").select("robot_id", "event_id", "n", "updated", "added", "cut")
+
+
+def stream_localize_points(spark, d):
+    """Scans with drifting odometry that find their places on the whole map; how far from the true ones they and odometry are."""
+    drifting = drifted(spark, d)[0]
+    out = R.run_available(M.localize_points(_scans_as_they_come(spark, d, drifting, 4), world(spark, d), IcpParams(max_dist=1.5, min_translation=0.001, min_rotation=0.0001), rounds=2, late="5 days"), timers=True)
+    order = Window.partitionBy("robot_id").orderBy("stamp", "event_id")
+    at = topic(spark, d, "click").select("robot_id", "event_id", (F.row_number().over(order) - 1).cast("long").alias("node"))
+    true = at.join(nodes(spark, d).select("robot_id", "node", F.col("pose").alias("true")), ["robot_id", "node"]).join(drifting.select("robot_id", "node", F.col("pose").alias("odometry")), ["robot_id", "node"])
+    off = lambda c: F.round(F.sqrt((F.col(c)[3] - F.col("true")[3]) ** 2 + (F.col(c)[7] - F.col("true")[7]) ** 2), 3) + 0.0
+    return out.where("not dropped").join(true, ["robot_id", "event_id"]).select("robot_id", "event_id", "ok", "localized", off("pose").alias("off"), off("odometry").alias("odometry_off"))
 
 
 def stream_held_imu(spark, d):
@@ -220,7 +263,7 @@ def yaml_chain(spark, d):
     return clouds.apply_chain(points(spark, d), formats.parse_chain(text)).select("cloud_id", "point_id", r6("nx").alias("nx"))
 
 
-QUERIES = {f.__name__: f for f in (stream_watermark_late, stream_state_machine, stream_sliding_map, stream_imu, stream_bias_feedback, stream_growing_map, stream_lost, stream_localizing, stream_localize, stream_held_imu, stream_held_feedback, stream_held_map, stream_dropped, map_read, map_read_dangling, map_read_poses, frames_roundtrip, node_gps_roundtrip, gps_trajectory, graph_dump, whole_map_roundtrip, cloud_decode, xml_roundtrip, tum_roundtrip, submap_read, yaml_chain)}
+QUERIES = {f.__name__: f for f in (stream_watermark_late, stream_state_machine, stream_sliding_map, stream_imu, stream_bias_feedback, stream_growing_map, stream_lost, stream_localizing, stream_localize, stream_held_imu, stream_held_feedback, stream_held_map, stream_dropped, stream_point_map, stream_submaps, stream_localize_points, map_read, map_read_dangling, map_read_poses, frames_roundtrip, node_gps_roundtrip, gps_trajectory, graph_dump, whole_map_roundtrip, cloud_decode, xml_roundtrip, tum_roundtrip, submap_read, yaml_chain)}
 
 _SCANS = """, scans AS (
   SELECT robot_id, event_id, row_number() OVER (PARTITION BY robot_id ORDER BY stamp, event_id) AS frame_id, value / 10 AS x, k / 10.0::DOUBLE AS y, k FROM messages WHERE topic = 'click')

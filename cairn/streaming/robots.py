@@ -90,9 +90,13 @@ class Held(StatefulProcessor):
         rows = pd.DataFrame([tuple(r) for r in self.held.getValue((bucket,))[0]], columns=[f.name for f in self.rows]).sort_values(["at", "event_id"], ignore_index=True)
         self.held.removeKey((bucket,))
         rows["stamp"] = pd.to_datetime(rows["at"], unit="us")
-        out, state = self.step(key[0], rows, list(self.own.get()) if self.own.exists() else None)
+        yield self._named(key, self.take(key[0], rows).reset_index(drop=True), dropped=False)
+
+    def take(self, robot: int, rows: pd.DataFrame) -> pd.DataFrame:
+        """What rows, in time order, come to."""
+        out, state = self.step(robot, rows, list(self.own.get()) if self.own.exists() else None)
         self.own.update(tuple(state))
-        yield self._named(key, out.reset_index(drop=True), dropped=False)
+        return out
 
     def _named(self, key, rows: pd.DataFrame, dropped: bool) -> pd.DataFrame:
         out = {n: rows[n] if n in ("event_id",) or not dropped and n in rows else pd.Series([None] * len(rows), dtype=object) for n in self.names}
@@ -102,6 +106,17 @@ class Held(StatefulProcessor):
         pass
 
 
+def held(messages: DataFrame, output: str, state: str, late: str, processor: Callable[..., Held], bucket_s: int = 3600) -> DataFrame:
+    """messages through a processor that holds them, made of (names of the output, types of a row and of the state, ms of a bucket)."""
+    kept = [f.name for f in messages.schema if f.name not in ("robot_id", "stamp")]
+    # without the column of the watermark Spark leaves late rows to the processor
+    timed = messages.withWatermark("stamp", late).select("robot_id", F.unix_micros("stamp").alias("at"), *kept)
+    rows = StructType([f for f in timed.schema if f.name != "robot_id"])
+    out = _parse_datatype_string(f"{output}, dropped boolean")
+    made = processor([f.name for f in out], rows, _parse_datatype_string(state), bucket_s * 1000)
+    return timed.groupBy("robot_id").transformWithStateInPandas(statefulProcessor=made, outputStructType=out, outputMode="append", timeMode="EventTime")
+
+
 def stateful(messages: DataFrame, step: Callable, output: str, state: str, late: str | None = None, bucket_s: int = 3600) -> DataFrame:
     """step(robot, rows in time order, state or None) gives (output rows, new state) for each robot and trigger.
 
@@ -110,13 +125,7 @@ def stateful(messages: DataFrame, step: Callable, output: str, state: str, late:
     they came; of these only robot_id and event_id are put out. What is newer than the watermark when a run ends waits in the state.
     """
     if late is not None:
-        kept = [f.name for f in messages.schema if f.name not in ("robot_id", "stamp")]
-        # without the column of the watermark Spark leaves late rows to the processor
-        timed = messages.withWatermark("stamp", late).select("robot_id", F.unix_micros("stamp").alias("at"), *kept)
-        rows = StructType([f for f in timed.schema if f.name != "robot_id"])
-        out = _parse_datatype_string(f"{output}, dropped boolean")
-        held = Held(step, [f.name for f in out], rows, _parse_datatype_string(state), bucket_s * 1000)
-        return timed.groupBy("robot_id").transformWithStateInPandas(statefulProcessor=held, outputStructType=out, outputMode="append", timeMode="EventTime")
+        return held(messages, output, state, late, lambda *own: Held(step, *own), bucket_s)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["stamp", "event_id"])
