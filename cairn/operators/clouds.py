@@ -99,9 +99,22 @@ def concatenate(clouds: list[DataFrame]) -> DataFrame:
     return out
 
 
-def max_point_count(points: DataFrame, count: int, seed: int = 0) -> DataFrame:
-    """The `count` points of smallest hash."""
-    return points.orderBy(uniform(F.col("point_id"), seed), "point_id").limit(count)
+#: Bins that hashes are counted in.
+HASH_BINS = 1 << 16
+
+
+def max_point_count(points: DataFrame, count: int, seed: int = 0, bins: int = HASH_BINS) -> DataFrame:
+    """The `count` points of smallest hash, in two passes: hashes are counted in bins, whole bins are kept, and only the bin at the limit is sorted."""
+    if count <= 0:
+        return points.where("false")
+    hashed = points.withColumn("_u", uniform(F.col("point_id"), seed)).withColumn("_bin", F.floor(F.col("_u") * bins))
+    left = count
+    for r in hashed.groupBy("_bin").count().orderBy("_bin").collect():  # a row a bin
+        if r["count"] > left:
+            edge = hashed.where(F.col("_bin") == r["_bin"]).orderBy("_u", "point_id").limit(left)
+            return hashed.where(F.col("_bin") < r["_bin"]).unionByName(edge).drop("_u", "_bin")
+        left -= r["count"]
+    return points
 
 
 def max_distance(points: DataFrame, limit: float, axis: str | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import pose as P
+from cairn.functions.extrinsics import body_laser
 from cairn.operators import clouds as C
 
 from .views import points, poses, r6, with_views
@@ -57,6 +58,19 @@ def descriptor_defaults(spark, d):
     return C.default_descriptors(bare).select("point_id", *[r6(c).alias(c) for c in ("p_static", "p_dynamic", "dynamic_ratio")])
 
 
+def body_points(spark, d):
+    """Points of the laser in the robot's own frame, by the default mounting."""
+    mount = F.array(*[F.lit(float(v)) for v in body_laser()[0].reshape(-1)])
+    return _xyz(C.move(points(spark, d), mount))
+
+
+def clouds_union(spark, d):
+    """A cloud with normals and one with a density, as one with what both have."""
+    p = points(spark, d)
+    odd = p.where("cloud_id % 2 = 1").select("cloud_id", "point_id", *XYZ, C.radius().alias("density"), "p_static")
+    return _xyz(C.concatenate([p.where("cloud_id % 2 = 0").drop("p_dynamic"), odd]), "p_static")
+
+
 def observed(spark, d):
     return C.observation_direction(points(spark, d), (1.0, 2.0, 3.0))
 
@@ -68,6 +82,8 @@ QUERIES = {
     "spherical_project": spherical_project,
     "pose_inverse_roundtrip": pose_inverse_roundtrip,
     "relative_poses": relative_poses,
+    "body_points": body_points,
+    "clouds_union": clouds_union,
     "range_crop": lambda s, d: _xyz(C.max_distance(points(s, d), 2.0)),
     "near_range_cut": lambda s, d: _xyz(C.min_distance(points(s, d), 1.0)),
     "seed_crop": seed_crop,
@@ -96,7 +112,13 @@ _WORLD = """, world AS (
 _VOXELS = """SELECT CAST(floor(x / 0.5::DOUBLE) AS BIGINT) AS vx, CAST(floor(y / 0.5::DOUBLE) AS BIGINT) AS vy, CAST(floor(z / 0.5::DOUBLE) AS BIGINT) AS vz, count(*) AS n,
   round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, round(avg(z), 6) + 0.0 AS z, round(avg(p_static), 6) + 0.0 AS p_static FROM {} GROUP BY 1, 2, 3"""
 _KEYED = f"SELECT cloud_id, point_id, {_R}"
+
+#: The laser's place on the robot, as numbers.
+_MOUNT = body_laser()[0]
+_BODY = ", ".join(f"round({' + '.join(f'{_MOUNT[r, c]:.17g}::DOUBLE * {a}' for c, a in enumerate(XYZ))} + {_MOUNT[r, 3]:.17g}::DOUBLE, 6) + 0.0 AS {name}" for r, name in enumerate(XYZ))
 SQL = {
+    "body_points": with_views(f"SELECT cloud_id, point_id, {_BODY} FROM points"),
+    "clouds_union": with_views(f"{_KEYED}, round(p_static, 6) + 0.0 AS p_static FROM points"),
     "map_static_world": with_views(_WORLD + _VOXELS.format("world WHERE p_static > 0.5")),
     "rigid_transform": with_views(_WORLD + f"{_KEYED}, round(nx, 6) + 0.0 AS nx, round(ny, 6) + 0.0 AS ny, round(nz, 6) + 0.0 AS nz FROM world"),
     "whole_map_rebuild": with_views(_WORLD + f"{_KEYED} FROM world WHERE p_static > 0.55 AND cloud_id < (SELECT max(cloud_id) FROM poses)"),

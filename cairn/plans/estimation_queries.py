@@ -45,6 +45,12 @@ def overlap_ratio(spark, d):
     return _matched(spark, d).groupBy("cloud_id").agg(r6(F.count_if("keep") / F.count("*")).alias("overlap"))
 
 
+def overlap_gate(spark, d):
+    """Submaps whose matches overlap enough to be taken as scans."""
+    found = _matched(spark, d).groupBy("cloud_id").agg((F.count_if("keep") / F.count("*")).alias("overlap"), F.lit(True).alias("ok"))
+    return registration.overlap_gate(found, 0.3).select("cloud_id", r6("overlap").alias("overlap"))
+
+
 def _registered(out):
     return out.select("pair", "ok", *[(F.round(F.col("t")[i], 4) + 0.0).alias(n) for i, n in ((3, "tx"), (7, "ty"), (11, "tz"), (0, "r00"), (4, "r10"))])
 
@@ -259,7 +265,7 @@ def realtime_gaps(spark, d):
     return scan_frames(spark, d).withColumn("gap", (micros("stamp") - F.lag(micros("stamp")).over(by)) / 3.6e9).groupBy("robot_id").agg(r6(F.max("gap")).alias("gap"))
 
 
-QUERIES = {f.__name__: f for f in (icp_normal_eq, trimmed_quantile, overlap_ratio, icp_pair, icp_configured, merge_clouds, surface_density, surface_normals, chain_input, chain_voxels, pose_graph, pose_graph_parts, loop_closure_pairs, loop_closure, gyro_bias_gn, gravity_ba, smoother, realtime_gaps)}
+QUERIES = {f.__name__: f for f in (icp_normal_eq, trimmed_quantile, overlap_ratio, overlap_gate, icp_pair, icp_configured, merge_clouds, surface_density, surface_normals, chain_input, chain_voxels, pose_graph, pose_graph_parts, loop_closure_pairs, loop_closure, gyro_bias_gn, gravity_ba, smoother, realtime_gaps)}
 
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 _MATCH = f""", near AS (
@@ -285,6 +291,7 @@ SQL = {
     "icp_normal_eq": with_views(_MATCH + f"SELECT {_SUMS} FROM matched"),
     "trimmed_quantile": with_views(_MATCH + "SELECT cloud_id, round(quantile_disc(d2, 0.75), 6) + 0.0 AS q75, count(*) AS n FROM matched WHERE d2 IS NOT NULL GROUP BY 1"),
     "overlap_ratio": with_views(_MATCH + "SELECT cloud_id, round(count(*) FILTER (keep) / count(*), 6) + 0.0 AS overlap FROM matched GROUP BY 1"),
+    "overlap_gate": with_views(_MATCH + "SELECT cloud_id, round(count(*) FILTER (keep) / count(*), 6) + 0.0 AS overlap FROM matched GROUP BY 1 HAVING count(*) FILTER (keep) / count(*) >= 0.3::DOUBLE"),
     "icp_pair": with_views("""SELECT DISTINCT cloud_id AS pair, true AS ok, round(-(0.05::DOUBLE * cos(0.02::DOUBLE) - 0.03::DOUBLE * sin(0.02::DOUBLE)), 4) + 0.0 AS tx,
   round(0.05::DOUBLE * sin(0.02::DOUBLE) + 0.03::DOUBLE * cos(0.02::DOUBLE), 4) + 0.0 AS ty, -0.02::DOUBLE AS tz, round(cos(0.02::DOUBLE), 4) AS r00, round(-sin(0.02::DOUBLE), 4) AS r10 FROM points"""),
     "icp_configured": with_views("""SELECT DISTINCT cloud_id AS pair, true AS ok, round(-(4 * cos(0.3::DOUBLE) - 2 * sin(0.3::DOUBLE)), 4) + 0.0 AS tx, round(4 * sin(0.3::DOUBLE) + 2 * cos(0.3::DOUBLE), 4) + 0.0 AS ty,

@@ -16,7 +16,7 @@ from cairn.streaming import point_maps as M
 from cairn.streaming import robots as R
 
 from .estimation_queries import drifted, seen_points, world
-from .views import PLANAR_SQL, edges, keyframes, nodes, planar, points, poses, r6, read, scan_frames, topic, with_views
+from .views import PLANAR_SQL, edges, keyframes, nodes, planar, planar_relative, points, poses, r6, read, scan_frames, topic, with_views
 
 
 def _stream(spark, d, topic):
@@ -193,6 +193,47 @@ def map_read_dangling(spark, d):
     return formats.read_map(spark, topology, own)[0].select("id", *planar())
 
 
+def map_sessions(spark, d):
+    """A map in two sessions: nodes of the first are posed from the least one, those of the second are new."""
+    n, e = _one_map(spark, d)
+    old, base = n.where("id % 1000 < 8"), _path(spark)
+    own = lambda ids: e.join(ids.select(F.col("id").alias("src")), "src", "left_semi")
+    formats.write_topology(own(old), old, f"{base}/old")
+    new = n.where("id % 1000 >= 8")
+    formats.write_topology(own(new), new, f"{base}/new", in_map=None)
+    known, fresh, _ = formats.read_sessions(spark, f"{base}/*", fixed=n.agg(F.min("id")).first()[0])
+    return known.select("id", *planar()).unionByName(fresh.select("id"), allowMissingColumns=True)
+
+
+def topology_check(spark, d):
+    """Edges of a map's file, and of one that breaks off."""
+    n, e = _one_map(spark, d)
+    whole, broken = _path(spark), _path(spark)
+    formats.write_topology(e, n, whole)
+    n.select(F.format_string("<map><node><id>no %d</id></node></map>", "id")).coalesce(1).write.text(broken)
+    found = {name: formats.topology_or_none(spark, path) for name, path in (("whole", whole), ("broken", broken))}
+    count = lambda name: found[name][1].agg(F.lit(name).alias("file"), F.count("*").alias("n")) if found[name] else spark.range(1).select(F.lit(name).alias("file"), F.lit(None).cast("long").alias("n"))
+    return count("whole").unionByName(count("broken"))
+
+
+def map_closed(spark, d):
+    """A map as it is written for driving: its ends joined, all edges reachable."""
+    n, e = _one_map(spark, d)
+    path = _path(spark)
+    formats.write_closed_map(e, n, path)
+    return formats.read_topology(spark, path)[1].select("src", "dst", *planar(), "reachable")
+
+
+def stream_follow(spark, d):
+    """Messages published as they come, every half second, until all are there."""
+    path, total = _path(spark), read(spark, d, "events").count()
+    schema = "event_id long, topic string, value double"
+    spark.createDataFrame([], schema).write.parquet(path)
+    there = lambda: spark.read.schema(schema).parquet(path).count() >= total
+    R.follow(R.message_stream(spark, d).select("event_id", "topic", "value"), path, there, every="500 milliseconds", limit_s=600)
+    return spark.read.schema(schema).parquet(path).groupBy("topic").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
 def map_read_poses(spark, d):
     """Poses of a map from their files alone, ids moved up by an offset."""
     n, e = _one_map(spark, d)
@@ -263,7 +304,7 @@ def yaml_chain(spark, d):
     return clouds.apply_chain(points(spark, d), formats.parse_chain(text)).select("cloud_id", "point_id", r6("nx").alias("nx"))
 
 
-QUERIES = {f.__name__: f for f in (stream_watermark_late, stream_state_machine, stream_sliding_map, stream_imu, stream_bias_feedback, stream_growing_map, stream_lost, stream_localizing, stream_localize, stream_held_imu, stream_held_feedback, stream_held_map, stream_dropped, stream_point_map, stream_submaps, stream_localize_points, map_read, map_read_dangling, map_read_poses, frames_roundtrip, node_gps_roundtrip, gps_trajectory, graph_dump, whole_map_roundtrip, cloud_decode, xml_roundtrip, tum_roundtrip, submap_read, yaml_chain)}
+QUERIES = {f.__name__: f for f in (stream_watermark_late, stream_state_machine, stream_sliding_map, stream_imu, stream_bias_feedback, stream_growing_map, stream_lost, stream_localizing, stream_localize, stream_held_imu, stream_held_feedback, stream_held_map, stream_dropped, stream_point_map, stream_submaps, stream_localize_points, map_read, map_read_dangling, map_sessions, topology_check, map_closed, stream_follow, map_read_poses, frames_roundtrip, node_gps_roundtrip, gps_trajectory, graph_dump, whole_map_roundtrip, cloud_decode, xml_roundtrip, tum_roundtrip, submap_read, yaml_chain)}
 
 _SCANS = """, scans AS (
   SELECT robot_id, event_id, row_number() OVER (PARTITION BY robot_id ORDER BY stamp, event_id) AS frame_id, value / 10 AS x, k / 10.0::DOUBLE AS y, k FROM messages WHERE topic = 'click')
@@ -309,6 +350,15 @@ SELECT robot_id, event_id, CASE WHEN bool_or(good >= 4) OVER (PARTITION BY robot
   JOIN keyframes r ON r.robot_id = k.robot_id AND r.kf_id = CASE WHEN k.kf_id < 2 THEN 0 ELSE k.kf_id - (k.kf_id - 3) % 4 END,
   LATERAL (SELECT cos(r.yaw) * (k.x - r.x) + sin(r.yaw) * (k.y - r.y) AS x, cos(r.yaw) * (k.y - r.y) - sin(r.yaw) * (k.x - r.x) AS y, k.yaw - r.yaw AS yaw) m
   WHERE k.kf_id % 4 <> 2)"""),
+    "map_sessions": with_views(f""", least AS (SELECT * FROM keyframes WHERE kf_id = 0 AND robot_id = (SELECT min(robot_id) FROM keyframes))
+SELECT id, {PLANAR_SQL} FROM (SELECT b.robot_id * 1000 + b.kf_id AS id, {planar_relative("a", "b")} FROM least a JOIN keyframes b ON b.robot_id = a.robot_id AND b.kf_id < 8)
+UNION ALL SELECT robot_id * 1000 + kf_id, NULL, NULL, NULL, NULL FROM keyframes WHERE kf_id >= 8"""),
+    "topology_check": with_views("SELECT 'whole' AS file, count(*) AS n FROM edges UNION ALL SELECT 'broken', NULL"),
+    "map_closed": with_views(f""", ids AS (SELECT robot_id * 1000 + kf_id AS id, * FROM keyframes), span AS (SELECT min(id) AS a, max(id) AS b FROM ids)
+SELECT robot_id * 1000 + src AS src, robot_id * 1000 + dst AS dst, {PLANAR_SQL}, true AS reachable FROM edges
+UNION ALL SELECT f.id, t.id, {PLANAR_SQL.replace("(x", "(m.x").replace("(y", "(m.y").replace("(yaw", "(m.yaw")}, true FROM span JOIN ids f ON f.id IN (a, b) JOIN ids t ON t.id IN (a, b) AND t.id <> f.id,
+  LATERAL (SELECT {planar_relative("f", "t")}) m"""),
+    "stream_follow": with_views("SELECT topic, count(*) AS n, max(event_id) AS last FROM messages GROUP BY topic"),
     "map_read_poses": with_views(f"SELECT b.robot_id * 1000 + b.kf_id AS id, round(a.x, 6) + 0.0 AS x, round(a.y, 6) + 0.0 AS y, round(cos(a.yaw), 6) + 0.0 AS c, round(sin(a.yaw), 6) + 0.0 AS s FROM keyframes a JOIN keyframes b ON a.robot_id = b.robot_id AND b.kf_id = a.kf_id + 1 WHERE a.kf_id % 20 = 0"),
     "frames_roundtrip": with_views("""SELECT robot_id * 1000 + frame_id // 4 AS keyframe_id, frame_id AS id, CAST(frame_id AS DOUBLE) AS time, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(cos(y * 0.1::DOUBLE), 6) + 0.0 AS c, round(sin(y * 0.1::DOUBLE), 6) + 0.0 AS s,
   round(x, 6) + 0.0 AS northing, 6 AS satellites FROM scan_frames"""),

@@ -21,13 +21,17 @@ FRAMES_SCHEMA = (
 TUM_SCHEMA = "time double, tx double, ty double, tz double, qx double, qy double, qz double, qw double"
 
 
-def write_topology(edges: DataFrame, nodes: DataFrame, path: str, force_reachable: bool = False) -> None:
+#: What Spark calls a file that isn't the XML it should be.
+MALFORMED = ("MALFORMED_RECORD", "MALFORMED_XML", "XMLStreamException", "Malformed")
+
+
+def write_topology(edges: DataFrame, nodes: DataFrame, path: str, force_reachable: bool = False, in_map: bool | None = True) -> None:
     """nodes(id), edges(src, dst, pose array<double>, reachable) as <map><node>..., a node without edges with an empty list.
-    Maps for driving have all edges reachable; the others keep what holds."""
+    Maps for driving have all edges reachable; the others keep what holds. in_map: the nodes' mark; None leaves it out, as for new ones."""
     if force_reachable:
         edges = edges.withColumn("reachable", F.lit(True))
     lists = edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("dst").alias("id"), P.pack(F.col("pose")).alias("transform"), "reachable"))).alias("neighbour"))
-    rows = nodes.select("id").join(lists, "id", "left").select("id", F.lit(True).alias("inMap"), F.struct(F.coalesce("neighbour", F.array().cast("array<struct<id: bigint, transform: string, reachable: boolean>>")).alias("neighbour")).alias("neighbour_list"))
+    rows = nodes.select("id").join(lists, "id", "left").select("id", F.lit(in_map).cast("boolean").alias("inMap"), F.struct(F.coalesce("neighbour", F.array().cast("array<struct<id: bigint, transform: string, reachable: boolean>>")).alias("neighbour")).alias("neighbour_list"))
     rows.write.format("xml").option("rootTag", "map").option("rowTag", "node").mode("overwrite").save(path)
 
 
@@ -48,15 +52,15 @@ def write_closed_map(edges: DataFrame, nodes: DataFrame, path: str) -> None:
 
 
 def topology_or_none(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
-    """read_topology, or None if the file is no well-formed map."""
+    """read_topology, or None if the file is no well-formed map. One pass reads it all; errors that aren't about its form are raised."""
     rows = spark.read.format("xml").option("rowTag", "node").option("mode", "FAILFAST").schema(NODE_SCHEMA).load(path)
     try:
-        if rows.where("id is null").take(1) or not rows.take(1):
-            return None
-        rows.foreach(lambda _: None)
-    except Exception:  # Spark reports broken XML by several kinds of errors
+        seen = rows.agg(F.count("*").alias("n"), F.count("id").alias("named"), F.sum(F.size("neighbour_list.neighbour"))).first()
+    except Exception as error:
+        if not any(word in str(error) for word in MALFORMED):
+            raise
         return None
-    return read_topology(spark, path)
+    return read_topology(spark, path) if seen.n and seen.n == seen.named else None
 
 
 def read_map(spark: SparkSession, topology: str, poses: str) -> tuple[DataFrame, DataFrame]:
