@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.functions import pose as P
-from cairn.operators import clouds, graph, large_graphs, loop_closing, motion, neighbours, registration, solve
+from cairn.operators import clouds, graph, gravity, large_graphs, loop_closing, motion, neighbours, registration, solve
 from cairn.operators.temporal import micros
 from cairn.sources import formats
 from cairn.sources.shared import materialize
@@ -259,13 +259,20 @@ def gravity_ba(spark, d):
     return rows.groupBy("robot_id").applyInPandas(run, "robot_id long, n long, gz double, length double, bias_x double").select("robot_id", "n", F.round("gz", 2).alias("gz"), F.round("length", 4).alias("length"), F.round("bias_x", 2).alias("bias_x"))
 
 
+def gravity_by_sums(spark, d):
+    """Gravity and bias per robot from its samples as they are, at rotations by its turn rates, with the prior of 300."""
+    rows = imu(spark, d).select("robot_id", P.from_roll_pitch_yaw(F.col("gz") * 4, F.col("ax") / 20, F.col("gz")).alias("pose"), (F.col("ax") / 10).alias("ax"), (F.col("gz") * 5).alias("ay"), (9.6 + F.col("event_id") % 7 * 0.1).alias("az"))
+    out = gravity.gravity_by_sums(rows)
+    return out.select("robot_id", "n", *[(F.round(c, 3) + 0.0).alias(c) for c in ("gx", "gy", "gz", "bias_x", "bias_y", "bias_z")])
+
+
 def realtime_gaps(spark, d):
     """Longest time between scans of each robot, in hours."""
     by = Window.partitionBy("robot_id").orderBy("frame_id")
     return scan_frames(spark, d).withColumn("gap", (micros("stamp") - F.lag(micros("stamp")).over(by)) / 3.6e9).groupBy("robot_id").agg(r6(F.max("gap")).alias("gap"))
 
 
-QUERIES = {f.__name__: f for f in (icp_normal_eq, trimmed_quantile, overlap_ratio, overlap_gate, icp_pair, icp_configured, merge_clouds, surface_density, surface_normals, chain_input, chain_voxels, pose_graph, pose_graph_parts, loop_closure_pairs, loop_closure, gyro_bias_gn, gravity_ba, smoother, realtime_gaps)}
+QUERIES = {f.__name__: f for f in (icp_normal_eq, trimmed_quantile, overlap_ratio, overlap_gate, icp_pair, icp_configured, merge_clouds, surface_density, surface_normals, chain_input, chain_voxels, pose_graph, pose_graph_parts, loop_closure_pairs, loop_closure, gyro_bias_gn, gravity_ba, gravity_by_sums, smoother, realtime_gaps)}
 
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 _MATCH = f""", near AS (

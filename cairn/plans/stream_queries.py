@@ -70,8 +70,8 @@ def stream_localize(spark, d):
     return R.run_available(R.localize(_stream(spark, d, "click"), fixed)).select("robot_id", "event_id", r6("distance").alias("distance"))
 
 
-#: Messages of the held streams come up to four days after their time, in a file for each three days of coming.
-_COMES_S, _FILE_S = 4 * 86400, 3 * 86400
+#: Messages of the held streams come up to four days after their time, in a file for each five days of coming.
+_COMES_S, _FILE_S = 4 * 86400, 5 * 86400
 
 
 def _written_as_it_comes(rows, stamp, name):
@@ -133,8 +133,8 @@ def stream_held_imu(spark, d):
 
 
 def stream_held_feedback(spark, d):
-    """The same with corrections of the bias from another topic; a file a trigger."""
-    out = R.run_available(R.imu_state(_as_they_come(spark, d, 1, ["signup", "error"]), feedback="error", late="5 days"), timers=True)
+    """The same with corrections of the bias from another topic; two files a trigger."""
+    out = R.run_available(R.imu_state(_as_they_come(spark, d, 2, ["signup", "error"]), feedback="error", late="5 days"), timers=True)
     return out.where("not dropped").select("robot_id", "event_id", r6("speed").alias("speed"), r6("turn").alias("turn"))
 
 

@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 
 from cairn.operators import graph, loop_closing
+from cairn.operators.gravity import gravity_by_sums
 from cairn.operators.inertial import propagate
 from cairn.operators.motion import exp_so3
 from cairn.operators.registration import IcpParams
+from cairn.operators.solve import gravity_and_bias
 from pyspark.sql import functions as F
 
 EYE = np.eye(4)
@@ -106,6 +108,27 @@ def test_size_decides_the_solver_and_not_the_result(spark, ring):
     assert all(np.allclose(one[n], parts[n], atol=1e-5) for n in one)
 
 
+def test_gravity_by_sums_is_the_solver_that_has_all_samples(spark):
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for robot, n, prior_bias in ((1, 40, [0.05, -0.02, 0.03]), (2, 1, [0, 0, 0]), (3, 60, [0.4, 0.1, -0.3])):
+        r = [exp_so3(rng.normal(0, 0.6, 3)) for _ in range(n)]
+        acc = np.array([m.T @ exp_so3(np.array([0.2, 0.1, 0])) @ [0, 0, 9.81] + prior_bias + rng.normal(0, 0.05, 3) for m in r])
+        acc[::10] += rng.normal(0, 3, (len(acc[::10]), 3))  # outliers
+        for m, a in zip(r, acc):
+            at = EYE.copy()
+            at[:3, :3] = m
+            rows.append((robot, cells(at), *map(float, a)))
+        want[robot] = gravity_and_bias(acc, r)
+    out = gravity_by_sums(spark.createDataFrame(rows, "robot_id long, pose array<double>, ax double, ay double, az double")).collect()
+    assert {r.robot_id for r in out} == {1, 2, 3}
+    for r in out:
+        g, bias = want[r.robot_id]
+        assert np.allclose([r.gx, r.gy, r.gz], g, atol=1e-4)
+        assert np.allclose([r.bias_x, r.bias_y, r.bias_z], bias, atol=1e-4)
+        assert np.isclose(np.linalg.norm([r.gx, r.gy, r.gz]), 9.81)
+
+
 def test_neighbours_that_are_not_in_the_map_are_passed_over(spark):
     step = EYE.copy()
     step[0, 3] = 1.0
