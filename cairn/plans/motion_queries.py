@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import pose as P
 from cairn.operators import motion as M
+from cairn.operators.alignment import align_windows
 from cairn.operators.inertial import propagate
 from cairn.operators.neighbours import loop_candidates as candidates
 from cairn.operators.temporal import micros
@@ -82,6 +83,21 @@ def nav_propagate_turning(spark, d):
     return out.select("robot_id", "event_id", *[(F.round(F.col("pose")[i], 3) + 0.0).alias(n) for n, i in cells.items()], *[(F.round(F.col("v")[i], 3) + 0.0).alias(n) for i, n in enumerate(("vx", "vy", "vz"))])
 
 
+def alignment_windows(spark, d):
+    """Gravity and scale that fit poses at half their size to the samples between them, in windows of eight samples; the poses are states propagated from each robot's first sample."""
+    samples = _turning_samples(spark, d)
+    by = Window.partitionBy("robot_id").orderBy("stamp", "event_id")
+    first = samples.withColumn("n", F.row_number().over(by)).where("n = 1")
+    anchors = first.select("robot_id", "stamp", P.from_yaw(F.lit(0.3), F.lit(1.0), F.lit(2.0)).alias("pose"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.5)).alias("v"))
+    states = propagate(samples, anchors, unit=DAY, bucket_s=5 * 86400).select("robot_id", "event_id", F.transform("pose", lambda x, i: F.when(i.isin(3, 7, 11), x / 2).otherwise(x)).alias("pose"))
+    dt = (micros("stamp") - F.lag(micros("stamp")).over(by)) / DAY
+    before = F.lag(F.array("ax", "ay", "az")).over(by)
+    folds = samples.select("robot_id", "event_id", F.row_number().over(by).cast("long").alias("frame_id"), dt.alias("dt"), before.alias("a"))
+    folds = folds.withColumns({"dv": F.transform("a", lambda x: x * F.col("dt")), "dp": F.transform("a", lambda x: 0.5 * x * F.col("dt") * F.col("dt"))})
+    out = align_windows(folds.join(states, ["robot_id", "event_id"]), 8, 4)
+    return out.select("robot_id", "window", "n", "ok", *[(F.round(c, 2) + 0.0).alias(c) for c in ("gx", "gy", "gz", "scale")])
+
+
 def _posed(spark, d):
     return _frames(spark, d).select("robot_id", "frame_id", P.from_yaw(F.col("yaw"), F.col("x"), F.col("y")).alias("pose"))
 
@@ -141,7 +157,7 @@ def realtime_ratio(spark, d):
     return scan_frames(spark, d).withColumn("ratio", 100 * F.col("x") * 1e5 / gap).where("ratio is not null").groupBy("robot_id").agg(r6(F.max("ratio")).alias("worst"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (gyro_bias_mean, static_start, odom_fold, odom_covariance, imu_preint, imu_preint_cov, nav_propagate, nav_propagate_turning, const_velocity, initial_guess, kf_features, kf_cut, kf_cut_plain, kf_reason, frames_by_keyframe, loop_cooldown, window_stride, window_samples, realtime_ratio)}
+QUERIES = {f.__name__: f for f in (gyro_bias_mean, static_start, odom_fold, odom_covariance, imu_preint, imu_preint_cov, nav_propagate, nav_propagate_turning, alignment_windows, const_velocity, initial_guess, kf_features, kf_cut, kf_cut_plain, kf_reason, frames_by_keyframe, loop_cooldown, window_stride, window_samples, realtime_ratio)}
 
 FOLD = """, tagged AS (
   SELECT s.*, f.frame_id, f.stamp AS fin FROM imu s ASOF JOIN scan_frames f ON s.robot_id = f.robot_id AND s.stamp < f.stamp
@@ -225,6 +241,8 @@ SELECT robot_id, frame_id, round(1 + sum(mx) OVER {_UPTO}, 2) + 0.0 AS x, round(
         FROM states s JOIN turns t ON t.robot_id = s.robot_id AND t.n = s.n JOIN turns u ON u.robot_id = s.robot_id AND u.n = s.n + 1))
 SELECT robot_id, event_id, round(p[1], 3) + 0.0 AS x, round(p[2], 3) + 0.0 AS y, round(p[3], 3) + 0.0 AS z, round(r[1], 3) + 0.0 AS r00, round(r[4], 3) + 0.0 AS r10, round(r[7], 3) + 0.0 AS r20, round(r[8], 3) + 0.0 AS r21,
   round(v[1], 3) + 0.0 AS vx, round(v[2], 3) + 0.0 AS vy, round(v[3], 3) + 0.0 AS vz FROM states""", recursive=True),
+    "alignment_windows": with_views(""", counted AS (SELECT robot_id, count(*) AS total FROM imu GROUP BY 1), windows AS (SELECT robot_id, total, unnest(range((total - 1) // 4 + 1)) AS w FROM counted)
+SELECT robot_id, w AS "window", least(8, total - 4 * w) AS n, n >= 4 AS ok, CASE WHEN n >= 4 THEN 0.0::DOUBLE END AS gx, CASE WHEN n >= 4 THEN 0.0::DOUBLE END AS gy, CASE WHEN n >= 4 THEN -9.81::DOUBLE END AS gz, CASE WHEN n >= 4 THEN 2.0::DOUBLE END AS scale FROM windows"""),
     "const_velocity": with_views(f""", posed AS (SELECT robot_id, frame_id, x, y, (y - 5) * 0.6::DOUBLE AS yaw FROM scan_frames), steps AS (
   SELECT f.robot_id, f.frame_id, {planar_relative("b", "a")} FROM posed f JOIN posed a ON a.robot_id = f.robot_id AND a.frame_id = f.frame_id - 1 JOIN posed b ON b.robot_id = f.robot_id AND b.frame_id = f.frame_id - 2
 ), ahead AS (

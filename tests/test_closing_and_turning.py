@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 
 from cairn.operators import graph, loop_closing
+from cairn.operators.alignment import align_windows
 from cairn.operators.gravity import gravity_by_sums
 from cairn.operators.inertial import propagate
-from cairn.operators.motion import exp_so3
+from cairn.operators.motion import exp_so3, preintegrate
 from cairn.operators.registration import IcpParams
-from cairn.operators.solve import gravity_and_bias
+from cairn.operators.solve import gravity_and_bias, linear_alignment
 from pyspark.sql import functions as F
 
 EYE = np.eye(4)
@@ -129,6 +130,42 @@ def test_gravity_by_sums_is_the_solver_that_has_all_samples(spark):
         assert np.isclose(np.linalg.norm([r.gx, r.gy, r.gz]), 9.81)
 
 
+@pytest.mark.parametrize("scaled", [True, False])
+def test_windows_align_as_the_dense_system_does(spark, scaled):
+    rng = np.random.default_rng(4)
+    g = np.array([0.3, -0.2, -9.8])
+    g *= 9.81 / np.linalg.norm(g)
+    mount = EYE.copy()
+    mount[:3, :3], mount[:3, 3] = exp_so3(np.array([0.1, -0.2, 0.3])), [0.2, 0.1, -0.1]
+    rows, dense = [], {}
+    for robot, n in ((1, 23), (2, 3)):
+        r, v, p, poses, folds = np.eye(3), np.array([1.0, 0.5, 0.0]), np.zeros(3), [], []
+        for k in range(n):
+            at = EYE.copy()
+            at[:3, :3], at[:3, 3] = r, p
+            laser = at @ mount
+            laser[:3, 3] = laser[:3, 3] / 2 if scaled else laser[:3, 3]
+            fold = preintegrate(rng.normal(0, 0.5, (20, 3)), rng.normal(0, 1, (20, 3)) - r.T @ g, np.full(20, 0.02))
+            poses.append(laser + np.pad(rng.normal(0, 1e-4, (3, 1)), ((0, 1), (3, 0))))
+            rows.append((robot, k, cells(poses[-1]), *((None,) * 3 if not k else (folds[-1].dp.tolist(), folds[-1].dv.tolist(), float(folds[-1].dt)))))
+            folds.append(fold)
+            p, v, r = p + v * fold.dt + 0.5 * g * fold.dt**2 + r @ fold.dp, v + g * fold.dt + r @ fold.dv, r @ fold.dr
+        for w in range((n - 1) // 4 + 1):
+            own = slice(4 * w, min(4 * w + 8, n))
+            count = own.stop - own.start
+            dense[robot, w] = (count, linear_alignment(poses[own], folds[own.start : own.stop - 1], mount, scaled=scaled) if count >= 4 else None)
+    out = align_windows(spark.createDataFrame(rows, "robot_id long, frame_id long, pose array<double>, dp array<double>, dv array<double>, dt double"), 8, 4, mount, scaled=scaled).collect()
+    assert {(r.robot_id, r.window): r.n for r in out} == {k: v[0] for k, v in dense.items()}
+    assert sum(r.ok for r in out) > 3
+    for r in out:
+        want = dense[r.robot_id, r.window][1]
+        assert r.ok == (want is not None)
+        if r.ok:
+            assert np.allclose([r.gx, r.gy, r.gz], want[1], atol=1e-5)
+            assert np.isclose(r.scale, want[2], atol=1e-5)
+            assert np.allclose(r.velocities, want[0], atol=1e-4)
+
+
 def test_neighbours_that_are_not_in_the_map_are_passed_over(spark):
     step = EYE.copy()
     step[0, 3] = 1.0
