@@ -224,13 +224,23 @@ def optimizable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def close_circle(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Adds edges between the first and the last node of a graph, each way unless that node has a neighbour more than one id apart."""
+def close_circle(edges: DataFrame, nodes: DataFrame, from_origin: bool = False) -> DataFrame:
+    """Adds edges between the first and the last node of a graph, each way unless that node has a neighbour more than one id apart.
+
+    from_origin, the other rule: both are added unless the first is linked to the last; their transform is the last node's own pose and its inverse, as if the first
+    lay at the origin."""
     span = nodes.groupBy("robot_id").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    far = edges.where(F.abs(F.col("src") - F.col("dst")) > 1).select("robot_id", "src").distinct()
-    ways = span.select("robot_id", F.explode(F.array(F.struct(F.col("first").alias("src"), F.col("last").alias("dst")), F.struct(F.col("last").alias("src"), F.col("first").alias("dst")))).alias("e")).select("robot_id", "e.*")
-    new = ways.join(far, ["robot_id", "src"], "left_anti").withColumn("reachable", F.lit(True))
-    return insert_absent(edges, refresh(new, nodes).select(*edges.columns))
+    there, back = F.struct(F.col("first").alias("src"), F.col("last").alias("dst")), F.struct(F.col("last").alias("src"), F.col("first").alias("dst"))
+    ways = lambda df: df.select("robot_id", F.explode(F.array(there, back)).alias("e")).select("robot_id", "e.*", F.lit(True).alias("reachable"))
+    if from_origin:
+        new = ways(span.join(edges.select("robot_id", F.col("src").alias("first"), F.col("dst").alias("last")), ["robot_id", "first", "last"], "left_anti"))
+        end = nodes.select("robot_id", F.col("node").alias("end"), F.col("pose").alias("own"))
+        placed = new.withColumn("end", F.greatest("src", "dst")).join(end, ["robot_id", "end"])
+        new = placed.select("robot_id", "src", "dst", F.when(F.col("src") < F.col("dst"), F.col("own")).otherwise(P.inverse(F.col("own"))).alias("pose"), "reachable")
+    else:
+        far = edges.where(F.abs(F.col("src") - F.col("dst")) > 1).select("robot_id", "src").distinct()
+        new = refresh(ways(span).join(far, ["robot_id", "src"], "left_anti"), nodes)
+    return insert_absent(edges, new.select(*edges.columns))
 
 
 def merge_sessions(first: DataFrame, second: DataFrame, by: DataFrame, bridge: Column) -> DataFrame:

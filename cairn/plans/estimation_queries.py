@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.functions import pose as P
-from cairn.operators import clouds, graph, gravity, large_graphs, loop_closing, motion, neighbours, registration, solve
+from cairn.operators import clouds, graph, gravity, large_graphs, loop_closing, motion, neighbours, registration, smoothing, solve
 from cairn.operators.temporal import micros
 from cairn.sources import formats
 from cairn.sources.shared import materialize
@@ -224,8 +224,8 @@ def gyro_bias_gn(spark, d):
     return solve.gyro_bias(turns).select("robot_id", r6("bias").alias("bias"), "n")
 
 
-def smoother(spark, d):
-    """Windows over each robot's whole path, from places 0.05 off, with samples that fit it: speeds go on from frame to frame, a second each."""
+def _smooth_path(spark, d):
+    """Frames of each robot with their true places and speeds, and the two samples of half a second between each two that fit them."""
     by = Window.partitionBy("robot_id").orderBy("frame_id")
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
     f = scan_frames(spark, d).select("robot_id", "frame_id", (F.col("x") / 100).alias("x"), (F.col("y") / 100).alias("y"))
@@ -236,15 +236,34 @@ def smoother(spark, d):
         f = f.withColumn(f"d{a}", step).withColumn(f"v{a}", sign * F.sum(sign * 2 * F.col(f"d{a}")).over(upto))
     f = f.withColumns({f"a{a}": F.col(f"v{a}") - F.coalesce(F.lag(f"v{a}").over(by), F.lit(0.0)) for a in "xy"})
     zero = F.lit(0.0)
-    steps = f.select("robot_id", "frame_id", F.array(F.struct(F.lit(0.5).alias("dt"), zero.alias("wx"), zero.alias("wy"), zero.alias("wz"), "ax", "ay", zero.alias("az")),
-                                                     F.struct(F.lit(0.5).alias("dt"), zero.alias("wx"), zero.alias("wy"), zero.alias("wz"), "ax", "ay", zero.alias("az"))).alias("samples"))
+    sample = F.struct(F.lit(0.5).alias("dt"), zero.alias("wx"), zero.alias("wy"), zero.alias("wz"), "ax", "ay", zero.alias("az"))
+    return f, f.select("robot_id", "frame_id", F.array(sample, sample).alias("samples"))
+
+
+def smoother(spark, d):
+    """Windows of the stated size over each robot's whole path, from places 0.05 off, with samples that fit it: speeds go on from frame to frame, a second each."""
+    f, steps = _smooth_path(spark, d)
+    zero = F.lit(0.0)
     states = f.select("robot_id", "frame_id", P.from_yaw(zero, F.col("x"), F.col("y")).alias("pose"), F.array("vx", "vy", zero).alias("v"))
     off = states.withColumn("start", P.product(F.col("pose"), P.from_yaw(zero, F.when((F.col("frame_id") - 1) % 3 > 0, 0.05).otherwise(0.0), zero)))
-    out = solve.smooth_windows(off, steps, width=4, stride=3, iterations=5).join(f.select("robot_id", "frame_id", "x", "y"), ["robot_id", "frame_id"])
+    out = smoothing.smooth_windows(off, steps).join(f.select("robot_id", "frame_id", "x", "y"), ["robot_id", "frame_id"])
     near = (F.abs(F.col("pose")[3] - F.col("x")) < 0.01) & (F.abs(F.col("pose")[7] - F.col("y")) < 0.01)
     return out.select("robot_id", "frame_id", near.alias("near"), "ok")
 
 
+def smoother_noise(spark, d):
+    """Mean distance from the true places of noisy poses, and of the same after smoothing with samples that fit the true path."""
+    f, steps = _smooth_path(spark, d)
+    noise = lambda k: F.when(F.col("frame_id") > 1, ((F.col("frame_id") * k + F.col("robot_id")) % 11 - 5) * 0.02).otherwise(0.0)
+    zero = F.lit(0.0)
+    seen = P.from_yaw(noise(23) * 0.1, F.col("x") + noise(37), F.col("y") + noise(53))
+    states = f.select("robot_id", "frame_id", seen.alias("pose"), seen.alias("start"), F.array("vx", "vy", zero).alias("v"))
+    out = smoothing.smooth_windows(states, steps).select("robot_id", "frame_id", F.col("pose").alias("now"), "ok")
+    rows = out.join(states, ["robot_id", "frame_id"]).join(f.select("robot_id", "frame_id", "x", "y"), ["robot_id", "frame_id"])
+    gap = lambda c: F.sqrt((F.col(c)[3] - F.col("x")) ** 2 + (F.col(c)[7] - F.col("y")) ** 2)
+    return rows.groupBy("robot_id").agg((F.round(F.avg(gap("pose")), 3) + 0.0).alias("before"), (F.round(F.avg(gap("now")), 3) + 0.0).alias("after"), F.every("ok").alias("ok"))
+
+
 def gravity_ba(spark, d):
     """Gravity and accelerometer bias per robot from still samples at known tilts, planted with a bias of (0.05, -0.02, 0.03)."""
     rows = imu(spark, d).select("robot_id", "event_id", (F.col("gz") * 10).alias("roll"), (F.col("ax") / 10).alias("pitch"))
@@ -272,7 +291,7 @@ def realtime_gaps(spark, d):
     return scan_frames(spark, d).withColumn("gap", (micros("stamp") - F.lag(micros("stamp")).over(by)) / 3.6e9).groupBy("robot_id").agg(r6(F.max("gap")).alias("gap"))
 
 
-QUERIES = {f.__name__: f for f in (icp_normal_eq, trimmed_quantile, overlap_ratio, overlap_gate, icp_pair, icp_configured, merge_clouds, surface_density, surface_normals, chain_input, chain_voxels, pose_graph, pose_graph_parts, loop_closure_pairs, loop_closure, gyro_bias_gn, gravity_ba, gravity_by_sums, smoother, realtime_gaps)}
+QUERIES = {f.__name__: f for f in (icp_normal_eq, trimmed_quantile, overlap_ratio, overlap_gate, icp_pair, icp_configured, merge_clouds, surface_density, surface_normals, chain_input, chain_voxels, pose_graph, pose_graph_parts, loop_closure_pairs, loop_closure, gyro_bias_gn, gravity_ba, gravity_by_sums, smoother, smoother_noise, realtime_gaps)}
 
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 _MATCH = f""", near AS (

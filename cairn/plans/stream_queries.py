@@ -216,6 +216,29 @@ def topology_check(spark, d):
     return count("whole").unionByName(count("broken"))
 
 
+def map_circle(spark, d):
+    """A map joined at its ends from the origin, its edges as reachable as they are."""
+    n, e = _one_map(spark, d)
+    path = _path(spark)
+    formats.write_circle_map(e, n, path)
+    return formats.read_topology(spark, path)[1].select("src", "dst", *planar(), "reachable")
+
+
+def trajectory_files(spark, d):
+    """The path of a map in its three texts and back: keyframes with a fix and what lies between them."""
+    n, _ = _one_map(spark, d)
+    gps = F.struct(F.col("x").alias("longitude"), F.col("y").alias("latitude"), *[F.lit(0.5).alias(c) for c in ("altitude", "roll", "pitch", "yaw")], F.lit(6).alias("satellites_used"))
+    k = keyframes(spark, d).withColumn("id", F.col("robot_id") * 1000 + F.col("kf_id"))
+    fixes = k.where("kf_id % 4 = 0 and kf_id % 3 > 0").select("id", (F.col("id") + 0.25).alias("time"), gps.alias("gps"))
+    frames = k.where("kf_id % 4 > 0").select((F.col("id") - F.col("kf_id") % 4).alias("keyframe_id"), "id", F.col("id").cast("double").alias("time"), P.from_yaw(F.lit(0.1), F.lit(0.5), F.lit(0.25)).alias("pose"), F.when(F.col("kf_id") % 4 == 1, gps).alias("gps"))
+    folder = _path(spark)
+    formats.write_trajectories(n.where("id % 1000 % 4 = 0"), frames, fixes, folder)
+    path = formats.read_tum(spark, f"{folder}/trajectory").select("time", *planar())
+    places = formats.read_gps_trajectory(spark, f"{folder}/gps_trajectory").select("time", F.lit(True).alias("fixed"))
+    stamps = formats.read_keyframe_stamps(spark, f"{folder}/keyframe_timestamp").select("time", "keyframe_id")
+    return path.join(places, "time", "left").join(stamps, "time", "left").select("time", "x", "y", "c", "s", F.coalesce("fixed", F.lit(False)).alias("fixed"), "keyframe_id")
+
+
 def map_closed(spark, d):
     """A map as it is written for driving: its ends joined, all edges reachable."""
     n, e = _one_map(spark, d)
@@ -304,7 +327,7 @@ def yaml_chain(spark, d):
     return clouds.apply_chain(points(spark, d), formats.parse_chain(text)).select("cloud_id", "point_id", r6("nx").alias("nx"))
 
 
-QUERIES = {f.__name__: f for f in (stream_watermark_late, stream_state_machine, stream_sliding_map, stream_imu, stream_bias_feedback, stream_growing_map, stream_lost, stream_localizing, stream_localize, stream_held_imu, stream_held_feedback, stream_held_map, stream_dropped, stream_point_map, stream_submaps, stream_localize_points, map_read, map_read_dangling, map_sessions, topology_check, map_closed, stream_follow, map_read_poses, frames_roundtrip, node_gps_roundtrip, gps_trajectory, graph_dump, whole_map_roundtrip, cloud_decode, xml_roundtrip, tum_roundtrip, submap_read, yaml_chain)}
+QUERIES = {f.__name__: f for f in (stream_watermark_late, stream_state_machine, stream_sliding_map, stream_imu, stream_bias_feedback, stream_growing_map, stream_lost, stream_localizing, stream_localize, stream_held_imu, stream_held_feedback, stream_held_map, stream_dropped, stream_point_map, stream_submaps, stream_localize_points, map_read, map_read_dangling, map_sessions, topology_check, map_closed, map_circle, trajectory_files, stream_follow, map_read_poses, frames_roundtrip, node_gps_roundtrip, gps_trajectory, graph_dump, whole_map_roundtrip, cloud_decode, xml_roundtrip, tum_roundtrip, submap_read, yaml_chain)}
 
 _SCANS = """, scans AS (
   SELECT robot_id, event_id, row_number() OVER (PARTITION BY robot_id ORDER BY stamp, event_id) AS frame_id, value / 10 AS x, k / 10.0::DOUBLE AS y, k FROM messages WHERE topic = 'click')
@@ -358,6 +381,15 @@ UNION ALL SELECT robot_id * 1000 + kf_id, NULL, NULL, NULL, NULL FROM keyframes
 SELECT robot_id * 1000 + src AS src, robot_id * 1000 + dst AS dst, {PLANAR_SQL}, true AS reachable FROM edges
 UNION ALL SELECT f.id, t.id, {PLANAR_SQL.replace("(x", "(m.x").replace("(y", "(m.y").replace("(yaw", "(m.yaw")}, true FROM span JOIN ids f ON f.id IN (a, b) JOIN ids t ON t.id IN (a, b) AND t.id <> f.id,
   LATERAL (SELECT {planar_relative("f", "t")}) m"""),
+    "map_circle": with_views(f""", ids AS (SELECT robot_id * 1000 + kf_id AS id, * FROM keyframes), span AS (SELECT min(id) AS a, max(id) AS b FROM ids)
+SELECT robot_id * 1000 + src AS src, robot_id * 1000 + dst AS dst, {PLANAR_SQL}, reachable FROM edges
+UNION ALL SELECT a, b, {PLANAR_SQL}, true FROM span JOIN ids ON id = b
+UNION ALL SELECT b, a, {PLANAR_SQL}, true FROM (SELECT a, b, -cos(yaw) * x - sin(yaw) * y AS x, sin(yaw) * x - cos(yaw) * y AS y, -yaw AS yaw FROM span JOIN ids ON id = b)"""),
+    "trajectory_files": with_views(f""", k AS (SELECT robot_id * 1000 + kf_id AS id, * FROM keyframes), bases AS (SELECT * FROM k WHERE kf_id % 4 = 0 AND kf_id % 3 > 0)
+SELECT id + 0.25::DOUBLE AS time, {PLANAR_SQL}, true AS fixed, id AS keyframe_id FROM bases
+UNION ALL SELECT id::DOUBLE, {PLANAR_SQL}, kf_id % 4 = 1, NULL FROM (
+  SELECT f.id, f.kf_id, b.x + cos(b.yaw) * 0.5::DOUBLE - sin(b.yaw) * 0.25::DOUBLE AS x, b.y + sin(b.yaw) * 0.5::DOUBLE + cos(b.yaw) * 0.25::DOUBLE AS y, b.yaw + 0.1::DOUBLE AS yaw
+  FROM k f JOIN bases b ON b.robot_id = f.robot_id AND b.kf_id = f.kf_id - f.kf_id % 4 WHERE f.kf_id % 4 > 0)"""),
     "stream_follow": with_views("SELECT topic, count(*) AS n, max(event_id) AS last FROM messages GROUP BY topic"),
     "map_read_poses": with_views(f"SELECT b.robot_id * 1000 + b.kf_id AS id, round(a.x, 6) + 0.0 AS x, round(a.y, 6) + 0.0 AS y, round(cos(a.yaw), 6) + 0.0 AS c, round(sin(a.yaw), 6) + 0.0 AS s FROM keyframes a JOIN keyframes b ON a.robot_id = b.robot_id AND b.kf_id = a.kf_id + 1 WHERE a.kf_id % 20 = 0"),
     "frames_roundtrip": with_views("""SELECT robot_id * 1000 + frame_id // 4 AS keyframe_id, frame_id AS id, CAST(frame_id AS DOUBLE) AS time, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(cos(y * 0.1::DOUBLE), 6) + 0.0 AS c, round(sin(y * 0.1::DOUBLE), 6) + 0.0 AS s,

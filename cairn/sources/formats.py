@@ -51,6 +51,13 @@ def write_closed_map(edges: DataFrame, nodes: DataFrame, path: str) -> None:
     write_topology(closed, nodes, path, force_reachable=True)
 
 
+def write_circle_map(edges: DataFrame, nodes: DataFrame, path: str) -> None:
+    """The topology of one map whose first node is its origin, with first and last node joined where they end a path; edges stay as reachable as they are."""
+    one = lambda df: df.withColumn("robot_id", F.lit(0).cast("long"))
+    closed = graph.close_circle(one(edges).select("robot_id", "src", "dst", "pose", "reachable"), one(nodes).select("robot_id", F.col("id").alias("node"), "pose"), from_origin=True)
+    write_topology(closed, nodes, path)
+
+
 def topology_or_none(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
     """read_topology, or None if the file is no well-formed map. One pass reads it all; errors that aren't about its form are raised."""
     rows = spark.read.format("xml").option("rowTag", "node").option("mode", "FAILFAST").schema(NODE_SCHEMA).load(path)
@@ -166,6 +173,30 @@ def read_gps_trajectory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep=" ", schema=GPS_LINE)
 
 
+STAMP_LINE = "time double, keyframe_id long"
+
+
+def write_trajectories(nodes: DataFrame, frames: DataFrame, fixes: DataFrame, folder: str) -> None:
+    """Three texts of a map's path: folder/trajectory (`time x y z qx qy qz qw`), folder/gps_trajectory and folder/keyframe_timestamp (`time id`).
+
+    nodes(id, pose), frames(keyframe_id, id, time, pose in the keyframe's frame, gps), fixes(id, time, gps) of the keyframes. Each keyframe comes with the time
+    of its fix, then its frames in order; keyframes without a fix and frames of absent keyframes are left out, and fixes that frames lack.
+    """
+    own = nodes.join(fixes, "id").select(F.col("id").alias("keyframe_id"), F.lit(-1).cast("long").alias("frame_id"), "time", "pose", "gps")
+    at = nodes.join(fixes.select("id"), "id", "left_semi").select(F.col("id").alias("keyframe_id"), F.col("pose").alias("base"))
+    inner = frames.join(at, "keyframe_id").select("keyframe_id", F.col("id").alias("frame_id"), "time", P.product(F.col("base"), F.col("pose")).alias("pose"), "gps")
+    rows = own.unionByName(inner).orderBy("keyframe_id", "frame_id")
+    write = lambda df, name: df.write.mode("overwrite").csv(f"{folder}/{name}", sep=" ")
+    write(rows.select("time", *[c.alias(f"c{i}") for i, c in enumerate(_quaternion_text(F.col("pose")))]), "trajectory")
+    write(rows.where("gps is not null").select("time", *[F.col(f"gps.{f.split()[0]}") for f in GPS_LINE.split(", ")[1:]]), "gps_trajectory")
+    write(own.orderBy("keyframe_id").select("time", "keyframe_id"), "keyframe_timestamp")
+
+
+def read_keyframe_stamps(spark: SparkSession, path: str) -> DataFrame:
+    """(time, keyframe_id) of a keyframe_timestamp text."""
+    return spark.read.csv(path, sep=" ", schema=STAMP_LINE)
+
+
 def _quaternion_text(pose) -> list:
     """tx ty tz qx qy qz qw as columns."""
     q = P.to_quaternion(pose)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import ArrayType, LongType, StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from cairn.sources.shared import scratch_path
 
@@ -112,8 +112,8 @@ def held(messages: DataFrame, output: str, state: str, late: str, processor: Cal
     # without the column of the watermark Spark leaves late rows to the processor
     timed = messages.withWatermark("stamp", late).select("robot_id", F.unix_micros("stamp").alias("at"), *kept)
     rows = StructType([f for f in timed.schema if f.name != "robot_id"])
-    out = _parse_datatype_string(f"{output}, dropped boolean")
-    made = processor([f.name for f in out], rows, _parse_datatype_string(state), bucket_s * 1000)
+    out = StructType.fromDDL(f"{output}, dropped boolean")
+    made = processor([f.name for f in out], rows, StructType.fromDDL(state), bucket_s * 1000)
     return timed.groupBy("robot_id").transformWithStateInPandas(statefulProcessor=made, outputStructType=out, outputMode="append", timeMode="EventTime")
 
 

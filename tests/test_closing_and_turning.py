@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cairn.operators import graph, loop_closing
+from cairn.operators import graph, loop_closing, smoothing, solve
 from cairn.operators.alignment import align_windows
 from cairn.operators.gravity import gravity_by_sums
 from cairn.operators.inertial import propagate
@@ -166,6 +166,28 @@ def test_windows_align_as_the_dense_system_does(spark, scaled):
             assert np.allclose(r.velocities, want[0], atol=1e-4)
 
 
+def test_the_banded_smoother_is_the_dense_one():
+    rng = np.random.default_rng(3)
+    g, p, v, r = np.array([0, 0, -9.81]), np.zeros(3), np.array([1.0, 0.5, 0]), np.eye(3)
+    states, folds, moves = [], [], []
+    for _ in range(6):
+        fold = preintegrate(rng.normal(0, 0.3, (10, 3)) + 0.02, rng.normal(0, 1, (10, 3)) - r.T @ g + 0.05, np.full(10, 0.03))
+        states.append((p + rng.normal(0, 0.02, 3), v + rng.normal(0, 0.05, 3), r @ exp_so3(rng.normal(0, 0.01, 3))))
+        folds.append(fold)
+        p, v, r = p + v * fold.dt + 0.5 * g * fold.dt**2 + r @ fold.dp, v + g * fold.dt + r @ fold.dv, r @ fold.dr
+    folds.pop()
+    at = [np.vstack((np.column_stack((r, p)), [0, 0, 0, 1])) for p, _, r in states]
+    moves = [np.linalg.inv(a) @ b for a, b in zip(at, at[1:])]
+    want, bias, ok = solve.smooth_window([solve.NavState(*s) for s in states], folds, moves, g)
+    got, fine = smoothing.smooth_band(smoothing.Window(*(np.array(x) for x in zip(*states)), np.zeros((6, 6))), folds, np.array(moves), g)
+    assert fine == ok
+    for i, s in enumerate(want):
+        assert np.allclose(s.p, got.p[i], atol=1e-7)
+        assert np.allclose(s.v, got.v[i], atol=1e-7)
+        assert np.allclose(s.r, got.r[i], atol=1e-7)
+    assert np.allclose(bias, got.b[-1], atol=1e-7)
+
+
 def test_neighbours_that_are_not_in_the_map_are_passed_over(spark):
     step = EYE.copy()
     step[0, 3] = 1.0

@@ -81,3 +81,10 @@ def test_records_that_are_no_points_are_left_out(spark):
     assert [tuple(r) for r in pointclouds.decode_clouds(rows).collect()] == [(5, 0, 1.0, 2.0, 3.0)]
     assert [r.x for r in pointclouds.decode_clouds(rows, ("x", "y", "z", "r")).select("x").collect()] == [1.0]
     assert [pointclouds.guess_source(*x) for x in ((True, True), (False, True), (False, False))] == ["imu", "odom", "velocity"]
+
+
+def test_the_other_rule_joins_ends_that_are_not_linked(spark):
+    nodes = spark.createDataFrame([(r, i, at(i + 1, 0)) for r in (1, 2) for i in range(4)], "robot_id long, node long, pose array<double>")
+    edges = spark.createDataFrame([(1, 0, 2, at(2, 0), False), (2, 0, 3, at(3, 0), False)], "robot_id long, src long, dst long, pose array<double>, reachable boolean")
+    got = {(r.robot_id, r.src, r.dst): (r.pose[3], r.reachable) for r in graph.close_circle(edges, nodes, from_origin=True).collect()}
+    assert got == {(1, 0, 2): (2.0, False), (1, 0, 3): (4.0, True), (1, 3, 0): (-4.0, True), (2, 0, 3): (3.0, False)}
