@@ -156,6 +156,25 @@ def so3_log(pose: Column) -> Column:
     return let(to_quaternion(pose), vector)
 
 
+def so3_jacobian(x: Column, y: Column, z: Column, left: bool = False, inverse: bool = False) -> Column:
+    """Right (or left) Jacobian of a rotation vector, or its inverse, as an array of 9 cells; the identity below SMALL_ANGLE."""
+    a = F.sqrt(x * x + y * y + z * z)
+    small = a < SMALL_ANGLE
+    safe = F.when(small, 1.0).otherwise(a)
+    sign = 1.0 if left != inverse else -1.0
+    if inverse:
+        one, two = F.lit(0.5 * sign), 1 / (safe * safe) - (1 + F.cos(safe)) / (2 * safe * F.sin(safe))
+    else:
+        one, two = sign * (1 - F.cos(safe)) / (safe * safe), (safe - F.sin(safe)) / (safe * safe * safe)
+
+    def cells(c: Column) -> Column:
+        one, two, v, a2 = c[0], c[1], (c[2], c[3], c[4]), c[2] * c[2] + c[3] * c[3] + c[4] * c[4]
+        skew = [[None, -v[2], v[1]], [v[2], None, -v[0]], [-v[1], v[0], None]]
+        return F.array(*[1 + two * (v[r] * v[r] - a2) if r == k else one * skew[r][k] + two * v[r] * v[k] for r in range(3) for k in range(3)])
+
+    return let(F.array(F.when(small, 0.0).otherwise(one), F.when(small, 0.0).otherwise(two), x, y, z), cells)
+
+
 def wrap_angle(angle: Column, half_turn: float = 3.1416) -> Column:
     """Into [-half_turn, half_turn)."""
     return F.pmod(angle + half_turn, F.lit(2 * half_turn)) - half_turn

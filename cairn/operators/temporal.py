@@ -63,6 +63,17 @@ def samples_between(frames: DataFrame, samples: DataFrame, by: str, delay_s: flo
     return f.unionByName(s, allowMissingColumns=True).withColumn("frame_id", F.last("frame_id", ignorenulls=True).over(later)).where("side = 1 and frame_id is not null").select("s.*", "frame_id")
 
 
+def guess_sources(frames: DataFrame, imu: DataFrame, odom: DataFrame, by: str, tolerance_s: float, use_imu: bool = True, use_odom: bool = True) -> DataFrame:
+    """frames with `source`, what a scan's initial guess comes from: `imu` if the robot uses one and has a sample within the tolerance before the scan, else
+    `odom` likewise, else `velocity` (the two scans before)."""
+    out = frames.withColumn("source", F.lit("velocity"))
+    for wanted, samples, name in ((use_odom, odom, "odom"), (use_imu, imu, "imu")):  # the last one holds
+        if wanted:
+            near = asof_backward(out, samples, by, tolerance_s, {"_sample": "event_id"})
+            out = near.withColumn("source", F.when(F.col("_sample").isNotNull(), name).otherwise(F.col("source"))).drop("_sample", "matched_at")
+    return out
+
+
 def topic_scan(messages: DataFrame, topics: list[str], begin_s: float = 0.0, duration_s: float = -1.0) -> DataFrame:
     """Messages of the topics from begin_s after the first message on, for duration_s (to the end if negative)."""
     start = messages.agg(F.min("stamp").alias("t0"))

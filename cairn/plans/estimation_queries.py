@@ -196,8 +196,11 @@ def seen_points(spark, d, reach=5.0):
 
 
 def _closed(spark, d):
+    """Scans of less than twenty points are no scans; matches have to overlap by six tenths, as the world's points are sparse."""
     at, e = drifted(spark, d)
-    return at, loop_closing.close_loops(at, e, materialize(seen_points(spark, d)), radius=4.0, most_shift=3.0, p=replace(ICP, min_translation=0.001, min_rotation=0.0001))
+    seen = materialize(seen_points(spark, d))
+    sane = seen.join(seen.groupBy("robot_id", "node").count().where("count >= 20").select("robot_id", "node"), ["robot_id", "node"], "left_semi")
+    return at, loop_closing.close_loops(at, e, sane, radius=4.0, min_overlap=0.6, most_shift=3.0, p=replace(ICP, min_translation=0.001, min_rotation=0.0001))
 
 
 def loop_closure_pairs(spark, d):

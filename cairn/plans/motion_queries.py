@@ -73,6 +73,22 @@ def _turning_samples(spark, d):
     return imu(spark, d).select("robot_id", "event_id", "stamp", (F.col("gz") * 10).alias("wx"), (sevenths * 0.1).alias("wy"), (F.col("ax") / 10).alias("wz"), "ax", (F.col("gz") * 10).alias("ay"), (9.81 + sevenths * 0.01).alias("az"))
 
 
+def so3_jacobians(spark, d):
+    """Right and inverse left Jacobians of the turns within an hour, and how far a right Jacobian times its inverse is from the identity."""
+    v = [F.col(c) for c in ("wx", "wy", "wz")]
+    rows = _turning_samples(spark, d).select("event_id", P.so3_jacobian(*v).alias("right"), P.so3_jacobian(*v, left=True, inverse=True).alias("left_back"), P.so3_jacobian(*v, inverse=True).alias("back"))
+    product = [sum((F.col("right")[3 * r + i] * F.col("back")[3 * i + c] for i in range(3)), F.lit(0.0)) - (1.0 if r == c else 0.0) for r in range(3) for c in range(3)]
+    cells = [(F.round(F.col(n)[i], 6) + 0.0).alias(f"{n}_{i}") for n in ("right", "left_back") for i in (0, 1, 5, 6)]
+    return rows.select("event_id", *cells, (F.greatest(*[F.abs(c) for c in product]) < 1e-9).alias("inverse"))
+
+
+def so3_quaternions(spark, d):
+    """Quaternions of turns of up to two full turns, by way of their matrices."""
+    v = [F.col(c) * 6 for c in ("wx", "wy", "wz")]
+    q = P.to_quaternion(P.so3_exp(*v))
+    return _turning_samples(spark, d).select("event_id", q.alias("q")).select("event_id", *[(F.round(F.col(f"q.{n}"), 5) + 0.0).alias(n) for n in "wxyz"])
+
+
 def nav_propagate_turning(spark, d):
     """States with full rotations behind each robot's third sample, whose state is given; time in days, five days to a bucket."""
     by = Window.partitionBy("robot_id").orderBy("stamp", "event_id")
@@ -157,7 +173,7 @@ def realtime_ratio(spark, d):
     return scan_frames(spark, d).withColumn("ratio", 100 * F.col("x") * 1e5 / gap).where("ratio is not null").groupBy("robot_id").agg(r6(F.max("ratio")).alias("worst"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (gyro_bias_mean, static_start, odom_fold, odom_covariance, imu_preint, imu_preint_cov, nav_propagate, nav_propagate_turning, alignment_windows, const_velocity, initial_guess, kf_features, kf_cut, kf_cut_plain, kf_reason, frames_by_keyframe, loop_cooldown, window_stride, window_samples, realtime_ratio)}
+QUERIES = {f.__name__: f for f in (gyro_bias_mean, static_start, odom_fold, odom_covariance, imu_preint, imu_preint_cov, nav_propagate, so3_jacobians, so3_quaternions, nav_propagate_turning, alignment_windows, const_velocity, initial_guess, kf_features, kf_cut, kf_cut_plain, kf_reason, frames_by_keyframe, loop_cooldown, window_stride, window_samples, realtime_ratio)}
 
 FOLD = """, tagged AS (
   SELECT s.*, f.frame_id, f.stamp AS fin FROM imu s ASOF JOIN scan_frames f ON s.robot_id = f.robot_id AND s.stamp < f.stamp
@@ -225,6 +241,14 @@ SELECT robot_id, frame_id, round(px, 4) + 0.0 AS px, round(py, 4) + 0.0 AS py, r
 ), moves AS (SELECT *, v0 * dt + cos(h) * px - sin(h) * py AS mx, v1 * dt + sin(h) * px + cos(h) * py AS my, v2 * dt - 0.5::DOUBLE * 9.81::DOUBLE * dt * dt AS mz FROM speeds)
 SELECT robot_id, frame_id, round(1 + sum(mx) OVER {_UPTO}, 2) + 0.0 AS x, round(2 + sum(my) OVER {_UPTO}, 2) + 0.0 AS y, round(sum(mz) OVER {_UPTO}, 2) + 0.0 AS z,
   round(v0 + gx, 2) + 0.0 AS vx, round(v1 + gy, 2) + 0.0 AS vy, round(v2 + gz, 2) + 0.0 AS vz, round(h + turn, 2) + 0.0 AS heading FROM moves"""),
+    "so3_quaternions": with_views(""", turns AS (SELECT event_id, gz * 60 AS x, (event_id % 7 - 3) * 0.6::DOUBLE AS y, ax * 6 / 10 AS z FROM imu), sized AS (SELECT *, sqrt(x * x + y * y + z * z) AS a FROM turns
+), halves AS (SELECT *, cos(a / 2) AS c, CASE WHEN a < 1e-5::DOUBLE THEN 0.5 ELSE sin(a / 2) / a END * CASE WHEN cos(a / 2) < 0 THEN -1 ELSE 1 END AS s FROM sized)
+SELECT event_id, round(abs(c), 5) + 0.0 AS w, round(s * x, 5) + 0.0 AS x, round(s * y, 5) + 0.0 AS y, round(s * z, 5) + 0.0 AS z FROM halves"""),
+    "so3_jacobians": with_views(""", turns AS (SELECT event_id, gz * 10 AS x, (event_id % 7 - 3) * 0.1::DOUBLE AS y, ax / 10 AS z FROM imu), sized AS (SELECT *, sqrt(x * x + y * y + z * z) AS a FROM turns
+), parts AS (SELECT *, CASE WHEN a < 1e-5::DOUBLE THEN 0 ELSE (1 - cos(a)) / (a * a) END AS c, CASE WHEN a < 1e-5::DOUBLE THEN 0 ELSE (a - sin(a)) / (a * a * a) END AS s,
+  CASE WHEN a < 1e-5::DOUBLE THEN 0 ELSE 0.5::DOUBLE END AS h, CASE WHEN a < 1e-5::DOUBLE THEN 0 ELSE 1 / (a * a) - (1 + cos(a)) / (2 * a * sin(a)) END AS q FROM sized)
+SELECT event_id, round(1 - s * (y * y + z * z), 6) + 0.0 AS right_0, round(c * z + s * x * y, 6) + 0.0 AS right_1, round(c * x + s * y * z, 6) + 0.0 AS right_5, round(c * y + s * x * z, 6) + 0.0 AS right_6,
+  round(1 - q * (y * y + z * z), 6) + 0.0 AS left_back_0, round(h * z + q * x * y, 6) + 0.0 AS left_back_1, round(h * x + q * y * z, 6) + 0.0 AS left_back_5, round(h * y + q * x * z, 6) + 0.0 AS left_back_6, true AS inverse FROM parts"""),
     "nav_propagate_turning": with_views(""", numbered AS (
   SELECT *, row_number() OVER w AS n, coalesce((epoch_us(lead(stamp) OVER w) - epoch_us(stamp)) / 8.64e10::DOUBLE, 0) AS dt, gz * 10 AS wx, (event_id % 7 - 3) * 0.1::DOUBLE AS wy, ax / 10 AS wz, [ax, gz * 10, 9.81::DOUBLE + (event_id % 7 - 3) * 0.01::DOUBLE] AS a
   FROM imu WINDOW w AS (PARTITION BY robot_id ORDER BY stamp, event_id)

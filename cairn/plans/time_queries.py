@@ -34,6 +34,11 @@ def asof_tolerance(spark, d):
     return out.where("odom_id is not null").select("robot_id", "frame_id", "odom_id")
 
 
+def scan_guess_source(spark, d):
+    """Which sensor each scan's initial guess comes from: samples of twelve hours before count."""
+    return T.guess_sources(scan_frames(spark, d), imu(spark, d), odom(spark, d), "robot_id", 12 * 3600).select("robot_id", "frame_id", "source")
+
+
 def gps_same_hour(spark, d):
     out = T.gps_to_frames(scan_frames(spark, d), gps(spark, d), "robot_id", "hour")
     return out.select("robot_id", "frame_id", r6("easting").alias("easting"), r6("northing").alias("northing"), "status")
@@ -71,7 +76,7 @@ def traj_submap_merge(spark, d):
     return T.merge_trajectory(odom(spark, d), submaps, "robot_id", 7200).select("robot_id", "kf_id", "event_id")
 
 
-QUERIES = {f.__name__: f for f in (topic_time_scan, demux_topics, asof_nav, asof_tolerance, gps_same_hour, gps_same_second, imu_interval_collect, odom_interval_slice, tf_align, sync3_nearest, traj_submap_merge)}
+QUERIES = {f.__name__: f for f in (topic_time_scan, demux_topics, asof_nav, asof_tolerance, scan_guess_source, gps_same_hour, gps_same_second, imu_interval_collect, odom_interval_slice, tf_align, sync3_nearest, traj_submap_merge)}
 
 _BACK = "ASOF LEFT JOIN {r} r ON l.robot_id = r.robot_id AND l.stamp >= r.stamp"
 _NEXT = "SELECT s.*, f.frame_id FROM (SELECT *, stamp + INTERVAL {delay} SECOND AS t FROM {s}) s ASOF JOIN scan_frames f ON s.robot_id = f.robot_id AND s.t < f.stamp"
@@ -92,6 +97,8 @@ SQL = {
     "asof_nav": with_views(f""", found AS (SELECT l.robot_id, frame_id, CASE WHEN l.stamp - r.stamp <= INTERVAL 1 DAY THEN r.event_id END AS odom_id,
   CASE WHEN l.stamp - r.stamp <= INTERVAL 1 DAY THEN round(vx, 6) + 0.0 END AS vx FROM scan_frames l {_BACK.format(r='odom')})
 SELECT *, lag(odom_id) OVER w AS before_id, lag(vx) OVER w AS before_vx FROM found WINDOW w AS (PARTITION BY robot_id ORDER BY frame_id)"""),
+    "scan_guess_source": with_views("""SELECT f.robot_id, f.frame_id, CASE WHEN f.stamp - i.stamp <= INTERVAL 12 HOUR THEN 'imu' WHEN f.stamp - o.stamp <= INTERVAL 12 HOUR THEN 'odom' ELSE 'velocity' END AS source
+  FROM scan_frames f ASOF LEFT JOIN imu i ON i.robot_id = f.robot_id AND i.stamp <= f.stamp ASOF LEFT JOIN odom o ON o.robot_id = f.robot_id AND o.stamp <= f.stamp"""),
     "asof_tolerance": with_views(f"SELECT l.robot_id, frame_id, r.event_id AS odom_id FROM scan_frames l {_BACK.format(r='odom')} WHERE l.stamp - r.stamp <= INTERVAL 2 HOUR"),
     "gps_same_hour": with_views(f"""SELECT l.robot_id, frame_id, round(easting, 6) + 0.0 AS easting, round(northing, 6) + 0.0 AS northing,
   CASE WHEN date_trunc('hour', l.stamp) = date_trunc('hour', r.stamp) THEN 1 ELSE 0 END AS status FROM scan_frames l {_BACK.format(r='gps')}"""),

@@ -80,15 +80,13 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both directions between consecutive keyframes, with rotations; only the forward one is reachable."""
+    """Both directions between consecutive keyframes, with rotations; only the forward one is reachable. Poses are columns of their own, so that who doesn't ask for them has them pruned."""
     by = Window.partitionBy("robot_id").orderBy("node")
-    ahead = nodes(spark, sf_dir).select("robot_id", F.col("node").alias("src"), (F.col("node") + 1).alias("dst"), "pose", F.lead("pose").over(by).alias("next")).where("next is not null")
-    step = P.relative(F.col("pose"), F.col("next"))
-    both = F.explode(F.array(
-        F.struct("src", "dst", step.alias("pose"), F.lit(True).alias("reachable")),
-        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), P.inverse(step).alias("pose"), F.lit(False).alias("reachable")),
-    ))
-    return ahead.select("robot_id", both.alias("e")).select("robot_id", "e.*")
+    ahead = nodes(spark, sf_dir).select("robot_id", F.col("node").alias("src"), F.lead("node").over(by).alias("dst"), "pose", F.lead("pose").over(by).alias("next")).where("dst is not null")
+    steps = ahead.select("robot_id", "src", "dst", P.relative(F.col("pose"), F.col("next")).alias("step"))
+    both = steps.withColumn("back", F.explode(F.array(F.lit(False), F.lit(True))))
+    way = lambda forth, back: F.when(F.col("back"), back).otherwise(forth)
+    return both.select("robot_id", way(F.col("src"), F.col("dst")).alias("src"), way(F.col("dst"), F.col("src")).alias("dst"), way(F.col("step"), P.inverse(F.col("step"))).alias("pose"), (~F.col("back")).alias("reachable"))
 
 
 def planar(pose: Column = None) -> list[Column]:
