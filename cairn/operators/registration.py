@@ -16,14 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import pose as P
 from cairn.sources.shared import materialize
 
 from .motion import exp_so3, log_so3
-from .neighbours import within
+from .neighbours import at_places, k_nearest
 
 #: Distances that one iteration of a pair may take in a task of its own.
 TASK_DISTANCES = 4_000_000
@@ -80,16 +80,10 @@ class ConvergenceError(Exception):
 
 def matches(reading: DataFrame, reference: DataFrame, p: IcpParams, by: list[str] | None = None) -> DataFrame:
     """A row for each reading point and match, or one without: reading's columns, the match's place and normal (q*, m*), nth, d2, keep, any (of the point's)."""
-    keys = [*(by or []), "point_id"]
-    named = {"point_id": "match_id", "x": "qx", "y": "qy", "z": "qz", "nx": "mx", "ny": "my", "nz": "mz", "p_static": "ref_static"}
-    pairs = within(reading.select(*keys, *"xyz"), reference.select(*(by or []), *named), p.max_dist, by=by).select(
-        *[F.col(f"l.{k}").alias(k) for k in keys], F.struct("d2", *[F.col(f"r.{c}").alias(n) for c, n in named.items()]).alias("m"))
-    if p.knn == 1:
-        best = pairs.groupBy(*keys).agg(F.array(F.min("m")).alias("found"))
-    else:
-        rank = Window.partitionBy(*keys).orderBy("m.d2", "m.match_id")
-        best = pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= p.knn).groupBy(*keys).agg(F.array_sort(F.collect_list("m")).alias("found"))
-    joined = reading.join(best, keys, "left")
+    named = {"d2": "d2", "point_id": "match_id", "x": "qx", "y": "qy", "z": "qz", "nx": "mx", "ny": "my", "nz": "mz", "p_static": "ref_static"}
+    near = k_nearest(reading, reference.select(*(by or []), *[c for c in named if c != "d2"]), p.knn, p.max_dist, by=by)
+    found = F.when(F.size("near") > 0, F.transform("near", lambda m: F.struct(*[m[c].alias(n) for c, n in named.items()])))
+    joined = at_places(reading, near, by=by, how="left").withColumn("found", found).drop("near")
     limit = joined.select(*(by or []), F.explode("found.d2").alias("d2")).groupBy(*(by or [])).agg(F.percentile_approx("d2", p.ratio, 100_000).alias("limit"))
     joined = joined.join(limit, by, "left") if by else joined.join(F.broadcast(limit), F.lit(True))
     angle = lambda m: F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("nx") * m.mx + F.col("ny") * m.my + F.col("nz") * m.mz)))
