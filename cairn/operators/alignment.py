@@ -1,8 +1,8 @@
-"""Alignment of inertial folds with a laser's poses in windows: velocities, gravity and scale, by block-banded normal equations.
+"""Alignment of inertial folds with a laser's poses in windows: velocities, gravity and scale, by orthogonal elimination.
 
 A window is a group of its own, so a robot's path spreads over tasks. Each interval between two frames gives six equations on the
-velocities of its ends, gravity and scale; their normal equations are a band of 3 x 3 blocks with a border of four columns, which is
-summed for all intervals at once and solved from block to block, in time and memory that follow the window's length.
+velocities of its ends, gravity and scale; velocities are eliminated from frame to frame, in time and memory that follow the window's
+length, and four unknowns are left.
 """
 
 from __future__ import annotations
@@ -15,60 +15,60 @@ from pyspark.sql import functions as F
 RESULT = "robot_id long, window long, n long, ok boolean, gx double, gy double, gz double, scale double, frame_ids array<long>, velocities array<array<double>>"
 
 
-def interval_blocks(poses: np.ndarray, dp: np.ndarray, dv: np.ndarray, dt: np.ndarray, mount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(normal matrices of 10 x 10, right sides) of intervals, on (velocity before, velocity after, gravity, scale)."""
+def interval_rows(poses: np.ndarray, dp: np.ndarray, dv: np.ndarray, dt: np.ndarray, mount: np.ndarray) -> np.ndarray:
+    """Six equations of each interval, 6 x 11: on (velocity before, velocity after, gravity, scale), and the right side."""
     n = len(dt)
     lever = np.linalg.inv(mount)[:3, 3]
     turned = poses[:, :3, :3] @ mount[:3, :3].T
     back, t = turned[:-1].transpose(0, 2, 1), dt[:, None, None]
-    a, b = np.zeros((n, 6, 10)), np.zeros((n, 6))
+    a = np.zeros((n, 6, 11))
     eye = np.eye(3)
     a[:, :3, :3], a[:, :3, 6:9] = -t * eye, -0.5 * t * t * back
     a[:, :3, 9] = np.einsum("nij,nj->ni", back, poses[1:, :3, 3] - poses[:-1, :3, 3])
-    b[:, :3] = dp - np.einsum("nij,njk,k->ni", back, poses[1:, :3, :3] - poses[:-1, :3, :3], lever)
+    a[:, :3, 10] = dp - np.einsum("nij,njk,k->ni", back, poses[1:, :3, :3] - poses[:-1, :3, :3], lever)
     a[:, 3:, :3], a[:, 3:, 3:6], a[:, 3:, 6:9] = -eye, back @ turned[1:], -t * back
-    b[:, 3:] = dv
-    return a.transpose(0, 2, 1) @ a, np.einsum("nij,ni->nj", a, b)
-
-
-def banded(normal: np.ndarray, right: np.ndarray, border: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(velocities, border unknowns) of the summed intervals; the last four unknowns are offset + border @ y."""
-    right = right - normal[:, :, 6:] @ offset
-    m, k = len(normal) + 1, border.shape[1]
-    diagonal, rest, edge = np.zeros((m, 3, 3)), np.zeros((m, 3, k + 1)), np.zeros((k, k + 1))
-    for at, i in ((slice(0, m - 1), slice(0, 3)), (slice(1, m), slice(3, 6))):
-        diagonal[at] += normal[:, i, i]
-        rest[at, :, :k] += normal[:, i, 6:] @ border
-        rest[at, :, k] += right[:, i]
-    edge[:, :k] = border.T @ normal[:, 6:, 6:].sum(0) @ border
-    edge[:, k] = border.T @ right[:, 6:].sum(0)
-    above = normal[:, :3, 3:6]
-    for i in range(1, m):  # forward
-        f = np.linalg.solve(diagonal[i - 1], np.column_stack((above[i - 1], rest[i - 1])))
-        diagonal[i] -= above[i - 1].T @ f[:, :3]
-        rest[i] -= above[i - 1].T @ f[:, 3:]
-    # every block row is now  diagonal[i] x[i] + above[i] x[i + 1] + rest[i, :k] y = rest[i, k]
-    x = np.zeros((m, 3, k + 1))  # x = x[k] - x[:k] y
-    x[-1] = np.linalg.solve(diagonal[-1], rest[-1])
-    for i in range(m - 2, -1, -1):
-        x[i] = np.linalg.solve(diagonal[i], rest[i] - above[i] @ x[i + 1])
-    tied = np.zeros((k, k + 1))
-    for at, i in ((slice(0, m - 1), slice(0, 3)), (slice(1, m), slice(3, 6))):
-        tied += np.einsum("nij,nik->jk", normal[:, i, 6:] @ border, x[at])
-    y = np.linalg.solve(edge[:, :k] - tied[:, :k], edge[:, k] - tied[:, k])
-    return x[:, :, k] - x[:, :, :k] @ y, y
+    a[:, 3:, 10] = dv
+    return a
+
+
+def eliminate(rows: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(triangles of each velocity, what is left on gravity, scale and the right side) by orthogonal steps: squares of the equations, which
+    lose what intervals of seconds among intervals of days say, are not formed."""
+    triangles, carried = [], np.zeros((0, 8))
+    for own in rows:
+        # the rows carried from before have this interval's first velocity, not its second
+        stacked = np.vstack((np.hstack((carried[:, :3], np.zeros((len(carried), 3)), carried[:, 3:])), own))
+        r = np.linalg.qr(stacked, mode="r")
+        triangles.append(r[:3])
+        carried = r[3:, 3:]
+    r = np.linalg.qr(carried, mode="r")
+    triangles.append(np.hstack((r[:3, :3], np.zeros((3, 3)), r[:3, 3:])))
+    return triangles, r[3:, 3:]
+
+
+def velocities_of(triangles: list[np.ndarray], border: np.ndarray) -> np.ndarray:
+    """Velocities from the last to the first, given gravity and scale."""
+    x = np.zeros((len(triangles) + 1, 3))
+    for i in range(len(triangles) - 1, -1, -1):
+        r = triangles[i]
+        x[i] = np.linalg.solve(r[:, :3], r[:, 10] - r[:, 3:6] @ x[i + 1] - r[:, 6:10] @ border)
+    return x[:-1]
 
 
 def align_window(poses: np.ndarray, dp: np.ndarray, dv: np.ndarray, dt: np.ndarray, mount: np.ndarray, g: float, scaled: bool) -> tuple[np.ndarray, np.ndarray, float] | None:
     """(velocities in the bodies' frames, gravity, scale), or None if gravity is off by more than 1 or the scale is negative. As solve.linear_alignment, whose matrix is dense."""
-    normal, right = interval_blocks(poses, dp, dv, dt, mount)
+    triangles, left = eliminate(interval_rows(poses, dp, dv, dt, mount))
+
+    def border(free: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """The least-squares offset + free @ y."""
+        q, r = np.linalg.qr(left[:, :4] @ free)
+        return offset + free @ np.linalg.solve(r, q.T @ (left[:, 4] - left[:, :4] @ offset))
+
     one = np.array([0, 0, 0, 1.0])
-    free = np.eye(4) if scaled else np.eye(4)[:, :3]
-    _, y = banded(normal, right, free, one * (not scaled))
-    gravity, scale = y[:3], y[3] if scaled else 1.0
+    found = border(np.eye(4) if scaled else np.eye(4)[:, :3], one * (not scaled))
+    gravity, scale = found[:3], found[3]
     if abs(np.linalg.norm(gravity) - g) > 1 or scale < 0:
         return None
-    velocities = np.zeros((len(poses), 3))
     for _ in range(4):
         d = gravity / np.linalg.norm(gravity)
         side = np.cross(d, np.eye(3)[int(np.argmin(np.abs(d)))])
@@ -77,9 +77,9 @@ def align_window(poses: np.ndarray, dp: np.ndarray, dv: np.ndarray, dt: np.ndarr
         plane[:3, 0], plane[:3, 1] = side, np.cross(d, side)
         if scaled:
             plane[3, 2] = 1
-        velocities, y = banded(normal, right, plane, np.append(g * d, 0.0 if scaled else 1.0))
-        gravity, scale = g * d + plane[:3, :2] @ y[:2], y[2] if scaled else 1.0
-    return (velocities, gravity * g / np.linalg.norm(gravity), float(scale)) if scale >= 0 else None
+        found = border(plane, np.append(g * d, 0.0 if scaled else 1.0))
+        gravity, scale = found[:3], found[3]
+    return (velocities_of(triangles, found), gravity * g / np.linalg.norm(gravity), float(scale)) if scale >= 0 else None
 
 
 def align_windows(frames: DataFrame, width: int = 50, stride: int = 10, body_laser: np.ndarray | None = None, g: float = 9.81, scaled: bool = True) -> DataFrame:
