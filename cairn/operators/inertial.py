@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cairn.functions import pose as P
 from cairn.sources.shared import materialize
 
+from .groups import apply_to_groups, starts
 from .motion import HOUR, exps_so3
 from .temporal import micros
 
@@ -31,12 +32,14 @@ def follow(a: Element, b: Element) -> Element:
     return a[0] @ b[0], a[1] + turned(b[1]), a[2] + a[1] * b[3][:, None] + turned(b[2]), a[3] + b[3]
 
 
-def scan(e: Element) -> Element:
-    """Each element after all before it, by doubling steps."""
-    step = 1
-    while step < len(e[3]):
-        far = follow(tuple(x[:-step] for x in e), tuple(x[step:] for x in e))
-        e = tuple(np.concatenate((x[:step], y)) for x, y in zip(e, far, strict=True))
+def scan(e: Element, first: np.ndarray) -> Element:
+    """Each element after all before it in its group, by doubling steps; first: where each group begins."""
+    at = np.arange(len(e[3]))
+    own = at - np.repeat(first, np.diff(np.append(first, len(at))))
+    e, step = tuple(x.copy() for x in e), 1
+    while (rest := at[own >= step]).size:
+        for x, y in zip(e, follow(tuple(x[rest - step] for x in e), tuple(x[rest] for x in e)), strict=True):
+            x[rest] = y
         step *= 2
     return e
 
@@ -47,26 +50,31 @@ def _columns(e: Element) -> dict:
     return {"pose": poses.reshape(-1, 16).tolist(), "v": e[1].tolist(), "t": e[3]}
 
 
-def _before(e: Element) -> Element:
-    """Each element's predecessor; the first one's is nothing."""
-    nothing = (np.eye(3)[None], np.zeros((1, 3)), np.zeros((1, 3)), np.zeros(1))
-    return tuple(np.concatenate((x, y[:-1])) for x, y in zip(nothing, e, strict=True))
+def _before(e: Element, first: np.ndarray) -> Element:
+    """Each element's predecessor; that of a group's first one is nothing."""
+    nothing = (np.eye(3), np.zeros(3), np.zeros(3), 0.0)
+    before = tuple(np.roll(x, 1, axis=0) for x in e)
+    for x, none in zip(before, nothing, strict=True):
+        x[first] = none
+    return before
 
 
-def _in_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of each sample what its bucket holds before it, and of the bucket's last row (event_id null) its total."""
-    rows = rows.sort_values(["stamp", "event_id"])
+def _in_buckets(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of each sample what its bucket holds before it, and of each bucket's last row (event_id null) its total."""
+    first = starts(rows, ["robot_id", "bucket"])
+    last = np.append(first[1:], len(rows)) - 1
     dt, w, a = rows["dt"].to_numpy(), rows[["wx", "wy", "wz"]].to_numpy(), rows[["ax", "ay", "az"]].to_numpy()
-    whole = scan((exps_so3(w * dt[:, None])[0], a * dt[:, None], 0.5 * a * dt[:, None] ** 2, dt))
-    parts = tuple(np.concatenate((x, y[-1:])) for x, y in zip(_before(whole), whole, strict=True))
-    ids = pd.array([*rows["event_id"], None], dtype="Int64")
-    return pd.DataFrame({"robot_id": rows["robot_id"].iloc[0], "bucket": rows["bucket"].iloc[0], "event_id": ids, "stamp": [*rows["stamp"], rows["stamp"].iloc[-1]], **_columns(parts)})
+    whole = scan((exps_so3(w * dt[:, None])[0], a * dt[:, None], 0.5 * a * dt[:, None] ** 2, dt), first)
+    parts = tuple(np.concatenate((x, y[last])) for x, y in zip(_before(whole, first), whole, strict=True))
+    ids = pd.array([*rows["event_id"], *[None] * len(last)], dtype="Int64")
+    ends = rows.iloc[last]
+    return pd.DataFrame({**{c: np.concatenate((rows[c].to_numpy(), ends[c].to_numpy())) for c in ("robot_id", "bucket", "stamp")}, "event_id": ids, **_columns(parts)})
 
 
 def _over_buckets(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("bucket")
+    first = starts(rows, ["robot_id"])
     poses = np.array(rows["pose"].tolist(), float).reshape(-1, 4, 4)
-    e = _before(scan((poses[:, :3, :3], np.array(rows["v"].tolist(), float).reshape(-1, 3), poses[:, :3, 3], rows["t"].to_numpy())))
+    e = _before(scan((poses[:, :3, :3], np.array(rows["v"].tolist(), float).reshape(-1, 3), poses[:, :3, 3], rows["t"].to_numpy()), first), first)
     return pd.DataFrame({"robot_id": rows["robot_id"], "bucket": rows["bucket"], **_columns(e)})
 
 
@@ -83,7 +91,8 @@ def propagate(samples: DataFrame, anchors: DataFrame, gravity: float = -9.81, un
 
     samples(robot_id, event_id, stamp, wx, wy, wz, ax, ay, az), each in force until the next; anchors(robot_id, stamp, pose, v), one a
     robot: a corrected state is a new anchor. unit: microseconds of the unit of time of rates. Robots without an anchor
-    are left out. A task holds the samples of one bucket, however long the robot has run.
+    are left out. A call of Python takes the samples of some whole
+    buckets, at least one, however long the robot has run.
     """
     started = samples.join(anchors.select("robot_id", F.col("stamp").alias("start")), "robot_id").where("stamp >= start").drop("start")
     rows = materialize(started.withColumn("bucket", F.floor(micros("stamp") / (bucket_s * 1_000_000))))
@@ -93,8 +102,8 @@ def propagate(samples: DataFrame, anchors: DataFrame, gravity: float = -9.81, un
     by = Window.partitionBy("robot_id", "bucket").orderBy("stamp", "event_id")
     timed = rows.join(nexts, ["robot_id", "bucket"]).withColumn("until", F.coalesce(F.lead("stamp").over(by), "next", "stamp"))
     timed = timed.withColumn("dt", (micros("until") - micros("stamp")) / unit).drop("until", "next")
-    parts = materialize(timed.groupBy("robot_id", "bucket").applyInPandas(_in_bucket, f"robot_id long, bucket long, event_id long, stamp timestamp_ntz, {ELEMENT}"))
-    ahead = parts.where("event_id is null").select("robot_id", "bucket", "pose", "v", "t").groupBy("robot_id").applyInPandas(_over_buckets, f"robot_id long, bucket long, {ELEMENT}")
+    parts = materialize(apply_to_groups(timed, ["robot_id", "bucket"], ["stamp", "event_id"], _in_buckets, f"robot_id long, bucket long, event_id long, stamp timestamp_ntz, {ELEMENT}"))
+    ahead = apply_to_groups(parts.where("event_id is null").select("robot_id", "bucket", "pose", "v", "t"), ["robot_id"], ["bucket"], _over_buckets, f"robot_id long, bucket long, {ELEMENT}")
     e = lambda df, name, *more: df.select("robot_id", *more, F.struct("pose", "v", "t").alias(name))
     own = e(parts.where("event_id is not null"), "own", "bucket", "event_id", "stamp").join(e(ahead, "head", "bucket"), ["robot_id", "bucket"])
     at = own.join(anchors.select("robot_id", F.struct("pose", "v", F.lit(0.0).alias("t")).alias("anchor")), "robot_id")
