@@ -87,7 +87,7 @@ def surface_normal(points: DataFrame, knn: int = 10, radius: float = 2.0, normal
     new = [c for c, wanted in (("nx", normals), ("ny", normals), ("nz", normals), ("density", densities)) if wanted]
     fitted = fitted.select("cloud_id", "point_id", *[F.col(c).alias(f"_{c}") for c in new])
     old = {c: F.col(c) if c in points.columns else F.lit(None).cast("double") for c in new}
-    return points.join(fitted, ["cloud_id", "point_id"], "left").withColumns({c: F.coalesce(f"_{c}", old[c]) for c in new}).drop(*[f"_{c}" for c in new])
+    return points.join(fitted.hint("merge"), ["cloud_id", "point_id"], "left").withColumns({c: F.coalesce(f"_{c}", old[c]) for c in new}).drop(*[f"_{c}" for c in new])
 
 
 def concatenate(clouds: list[DataFrame]) -> DataFrame:
